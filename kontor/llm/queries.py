@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.llm.common import n_words, read_table
 from kontor.llm.decontaminate import find_benchmark
 from kontor.llm.mixing import mix_sources
 from kontor.llm.sharding import shuffle_into_shards
+from kontor.llm.toxicity import fit_toxicity, score_toxicity
 from kontor.llm.url_filter import judge_pages
 
 N_SHARDS = 24
@@ -37,6 +38,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def held_out(folds: int) -> Column:
+    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds) == 0
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(5))
+    scored = score_toxicity(docs, fit_toxicity(docs, labels))
+    return scored.select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     c = find_benchmark(docs, read_table(spark, sf_dir, "benchmark"), window=10)
@@ -46,6 +58,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_toxicity": op3_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
