@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kontor.llm.common import n_words, read_table
 from kontor.llm.decontaminate import find_benchmark
+from kontor.llm.lattice import score_likelihood
 from kontor.llm.mixing import mix_sources
 from kontor.llm.sharding import shuffle_into_shards
 from kontor.llm.toxicity import fit_toxicity, score_toxicity
@@ -56,12 +57,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "contamination.n_words", "contamination.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("contamination.n_hit") > 0).alias("contaminated"))
 
 
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(held_out(10), F.lit(False)).alias("held_out"))
+    return score_likelihood(docs, ~F.col("held_out"), stable_input=True).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_toxicity": op3_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
+    "op10_lattice": op10_lattice,
 }
 
 OP5_SQL = """
