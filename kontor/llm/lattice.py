@@ -33,7 +33,7 @@ def piece_hash(pieces: list[bytes]) -> np.ndarray:
     up, _ = powers(256)
     for i, p in enumerate(pieces):
         b = np.frombuffer(p, np.uint8)
-        out[i] = (BYTE_VALUE[b] * up[: len(b)]).sum(dtype=np.uint64) + np.uint64(len(b) * int(GOLDEN) % (1 << 64))
+        out[i] = (int((BYTE_VALUE[b] * up[: len(b)]).sum(dtype=np.uint64)) + len(b) * int(GOLDEN)) % (1 << 64)
     return out
 
 
@@ -121,15 +121,20 @@ def expected_counts(v: Pieces, lattice: list[tuple[int, int, np.ndarray, np.ndar
     return out
 
 
-def long_word(v: Pieces, word: bytes) -> float:
-    """The forward recursion of one word, in memory in proportion to its length."""
-    alpha = np.full(len(word) + 1, -np.inf)
+def long_word(v: Pieces, word: bytes, counts: np.ndarray | None = None) -> float:
+    """The forward recursion of one word, in memory in proportion to its length; ``counts`` gets its expected pieces added."""
+    n = len(word)
+    lattice = [(a, b, i) for b in range(1, n + 1) for a in range(max(0, b - v.longest), b) if (i := v.index.get(word[a:b])) is not None]
+    alpha = np.full(n + 1, -np.inf)
     alpha[0] = 0.0
-    for end in range(1, len(word) + 1):
-        for begin in range(max(0, end - v.longest), end):
-            i = v.index.get(word[begin:end])
-            if i is not None:
-                alpha[end] = np.logaddexp(alpha[end], alpha[begin] + v.log_p[i])
+    for a, b, i in lattice:
+        alpha[b] = np.logaddexp(alpha[b], alpha[a] + v.log_p[i])
+    if counts is not None:
+        beta = np.full(n + 1, -np.inf)
+        beta[n] = 0.0
+        for a, b, i in sorted(lattice, key=lambda x: -x[0]):
+            counts[i] += np.exp(alpha[a] + v.log_p[i] + beta[b] - alpha[n])
+            beta[a] = np.logaddexp(beta[a], v.log_p[i] + beta[b])
     return float(alpha[-1])
 
 
@@ -175,7 +180,9 @@ def train_pieces(words: DataFrame, v: Pieces, *, rounds: int = 2, prior: float =
             for batch in batches:
                 total = np.zeros(len(v.pieces)) if total is None else total
                 for rows, block in by_length(batch.column(0)):
-                    if not isinstance(block, bytes):
+                    if isinstance(block, bytes):
+                        long_word(v, block, total)
+                    else:
                         total += expected_counts(v, arcs(v, block), np.ones(len(rows)), block.shape[1])
             if total is not None:
                 some = np.flatnonzero(total)
