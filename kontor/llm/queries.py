@@ -12,6 +12,7 @@ from kontor.llm.decontaminate import find_benchmark
 from kontor.llm.lattice import score_likelihood
 from kontor.llm.mixing import mix_sources
 from kontor.llm.sharding import shuffle_into_shards
+from kontor.llm.substring_dedup import find_repeats, keep_words
 from kontor.llm.toxicity import fit_toxicity, score_toxicity
 from kontor.llm.url_filter import judge_pages
 
@@ -57,6 +58,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "contamination.n_words", "contamination.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("contamination.n_hit") > 0).alias("contaminated"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = keep_words(find_repeats(docs, window=35, stable_input=True))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(held_out(10), F.lit(False)).alias("held_out"))
     return score_likelihood(docs, ~F.col("held_out"), stable_input=True).drop("text")
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_lattice": op10_lattice,
 }
 
@@ -83,4 +91,15 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS i
 SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
+OP8_SQL = """
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+start AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM doc WHERE len(w) >= 35),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS g FROM start),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win JOIN twice USING (g)),
+lost AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY 1)
+SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN lost.n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM doc LEFT JOIN lost USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_substring_dedup": OP8_SQL}
