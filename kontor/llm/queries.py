@@ -11,6 +11,7 @@ from kontor.llm.common import n_words, read_table
 from kontor.llm.decontaminate import find_benchmark
 from kontor.llm.lattice import score_likelihood
 from kontor.llm.mixing import mix_sources
+from kontor.llm.ngram_join import jaccard_components
 from kontor.llm.sharding import shuffle_into_shards
 from kontor.llm.substring_dedup import find_repeats, keep_words
 from kontor.llm.toxicity import fit_toxicity, score_toxicity
@@ -64,6 +65,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs, n=4, percent=85, stable_input=True, keep=("doc_id",)).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(held_out(10), F.lit(False)).alias("held_out"))
     return score_likelihood(docs, ~F.col("held_out"), stable_input=True).drop("text")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_ngram_join": op9_ngram_join,
     "op10_lattice": op10_lattice,
 }
 
@@ -102,4 +109,16 @@ SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_r
   sha256(array_to_string(CASE WHEN lost.n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
 FROM doc LEFT JOIN lost USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_substring_dedup": OP8_SQL}
+OP9_SQL = """
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+part AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0),
+gram AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 3], ' ')) AS g FROM part),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+both_ways AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x)
+SELECT doc.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) m USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_ngram_join": OP9_SQL}
