@@ -263,7 +263,8 @@ def score_likelihood(df: DataFrame, train: Column, *, text: str = "text", vocabu
     log_word = F.when(F.lit(r["n"] == 0) | (F.col("c") == 0), F.col("log_p") + (float(np.log(discount * r["v"] / r["n"])) if r["n"] else 0.0)).otherwise(F.log(own))
     log_word = (log_word + float(np.log(1 - p_end))) / LN10
     stats = words.mapInArrow(weigh, "hash long, c long, log_p double").select("hash", "c", log_word.alias("lp"))
-    stats = seen.select("block", "hash").distinct().join(stats, "hash").select("block", "hash", "c", "lp")
+    # a block that two batches share may send a word twice, which changes nothing
+    stats = seen.select("block", "hash").join(stats, "hash").select("block", "hash", "c", "lp")
     schema = T.StructType([*[f for f in df.schema.fields if f.name not in (train_col, block)], *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]])
     keep, floor = len(schema) - 5, float(n_total + 0.1 * (kinds + 1))
 
