@@ -11,6 +11,7 @@ from kontor.llm.common import n_words, read_table
 from kontor.llm.decontaminate import find_benchmark
 from kontor.llm.lattice import score_likelihood
 from kontor.llm.mixing import mix_sources
+from kontor.llm.neighbours import nearest
 from kontor.llm.ngram_join import jaccard_components
 from kontor.llm.sharding import shuffle_into_shards
 from kontor.llm.substring_dedup import find_repeats, keep_words
@@ -52,6 +53,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     c = find_benchmark(docs, read_table(spark, sf_dir, "benchmark"), window=10)
@@ -78,6 +83,7 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_toxicity": op3_toxicity,
+    "op4_neighbours": op4_neighbours,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
