@@ -13,12 +13,14 @@ from kontor.llm.lattice import score_likelihood
 from kontor.llm.mixing import mix_sources
 from kontor.llm.neighbours import nearest
 from kontor.llm.ngram_join import jaccard_components
+from kontor.llm.pii import KINDS, pseudonymise
 from kontor.llm.sharding import shuffle_into_shards
 from kontor.llm.substring_dedup import find_repeats, keep_words
 from kontor.llm.toxicity import fit_toxicity, score_toxicity
 from kontor.llm.url_filter import judge_pages
 
 N_SHARDS = 24
+PII_KEY = "an example key; a real one comes from the caller's secrets"
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
@@ -42,6 +44,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_pii", *[F.col("pii")[k].alias(f"n_{k}") for k in KINDS])
+
+
 def held_out(folds: int) -> Column:
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds) == 0
 
@@ -82,6 +89,7 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
     "op4_neighbours": op4_neighbours,
     "op5_decontamination": op5_decontamination,
