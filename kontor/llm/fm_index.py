@@ -37,15 +37,19 @@ class WaveletMatrix:
             self.bits.append(BitRank(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             values = np.concatenate([values[~bit], values[bit]])
+        # where each symbol's own places begin in the last level
+        self.begin = np.zeros(n_symbols, np.int64)
+        self.begin = self.descend(np.arange(n_symbols), self.begin)
+
+    def descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        for k, (bits, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
+            one = bits.ones(i)
+            i = np.where(symbol >> (self.levels - 1 - k) & 1, zeros + one, i - one)
+        return i
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before its place."""
-        start = np.zeros_like(i)
-        for k, (bits, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
-            one = (symbol >> (self.levels - 1 - k) & 1).astype(bool)
-            a, b = bits.ones(start), bits.ones(i)
-            start, i = np.where(one, zeros + a, start - a), np.where(one, zeros + b, i - b)
-        return i - start
+        return self.descend(symbol, i) - self.begin[symbol]
 
     def symbol_and_rank(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and how often it occurs before it."""

@@ -4,8 +4,8 @@ Shards are dealt by content, so that no shard must see all documents. Every wind
 smallest hash of the ``anchor`` words long runs in it; equal windows have equal anchors. A document is cut into segments, the
 maximal runs of windows of one anchor, and a segment goes to its anchor's shard if that anchor occurs again at all. Equal
 segments travel once, with their number. In its shard, each segment is streamed against an FM-index of all of them: the
-backward search gives for every window end how long a match ends there that occurs twice or more (a matching statistic), and
-windows where that reaches the whole window are reported.
+backward search gives for a word how long a match ends there that occurs twice or more (a matching statistic), and where
+that is a window or longer, the match is reported, and with it all its windows.
 
 An anchor with very many different segments (a passage that many documents share, in as many surroundings) would fill one
 shard; its segments are cut into single windows instead, which are dealt by their own hash.
@@ -94,25 +94,35 @@ def repeated_in_shard(texts: pa.Array, n_windows: np.ndarray, weight: np.ndarray
     place = np.arange(len(row)) + row + 1  # a separator before each row
     symbols, own = np.zeros(len(row) + len(texts), np.int64), np.zeros(len(row) + len(texts) + 1, np.int64)
     symbols[place], own[place] = number + 1, weight[row]
-    index = FMIndex(symbols, len(kinds) + 1, depth=window)
+    index = FMIndex(symbols, len(kinds) + 1, depth=window + int(n_windows.max(initial=0)))
     upto = np.concatenate([[0], np.cumsum(own[index.suffixes])])
-    which = np.repeat(np.arange(len(texts)), n_windows)
-    start = place[spread(first, n_windows)] if len(which) else np.zeros(0, np.int64)
-    low, high = np.zeros(len(start), np.int64), np.full(len(start), index.size, np.int64)
-    statistic, live = np.zeros(len(start), np.int64), np.arange(len(start))
-    for step in range(window):
-        a, b = index.extend(symbols[start[live] + (window - 1 - step)], low[live], high[live])
+    cover = np.zeros(len(symbols) + 1, np.int64)
+    # each row is streamed from its end: what ends at ``end`` is extended backwards by one word a step while it occurs twice
+    live = np.arange(len(texts))
+    begin = place[first] if len(place) else np.zeros(0, np.int64)
+    end = begin + n_windows + window - 1
+    length, low, high = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), np.full(len(live), index.size, np.int64)
+    while len(live):
+        at = end[live] - length[live] - 1
+        a, b = index.extend(symbols[at], low[live], high[live])
         again = upto[b] - upto[a] >= 2
-        live = live[again]
-        low[live], high[live] = a[again], b[again]
-        statistic[live] = step + 1
-    hit = np.flatnonzero(statistic == window)
-    offset = hit - np.searchsorted(which, which[hit])
-    new = np.ones(len(hit), bool)
-    new[1:] = (which[hit[1:]] != which[hit[:-1]]) | (offset[1:] > offset[:-1] + window)
-    begin = np.flatnonzero(new)
-    end = np.concatenate([begin[1:], [len(hit)]])[: len(begin)] - 1
-    return which[hit[begin]], offset[begin], offset[end] + window
+        on, off = live[again], live[~again]
+        low[on], high[on] = a[again], b[again]
+        length[on] += 1
+        # the longest repeat that ends here is known: all windows in it are repeated
+        whole = on[end[on] - length[on] == begin[on]]
+        done = np.concatenate([off, whole])
+        done = done[length[done] >= window]
+        np.add.at(cover, end[done] - length[done], 1)
+        np.add.at(cover, end[done], -1)
+        end[off] -= 1
+        length[off], low[off], high[off] = 0, 0, index.size
+        end[whole] = begin[whole]
+        live = live[end[live] - begin[live] >= window]
+    inside = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+    which = np.searchsorted(begin, starts, side="right") - 1
+    return which, starts - begin[which], ends - begin[which]
 
 
 def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor: int = 8, shard_words: int = 400_000, hot_segments: int = 2000, stable_input: bool = False) -> DataFrame:
