@@ -1,6 +1,7 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library and their SQL: each module adds its own to one table."""
 
-from kontor.plans import report_queries
+from kontor.plans import function_queries
+from kontor.plans.report_queries import SQL
+from kontor.plans.report_queries import Q as QUERIES
 
-QUERIES = {**report_queries.Q}
-SQL = {**report_queries.SQL}
+__all__ = ["QUERIES", "SQL", "function_queries"]
