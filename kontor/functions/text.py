@@ -65,11 +65,14 @@ def normalize_counterparty(c: Column) -> Column:
     return F.array_join(F.filter(F.split(s, r"(?U)\s+"), lambda t: ~F.array_contains(drop, t)), " ")
 
 
-@F.pandas_udf("string")
-def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def nfkc(c: Column) -> Column:
     """Unicode compatibility composition, which has no built-in function."""
-    for s in parts:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    def compose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(compose, "string", F.PandasUDFType.SCALAR_ITER)(c)
 
 
 def normalize_memo(c: Column, *, compose: bool = False) -> Column:
