@@ -5,8 +5,9 @@ sets that are similar enough share one among their first few (the prefix). Pairs
 (what can still follow on both sides) and a suffix filter (how far apart the sets' counts in 64 ranges of hashes are),
 and are then verified once by their whole sets.
 
-Groups of near copies are not expanded into pairs: classes that share a min-hash are first verified against the
-smallest of them, and the join proper leaves out pairs of classes that are already connected.
+Groups of near copies are not expanded into pairs: classes that share a min-hash are first verified against one of
+them, another one in each of a few rounds and only where they are not connected yet, and the join proper leaves out pairs of
+classes that are already connected.
 
 Rarity is the n-gram's count in a table of fixed size over all documents, indexed by hash. Any order gives the same
 result; this one keeps frequent n-grams out of the prefixes.
@@ -27,7 +28,8 @@ from kontor.llm.words import GOLDEN, Words, cut_words, gram_hashes, mix64
 
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
 RANGES = 64
-SEEDS = mix64(np.arange(11, 15, dtype=np.uint64) * GOLDEN)
+SEEDS = mix64(np.arange(11, 19, dtype=np.uint64) * GOLDEN)
+ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 
 
@@ -200,11 +202,19 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     described = scratch_table(describe_sets(rows, id_, text, n, percent, sketch), "ngram-sets")
     some = described.where("class is not null")
     sets = scratch_table(some.groupBy("class").agg(F.min(F.struct("id", "n", "ranges")).alias("s")).select("class", "s.*"), "ngram-classes")
-    # first, classes against the smallest that shares a min-hash with them
-    keys = some.select("class", F.posexplode("keys").alias("j", "key")).distinct()
-    first = keys.groupBy("j", "key").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("j", "key", "a")
-    links = verify(keys.join(first, ["j", "key"]).where("a <> class").select("a", F.col("class").alias("b")), sets, df, text, n, percent)
-    known = scratch_table(connected_components(links), "ngram-known")
+    # first, classes against one of those that share a min-hash with them
+    keys = scratch_table(some.select("class", F.posexplode("keys").alias("j", "key")).distinct(), "ngram-keys")
+    known, links, tested = None, None, None
+    for r in range(ROUNDS):
+        here = keys.withColumn("component", F.col("class")) if known is None else keys.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        lead = F.min_by(F.struct(F.col("class").alias("a"), F.col("component").alias("of")), F.struct(F.xxhash64(F.lit(r), "component"), F.xxhash64(F.lit(r), "class")))
+        lead = here.groupBy("j", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead.alias("lead")).where("low <> high").select("j", "key", "lead.a", "lead.of")
+        pairs = here.join(lead, ["j", "key"]).where("component <> of").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
+        pairs = scratch_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "ngram-leads")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = verify(pairs, sets, df, text, n, percent)
+        links = new if links is None else links.unionByName(new)
+        known = scratch_table(connected_components(links), "ngram-known")
     # then all that meet in a prefix and are not connected yet
     places = some.select("class", "n", F.posexplode("tokens").alias("at", "token")).select("token", "class", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
     shared = places.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("t"), "class").groupBy("t").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("t")
@@ -216,7 +226,7 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     x, y = met.alias("x"), met.alias("y")
     need = enough(F.col("x.n"), F.col("y.n"), percent)
     close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & close).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & close).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     links = links.unionByName(verify(pairs, sets, df, text, n, percent))
     parts = connected_components(links)
     of_class = sets.select("class").join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"))
