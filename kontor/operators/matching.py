@@ -47,7 +47,18 @@ def match_secondary(tx: DataFrame, records: DataFrame, window: int = 5) -> DataF
     order = Window.partitionBy("a").orderBy("day")
     new = (F.col("day") - F.lag("day").over(order) > window).cast("int")
     runs = shared.withColumn("run", F.sum(F.coalesce(new, F.lit(1))).over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("a", "run").applyInPandas(lambda rows: greedy_matches(rows, window), "id long, ref string, days int, outcome string")
+    # one candidate and one record decide themselves, and records alone are unmatched: built-in functions; only what competes goes to Python
+    n = runs.groupBy("a", "run").agg(
+        F.count(F.when(F.col("is_candidate"), 1)).alias("n_c"), F.count(F.when(~F.col("is_candidate"), 1)).alias("n_r"), F.max("id").alias("one_id"), F.max("ref").alias("one_ref"),
+        (F.max(F.when(F.col("is_candidate"), F.col("day"))) - F.max(F.when(~F.col("is_candidate"), F.col("day")))).alias("off"),
+    )
+    hit = F.abs("off") <= window
+    single = n.where("n_c = 1 and n_r = 1").select(F.when(hit, F.col("one_id")).alias("id"), F.col("one_ref").alias("ref"), F.when(hit, F.abs("off")).cast("int").alias("days"), F.when(hit, "matched").otherwise("unmatched").alias("outcome"))
+    none = F.lit(None)
+    alone = runs.join(n.where("n_c = 0").select("a", "run"), ["a", "run"], "left_semi").select(none.cast("long").alias("id"), "ref", none.cast("int").alias("days"), F.lit("unmatched").alias("outcome"))
+    contested = runs.join(n.where("n_c > 0 and n_r > 0 and n_c + n_r > 2").select("a", "run"), ["a", "run"], "left_semi")
+    decided = contested.groupBy("a", "run").applyInPandas(lambda rows: greedy_matches(rows, window), "id long, ref string, days int, outcome string")
+    return single.unionByName(alone).unionByName(decided)
 
 
 def match_report(matches: DataFrame) -> DataFrame:

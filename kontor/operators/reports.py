@@ -30,7 +30,8 @@ def not_savings() -> Column:
     return F.coalesce("is_savings", F.lit(0)) == 0
 
 
-SPENT = F.sum(F.abs("cents"))
+def spent() -> Column:
+    return F.sum(F.abs("cents"))
 
 
 def expenses(df: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def expense_sum() -> Column:
 
 
 def spend_by_category(s: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    return expenses(s, since, until).groupBy("category_id", category_name().alias("name"), category_color().alias("color")).agg(euro(SPENT).alias("amount")).drop("category_id")
+    return expenses(s, since, until).groupBy("category_id", category_name().alias("name"), category_color().alias("color")).agg(euro(spent()).alias("amount")).drop("category_id")
 
 
 def spend_shares(s: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -77,19 +78,19 @@ def amount_histogram(s: DataFrame, bins: int = 30) -> DataFrame:
 
 def top_counterparties(tx: DataFrame, n: int = 15, since: str | None = None, until: str | None = None) -> DataFrame:
     rows = expenses(tx, since, until).groupBy(F.coalesce(F.nullif("vendor", F.lit("")), F.lit("(unbekannt)")).alias("name"))
-    return rows.agg(euro(SPENT).alias("amount"), F.count(F.lit(1)).alias("n_tx")).orderBy(F.desc("amount"), "name").limit(n)
+    return rows.agg(euro(spent()).alias("amount"), F.count(F.lit(1)).alias("n_tx")).orderBy(F.desc("amount"), "name").limit(n)
 
 
 def daily_spend(tx: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    return expenses(tx, since, until).groupBy(F.col("date").alias("d")).agg(euro(SPENT).alias("amount"))
+    return expenses(tx, since, until).groupBy(F.col("date").alias("d")).agg(euro(spent()).alias("amount"))
 
 
 def daily_by_category(s: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    return expenses(s, since, until).groupBy(F.col("date").alias("d"), category_name().alias("name"), category_color().alias("color")).agg(euro(SPENT).alias("amount"))
+    return expenses(s, since, until).groupBy(F.col("date").alias("d"), category_name().alias("name"), category_color().alias("color")).agg(euro(spent()).alias("amount"))
 
 
 def weekly_by_category(s: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    return expenses(s, since, until).groupBy(dates.week_key(F.col("date")).alias("yw"), category_name().alias("name"), category_color().alias("color")).agg(euro(SPENT).alias("amount"))
+    return expenses(s, since, until).groupBy(dates.week_key(F.col("date")).alias("yw"), category_name().alias("name"), category_color().alias("color")).agg(euro(spent()).alias("amount"))
 
 
 def savings_flow(s: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -149,7 +150,7 @@ def month_to_date_pace(s: DataFrame, today: str, trailing_months: int = 6) -> Da
     first, days = d.replace(day=1).isoformat(), (date(d.year + d.month // 12, d.month % 12 + 1, 1) - d.replace(day=1)).days
     rows = s.where((F.col("is_income") == 0) & external() & not_savings())
     spent = rows.where(between(first, today)).agg(F.coalesce(F.sum(F.abs("cents")), F.lit(0)).alias("s"))
-    months = rows.where(F.col("date") < F.lit(first).cast("date")).groupBy(dates.month_key(F.col("date")).alias("ym")).agg(SPENT.alias("m")).orderBy(F.desc("ym")).limit(trailing_months)
+    months = rows.where(F.col("date") < F.lit(first).cast("date")).groupBy(dates.month_key(F.col("date")).alias("ym")).agg(spent().alias("m")).orderBy(F.desc("ym")).limit(trailing_months)
     both = spent.crossJoin(months.agg((F.sum("m") / F.count("m") / 100.0).alias("baseline")))  # one row each
     return both.select((F.col("s") / 100.0).alias("spent"), F.lit(d.day).alias("days_elapsed"), F.lit(days).alias("days_in_month"), (F.col("s") / 100.0 / d.day * days).alias("projected"), "baseline")
 
