@@ -62,20 +62,19 @@ def decode(content: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content): whole files, as exports are small; their number is what grows."""
+    """(file, content): whole files by path, as exports are small; their number is what grows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), decode(F.col("content")).alias("content"))
+    return files.select(F.col("path").alias("file"), decode(F.col("content")).alias("content"))
 
 
 def cells(line: Column, sep: str) -> Column:
-    """A quoted line as an array of cells, as long as the line's."""
+    """A quoted line as an array of MOST_COLUMNS cells, empty beyond the line's own."""
     row = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(MOST_COLUMNS))), {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": ""})
-    every = F.array(*[row[f"c{i}"] for i in range(MOST_COLUMNS)])
-    return F.filter(every, lambda c: c.isNotNull())
+    return F.array(*[F.coalesce(row[f"c{i}"], F.lit("")) for i in range(MOST_COLUMNS)])
 
 
 def records(files: DataFrame, spec: SourceSpec) -> DataFrame:
-    """(file, row, record): the rows below each file's header as maps from column key to cell; blank rows go, short rows are filled up.
+    """(file, row, record): the rows below each file's header as maps from column key to cell; blank rows go, short rows are filled up; header cells must differ.
 
     The header is the first row that has the spec's required columns (for banks: that begins with its first column), wherever it stands.
     """
@@ -89,8 +88,8 @@ def records(files: DataFrame, spec: SourceSpec) -> DataFrame:
             is_header = is_header & (F.get(keys, F.lit(0)) == spec.first)
         head = rows.where(is_header).groupBy("file").agg(F.min_by(F.struct("pos", keys.alias("keys")), "pos").alias("h"))
         found = rows.join(head, "file").where(F.col("pos") > F.col("h.pos"))
-        filled = F.transform("h.keys", lambda _, i: F.coalesce(F.get("cells", i), F.lit("")))
-        one = found.select("file", (F.col("pos") - F.col("h.pos")).alias("row"), F.map_from_entries(F.array_distinct(F.arrays_zip(F.col("h.keys"), filled))).alias("record"))
+        named = F.filter(F.zip_with("h.keys", "cells", lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: e["k"] != "")
+        one = found.select("file", (F.col("pos") - F.col("h.pos")).alias("row"), F.map_from_entries(named).alias("record"))
         out = one if out is None else out.unionByName(one)
     return out
 
