@@ -364,7 +364,7 @@ add("j6_batch_impact", REC + """SELECT round(a, 6) AS before, round(b, 6) AS aft
 
 # streams over the events table, run to their end
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    return spark.readStream.schema(t.read(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    return spark.readStream.schema(t.read(spark, d, "events").schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @add("s1_continuous_ingest", "SELECT DISTINCT sha256(concat(event_id, '|', user_id)) AS dedup_hash FROM events")

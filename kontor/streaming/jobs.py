@@ -70,7 +70,8 @@ def vendor_anomalies(events: DataFrame, z: float = 3.0, least: int = 5) -> DataF
 
 
 def finish(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end and reads what it wrote."""
+    """Runs a bounded stream to its end and reads what it wrote. Keyed state needs the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
     if mode == "complete":
 
