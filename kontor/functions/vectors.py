@@ -22,7 +22,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic unit vector of a text: the bytes of its SHA-256 repeated to ``dim``, less 127.5, normalised."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5)
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / size)
+
+    def bound(value: Column, use) -> Column:  # noqa: ANN001
+        """``use(value)`` with ``value`` computed once, however often it is used."""
+        return F.transform(F.array(value), use)[0]
+
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    raw = bound(F.sha2(text, 256), lambda d: F.transform(places, lambda i: F.conv(F.substring(d, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5))
+    size = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
+    return bound(raw, lambda r: bound(size(r), lambda n: F.transform(r, lambda x: x / n)))

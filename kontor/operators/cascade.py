@@ -21,6 +21,7 @@ from kontor.functions import amounts, dates, text, vectors
 from kontor.operators import knn
 from kontor.operators import labels as lb
 from kontor.operators.temporal import temporal_features
+from kontor.scratch import scratch_table
 
 STAGES = ("vendor_exact_match", "knn", "classifier", "category_similarity", "zeroshot")
 COLUMNS = ["id", "category_id", "confidence", "stage", "runner_up", "runner_up_confidence"]
@@ -145,13 +146,15 @@ def category_variants(categories: DataFrame, dim: int, most: int) -> Column:
 
 def similarity_stage(rows: DataFrame, categories: DataFrame, *, dim: int = 64, least: float = 0.25, margin: float = 0.03, most: int = 10_000) -> DataFrame:
     """The category whose text is most like the row's (``vector``, unit length, and ``combined``): best cosine over the variants plus a bonus for shared words."""
-    tokens = text.long_tokens(F.col("combined"))
+    # written out, so that vectors, words and scores are each computed once a row and not once a use
+    rows = scratch_table(rows.select("id", text.long_tokens(F.col("combined")).alias("tokens"), "vector", vectors.norm(F.col("vector")).alias("norm")), "similarity-rows")
 
     def score(c: Column) -> Column:
-        like = F.greatest(vectors.dot(F.col("vector"), c["a"]), vectors.dot(F.col("vector"), c["b"])) / vectors.norm(F.col("vector"))
-        return F.struct((-(like + text.overlap_bonus(tokens, c["tokens"]))).alias("neg"), c["category_id"].alias("category_id"))
+        like = F.greatest(vectors.dot(F.col("vector"), c["a"]), vectors.dot(F.col("vector"), c["b"])) / F.col("norm")
+        return F.struct((-(like + text.overlap_bonus(F.col("tokens"), c["tokens"]))).alias("neg"), c["category_id"].alias("category_id"))
 
-    r = rows.where(vectors.norm(F.col("vector")) > 0).withColumn("l", F.array_sort(F.transform(category_variants(categories, dim, most), score)))
+    best = F.slice(F.array_sort(F.transform(category_variants(categories, dim, most), score)), 1, 2)
+    r = scratch_table(rows.where("norm > 0").select("id", best.alias("l")), "similarity-scores")
     top, second = -F.col("l")[0]["neg"], F.coalesce(-F.get("l", F.lit(1))["neg"], F.lit(0.0))
     r = r.withColumn("category_id", F.col("l")[0]["category_id"]).where((top >= least) & (top - second >= margin))
     return prediction(r, STAGES[3], top)
