@@ -67,7 +67,7 @@ def design(features: DataFrame, dim: int) -> DataFrame:
     """``x``: the vector and the numbers, nulls as 0."""
     zero = F.array_repeat(F.lit(0.0), dim)
     row = features.na.fill(0, NUMERIC).withColumn("e", array_to_vector(F.coalesce(F.col("vector").cast("array<double>"), zero)))
-    return VectorAssembler(inputCols=["e", *NUMERIC], outputCol="x", handleInvalid="keep").transform(row)
+    return VectorAssembler(inputCols=["e", *NUMERIC], outputCol="x", handleInvalid="error").transform(row)
 
 
 def fit_classifier(rows: DataFrame, *, forest: bool | None = None, max_iter: int = 30, regularisation: float = 0.01, trees: int = 200) -> PipelineModel | None:

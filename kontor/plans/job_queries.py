@@ -281,7 +281,6 @@ def predictions(spark: SparkSession, d: str, config: cascade.CascadeConfig | Non
 
 
 add("h10_h12_cascade", None)(predictions)
-add("h10_cascade_with_classifier", None)(lambda s, d: predictions(s, d, cascade.CascadeConfig(vendor_agreement=0.3, knn_agreement=3, classifier={"forest": False, "max_iter": 10})))
 add("e34_stage_counts", None)(lambda s, d: predictions(s, d).groupBy("stage").agg(F.count(F.lit(1)).alias("n")))
 
 
