@@ -53,43 +53,40 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 12, tolerance: float = 1e-6) -> DataFrame:
-    """(host, rank) for the hosts that the seeds reach: a walk that restarts at a seed with probability ``1 - damping``.
+def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, steps: int = 8) -> DataFrame:
+    """(host, rank) for the hosts that the seeds reach: walks that start at every seed and end with probability ``1 - damping`` a step.
 
-    ``edges``: (src, dst, n); ``seeds``: (host), one row each. What reaches hosts without links goes back to the seeds by
-    normalising at the end of each round. The seeds' own rank is at least their restart share. Each round is one join on
-    the source host and one aggregate, written to the shared scratch folder.
+    ``edges``: (src, dst, n); ``seeds``: (host), one row each. Every seed has mass 1, whatever their number: a host's rank
+    is how much of it ends there, at least ``1 - damping`` for a seed, and depends only on the seeds that reach the host. What
+    reaches hosts without links and does not end there is lost. Rounds go on until all walks together have less than ``tolerance`` left;
+    each is one join on the source host and one aggregate, and every ``steps`` of them are written to the shared scratch folder.
     """
     seeds = seeds.select("host").distinct()
-    n_seeds = seeds.count()
-    if not n_seeds:
-        return seeds.withColumn("rank", F.lit(0.0))
-    restart = seeds.withColumn("rank", F.lit(1.0 / n_seeds))
+    rank = seeds.withColumn("rank", F.lit(1 - damping)).withColumn("new", F.col("rank"))
+    if edges.isEmpty():
+        return rank.drop("new")
     out_weight = F.sum("n").over(Window.partitionBy("src"))
-    flow = edges.select("src", "dst", (F.col("n") / out_weight).alias("w"))
-    if not edges.limit(1).count():
-        return restart
-    rank = restart
-    for _ in range(rounds):
-        moved = rank.join(flow, rank.host == flow.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("w") * damping).alias("rank"))
-        held = F.lit(1 - damping) / n_seeds
-        new = moved.unionByName(restart.withColumn("rank", held)).groupBy("host").agg(F.sum("rank").alias("rank"))
-        new = scratch_table(new, "host-rank")
-        total = new.agg(F.sum("rank")).first()[0]
-        new = new.withColumn("rank", F.col("rank") / total)
-        moved_by = new.alias("a").join(rank.alias("b"), "host", "full").agg(F.sum(F.abs(F.coalesce(F.col("a.rank"), F.lit(0.0)) - F.coalesce(F.col("b.rank"), F.lit(0.0))))).first()[0]
-        rank = new
-        if moved_by < tolerance:
-            break
-    return rank
-
-
-def judge_pages(pages: DataFrame, rules: dict[str, str], *, url: str = "url", html: str = "html", damping: float = 0.85, rounds: int = 12, threshold: float = 1e-4) -> DataFrame:
+    flow = edges.select("src", "dst", (damping * F.col("n") / out_weight).alias("w"))
+    hosts = edges.select("src").union(edges.select("dst")).union(seeds).distinct()
+    flow = scratch_table(flow.unionByName(hosts.select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("w"))), "host-flow")  # null: what the host has, it keeps
+    left = None
+    while left is None or left * damping / (1 - damping) >= tolerance:
+        for _ in range(steps):
+            gets = F.col("new") * F.col("w")
+            moved = rank.join(flow, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), F.coalesce(gets, F.col("rank")).alias("rank"), F.coalesce(gets, F.lit(0.0)).alias("new"))
+            rank = moved.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("new").alias("new"))
+        rank = scratch_table(rank, "host-rank")
+        left = rank.agg(F.coalesce(F.sum("new"), F.lit(0.0))).first()[0]
+    return rank.drop("new")
+
+
+def judge_pages(pages: DataFrame, rules: dict[str, str], *, url: str = "url", html: str = "html", damping: float = 0.85, threshold: float = 1e-4) -> DataFrame:
     """All rows and columns of ``pages`` plus ``host``, ``path``, ``rule``, ``trust``, ``distrust`` and ``verdict``.
 
     ``rules``: rule to ``allow`` or ``block``; a few literals that become one expression. Seeds are the hosts of pages that
     a rule allows or blocks; a host with both counts as a seed of both. Where no rule fits, a host is blocked if its
-    distrust is above ``threshold`` and above its trust, else allowed; hosts that no walk reaches have 0 for both.
+    distrust is above ``threshold`` (of the mass of one seed) and above its trust, else allowed; hosts that no walk reaches
+    have 0 for both. Neither depends on the number of seeds, so that a host's verdict is that of its surroundings in a crawl of any size.
 
     Edge cases: a null url, one without ``://`` or an empty host has empty host and path (rules need a host, so none fits)
     and is allowed; null html has no links; repeated rows are judged alike; an empty table gives no rows; existing columns
@@ -100,9 +97,9 @@ def judge_pages(pages: DataFrame, rules: dict[str, str], *, url: str = "url", ht
     out = pages.withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url))).withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules))
     seeds = scratch_table(out.where("rule is not null").groupBy("host").agg(F.max(rule_verdict(F.col("rule"), rules) == "allow").alias("good"), F.max(rule_verdict(F.col("rule"), rules) == "block").alias("bad")), "url-seeds")
     edges = scratch_table(host_edges(pages, url, html), "url-edges")
-    trust = personalised_rank(edges, seeds.where("good"), damping=damping, rounds=rounds).select("host", F.col("rank").alias("trust"))
+    trust = personalised_rank(edges, seeds.where("good"), damping=damping).select("host", F.col("rank").alias("trust"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised_rank(back, seeds.where("bad"), damping=damping, rounds=rounds).select("host", F.col("rank").alias("distrust"))
+    distrust = personalised_rank(back, seeds.where("bad"), damping=damping).select("host", F.col("rank").alias("distrust"))
     hosts = scratch_table(trust.join(distrust, "host", "full").na.fill(0.0, ["trust", "distrust"]), "url-scores")
     scored = out.join(hosts, "host", "left").na.fill(0.0, ["trust", "distrust"])
     by_method = F.when((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")

@@ -281,6 +281,27 @@ def test_url_filter(spark):
     assert judge_pages(df.limit(0), rules).count() == 0
 
 
+def test_url_filter_many_seeds(spark):
+    from kontor.llm.url_filter import host_edges, judge_pages, personalised_rank
+
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    rows = [(f"http://bad{i}.com/de/1", "") for i in range(2500)] + [(f"http://bad{i}.com/other", "") for i in range(2500)]
+    rows += [(f"http://linker{i}.net/", link(f"bad{i}.com")) for i in range(1, 50)]
+    rows += [(f"http://chain{i}.net/", link(f"chain{i - 1}.net" if i else "bad0.com")) for i in range(15)]
+    out = judge_pages(spark.createDataFrame(rows, "url string, html string").coalesce(2), {"com/de/": "block"}).collect()
+    assert len(out) == len(rows) and {r["verdict"] for r in out} == {"block"}
+    # a host's score is the same beside 2,500 seeds as beside one
+    assert all(math.isclose(r["distrust"], 0.15 * 0.85, abs_tol=1e-6) for r in out if r["host"].startswith("linker"))
+    # against the linear system; a cycle, hosts without links, and two seeds
+    pages = spark.createDataFrame([("x://a/", link("b", "c")), ("x://b/", link("a")), ("x://c/", link("d")), ("x://e/", link("a", "d"))], "url string, html string")
+    got = {r["host"]: r["rank"] for r in personalised_rank(host_edges(pages), spark.createDataFrame([("a",), ("e",)], "host string"), damping=0.4).collect()}
+    m = np.zeros((5, 5))
+    for i, to in enumerate(((1, 2), (0,), (3,), (), (0, 3))):
+        m[list(to), i] = 1 / max(1, len(to))
+    want = np.linalg.solve(np.eye(5) - 0.4 * m, 0.6 * np.array([1, 0, 0, 0, 1]))
+    assert np.allclose([got[h] for h in "abcde"], want, rtol=0, atol=1e-6)
+
+
 def test_fm_index():
     from kontor.llm.fm_index import FMIndex
 
