@@ -8,7 +8,7 @@ backward search gives for a word how long a match ends there that occurs twice o
 that is a window or longer, the match is reported, and with it all its windows.
 
 An anchor with very many different segments (a passage that many documents share, in as many surroundings) would fill one
-shard; its segments are cut into single windows instead, which are dealt by their own hash.
+shard; its segments are cut into single windows instead, which are counted by a 128-bit hash of their words and never meet in a shard.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
 
     Shuffles: anchors' counts; segments of anchors that occur again; their texts, by segment; and the rows by number, twice the same
     exchange, to cut those texts and to get the spans. A shard holds about ``shard_words`` words; anchors with over
-    ``hot_segments`` different segments are split into windows. ``stable_input``: ``df`` reads files, and each partition gives
+    ``hot_segments`` different segments are split into windows, each of which is added up before the exchange. ``stable_input``: ``df`` reads files, and each partition gives
     the same rows again; else it is written to the shared scratch folder first.
 
     Edge cases: null and empty texts, and texts of fewer words than a window, have no spans; repeated rows are each other's
@@ -152,7 +152,7 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
     kinds = scratch_table(kinds.select("anchor", "content", "k", "first.*"), "substring-segments")
     per_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     hot = scratch_table(per_anchor.where(F.col("kinds") > hot_segments).select("anchor", F.lit(True).alias("hot")), "substring-hot")
-    size = kinds.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0))).first()[0] + kinds.join(hot, "anchor", "left_semi").agg(F.coalesce(F.sum(F.col("n") * window), F.lit(0))).first()[0]
+    size = kinds.join(hot, "anchor", "left_anti").agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0))).first()[0]
     n_shards = max(1, -(-size // shard_words))
     wanted = kinds.join(hot, "anchor", "left").select("id", F.struct("start", "n", "anchor", "content", "k", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
     wanted = wanted.groupBy("id").agg(F.collect_list("s").alias("segments"))
@@ -165,23 +165,26 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
             texts, lists = batch.column(texts_at), batch.column(segments_at)
             for i in range(batch.num_rows):
                 words = texts[i].as_py().encode().split()
-                keys, anchors, contents, offsets, ns, ks, bodies = [], [], [], [], [], [], []
+                hashes, anchors, contents, offsets, ns, ks, bodies = [], [], [], [], [], [], []
                 for s in lists[i].as_py():
                     part = words[s["start"] : s["start"] + s["n"] + window - 1]
                     pieces = [(j, part[j : j + window]) for j in range(s["n"])] if s["hot"] else [(0, part)]
                     for j, piece in pieces:
                         body = b" ".join(piece)
-                        keys.append(hash_of(body) if s["hot"] else s["anchor"])
+                        hashes.append(hash_of(body) if s["hot"] else None)
                         anchors.append(s["anchor"])
                         contents.append(s["content"])
                         offsets.append(j)
                         ns.append(len(piece) - window + 1)
                         ks.append(s["k"])
-                        bodies.append(body)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(offsets, pa.int32()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(bodies, pa.binary()).cast(pa.string())], names=["key", "anchor", "content", "start", "n", "k", "body"])
+                        bodies.append(None if s["hot"] else body)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(offsets, pa.int32()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(bodies, pa.binary()).cast(pa.string())], names=["window", "anchor", "content", "start", "n", "k", "body"])
 
-    bodies = moved.join(wanted, moved[id_] == wanted["id"]).select(*names).mapInArrow(cut, "key long, anchor long, content long, start int, n int, k long, body string")
-    bodies = bodies.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)))
+    bodies = moved.join(wanted, moved[id_] == wanted["id"]).select(*names).mapInArrow(cut, "window binary, anchor long, content long, start int, n int, k long, body string")
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        bodies = scratch_table(bodies, "substring-bodies")
+    shards = bodies.where("window is null").drop("window").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
 
     def search(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
@@ -189,7 +192,11 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
         start = shard["start"].to_numpy()[row]
         return pa.table({"anchor": shard["anchor"].to_numpy()[row], "content": shard["content"].to_numpy()[row], "begin": pa.array(start + begin, pa.int32()), "end": pa.array(start + end, pa.int32())})
 
-    hits = bodies.groupBy("shard").applyInArrow(search, "anchor long, content long, begin int, end int")
+    hits = shards.groupBy("shard").applyInArrow(search, "anchor long, content long, begin int, end int")
+    if any_hot:  # equal windows have one anchor, so all of them are here
+        windows = bodies.where("window is not null")
+        twice = windows.groupBy("window").agg(F.sum("k").alias("n")).where("n > 1")
+        hits = hits.unionByName(windows.join(twice, "window", "left_semi").select("anchor", "content", F.col("start").alias("begin"), (F.col("start") + window).cast("int").alias("end")))
     spans = candidates.join(hits, ["anchor", "content"]).select("id", F.struct((F.col("start") + F.col("begin")).cast("long").alias("start"), (F.col("start") + F.col("end")).cast("long").alias("end")).alias("s"))
     spans = spans.groupBy("id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
     merged = F.aggregate(
@@ -205,10 +212,10 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
     return out.withColumn("repeats", F.coalesce("repeats", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")))
 
 
-def hash_of(body: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
+def hash_of(body: bytes) -> bytes:
+    from xxhash import xxh3_128_digest
 
-    return xxh3_64_intdigest(body) - (1 << 63)
+    return xxh3_128_digest(body)
 
 
 def keep_words(df: DataFrame, *, text: str = "text", spans: str = "repeats") -> DataFrame:

@@ -141,6 +141,27 @@ def test_substring_dedup(docs, empty):
     assert find_repeats(empty, window=9).count() == 0
 
 
+def test_substring_dedup_hot_passage(spark, monkeypatch, tmp_path):
+    from kontor.llm import substring_dedup
+
+    rng, real, folder = random.Random(9), substring_dedup.repeated_in_shard, str(tmp_path)
+    passage = text(rng, 12)
+
+    def seen(texts, *args):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(texts)))
+        return real(texts, *args)
+
+    monkeypatch.setattr(substring_dedup, "repeated_in_shard", seen)
+    df = spark.createDataFrame([(i, f"{text(rng, 9)} {passage} {text(rng, 9)}") for i in range(300)], "doc_id long, text string")
+    out = substring_dedup.find_repeats(df, window=9, anchor=3, hot_segments=50).collect()
+    assert len(out) == 300 and all(any(a["start"] <= 9 and a["end"] >= 21 for a in r["repeats"]) for r in out)
+    # the windows of the shared passage do not fill a shard, once a document
+    assert max((int(f.read_text()) for f in tmp_path.iterdir()), default=0) < 300
+
+
 def components(sets, percent):
     parent = list(range(len(sets)))
 
