@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kontor.llm.common import scratch_table
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of ``links`` the smallest node that it reaches.
 
     Each round, every node's neighbours are linked to the smallest node among them and itself, first those that are
@@ -17,15 +17,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", *, max_ro
     """
     edges = scratch_table(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "components")
     before = None
-    for _ in range(max_rounds):
+    while True:
+        r = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if r == before or not r[0]:
+            break
+        before = r
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = scratch_table(small.where("u <> v").distinct(), "components")
-        r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(r) == before:
-            break
-        before = tuple(r)
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

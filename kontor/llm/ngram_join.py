@@ -1,16 +1,18 @@
 """Jaccard join of word n-gram sets by rare-first prefix filtering.
 
-Sets that are equal form a class, and only classes are joined. A class' n-grams are ordered from rare to frequent; two
-sets that are similar enough share one among their first few (the prefix). Pairs that meet there pass a length filter, a positional filter
+Sets that are equal form a class, and only classes are joined, each by the text of one of its rows. A class' n-grams are
+ordered from rare to frequent; of two sets that are similar enough, the first n-gram that they share stands among the first few of both
+(the prefix; a shorter one suffices for the smaller set). Pairs that meet there pass a length filter, a positional filter
 (what can still follow on both sides) and a suffix filter (how far apart the sets' counts in 64 ranges of hashes are),
 and are then verified once by their whole sets.
 
-Groups of near copies are not expanded into pairs: classes that share a min-hash are first verified against one of
-them, another one in each of a few rounds and only where they are not connected yet, and the join proper leaves out pairs of
-classes that are already connected.
+Groups of near copies are not expanded into pairs. First, in a few rounds, the classes that have a min-hash in common are verified
+against one of them each, and what is linked is one component from then on; a component takes part in the next round, with another
+min-hash, through one of its classes. The join proper leaves out pairs within a component. So the result is components, not
+all links: a link between two classes that are connected anyway is neither verified nor returned.
 
-Rarity is the n-gram's count in a table of fixed size over all documents, indexed by hash. Any order gives the same
-result; this one keeps frequent n-grams out of the prefixes.
+Rarity is the n-gram's count over all classes in a table indexed by hash, which grows with the corpus up to 2**MOST_BITS bytes. Any
+order gives the same result; this one keeps frequent n-grams out of the prefixes, and those counted once join nothing.
 """
 
 from __future__ import annotations
@@ -21,16 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kontor.llm.common import fresh, scratch_table
 from kontor.llm.components import connected_components
 from kontor.llm.words import GOLDEN, Words, cut_words, gram_hashes, mix64
 
-SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 25, 16
 RANGES = 64
-SEEDS = mix64(np.arange(11, 19, dtype=np.uint64) * GOLDEN)
-ROUNDS = 3
-BROADCAST_ROWS = 1_000_000
+SEEDS = mix64(np.arange(11, 15, dtype=np.uint64) * GOLDEN)
+WORDS_PER_GROUP = 200_000
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,44 +64,12 @@ def class_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(mix64(hashes ^ GOLDEN), first)).view(np.int64)
 
 
-def frequency_sketch(df: DataFrame, text: str, n: int) -> np.ndarray:
-    """How often the n-grams of each hash remainder occur in all rows: 2**SKETCH_BITS counts, added up block by block."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
-            for w in cut_words(batch.column(0), fold=True):
-                h, _ = shingles(w, n)
-                total += np.bincount((h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(total)).astype(np.uint32)
-        if total.any():
-            blocks = total.reshape(-1, SKETCH_BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
-
-    def add(part: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH_BLOCK, np.uint32)
-        for x in part["counts"].to_pylist():
-            total += np.minimum(np.frombuffer(x, np.uint32), np.iinfo(np.uint32).max - total)  # full counters stay full
-        return pa.table({"block": part["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = df.select(text).mapInArrow(count, "block long, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-    parts = parts.groupBy("block", "part").applyInArrow(add, "block long, counts binary")
-    out = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.uint32).reshape(-1, SKETCH_BLOCK)
-    for r in parts.groupBy("block").applyInArrow(add, "block long, counts binary").collect():
-        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
-    return out.ravel()
-
-
-SETS = "id long, class long, n int, ranges binary, keys array<long>, tokens array<long>"
-
-
-def describe_sets(df: DataFrame, id_: str, text: str, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """For each row its class, set size, range counts, min-hashes, and its prefix from rare to frequent (class null: no words)."""
-    shared = df.sparkSession.sparkContext.broadcast(sketch)
+def describe_sets(df: DataFrame, id_: str, key: str, text: str, n: int) -> DataFrame:
+    """(id, key, class, n, ranges, keys) of each row: its class (null: no words), set size, range counts and min-hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for w in cut_words(batch.column(1), fold=True):
+            for w in cut_words(batch.column(2), fold=True):
                 h, row = distinct_by_row(*shingles(w, n))
                 size = np.bincount(row, minlength=w.n_rows)
                 full = np.flatnonzero(size)
@@ -112,22 +82,70 @@ def describe_sets(df: DataFrame, id_: str, text: str, n: int, percent: int, sket
                         keys[full, j] = np.minimum.reduceat(mix64(h ^ seed), first).view(np.int64)
                 ranges = np.bincount(row * RANGES + (h >> np.uint64(58)).astype(np.int64), minlength=w.n_rows * RANGES)
                 ranges = np.minimum(ranges, 255).astype(np.uint8).tobytes()
-                often = np.minimum(shared.value[(h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
-                by = np.lexsort((often << np.uint64(40) | h >> np.uint64(24), row))  # stable: ties by the whole hash
-                prefix = np.where(size > 0, size + (-percent * size // 100) + 1, 0)
-                begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-                take = np.repeat(begin - np.concatenate([[0], np.cumsum(prefix)[:-1]]), prefix) + np.arange(int(prefix.sum()))
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)), pa.array(h[by][take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[w.first : w.first + w.n_rows]), pa.array(cls, mask=size == 0), pa.array(size.astype(np.int32)),
-                        pa.array([ranges[i * RANGES : (i + 1) * RANGES] for i in range(w.n_rows)], pa.binary()),
-                        pa.array(list(keys), pa.list_(pa.int64())), tokens,
-                    ],
-                    names=["id", "class", "n", "ranges", "keys", "tokens"],
-                )
-
-    return df.select(id_, text).mapInArrow(scan, SETS)
+                part = [batch.column(c).slice(w.first, w.n_rows) for c in (0, 1)]
+                ranges = pa.array([ranges[i * RANGES : (i + 1) * RANGES] for i in range(w.n_rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part, pa.array(cls, mask=size == 0), pa.array(size.astype(np.int32)), ranges, pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "key", "class", "n", "ranges", "keys"])
+
+    key_type = df.schema[key].dataType
+    fields = [("id", T.LongType()), ("key", key_type), ("class", T.LongType()), ("n", T.IntegerType()), ("ranges", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    return df.select(id_, key, text).mapInArrow(scan, T.StructType([T.StructField(a, b) for a, b in fields]))
+
+
+def frequency_table(reps: DataFrame, n: int, bits: int) -> np.ndarray:
+    """In how many rows of ``reps`` (class, text) n-grams of each hash remainder occur, up to 255: 2**``bits`` counts, added up block by block."""
+    size, full = 1 << BLOCK_BITS, 255
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for w in cut_words(batch.column(0), fold=True):
+                h, _ = distinct_by_row(*shingles(w, n))
+                at, more = np.unique(h & np.uint64((1 << bits) - 1), return_counts=True)
+                total = np.zeros(1 << bits, np.uint8) if total is None else total
+                at = at.astype(np.int64)
+                total[at] = np.minimum(total[at] + np.minimum(more, full), full)
+        if total is not None:
+            for i, block in enumerate(total.reshape(-1, size)):
+                some = np.flatnonzero(block)
+                dense = 3 * len(some) > size
+                places = b"" if dense else some.astype(np.uint16).tobytes()
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([places], pa.binary()), pa.array([(block if dense else block[some]).tobytes()], pa.binary())], names=["block", "places", "counts"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for places, counts in zip(part["places"].to_pylist(), part["counts"].to_pylist(), strict=True):
+            total[np.frombuffer(places, np.uint16) if places else slice(None)] += np.frombuffer(counts, np.uint8)
+        return pa.table({"block": part["block"][:1], "places": pa.array([b""], pa.binary()), "counts": pa.array([np.minimum(total, full).astype(np.uint8).tobytes()], pa.binary())})
+
+    schema = "block long, places binary, counts binary"
+    parts = reps.select("text").mapInArrow(count, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    parts = parts.groupBy("block", "part").applyInArrow(add, schema)
+    out = np.zeros((1 << bits) // size * size, np.uint8).reshape(-1, size)
+    for r in parts.groupBy("block").applyInArrow(add, schema).collect():
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint8)
+    return out.ravel()
+
+
+def prefixes(reps: DataFrame, n: int, percent: int, often: np.ndarray, bits: int) -> DataFrame:
+    """(class, n, at, token) of each row of ``reps``: its prefix from rare to frequent, without n-grams that occur in one class alone."""
+    shared = reps.sparkSession.sparkContext.broadcast(often)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in cut_words(batch.column(1), fold=True):
+                h, row = distinct_by_row(*shingles(w, n))
+                size = np.bincount(row, minlength=w.n_rows)
+                count = shared.value[(h & np.uint64((1 << bits) - 1)).astype(np.int64)]
+                by = np.lexsort((h, count, row))
+                place = np.arange(len(h)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+                prefix = size - (-(-percent * size // 100)) + 1
+                take = by[(place < prefix[row]) & (count[by] > 1)]
+                at = place[(place < prefix[row]) & (count[by] > 1)]
+                cls = batch.column(0).slice(w.first, w.n_rows).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(cls[row[take]]), pa.array(size[row[take]].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h[take].view(np.int64))], names=["class", "n", "at", "token"])
+
+    return reps.mapInArrow(scan, "class long, n int, at int, token long")
 
 
 def enough(n1: Column, n2: Column, percent: int) -> Column:
@@ -135,10 +153,9 @@ def enough(n1: Column, n2: Column, percent: int) -> Column:
     return F.ceil((n1 + n2) * percent / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, df: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: classes) whose sets are similar enough. ``sets``: one row per class, with its document's id."""
-    pairs = pairs.distinct()
-    slim = sets.select("class", "n", "ranges")
+def verify(pairs: DataFrame, classes: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: classes, once each) whose sets are similar enough. The text of ``a`` is cut once for all its ``b``, up to WORDS_PER_GROUP n-grams of these."""
+    slim = classes.select("class", "n", "ranges")
     near = pairs.join(slim.toDF("a", "na", "ra"), "a").join(slim.toDF("b", "nb", "rb"), "b")
     near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
 
@@ -148,36 +165,58 @@ def verify(pairs: DataFrame, sets: DataFrame, df: DataFrame, text: str, n: int,
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
             apart = na + nb - 2 * -(-percent * (na + nb) // (100 + percent))  # what two such sets may differ by
             keep = np.flatnonzero(np.abs(ra - rb).sum(axis=1) <= apart)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("a", "b", "nb")], names=["a", "b", "nb"])
+
+    near = scratch_table(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(suffix_filter, "a long, b long, nb int"), "ngram-pairs")
+    load = near.groupBy("a").agg(F.ceil(F.sum("nb") / WORDS_PER_GROUP).cast("int").alias("groups"))
+    right = near.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
+    right = right.join(reps, F.col("b") == F.col("class")).select(F.col("a").alias("of"), F.col("salt").alias("part"), "b", F.col("text").alias("other"))
+    left = load.join(reps, F.col("a") == F.col("class")).select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), "text")
+
+    def compare(one: pa.Table, others: pa.Table) -> pa.Table:
+        one, others, keep = one.combine_chunks(), others.combine_chunks(), []
+        if len(one) and len(others):
+            mine = np.concatenate([distinct_by_row(*shingles(w, n))[0] for w in cut_words(one["text"], fold=True)])
+            for w in cut_words(others["other"], fold=True):
+                h, row = distinct_by_row(*shingles(w, n))
+                size = np.bincount(row, minlength=w.n_rows)
+                at = np.minimum(np.searchsorted(mine, h), len(mine) - 1)
+                both = np.bincount(row[mine[at] == h], minlength=w.n_rows)
+                keep.append(w.first + np.flatnonzero(100 * both >= percent * (size + len(mine) - both)))
+        keep = pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64))
+        return pa.table({"a": others["of"].take(keep), "b": others["b"].take(keep)})
 
-    near = scratch_table(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(suffix_filter, "a long, b long"), "ngram-pairs")
-    needed = scratch_table(near.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(sets.select("class", "id"), "class"), "ngram-needed")
-    (id_,) = fresh(df, "_row")
-    # a few ids are sent to the texts; many, and the texts are dealt to the ids
-    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    texts = df.select(F.monotonically_increasing_id().alias(id_), text).join(wanted, F.col(id_) == F.col("id")).select("class", text)
+    return scratch_table(left.groupBy("a", "salt").cogroup(right.groupBy("of", "part")).applyInArrow(compare, "a long, b long"), "ngram-links")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in cut_words(batch.column(1), fold=True):
-                h, row = distinct_by_row(*shingles(w, n))
-                cuts = np.searchsorted(row, np.arange(w.n_rows + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n_rows), pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["class", "set"])
 
-    full = texts.mapInArrow(whole, "class long, set binary")
+def contract(known: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``known`` (class, component) with the components that ``links`` (a, b: classes) connect made one."""
+    of = links.join(known.toDF("a", "u"), "a").join(known.toDF("b", "v"), "b").select("u", "v").where("u <> v").distinct()
+    parts = connected_components(of, "u", "v").toDF("component", "low")
+    return scratch_table(known.join(parts, "component", "left").select("class", F.coalesce("low", "component").alias("component")), name)
+
+
+def lead_pairs(classes: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+    """(a, b): of the classes with one min-hash, one of each component, against one of the component that has most of them."""
+    here = classes.select("class", F.col("keys")[turn].alias("key")).join(known, "class")
+    some = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by("class", F.xxhash64(F.lit(turn), "class")).alias("b"))
+    first = F.max_by(F.struct(F.col("b").alias("a"), F.col("component").alias("of")), F.struct("k", "component"))
+    lead = some.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), first.alias("lead")).where("parts > 1").select("key", "lead.*")
+    return some.join(lead, "key").where("component <> of").select("a", "b").distinct()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    sized = near.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    return scratch_table(sized.mapInArrow(compare, "a long, b long"), "ngram-links")
+def prefix_pairs(tokens: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different components that meet in a prefix and pass the length and positional filters."""
+    met = tokens.join(known, "class")
+    mixed = met.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    met = scratch_table(met.join(mixed, "token", "left_semi"), "ngram-met")
+    # the smaller set of a pair (of equals, that of the smaller class) needs the shorter prefix
+    x, y = met.alias("x"), met.where(F.col("at") <= F.col("n") - enough(F.col("n"), F.col("n"), percent)).alias("y")
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.class") < F.col("x.class")))
+    follows = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    close = (F.col("y.n") * 100 >= F.col("x.n") * percent) & (follows >= enough(F.col("x.n"), F.col("y.n"), percent))
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & close
+    return x.join(y, on).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
 def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, stable_input: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -186,53 +225,43 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     A row's set: the distinct runs of ``n`` words (between ASCII spaces, A-Z folded); with fewer words, all of them as one.
     Rows are linked where intersection / union is at least ``percent`` / 100; ``component_id`` is the smallest ``key`` that links reach,
     the row's own included, and ``first_in_component`` marks one row of each component. Runs and sets are told apart by 64-bit hashes.
+    Links themselves are not returned: within a component only as many are verified as connect it.
 
     ``stable_input``: ``df`` reads files, and each partition gives the same rows again; else it is written to the shared scratch folder first.
 
     Edge cases: rows without words, or with null text, have size 0, are linked with nothing (not with each other either)
     and are first in a component of their own; repeated rows are linked like others; null keys count only where a component has no
-    other; an empty table gives no rows; existing columns of the three names are replaced.
+    other; an empty table gives no rows; existing columns of the three names are replaced, and any other names are kept.
     """
     df = df.drop("n_shingles", "component_id", "first_in_component")
     if not stable_input:
         df = scratch_table(df, "ngram-input")
     (id_,) = fresh(df, "_row")
     rows = df.withColumn(id_, F.monotonically_increasing_id())
-    sketch = frequency_sketch(df, text, n)
-    described = scratch_table(describe_sets(rows, id_, text, n, percent, sketch), "ngram-sets")
+    described = scratch_table(describe_sets(rows, id_, key, text, n), "ngram-sets")
     some = described.where("class is not null")
-    sets = scratch_table(some.groupBy("class").agg(F.min(F.struct("id", "n", "ranges")).alias("s")).select("class", "s.*"), "ngram-classes")
-    # first, classes against one of those that share a min-hash with them
-    keys = scratch_table(some.select("class", F.posexplode("keys").alias("j", "key")).distinct(), "ngram-keys")
-    known, links, tested = None, None, None
-    for r in range(ROUNDS):
-        here = keys.withColumn("component", F.col("class")) if known is None else keys.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        lead = F.min_by(F.struct(F.col("class").alias("a"), F.col("component").alias("of")), F.struct(F.xxhash64(F.lit(r), "component"), F.xxhash64(F.lit(r), "class")))
-        lead = here.groupBy("j", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead.alias("lead")).where("low <> high").select("j", "key", "lead.a", "lead.of")
-        pairs = here.join(lead, ["j", "key"]).where("component <> of").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        pairs = scratch_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "ngram-leads")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = verify(pairs, sets, df, text, n, percent)
-        links = new if links is None else links.unionByName(new)
-        known = scratch_table(connected_components(links), "ngram-known")
-    # then all that meet in a prefix and are not connected yet
-    places = some.select("class", "n", F.posexplode("tokens").alias("at", "token")).select("token", "class", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
-    shared = places.select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("t"), "class").groupBy("t").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("t")
-    met = places.join(shared, F.col("token").bitwiseAND(F.lit((1 << 40) - 1)) == F.col("t"), "left_semi").distinct()
-    met = met.join(known.withColumnRenamed("node", "class"), "class", "left").select("token", "class", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), F.coalesce("component", "class").alias("component"))
-    met = scratch_table(met, "ngram-met")
-    mixed = met.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("token")
-    met = scratch_table(met.join(mixed, "token", "left_semi"), "ngram-mixed")
-    x, y = met.alias("x"), met.alias("y")
-    need = enough(F.col("x.n"), F.col("y.n"), percent)
-    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & close).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(pairs, sets, df, text, n, percent))
-    parts = connected_components(links)
-    of_class = sets.select("class").join(parts.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"))
-    member = described.select("id", "class", "n").join(rows.select(F.col(id_).alias("id"), F.col(key).alias("key")), "id")
-    least = member.where("class is not null").groupBy("class").agg(F.min("key").alias("key"), F.min("id").alias("first")).join(of_class, "class")
-    named = scratch_table(least.groupBy("component").agg(F.min("key").alias("component_id"), F.min("first").alias("first")).join(of_class, "component").select("class", "component_id", "first"), "ngram-components")
-    result = member.join(named, "class", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("first", "id") == F.col("id")).alias("first_in_component"))
+    classes = scratch_table(some.groupBy("class").agg(F.min(F.struct("id", "n", "ranges", "keys")).alias("s")).select("class", "s.*"), "ngram-classes")
+    (first,) = fresh(rows, "_first")
+    reps = rows.select(F.col(id_).alias("_id"), F.col(text).alias("text")).join(classes.select("class", F.col("id").alias(first)), F.col("_id") == F.col(first)).select("class", "text")
+    reps = scratch_table(reps, "ngram-texts")
+    known = classes.select("class", F.col("class").alias("component"))
+    for turn in range(len(SEEDS)):
+        pairs = scratch_table(lead_pairs(classes, known, turn), "ngram-leads")
+        links = verify(pairs, classes, reps, n, percent)
+        if links.isEmpty():
+            break
+        known = contract(known, links, "ngram-known")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, int(total).bit_length()))
+    tokens = scratch_table(prefixes(reps, n, percent, frequency_table(reps, n, bits), bits), "ngram-prefixes")
+    pairs = scratch_table(prefix_pairs(tokens, known, percent), "ngram-candidates")
+    known = contract(known, verify(pairs, classes, reps, n, percent), "ngram-known")
+    member = described.select("id", "key", "class", "n").join(known, "class", "left")
+    named = scratch_table(member.where("class is not null").groupBy("component").agg(F.min("key").alias("least"), F.min("id").alias("lead")), "ngram-components")
     columns = [c for c in df.columns if keep is None or c in keep]
-    return rows.join(result, rows[id_] == result["id"]).select(*columns, "n_shingles", "component_id", "first_in_component")
+    own = fresh(rows, "_n", "_component", "_lead")
+    result = member.join(named, "component", "left").select(
+        F.col("id").alias(id_), F.col("n").cast("long").alias(own[0]), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("least")).alias(own[1]), (F.coalesce("lead", "id") == F.col("id")).alias(own[2])
+    )
+    out = rows.select(*columns, id_).join(result, id_)
+    return out.select(*columns, F.col(own[0]).alias("n_shingles"), F.col(own[1]).alias("component_id"), F.col(own[2]).alias("first_in_component"))
