@@ -6,13 +6,14 @@ ordered from rare to frequent; of two sets that are similar enough, the first n-
 (what can still follow on both sides) and a suffix filter (how far apart the sets' counts in 64 ranges of hashes are),
 and are then verified once by their whole sets.
 
-Groups of near copies are not expanded into pairs. First, in a few rounds, the classes that have a min-hash in common are verified
-against one of them each, and what is linked is one component from then on; a component takes part in the next round, with another
-min-hash, through one of its classes. The join proper leaves out pairs within a component. So the result is components, not
-all links: a link between two classes that are connected anyway is neither verified nor returned.
-
-Rarity is the n-gram's count over all classes in a table indexed by hash, which grows with the corpus up to 2**MOST_BITS bytes. Any
-order gives the same result; this one keeps frequent n-grams out of the prefixes, and those counted once join nothing.
+Groups of near copies are not expanded into pairs. First, in a few rounds, all classes that meet in an n-gram of their prefixes are verified
+against one of them, and what is linked is one component from then on. That one is the class in whose prefix the n-gram comes first: it has
+fewest rarer n-grams, and so is nearest to what the others have in common. The join proper leaves out pairs within a component and
+those verified before. So the result is components, not all links: a link between two classes that are connected anyway is neither
+verified nor returned.
+
+Rarity is the n-gram's count over all classes in a table indexed by hash, a byte for NGRAMS_PER_COUNT n-grams up to 2**MOST_BITS
+bytes, beyond which counts only tell the more frequent n-grams apart. Any order gives the same result; this one keeps frequent n-grams out of the prefixes.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from kontor.llm.components import connected_components
 from kontor.llm.words import GOLDEN, Words, cut_words, gram_hashes, mix64
 
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 25, 16
+NGRAMS_PER_COUNT = 4
 RANGES = 64
-SEEDS = mix64(np.arange(11, 15, dtype=np.uint64) * GOLDEN)
+STARS = 3
 WORDS_PER_GROUP = 200_000
 
 
@@ -65,7 +67,7 @@ def class_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def describe_sets(df: DataFrame, id_: str, key: str, text: str, n: int) -> DataFrame:
-    """(id, key, class, n, ranges, keys) of each row: its class (null: no words), set size, range counts and min-hashes."""
+    """(id, key, class, n, ranges) of each row: its class (null: no words), set size and range counts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,19 +77,16 @@ def describe_sets(df: DataFrame, id_: str, key: str, text: str, n: int) -> DataF
                 full = np.flatnonzero(size)
                 first = np.concatenate([[0], np.cumsum(size[full])[:-1]]).astype(np.int64) if len(full) else np.zeros(0, np.int64)
                 cls = np.zeros(w.n_rows, np.int64)
-                keys = np.zeros((w.n_rows, len(SEEDS)), np.int64)
                 if len(full):
                     cls[full] = class_ids(h, first)
-                    for j, seed in enumerate(SEEDS):
-                        keys[full, j] = np.minimum.reduceat(mix64(h ^ seed), first).view(np.int64)
                 ranges = np.bincount(row * RANGES + (h >> np.uint64(58)).astype(np.int64), minlength=w.n_rows * RANGES)
                 ranges = np.minimum(ranges, 255).astype(np.uint8).tobytes()
                 part = [batch.column(c).slice(w.first, w.n_rows) for c in (0, 1)]
                 ranges = pa.array([ranges[i * RANGES : (i + 1) * RANGES] for i in range(w.n_rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part, pa.array(cls, mask=size == 0), pa.array(size.astype(np.int32)), ranges, pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "key", "class", "n", "ranges", "keys"])
+                yield pa.RecordBatch.from_arrays([*part, pa.array(cls, mask=size == 0), pa.array(size.astype(np.int32)), ranges], names=["id", "key", "class", "n", "ranges"])
 
     key_type = df.schema[key].dataType
-    fields = [("id", T.LongType()), ("key", key_type), ("class", T.LongType()), ("n", T.IntegerType()), ("ranges", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    fields = [("id", T.LongType()), ("key", key_type), ("class", T.LongType()), ("n", T.IntegerType()), ("ranges", T.BinaryType())]
     return df.select(id_, key, text).mapInArrow(scan, T.StructType([T.StructField(a, b) for a, b in fields]))
 
 
@@ -128,7 +127,7 @@ def frequency_table(reps: DataFrame, n: int, bits: int) -> np.ndarray:
 
 
 def prefixes(reps: DataFrame, n: int, percent: int, often: np.ndarray, bits: int) -> DataFrame:
-    """(class, n, at, token) of each row of ``reps``: its prefix from rare to frequent, without n-grams that occur in one class alone."""
+    """(class, n, at, token) of each row of ``reps``: its prefix from rare to frequent."""
     shared = reps.sparkSession.sparkContext.broadcast(often)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +139,7 @@ def prefixes(reps: DataFrame, n: int, percent: int, often: np.ndarray, bits: int
                 by = np.lexsort((h, count, row))
                 place = np.arange(len(h)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
                 prefix = size - (-(-percent * size // 100)) + 1
-                take = by[(place < prefix[row]) & (count[by] > 1)]
-                at = place[(place < prefix[row]) & (count[by] > 1)]
+                take, at = by[place < prefix[row]], place[place < prefix[row]]
                 cls = batch.column(0).slice(w.first, w.n_rows).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(cls[row[take]]), pa.array(size[row[take]].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h[take].view(np.int64))], names=["class", "n", "at", "token"])
 
@@ -196,26 +194,33 @@ def contract(known: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return scratch_table(known.join(parts, "component", "left").select("class", F.coalesce("low", "component").alias("component")), name)
 
 
-def lead_pairs(classes: DataFrame, known: DataFrame, turn: int) -> DataFrame:
-    """(a, b): of the classes with one min-hash, one of each component, against one of the component that has most of them."""
-    here = classes.select("class", F.col("keys")[turn].alias("key")).join(known, "class")
-    some = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by("class", F.xxhash64(F.lit(turn), "class")).alias("b"))
-    first = F.max_by(F.struct(F.col("b").alias("a"), F.col("component").alias("of")), F.struct("k", "component"))
-    lead = some.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), first.alias("lead")).where("parts > 1").select("key", "lead.*")
-    return some.join(lead, "key").where("component <> of").select("a", "b").distinct()
-
-
-def prefix_pairs(tokens: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes of different components that meet in a prefix and pass the length and positional filters."""
+def meetings(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """``tokens`` with their classes' components, of those tokens that two components have."""
     met = tokens.join(known, "class")
     mixed = met.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    met = scratch_table(met.join(mixed, "token", "left_semi"), "ngram-met")
+    return scratch_table(met.join(mixed, "token", "left_semi"), "ngram-met")
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Length and positional filter of two sets that share a token first at their places ``at``; neither has more than the other's size allows."""
+    nx, ny, ax, ay = (F.col(f"{t}.{c}") for c in ("n", "at") for t in (x, y))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (F.least(nx - ax, ny - ay) >= enough(nx, ny, percent))
+
+
+def star_pairs(met: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): the classes that meet in a token, against one of them: that with the fewest rarer n-grams, as it has least of its own (ties by a seeded hash)."""
+    pick = F.min_by(F.struct("class", "component", "n", "at"), F.struct("at", F.xxhash64(F.lit(turn), "class")))
+    x, y = met.groupBy("token").agg(pick.alias("pick")).select("token", "pick.*").alias("x"), met.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent)
+    return x.join(y, on).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
+def prefix_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all classes of different components that meet in a prefix and pass the length and positional filters."""
     # the smaller set of a pair (of equals, that of the smaller class) needs the shorter prefix
     x, y = met.alias("x"), met.where(F.col("at") <= F.col("n") - enough(F.col("n"), F.col("n"), percent)).alias("y")
     smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.class") < F.col("x.class")))
-    follows = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    close = (F.col("y.n") * 100 >= F.col("x.n") * percent) & (follows >= enough(F.col("x.n"), F.col("y.n"), percent))
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & close
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & may_link("x", "y", percent)
     return x.join(y, on).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
@@ -240,22 +245,26 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     rows = df.withColumn(id_, F.monotonically_increasing_id())
     described = scratch_table(describe_sets(rows, id_, key, text, n), "ngram-sets")
     some = described.where("class is not null")
-    classes = scratch_table(some.groupBy("class").agg(F.min(F.struct("id", "n", "ranges", "keys")).alias("s")).select("class", "s.*"), "ngram-classes")
+    classes = scratch_table(some.groupBy("class").agg(F.min(F.struct("id", "n", "ranges")).alias("s")).select("class", "s.*"), "ngram-classes")
     (first,) = fresh(rows, "_first")
     reps = rows.select(F.col(id_).alias("_id"), F.col(text).alias("text")).join(classes.select("class", F.col("id").alias(first)), F.col("_id") == F.col(first)).select("class", "text")
     reps = scratch_table(reps, "ngram-texts")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (int(total) // NGRAMS_PER_COUNT).bit_length()))
+    tokens = scratch_table(prefixes(reps, n, percent, frequency_table(reps, n, bits), bits), "ngram-prefixes")
     known = classes.select("class", F.col("class").alias("component"))
-    for turn in range(len(SEEDS)):
-        pairs = scratch_table(lead_pairs(classes, known, turn), "ngram-leads")
+    both = [f("a", "b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
+    met, tested = meetings(tokens, known), None
+    for turn in range(STARS):
+        pairs = scratch_table(star_pairs(met, turn, percent), "ngram-stars")
+        tested = pairs.select(*both) if tested is None else tested.unionByName(pairs.select(*both))
         links = verify(pairs, classes, reps, n, percent)
         if links.isEmpty():
             break
         known = contract(known, links, "ngram-known")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, int(total).bit_length()))
-    tokens = scratch_table(prefixes(reps, n, percent, frequency_table(reps, n, bits), bits), "ngram-prefixes")
-    pairs = scratch_table(prefix_pairs(tokens, known, percent), "ngram-candidates")
-    known = contract(known, verify(pairs, classes, reps, n, percent), "ngram-known")
+        met = meetings(met.drop("component"), known)
+    pairs = prefix_pairs(met, percent).select(*both).join(tested, ["a", "b"], "left_anti")
+    known = contract(known, verify(scratch_table(pairs, "ngram-candidates"), classes, reps, n, percent), "ngram-known")
     member = described.select("id", "key", "class", "n").join(known, "class", "left")
     named = scratch_table(member.where("class is not null").groupBy("component").agg(F.min("key").alias("least"), F.min("id").alias("lead")), "ngram-components")
     columns = [c for c in df.columns if keep is None or c in keep]
