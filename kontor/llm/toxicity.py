@@ -1,10 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Both classes have an interpolated model of words and word pairs, counted once a document, over one shared lowest order:
-the continuation counts of both classes together. An expression keeps counts of its own class only where it is frequent
-enough, its division between the classes is no chance (likelihood-ratio test), and the smoothed probabilities differ by ``min_ratio`` at least; all others, rare ones above all, are
-left to the shared counts, which are the same for both classes and cancel in the comparison. What remains of the two
-log-likelihoods' difference, per word of the text, is calibrated by a logistic curve on labelled documents that were not counted.
+Both classes have an interpolated model of four levels, counted once a document: a word after the one before it, the word, its first
+7 bytes, its first 4 bytes. Each level is discounted and backs off to the next; below the last there are the shared
+counts of both classes, in whose units all probabilities are held. Rare expressions are smoothed through shared counts twice: by the discount,
+and because a class' own estimate counts only k / (k + ``strength``), k being the documents of both classes together.
+
+The two log-likelihoods are compared per word. Of each word's log ratio only what exceeds ``margin`` on either side
+counts: neutral words scatter around 0, and over a long text their sum would drown the few that tell. The difference, divided by the number of words, is
+calibrated by a logistic curve over its inverse hyperbolic sine (logarithmic far out, linear near 0) on labelled documents that were not counted.
 """
 
 from __future__ import annotations
@@ -18,56 +21,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kontor.llm.common import fresh
+from kontor.llm.common import fresh, scratch_table
 from kontor.llm.words import ALNUM_OR_HIGH, BASE, Words, cut_words, mix64
 
 FILTER_BITS = 20
+LEVELS = 4  # first 4 bytes, first 7 bytes, word, pair
+BEGINNINGS = (4, 7)
+
+
+def expressions(w: Words) -> list[np.ndarray]:
+    """Hash of each word's expression at each level, 0 where it has none."""
+    before = np.zeros(len(w.hash), np.uint64)
+    before[1:] = np.where(w.row[1:] == w.row[:-1], w.hash[:-1], np.uint64(0))
+    return [*(w.beginnings(n) for n in BEGINNINGS), w.hash, mix64(before * np.uint64(BASE) + w.hash + np.uint64(1))]
 
 
 @dataclass
 class ToxicityModel:
-    """``keys``: sorted hashes of words and word pairs; ``gain``: their log-probability ratios; score = logistic(slope * z + offset), z kept within ``limit``."""
+    """``keys``: sorted hashes of expressions; ``gain``: their log ratios beyond the margin; score = logistic(slope * asinh(z / scale) + offset)."""
 
     keys: np.ndarray
     gain: np.ndarray
     slope: float
     offset: float
-    limit: float = 1.0
+    scale: float = 1.0
 
     def __post_init__(self) -> None:
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
-    def gains(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ratio of each expression, and whether the model has it."""
-        out, found = np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+    def replace(self, out: np.ndarray, hashes: np.ndarray) -> None:
+        """``out`` with the gains of those expressions that the model has."""
         maybe = np.flatnonzero(self.seen[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
         if len(maybe):
             at = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
             same = self.keys[at] == hashes[maybe]
-            found[maybe[same]] = True
             out[maybe[same]] = self.gain[at[same]]
-        return out, found
 
     def difference(self, texts: pa.Array) -> np.ndarray:
         """z of each text: the log-likelihoods' difference per word; 0 without words."""
         z = np.zeros(len(texts))
         for w in cut_words(texts, ALNUM_OR_HIGH, fold=True):
-            gain, _ = self.gains(w.hash)
-            pair, has_pair = self.gains(pair_hashes(w))
-            gain = np.where(has_pair, pair, gain)
+            gain = np.zeros(len(w.hash))
+            for hashes in expressions(w):  # the longest that is known decides
+                self.replace(gain, hashes)
             n = np.bincount(w.row, minlength=w.n_rows)
             z[w.first : w.first + w.n_rows] = np.bincount(w.row, weights=gain, minlength=w.n_rows) / np.maximum(1, n)
         return z
 
 
-def pair_hashes(w: Words) -> np.ndarray:
-    """Hash of each word with the one before it in its row (0 before the first)."""
-    before = np.zeros(len(w.hash), np.uint64)
-    before[1:] = np.where(w.row[1:] == w.row[:-1], w.hash[:-1], np.uint64(0))
-    return mix64(before * np.uint64(BASE) + w.hash + np.uint64(1))
-
-
 def fit_logistic(z: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Slope and offset by Newton steps, with a small penalty on the slope of the scaled z."""
     scale = float(np.std(z)) or 1.0
@@ -85,76 +87,83 @@ def fit_logistic(z: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[flo
     return float(b[0] / scale), float(b[1])
 
 
-COUNTS = T.StructType([T.StructField(n, t) for n, t in (("pair", T.BooleanType()), ("key", T.LongType()), ("before", T.LongType()), ("word", T.LongType()), ("toxic", T.LongType()), ("other", T.LongType()))])
+COUNTS = T.StructType([T.StructField(n, t) for n, t in (("level", T.IntegerType()), ("key", T.LongType()), ("parent", T.LongType()), ("before", T.LongType()), ("toxic", T.LongType()), ("other", T.LongType()))])
 
 
 def count_expressions(sample: DataFrame) -> DataFrame:
-    """In how many toxic and other documents of ``sample`` (text, toxic) each word and word pair occurs."""
+    """In how many toxic and other documents of ``sample`` (text, toxic) each expression occurs; ``parent``: what it backs off to (0: nothing), ``before``: a pair's first word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for w in cut_words(batch.column(0), ALNUM_OR_HIGH, fold=True):
+                levels = expressions(w)
                 before = np.zeros(len(w.hash), np.uint64)
                 before[1:] = np.where(w.row[1:] == w.row[:-1], w.hash[:-1], np.uint64(0))
-                for pair, key in ((False, w.hash), (True, pair_hashes(w))):
+                none, parent = np.zeros(len(w.hash), np.uint64), np.zeros(len(w.hash), np.uint64)
+                for level, key in enumerate(levels):
                     order = np.lexsort((key, w.row))
+                    order = order[key[order] != 0]
                     once = order[np.concatenate([[True], (key[order[1:]] != key[order[:-1]]) | (w.row[order[1:]] != w.row[order[:-1]])])[: len(order)]]
                     values, first, which = np.unique(key[once], return_index=True, return_inverse=True)
                     is_toxic = toxic[w.first + w.row[once]]
                     n, n_toxic = np.bincount(which, minlength=len(values)), np.bincount(which, weights=is_toxic, minlength=len(values)).astype(np.int64)
                     at = once[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), pair)), *(pa.array(x.view(np.int64)) for x in (values, before[at], w.hash[at])), pa.array(n_toxic), pa.array(n - n_toxic)], names=COUNTS.names)
+                    longs = (values, parent[at], (before if level == LEVELS - 1 else none)[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), level, np.int32)), *(pa.array(x.view(np.int64)) for x in longs), pa.array(n_toxic), pa.array(n - n_toxic)], names=COUNTS.names)
+                    parent = np.where(key != 0, key, parent)
 
     rows = sample.select("text", F.col("toxic").cast("boolean")).mapInArrow(count, COUNTS)
-    return rows.groupBy("pair", "key", "before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return rows.groupBy("level", "key", "parent", "before").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def expression_gains(counts: DataFrame, *, min_count: int, min_ratio: float, min_evidence: float) -> DataFrame:
-    """(key, gain) of the expressions that keep counts of their own class."""
-    totals = counts.groupBy("pair").agg(
+def expression_gains(counts: DataFrame, *, strength: float, margin: float) -> DataFrame:
+    """(key, gain) of the expressions whose gain is not that of what they back off to."""
+    totals = counts.groupBy("level").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.count(F.when(F.col("toxic") > 0, 1)).alias("toxic_kinds"), F.count(F.when(F.col("other") > 0, 1)).alias("other_kinds"),
-        F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("toxic") + F.col("other") == 1, 1)).alias("ones"), F.count(F.when(F.col("toxic") + F.col("other") == 2, 1)).alias("twos"),
+        F.count(F.when(F.col("toxic") + F.col("other") == 1, 1)).alias("ones"), F.count(F.when(F.col("toxic") + F.col("other") == 2, 1)).alias("twos"),
     )
-    t = {r["pair"]: r for r in totals.collect()}
-    if False not in t or not t[False]["toxic"] or not t[False]["other"]:
+    t = {r["level"]: r for r in totals.collect()}
+    known = None
+    for level, r in sorted(t.items()):
+        d = r["ones"] / max(1, r["ones"] + 2 * r["twos"]) if r["ones"] else 0.5
+        rows = counts.where(F.col("level") == level)
+        if level < LEVELS - 1:
+            rows = rows.withColumns({f"{s}{name}": F.lit(float(r[f"{s}{of}"])) for s in ("toxic", "other") for name, of in (("_total", ""), ("_kinds", "_kinds"))})
+        else:
+            context = rows.groupBy("before").agg(*[F.sum(s).cast("double").alias(f"{s}_total") for s in ("toxic", "other")], *[F.count(F.when(F.col(s) > 0, 1)).alias(f"{s}_kinds") for s in ("toxic", "other")])
+            rows = rows.join(context, "before")
+        if known is None:
+            rows = rows.withColumns({"up_toxic": F.lit(1.0), "up_other": F.lit(1.0)})
+        else:
+            up = known.select(F.col("key").alias("parent"), F.col("p_toxic").alias("up_toxic"), F.col("p_other").alias("up_other"))
+            rows = rows.join(up, "parent", "left").na.fill(1.0, ["up_toxic", "up_other"])
+        k = F.col("toxic") + F.col("other")
+        shared = k / (F.col("toxic_total") + F.col("other_total"))
+
+        def smoothed(side: str, k: Column = k, shared: Column = shared, d: float = d) -> Column:
+            total, up = F.col(f"{side}_total"), F.col(f"up_{side}")
+            own = F.greatest(F.col(side) - d, F.lit(0.0)) / total / shared + d * F.col(f"{side}_kinds") / total * up
+            return F.when(total > 0, k / (k + strength) * own + strength / (k + strength) * up).otherwise(up)
+
+        rows = rows.select("level", "key", "up_toxic", "up_other", smoothed("toxic").alias("p_toxic"), smoothed("other").alias("p_other"))
+        known = rows if known is None else known.unionByName(rows)
+    if known is None or not t[2]["toxic"] or not t[2]["other"]:
         return counts.select("key", F.lit(0.0).alias("gain")).limit(0)
-    discount = {p: r["ones"] / max(1, r["ones"] + 2 * r["twos"]) if r["ones"] else 0.5 for p, r in t.items()}
-    words, pairs, d, dp = counts.where(~F.col("pair")), counts.where("pair"), discount[False], discount[True]
-    # the shared lowest order: after how many different words a word comes, in both classes together
-    n_pairs, n_kinds = t[True]["kinds"], t[False]["kinds"]
-    follows = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("follows"))
-    shared = (F.greatest(F.col("follows") - d, F.lit(0.0)) + d * n_kinds / (n_kinds + 1)) / n_pairs
-
-    def one(side: str) -> Column:
-        total = t[False][side]
-        return F.greatest(F.col(side) - d, F.lit(0.0)) / total + d * t[False][f"{side}_kinds"] / total * shared
-
-    both = F.col("toxic") + F.col("other")
-    share = t[False]["toxic"] / (t[False]["toxic"] + t[False]["other"])
-    part = [F.when(F.col(side) > 0, F.col(side) * F.log(F.col(side) / (both * p))).otherwise(0.0) for side, p in (("toxic", share), ("other", 1 - share))]
-    frequent = (both >= min_count) & (2 * (part[0] + part[1]) >= min_evidence)
-    single = words.join(follows, "word").select("word", "key", "toxic", "other", one("toxic").alias("p_toxic"), one("other").alias("p_other"))
-    ratio = F.log(F.col("p_toxic") / F.col("p_other"))
-    apart = F.abs(F.col("gain")) >= float(np.log(min_ratio))
-    out = single.where(frequent).select("key", ratio.alias("gain")).where(apart)
-    context = pairs.groupBy("before").agg(*[F.sum(s).alias(f"{s}_total") for s in ("toxic", "other")], *[F.count(F.when(F.col(s) > 0, 1)).alias(f"{s}_after") for s in ("toxic", "other")])
-
-    def two(side: str) -> Column:
-        total = F.col(f"{side}_total")
-        own = F.greatest(F.col(side) - dp, F.lit(0.0)) / total + dp * F.col(f"{side}_after") / total * F.col(f"p_{side}")
-        return F.when(total > 0, own).otherwise(F.col(f"p_{side}"))
-
-    double = pairs.where(frequent).join(single.select("word", "p_toxic", "p_other"), "word").join(context, "before")
-    return out.unionByName(double.select("key", F.log(two("toxic") / two("other")).alias("gain")).where(apart))
-
-
-def fit_toxicity(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", max_documents: int = 4000, min_count: int = 5, min_ratio: float = 3.0, min_evidence: float = 15.0, fold: int = 0) -> ToxicityModel:
+
+    def beyond(toxic: str, other: str) -> Column:
+        ratio = F.log(F.col(toxic) / F.col(other))
+        return F.signum(ratio) * F.greatest(F.abs(ratio) - margin, F.lit(0.0))
+
+    return known.select("key", beyond("p_toxic", "p_other").alias("gain"), beyond("up_toxic", "up_other").alias("up")).where("gain <> up").select("key", "gain")
+
+
+def fit_toxicity(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", max_documents: int = 4000, strength: float = 10.0, margin: float = 1.5, fold: int = 0) -> ToxicityModel:
     """A model from ``labels`` (``key``, ``toxic`` 0 or 1; null: none) over the texts of ``df``.
 
     Learns from a bounded sample: of each class at most ``max_documents`` labelled documents to count expressions, and at most
     twice as many others, whatever their class, to calibrate; documents are dealt to both uses by a hash of their key. One
-    row per key is taken. The sample is broadcast; of the expressions only those that keep class counts come to the driver.
+    row per key is taken. The sample is broadcast; of the expressions only those whose gain differs from what they back off to come to the driver.
 
     Rows of ``labels`` without a document are left out. Without documents of both classes there is no evidence, and every
     score is the share of toxic labels (0 without any).
@@ -168,7 +177,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     rows = df.select(key, text).join(F.broadcast(some), key).groupBy(key).agg(F.min(F.struct(F.col(text).alias("text"), "toxic", "calibrate")).alias("r")).select("r.*")
     rows = rows.persist()
     try:
-        gains = expression_gains(count_expressions(rows.where("not calibrate")), min_count=min_count, min_ratio=min_ratio, min_evidence=min_evidence).toPandas()
+        gains = expression_gains(scratch_table(count_expressions(rows.where("not calibrate")), "toxicity-counts"), strength=strength, margin=margin).toPandas()
         order = np.argsort(gains["key"].to_numpy(np.int64).view(np.uint64))
         model = ToxicityModel(gains["key"].to_numpy(np.int64).view(np.uint64)[order], gains["gain"].to_numpy(float)[order], 0.0, -500.0)
         seen = add_difference(rows.where("calibrate"), model, "text", "z").select("z", "toxic").toPandas()
@@ -177,9 +186,8 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     y = seen["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y) and len(gains):
         z = seen["z"].to_numpy(float)
-        high = z[(y > 0) & (z > 0)]
-        model.limit = float(np.median(high)) if len(high) else 1.0
-        model.slope, model.offset = fit_logistic(np.clip(z, -model.limit, model.limit), y)
+        model.scale = max(1e-4, float(np.quantile(np.abs(z[y == 0]), 0.95)))
+        model.slope, model.offset = fit_logistic(np.arcsinh(z / model.scale), y)
     elif len(y) and y.sum():
         model.offset = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     return model
@@ -206,8 +214,6 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, *, text: str = "text", t
     """
     (z,) = fresh(df, "_z")
     out = add_difference(df.drop("score", "predicted"), model, text, z)
-    inner = F.least(F.greatest(F.col(z), F.lit(-model.limit)), F.lit(model.limit))
-    # beyond the limit the score goes on rising, by little, so that it still orders
-    exponent = F.lit(-model.slope) * (inner + (F.col(z) - inner) * 0.01) - model.offset
+    exponent = F.lit(-model.slope) * F.asinh(F.col(z) / F.lit(model.scale)) - model.offset
     out = out.withColumn("score", 1 / (1 + F.exp(F.least(F.greatest(exponent, F.lit(-500.0)), F.lit(500.0)))))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(z)

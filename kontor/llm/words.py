@@ -67,7 +67,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The words of rows ``first`` to ``first + n_rows - 1``: byte places in ``data``, row (from 0) and hash of each; ``at``: where rows begin."""
+    """The words of rows ``first`` to ``first + n_rows - 1``: byte places in ``data``, row (from 0) and hash of each; ``at``: where rows begin; ``total``: running sum of the bytes' values."""
 
     first: int
     n_rows: int
@@ -77,6 +77,7 @@ class Words:
     end: np.ndarray
     row: np.ndarray
     hash: np.ndarray
+    total: np.ndarray
 
     def rows(self) -> np.ndarray:
         """Where each row's words begin (one more at the end)."""
@@ -86,6 +87,13 @@ class Words:
         """Each word's place in its row."""
         return np.arange(len(self.row)) - self.rows()[self.row]
 
+    def beginnings(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word, 0 for words that are not longer."""
+        _, down = powers(len(self.data) + 1)
+        stop = np.minimum(self.start + size, self.end)
+        hashed = mix64((self.total[stop] - self.total[self.start]) * down[self.start] + np.uint64(size) * np.uint64(BASE))
+        return np.where(self.end - self.start > size, hashed, np.uint64(0))
+
 
 def cut_words(texts: pa.Array, alphabet: np.ndarray = NOT_SPACE, *, fold: bool = False, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
     """Words of ``texts``, a few rows at a time (whole rows, about ``chunk_bytes``), so that the arrays stay small."""
@@ -110,7 +118,7 @@ def cut_words(texts: pa.Array, alphabet: np.ndarray = NOT_SPACE, *, fold: bool =
         np.cumsum(value[part] * up[: len(part)], out=total[1:])
         hashed = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * GOLDEN)
         row = np.searchsorted(at, start, side="right") - 1
-        yield Words(low, high - low, part, at, start, end, row, hashed)
+        yield Words(low, high - low, part, at, start, end, row, hashed, total)
         low = high
 
 
