@@ -1,98 +1,88 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel networks in built-in functions.
 
-Found values are validated (checksums, ranges, calendar), then permuted within their own format under a key: each character
-stays in its alphabet (digit, hex digit, letter), addresses stay addresses and dates dates, and check digits are made
+Found values are validated (checksums, ranges, calendar), then permuted within their own format under a key: digits stay
+digits in their places, letters letters, addresses stay addresses and dates dates, and check digits are made
 anew. The permutation is a bijection on each format, so that equal values have equal pseudonyms in all
 documents, and different ones different.
+
+Numbers are permuted as two halves, each in turn moved by a keyed hash of the other; every round is a column of its own, so that it is compiled
+and computed once. Each distinct value is permuted once, and joined back to where it stands.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kontor.llm.common import fresh
+from kontor.llm.common import fresh, scratch_table
 
-# Alphabets by class letter; other class letters leave a character as it is.
-ALPHABETS = {"9": "0123456789", "2": "23456789", "h": "0123456789abcdef", "H": "0123456789ABCDEF", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 ROUNDS = 8
 
 # What is looked for, each with the test that a match must pass (below).
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
-SECRET = r"(?<![A-Za-z0-9])(?:token|secret|password|api[_-]?key|TOKEN|SECRET|PASSWORD|API[_-]?KEY)\s{0,3}[=:]\s{0,3}[\"']?(?:[0-9a-f]{16,128}|[0-9A-F]{16,128})(?![0-9A-Za-z])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+SECRET = r"(?<![A-Za-z0-9])(?:token|secret|password|api[_-]?key|TOKEN|SECRET|PASSWORD|API[_-]?KEY)\s{0,3}[=:]\s{0,3}[\"']?(?:[0-9a-f]{16,}+|[0-9A-F]{16,}+)(?![0-9A-Za-z])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9+])\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 ISO_DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])"
 DOT_DATE = r"(?<![0-9.])[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, SECRET, ADDRESS, PHONE, SOCIAL, ISO_DATE, DOT_DATE, CARD))
+SOME = "[0-9@=:]"  # no match is without one of these
+PHONE_PARTS = r"^(\+1[ .-]?\(?)([0-9]{3})(\)?[ .-]?)([0-9]{3})([ .-]?)([0-9]{4})$"
+CARD_DIGITS = 19
 
 
-def keystream(key: str, kind: str, i: Column, text: Column, place: Column) -> Column:
-    """A pseudo-random number below 2**28 for one character: 7 hex digits of a keyed hash of the round, the other half and the place."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), place.cast("string"), text), 256), 1, 7), 16, 10).cast("long")
-
-
-def feistel_text(value: Column, classes: Column, key: str, kind: str) -> Column:
-    """``value`` with its characters moved within the alphabets that ``classes`` names place by place.
-
-    The halves take turns: each character of one is shifted by a keyed hash of the other. Places keep their class, so the
-    result has the format of the value.
-    """
-    half = F.floor(F.length(value) / 2).cast("int")
-
-    def shifted(part: Column, part_classes: Column, i: Column, other: Column) -> Column:
-        def one(j: Column) -> Column:
-            c, kind_of = F.substring(part, j, F.lit(1)), F.substring(part_classes, j, F.lit(1))
-            out = c
-            for name, alphabet in ALPHABETS.items():
-                at = F.instr(F.lit(alphabet), c)
-                moved = F.substring(F.lit(alphabet), ((at - 1 + keystream(key, kind, i, other, j)) % len(alphabet) + 1).cast("int"), F.lit(1))
-                out = F.when((kind_of == name) & (at > 0), moved).otherwise(out)
-            return out
-
-        return F.when(F.length(part) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), one), "")).otherwise(F.lit(""))
-
-    left, right = F.substring(value, F.lit(1), half), F.substring(value, half + 1, F.length(value) - half)
-    c_left, c_right = F.substring(classes, F.lit(1), half), F.substring(classes, half + 1, F.length(value) - half)
-
-    def turn(acc: Column, i: Column) -> Column:
-        return F.struct(
-            F.when(i % 2 == 0, shifted(acc["a"], c_left, i, acc["b"])).otherwise(acc["a"]).alias("a"),
-            F.when(i % 2 == 1, shifted(acc["b"], c_right, i, acc["a"])).otherwise(acc["b"]).alias("b"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.alias("a"), right.alias("b")), turn, lambda acc: F.concat(acc["a"], acc["b"]))
-
+def round_hash(key: str, kind: str, i: int, *parts: Column) -> Column:
+    """64 hex digits of a keyed hash of the round and ``parts``."""
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(str(i)), *[p.cast("string") for p in parts]), 256)
 
-def feistel_number(x: Column, a: int, b: int, size: int, key: str, kind: str) -> Column:
-    """A keyed permutation of 0 to ``size - 1`` (``size`` near ``a * b``): a numeric Feistel network, walked on while it leaves the range."""
 
-    def turn(acc: Column, i: Column) -> Column:
-        high, low = F.floor(acc / b).cast("long"), acc % b
-        new_high = (high + keystream(key, kind, i, low.cast("string"), F.lit(0))) % a
-        new_low = (low + keystream(key, kind, i, high.cast("string"), F.lit(1))) % b
-        return F.when(i % 2 == 0, new_high * b + low).otherwise(high * b + new_low)
+def feistel_number(df: DataFrame, left: Column, right: Column, left_size: Column, right_size: Column, key: str, kind: str) -> DataFrame:
+    """``df`` plus ``left`` and ``right``: the pair (below the sizes) permuted; sizes must not depend on what is permuted."""
+    df = df.withColumns({"left": left.cast("long"), "right": right.cast("long"), "left_size": left_size.cast("long"), "right_size": right_size.cast("long")})
+    for i in range(ROUNDS):
+        mine, other = ("left", "right") if i % 2 == 0 else ("right", "left")
+        move = F.conv(F.substring(round_hash(key, kind, i, F.col("left_size"), F.col("right_size"), F.col(other)), 1, 14), 16, 10).cast("long")  # below 2**56
+        df = df.withColumn(mine, F.pmod(F.col(mine) + move, F.col(f"{mine}_size")))
+    return df
 
-    def once(v: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), v, turn)
 
-    if size == a * b:
-        return once(x)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), once(x), lambda v, _: F.when(v >= size, once(v)).otherwise(v))
+def feistel_text(df: DataFrame, value: Column, key: str, kind: str, *, hexadecimal: bool) -> DataFrame:
+    """``df`` plus ``moved``: ``value`` with each digit and letter moved within its alphabet (of lower-case hexadecimal numbers, that of all their digits)."""
+    half = F.floor(F.length(value) / 2).cast("int")
+    df = df.withColumns({"left": F.substring(value, F.lit(1), half), "right": F.substring(value, half + 1, F.length(value) - half)})
+    hexes = "0123456789abcdef"
+
+    def shift(c: Column, h: Column) -> Column:
+        by, code, out = F.conv(h, 16, 10).cast("int"), F.ascii(c), c
+        if hexadecimal:
+            return F.substring(F.lit(hexes), F.pmod(F.instr(F.lit(hexes), c) - 1 + by, F.lit(16)) + 1, F.lit(1))
+        for first, size in ((48, 10), (65, 26), (97, 26)):
+            out = F.when((code >= first) & (code < first + size), F.char(first + F.pmod(code - first + by, F.lit(size)))).otherwise(out)
+        return out
+
+    for i in range(ROUNDS):
+        mine, other = (F.col(c) for c in (("left", "right") if i % 2 == 0 else ("right", "left")))
+        n = F.length(mine)
+        stream = F.repeat(F.concat(*[round_hash(key, kind, i, F.lit(j), other) for j in range(4)]), F.ceil(n / 64).cast("int"))  # four hex digits a character
+        moves = F.slice(F.regexp_extract_all(stream, F.lit("[0-9a-f]{4}"), 0), F.lit(1), n)
+        df = df.withColumn("left" if i % 2 == 0 else "right", F.when(n > 0, F.array_join(F.zip_with(F.split(mine, ""), moves, shift), "")).otherwise(mine))
+    return df.withColumn("moved", F.concat("left", "right"))
 
 
 def luhn_sum(digits: Column) -> Column:
     """The checksum of a number whose last digit is the check digit: every second digit from the right doubled, and nines cast out."""
-    n = F.length(digits)
-
-    def one(j: Column) -> Column:
-        d = F.substring(digits, j, F.lit(1)).cast("int")
-        doubled = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-        return F.when((n - j) % 2 == 1, doubled).otherwise(d)
-
-    return F.aggregate(F.transform(F.sequence(F.lit(1), n), one), F.lit(0), lambda s, x: s + x)
+    back = F.reverse(digits)
+    total = F.lit(0)
+    for j in range(CARD_DIGITS):
+        d = F.coalesce(F.nullif(F.substring(back, j + 1, 1), F.lit("")).cast("int"), F.lit(0))
+        total = total + (d if j % 2 == 0 else F.element_at(F.array(*[F.lit(2 * x - 9 if x > 4 else 2 * x) for x in range(10)]), d + 1))
+    return total
 
 
 def dress(template: Column, digits: Column) -> Column:
@@ -103,91 +93,117 @@ def dress(template: Column, digits: Column) -> Column:
         c = F.substring(template, j, F.lit(1))
         return F.when(c.rlike("[0-9]"), F.substring(digits, before, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(template)), one), "")
+    return F.when(template.rlike("^[0-9]+$"), digits).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(template)), one), ""))
 
 
-def as_classes(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9")
+KINDS = ("email", "secret", "address", "phone", "social", "date", "card")
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """struct(kind, text): the kind of a match and what stands for it; kind null and the match itself if it is not valid."""
+def value_kind(m: Column) -> Column:
+    """The kind of a match, null if it is not valid."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    cases: list[tuple[str, Column, Column]] = []
-
-    local, domain = F.substring_index(m, "@", 1), F.regexp_extract(m, "(@.*)$", 1)
-    cases.append(("email", m.contains("@"), F.concat(feistel_text(local, as_classes(local), key, "email"), domain)))
+    octets = [F.substring_index(F.substring_index(m, ".", i + 1), ".", -1).cast("int") for i in range(4)]
+    in_range = reduce(lambda a, b: a & b, [o <= 255 for o in octets])
+    iso = F.try_to_timestamp(F.when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), m), F.lit("yyyy-MM-dd")).isNotNull()
+    dotted = F.try_to_timestamp(F.when(m.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), m), F.lit("dd.MM.yyyy")).isNotNull()
+    return (
+        F.when(m.contains("@"), "email")
+        .when(m.rlike("[=:]"), "secret")
+        .when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.when(in_range, "address"))
+        .when(m.startswith("+"), "phone")
+        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "social")
+        .when(iso | dotted, "date")
+        .when(m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$"), "card")
+    )
+
+
+def pseudonyms(values: DataFrame, key: str) -> DataFrame:
+    """(value, new) of ``values`` (value, kind): each permuted as its kind asks."""
+    m, digits, out = F.col("value"), F.regexp_replace("value", "[^0-9]", ""), []
+    of = {k: values.where(F.col("kind") == k).select("value") for k in KINDS}
+
+    local = F.substring_index(m, "@", 1)
+    rest = F.substring(m, F.length(local) + 1, F.length(m))
+    out.append(feistel_text(of["email"], local, key, "email", hexadecimal=False).select("value", F.concat("moved", rest).alias("new")))
 
     hexed, head = F.regexp_extract(m, "([0-9A-Fa-f]+)$", 1), F.regexp_extract(m, "^(.*?)[0-9A-Fa-f]+$", 1)
-    hex_classes = F.when(hexed.rlike("[A-F]"), F.repeat(F.lit("H"), F.length(hexed).cast("int"))).otherwise(F.repeat(F.lit("h"), F.length(hexed).cast("int")))
-    cases.append(("secret", m.rlike("[=:]"), F.concat(head, feistel_text(hexed, hex_classes, key, "secret"))))
-
-    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    number = (octets[0] * 256 + octets[1]).cast("long") * 65536 + octets[2] * 256 + octets[3]
-    moved = feistel_number(number, 65536, 65536, 1 << 32, key, "address")
-    quad = F.array_join(F.transform(F.array(*[F.lit(s) for s in (24, 16, 8, 0)]), lambda s: (F.floor(moved / F.pow(F.lit(2.0), s)).cast("long") % 256).cast("string")), ".")
-    is_quad = m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
-    cases.append(("address", is_quad & F.forall(F.when(is_quad, octets), lambda x: x <= 255), quad))
+    secret = of["secret"].withColumns({"head": head, "hexed": hexed})
+    secret = feistel_text(secret, F.lower("hexed"), key, "secret", hexadecimal=True)
+    out.append(secret.select("value", F.concat("head", F.when(F.col("hexed") == F.lower("hexed"), F.col("moved")).otherwise(F.upper("moved"))).alias("new")))
+
+    octets = [F.substring_index(F.substring_index(m, ".", i + 1), ".", -1).cast("long") for i in range(4)]
+    quad = feistel_number(of["address"], octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536), F.lit(65536), key, "address")
+    parts = [x for c in ("left", "right") for x in (F.shiftright(c, 8), F.col(c) % 256)]
+    out.append(quad.select("value", F.concat_ws(".", *[p.cast("string") for p in parts]).alias("new")))
+
+    # area and exchange keep whether they begin with 2 to 9, as valid ones do
+    p = [F.regexp_extract(m, PHONE_PARTS, i) for i in range(1, 7)]
+    size = lambda part: F.when(part >= "2", 800).otherwise(200)
+    start = lambda part: F.when(part >= "2", 200).otherwise(0)
+    area, exchange = p[1].cast("long") - start(p[1]), p[3].cast("long") - start(p[3])
+    phone = feistel_number(of["phone"], area * size(p[3]) + exchange, p[5], size(p[1]) * size(p[3]), F.lit(10000), key, "phone")
+    new_area, new_exchange = F.floor(F.col("left") / size(p[3])) + start(p[1]), F.col("left") % size(p[3]) + start(p[3])
+    pad = lambda c, n: F.lpad(c.cast("long").cast("string"), n, "0")
+    out.append(phone.select("value", F.concat(p[0], pad(new_area, 3), p[2], pad(new_exchange, 3), p[4], pad(F.col("right"), 4)).alias("new")))
 
-    phone_classes = F.regexp_replace(F.regexp_replace(m, "[0-9]", "9"), r"^\+9([^9]*)9(99[^9]*)9", "\\+1$12$22")
-    cases.append(("phone", m.startswith("+"), feistel_text(m, F.regexp_replace(phone_classes, r"^\+1", "++"), key, "phone")))
-
-    social = m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
     area, group, serial = (F.substring(digits, a, n).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
     area = F.when(area > 666, area - 2).otherwise(area - 1)  # 898 areas: 1 to 899 without 666
-    value = (area * 99 + group - 1) * 9999 + serial - 1
-    moved = feistel_number(value, 898, 99 * 9999, 898 * 99 * 9999, key, "social")
-    new_area = F.floor(moved / (99 * 9999)).cast("long")
-    new_area = F.when(new_area >= 665, new_area + 2).otherwise(new_area + 1)
-    text = F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((F.floor(moved / 9999).cast("long") % 99 + 1).cast("string"), 2, "0"), F.lpad((moved % 9999 + 1).cast("string"), 4, "0"))
-    cases.append(("social", social, text))
-
-    first = F.to_date(F.lit("1900-01-01"))
-    n_days = 73049  # to 2099-12-31
-    for shape, pattern in (("^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd"), (r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$", "dd.MM.yyyy")):
-        day = F.try_to_timestamp(F.when(m.rlike(shape), m), F.lit(pattern)).cast("date")
-        cases.append(("date", day.isNotNull(), F.date_format(F.date_add(first, feistel_number(F.datediff(day, first).cast("long"), 271, 270, n_days, key, "date").cast("int")), pattern)))
-
-    card = m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$")
-    n = F.length(digits)
-    valid = card & (F.when(card, luhn_sum(digits)) % 10 == 0) & ~digits.rlike("^0+$")
-    payload = F.substring(digits, F.lit(1), n - 1)
-    new = feistel_text(payload, F.repeat(F.lit("9"), (n - 1).cast("int")), key, "card")
-    check = (10 - luhn_sum(F.concat(new, F.lit("0"))) % 10) % 10
-    cases.append(("card", valid, dress(m, F.concat(new, check.cast("string")))))
-
-    out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text"))
-    for kind, test, text in reversed(cases):
-        out = F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(kind).alias("kind"), text.alias("text"))).otherwise(out)
-    return out
-
-
-KINDS = ("email", "secret", "address", "phone", "social", "date", "card")
-
-
-def pseudonymise(df: DataFrame, key: str, *, text: str = "text") -> DataFrame:
+    social = feistel_number(of["social"], area, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "social")
+    new_area = F.when(F.col("left") >= 665, F.col("left") + 2).otherwise(F.col("left") + 1)
+    out.append(social.select("value", F.concat_ws("-", pad(new_area, 3), pad(F.floor(F.col("right") / 9999) + 1, 2), pad(F.col("right") % 9999 + 1, 4)).alias("new")))
+
+    first, iso = F.to_date(F.lit("1900-01-01")), m.contains("-")
+    day = F.datediff(F.when(iso, F.to_date(m, "yyyy-MM-dd")).otherwise(F.to_date(F.when(~iso, m), "dd.MM.yyyy")), first)
+    # 17 * 4297 = 73049 days, to 2099-12-31
+    date = feistel_number(of["date"], F.floor(day / 4297), day % 4297, F.lit(17), F.lit(4297), key, "date").withColumn("day", F.date_add(first, (F.col("left") * 4297 + F.col("right")).cast("int")))
+    out.append(date.select("value", F.when(iso, F.date_format("day", "yyyy-MM-dd")).otherwise(F.date_format("day", "dd.MM.yyyy")).alias("new")))
+
+    n = F.length(digits) - 1
+    half = F.floor(n / 2).cast("int")
+    ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
+    card = feistel_number(of["card"], F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, n - half), ten(half), ten(n - half), key, "card")
+    card = card.withColumn("payload", F.concat(F.lpad(F.col("left").cast("string"), half, F.lit("0")), F.lpad(F.col("right").cast("string"), n - half, F.lit("0"))))
+    card = card.withColumn("number", F.concat("payload", F.pmod(-luhn_sum(F.concat("payload", F.lit("0"))), F.lit(10)).cast("string")))
+    out.append(card.select("value", dress(m, F.col("number")).alias("new")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def pseudonymise(df: DataFrame, key: str, *, text: str = "text", stable_input: bool = False) -> DataFrame:
     """``df`` with the personal data in ``text`` replaced, plus ``pii`` (map of kind to number of values replaced) and ``n_pii`` (long).
 
-    Found and validated: payment cards (13 to 19 digits, Luhn), North American phone numbers, social security numbers, IPv4
-    addresses, dates of 1900 to 2099 (ISO and dotted), e-mail addresses (the local part changes) and hexadecimal secrets after their name. What
+    Found and validated: payment cards (13 to 19 digits, Luhn), phone numbers of country code 1, social security numbers, IPv4
+    addresses, dates of 1900 to 2099 (ISO and dotted), e-mail addresses (the local part changes, the domain stays) and hexadecimal secrets after their name. What
     is not valid stays. Equal values become equal pseudonyms under one ``key``, whatever stands between their digits; a value may be its own
-    pseudonym with the chance of any other.
+    pseudonym with the chance of any other. ``key`` itself stays on the driver; a subkey derived from it is in the plan, and whoever reads
+    the plan can repeat this operator's pseudonyms.
 
-    Built-in functions only, one pass, no shuffle; texts without a match are not cut.
+    Built-in functions only. Two passes over the texts, one to find and one to replace; distinct values are permuted once, and what a
+    text's matches become is joined to it by row number. ``stable_input``: ``df`` reads files, and each partition gives the same rows again; else it
+    is written to the shared scratch folder first.
 
     Edge cases: null stays null and empty empty, with n_pii 0; repeated rows change alike; an empty table gives no rows;
-    existing columns ``pii`` and ``n_pii`` are replaced.
+    existing columns ``pii`` and ``n_pii`` are replaced, and any other names are kept.
     """
+    subkey = hmac.new(key.encode(), b"pseudonyms", hashlib.sha256).hexdigest()
     df = df.drop("pii", "n_pii")
-    (found,) = fresh(df, "_found")
-    t = F.col(text)
-    out = df.withColumn(found, F.when(t.rlike(ANY), F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))))
-    parts = F.zip_with(F.split(t, ANY, -1), F.transform(F.col(found), lambda x: x["text"]), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    kinds = F.filter(F.transform(F.col(found), lambda x: x["kind"]), lambda k: k.isNotNull())
+    if not stable_input:
+        df = scratch_table(df, "pii-input")
+    row, found = fresh(df, "_row", "_found")
+    rows = df.withColumn(row, F.monotonically_increasing_id())
+    matches = F.when(F.col(text).rlike(SOME), F.regexp_extract_all(text, F.lit(ANY), 0))
+    hits = scratch_table(rows.select(F.col(row).alias("row"), F.posexplode(matches).alias("place", "value")), "pii-hits")
+    values = scratch_table(hits.select("value").distinct().withColumn("kind", value_kind(F.col("value"))), "pii-values")
+    known = values.join(pseudonyms(values.where("kind is not null"), subkey), "value", "left")
+    named = hits.join(known, "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "kind", F.coalesce("new", "value").alias("new")))).alias(found))
+    named = scratch_table(named.withColumnRenamed("row", row), "pii-named")
+    out = rows.join(named, row, "left")
+    parts = F.zip_with(F.split(text, ANY, -1), F.transform(found, lambda x: x["new"]), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    kinds = F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull())
 
     def number_of(kind: str) -> Column:
         return F.coalesce(F.size(F.filter(kinds, lambda x: x == kind)), F.lit(0)).cast("long")
 
-    n = {k: number_of(k) for k in KINDS}
-    out = out.withColumn("pii", F.create_map(*[c for k in KINDS for c in (F.lit(k), n[k])])).withColumn("n_pii", F.coalesce(F.size(kinds), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col(found).isNotNull(), F.array_join(parts, "")).otherwise(t)).drop(found)
+    n = {k: F.when(F.col(found).isNotNull(), number_of(k)).otherwise(F.lit(0).cast("long")) for k in KINDS}
+    out = out.withColumn("pii", F.create_map(*[c for k in KINDS for c in (F.lit(k), n[k])])).withColumn("n_pii", F.when(F.col(found).isNotNull(), F.size(kinds)).otherwise(0).cast("long"))
+    changed = F.when(F.col(found).isNotNull(), F.array_join(parts, "")).otherwise(F.col(text))
+    return out.withColumn(text, changed).select(*df.columns, "pii", "n_pii")

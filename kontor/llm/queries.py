@@ -46,7 +46,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_pii", *[F.col("pii")[k].alias(f"n_{k}") for k in KINDS])
+    return pseudonymise(docs, PII_KEY, stable_input=True).select("doc_id", "text", "n_pii", *[F.col("pii")[k].alias(f"n_{k}") for k in KINDS])
 
 
 def held_out(folds: int) -> Column:

@@ -91,7 +91,7 @@ class Words:
         """Hash of the first ``size`` bytes of each word, 0 for words that are not longer."""
         _, down = powers(len(self.data) + 1)
         stop = np.minimum(self.start + size, self.end)
-        hashed = mix64((self.total[stop] - self.total[self.start]) * down[self.start] + np.uint64(size) * np.uint64(BASE))
+        hashed = mix64((self.total[stop] - self.total[self.start]) * down[self.start] + np.uint64(size * BASE % (1 << 64)))
         return np.where(self.end - self.start > size, hashed, np.uint64(0))
 
 

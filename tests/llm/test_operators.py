@@ -195,6 +195,30 @@ def test_ngram_join(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_ngram_join_large_group(spark):
+    """A few hundred near copies, most pairs of which do not link, and columns of working names."""
+    from kontor.llm.ngram_join import jaccard_components
+
+    rng, rows = random.Random(7), []
+    base = text(rng, 100).split()
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"changed{rng.random()}"
+        rows.append((1000 - i, " ".join(w), "x", 5, "y", None))
+    rows.append((7, text(rng, 300_000), "x", 5, "y", None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, class int, component string, n_shingles string")
+    out = jaccard_components(df, n=4, percent=85).collect()
+    sets = []
+    for r in out:
+        w = r["text"].encode().split()
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    root = components(sets, 85)
+    for i, r in enumerate(out):
+        assert (r["n_shingles"], r["component_id"]) == (len(sets[i]), min(out[j]["doc_id"] for j in range(len(out)) if root[j] == root[i]))
+        assert (r["id"], r["class"], r["component"]) == ("x", 5, "y")
+
+
 def test_lattice(docs, empty):
     from kontor.llm.lattice import VOCABULARY, arcs, forward, load_pieces, long_word, score_likelihood
 
@@ -239,6 +263,55 @@ def test_toxicity(spark):
     assert np.mean([out[i]["predicted"] == (i % 4 == 0) for i in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in out.values()) and out[900]["score"] == out[901]["score"]
     assert {r["predicted"] for r in score_toxicity(df, fit_toxicity(df, lab.limit(0))).collect()} == {0}
+    assert score_toxicity(df.limit(0), fit_toxicity(df, lab)).count() == 0
+    more = score_toxicity(df.withColumns({c: F.lit("x") for c in ("score", "z", "key", "toxic", "_z")}), fit_toxicity(df, lab)).collect()
+    assert {r["_z"] for r in more} == {"x"} and all(0 <= r["score"] <= 1 for r in more)
+
+
+def test_toxicity_against_plain_model(spark):
+    """The gains of the four levels against the same recursion in plain Python."""
+    from kontor.llm.toxicity import ToxicityModel, count_expressions, expression_gains
+
+    rng, docs = random.Random(3), []
+    words = ["nastiest", "nastiestly", "nasty", "good", "goodness", "a", "of", "thing", "things", "thingsome"]
+    for i in range(120):
+        toxic = i % 3 == 0
+        docs.append((" ".join(rng.choices(words, k=rng.randint(1, 12), weights=[6 if toxic else 1] * 3 + [2] * 7)), toxic))
+    counts = [collections.defaultdict(lambda: [0, 0]) for _ in range(4)]
+
+    def levels(w, before):
+        return [w[:4] if len(w) > 4 else None, w[:7] if len(w) > 7 else None, w, (before, w)]
+
+    for t, toxic in docs:
+        ws = t.split()
+        for level in range(4):
+            for x in {levels(w, ws[i - 1] if i else None)[level] for i, w in enumerate(ws)} - {None}:
+                counts[level][x][toxic] += 1
+    known = [{}, {}, {}, {}]
+    for level in range(4):
+        both = [sum(c) for c in counts[level].values()]
+        d = both.count(1) / (both.count(1) + 2 * both.count(2)) if both.count(1) else 0.5
+        for x, c in counts[level].items():
+            word = x[1] if level == 3 else x
+            up = next((known[lv][y] for lv in range(level - 1, -1, -1) if (y := levels(word, None)[lv]) is not None and lv < 3), (1.0, 1.0))
+            peers = [v for y, v in counts[level].items() if level < 3 or y[0] == x[0]]
+            k, total = sum(c), [sum(v[s] for v in peers) for s in (0, 1)]
+            p = []
+            for s in (0, 1):
+                own = max(c[s] - d, 0) / total[s] / (k / sum(total)) + d * sum(v[s] > 0 for v in peers) / total[s] * up[s] if total[s] else up[s]
+                p.append(k / (k + 2.0) * own + 2.0 / (k + 2.0) * up[s] if total[s] else up[s])
+            known[level][x] = tuple(p)
+    df = spark.createDataFrame(docs, "text string, toxic boolean")
+    gains = expression_gains(count_expressions(df), strength=2.0, margin=0.1).toPandas()
+    keys = gains["key"].to_numpy(np.int64).view(np.uint64)
+    model = ToxicityModel(keys[np.argsort(keys)], gains["gain"].to_numpy()[np.argsort(keys)], 1.0, 0.0)
+    for t in ("nasty things of nastiestly good", "goodnesses things", "unheard"):
+        want, ws = [], t.split()
+        for i, w in enumerate(ws):
+            p = next((known[lv][x] for lv in (3, 2, 1, 0) if (x := levels(w, ws[i - 1] if i else None)[lv]) in known[lv]), (1.0, 1.0))
+            r = math.log(p[1] / p[0])
+            want.append(math.copysign(max(abs(r) - 0.1, 0.0), r))
+        assert math.isclose(model.difference(pa.array([t]))[0], sum(want) / len(ws), rel_tol=1e-9, abs_tol=1e-12)
 
 
 def test_neighbours(spark):
@@ -288,6 +361,51 @@ def test_pii(spark):
     assert pseudonymise(many, "k").select("text").distinct().count() == 2000  # a bijection
 
 
+def test_pii_against_plain_feistel(spark):
+    import hashlib
+    import hmac
+
+    from kontor.llm.pii import pseudonymise
+
+    subkey = hmac.new(b"k", b"pseudonyms", hashlib.sha256).hexdigest()
+
+    def plain(left, right, sizes, kind):
+        half = [left, right]
+        for i in range(8):
+            mine, other = (0, 1) if i % 2 == 0 else (1, 0)
+            h = hashlib.sha256("|".join(map(str, (subkey, kind, i, *sizes, half[other]))).encode()).hexdigest()
+            half[mine] = (half[mine] + int(h[:14], 16)) % sizes[mine]
+        return half
+
+    values = ["10.20.30.40", "255.0.0.1", "4111111111111111", "123-45-6789", "899-99-9999", "+1 (017) 155-0000", "+1 (297) 555-8151", "1984-02-29"]
+    df = spark.createDataFrame([(v, i, "mine", 7) for i, v in enumerate(values)], "text string, pii int, value string, row int")
+    plan = pseudonymise(df, "a very secret key")._jdf.queryExecution().toString()
+    assert "a very secret key" not in plan and "Python" not in plan and "Arrow" not in plan
+    out = pseudonymise(df, "k")
+    assert out.columns == ["text", "value", "row", "pii", "n_pii"]  # extra columns of working names stay
+    named = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id int, text string")
+    got = {values[r["doc_id"]]: r["text"] for r in pseudonymise(named, "k").collect()}
+    a, b = plain(10 * 256 + 20, 30 * 256 + 40, (65536, 65536), "address")
+    assert got["10.20.30.40"] == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    a, b = plain(122, 44 * 9999 + 6788, (898, 99 * 9999), "social")
+    a += 2 if a >= 665 else 1
+    assert got["123-45-6789"] == f"{a:03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    a, b = plain(17 * 200 + 155, 0, (200 * 200, 10000), "phone")
+    assert got["+1 (017) 155-0000"] == f"+1 ({a // 200:03d}) {a % 200:03d}-{b:04d}"
+    a, b = plain(97 * 800 + 355, 8151, (800 * 800, 10000), "phone")
+    assert got["+1 (297) 555-8151"] == f"+1 ({a // 800 + 200:03d}) {a % 800 + 200:03d}-{b:04d}"
+    a, b = plain(4111111, 11111111, (10**7, 10**8), "card")
+    assert got["4111111111111111"][:15] == f"{a:07d}{b:08d}"
+    # phones, cards, addresses: bijections on a full or large range
+    for form, n in (("+1 (017) 155-%04d", 10000), ("10.20.%d.7", 256), ("19%02d-03-01", 100)):
+        many = spark.range(n).select(F.format_string(form, F.col("id").cast("int")).alias("text"))
+        assert pseudonymise(many, "k").select("text").distinct().count() == n
+    long = "ab " * 600_000 + "mail " + "x" * 300 + "1@example.com and token=" + "0a" * 100
+    r = pseudonymise(spark.createDataFrame([(long,), (long,)], "text string"), "k").collect()
+    assert r[0] == r[1] and r[0]["n_pii"] == 2 and len(r[0]["text"]) == len(long) and "x" * 20 not in r[0]["text"] and "0a0a0a" not in r[0]["text"]
+    assert pseudonymise(named.limit(0), "k").count() == 0
+
+
 def test_url_filter(spark):
     from kontor.llm.url_filter import judge_pages
 
