@@ -18,6 +18,7 @@ bytes, beyond which counts only tell the more frequent n-grams apart. Any order
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,9 @@ from kontor.llm.components import connected_components
 from kontor.llm.words import GOLDEN, Words, cut_words, gram_hashes, mix64
 
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 25, 16
-NGRAMS_PER_COUNT = 4
+NGRAMS_PER_COUNT = 8
 RANGES = 64
-STARS = 3
+STARS = 2
 WORDS_PER_GROUP = 200_000
 
 
@@ -118,7 +119,8 @@ def frequency_table(reps: DataFrame, n: int, bits: int) -> np.ndarray:
         return pa.table({"block": part["block"][:1], "places": pa.array([b""], pa.binary()), "counts": pa.array([np.minimum(total, full).astype(np.uint8).tobytes()], pa.binary())})
 
     schema = "block long, places binary, counts binary"
-    parts = reps.select("text").mapInArrow(count, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    ways = math.isqrt(reps.rdd.getNumPartitions()) + 1  # tables are added up in two steps, each of the root of their number
+    parts = reps.select("text").mapInArrow(count, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(ways)))
     parts = parts.groupBy("block", "part").applyInArrow(add, schema)
     out = np.zeros((1 << bits) // size * size, np.uint8).reshape(-1, size)
     for r in parts.groupBy("block").applyInArrow(add, schema).collect():
@@ -187,18 +189,27 @@ def verify(pairs: DataFrame, classes: DataFrame, reps: DataFrame, n: int, percen
     return scratch_table(left.groupBy("a", "salt").cogroup(right.groupBy("of", "part")).applyInArrow(compare, "a long, b long"), "ngram-links")
 
 
-def contract(known: DataFrame, links: DataFrame, name: str) -> DataFrame:
+def component_of(df: DataFrame, known: DataFrame) -> DataFrame:
+    """``df`` (class) plus ``component``; ``known`` has the classes that are linked, others are their own."""
+    return df.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def contract(known: DataFrame, links: DataFrame) -> DataFrame:
     """``known`` (class, component) with the components that ``links`` (a, b: classes) connect made one."""
-    of = links.join(known.toDF("a", "u"), "a").join(known.toDF("b", "v"), "b").select("u", "v").where("u <> v").distinct()
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("class"))
+    named = scratch_table(component_of(ends, known), "ngram-ends")
+    of = named.groupBy("a", "b").agg(F.min("component").alias("u"), F.max("component").alias("v")).select("u", "v").where("u <> v").distinct()
     parts = connected_components(of, "u", "v").toDF("component", "low")
-    return scratch_table(known.join(parts, "component", "left").select("class", F.coalesce("low", "component").alias("component")), name)
+    every = known.unionByName(named.select("class", "component")).distinct()
+    return scratch_table(every.join(parts, "component", "left").select("class", F.coalesce("low", "component").alias("component")), "ngram-known")
 
 
-def meetings(tokens: DataFrame, known: DataFrame) -> DataFrame:
+def meetings(tokens: DataFrame, known: DataFrame | None) -> DataFrame:
     """``tokens`` with their classes' components, of those tokens that two components have."""
-    met = tokens.join(known, "class")
+    met = tokens.withColumn("component", F.col("class")) if known is None else component_of(tokens, known)
     mixed = met.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    return scratch_table(met.join(mixed, "token", "left_semi"), "ngram-met")
+    # one plan at every size
+    return scratch_table(met.join(mixed.hint("merge"), "token", "left_semi"), "ngram-met")
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
@@ -252,20 +263,17 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(MOST_BITS, max(LEAST_BITS, (int(total) // NGRAMS_PER_COUNT).bit_length()))
     tokens = scratch_table(prefixes(reps, n, percent, frequency_table(reps, n, bits), bits), "ngram-prefixes")
-    known = classes.select("class", F.col("class").alias("component"))
+    known = classes.select("class", F.col("class").alias("component")).limit(0)
     both = [f("a", "b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
-    met, tested = meetings(tokens, known), None
+    met, tested = meetings(tokens, None), None
     for turn in range(STARS):
         pairs = scratch_table(star_pairs(met, turn, percent), "ngram-stars")
         tested = pairs.select(*both) if tested is None else tested.unionByName(pairs.select(*both))
-        links = verify(pairs, classes, reps, n, percent)
-        if links.isEmpty():
-            break
-        known = contract(known, links, "ngram-known")
+        known = contract(known, verify(pairs, classes, reps, n, percent))
         met = meetings(met.drop("component"), known)
     pairs = prefix_pairs(met, percent).select(*both).join(tested, ["a", "b"], "left_anti")
-    known = contract(known, verify(scratch_table(pairs, "ngram-candidates"), classes, reps, n, percent), "ngram-known")
-    member = described.select("id", "key", "class", "n").join(known, "class", "left")
+    known = contract(known, verify(scratch_table(pairs, "ngram-candidates"), classes, reps, n, percent))
+    member = component_of(described.select("id", "key", "class", "n"), known)
     named = scratch_table(member.where("class is not null").groupBy("component").agg(F.min("key").alias("least"), F.min("id").alias("lead")), "ngram-components")
     columns = [c for c in df.columns if keep is None or c in keep]
     own = fresh(rows, "_n", "_component", "_lead")
