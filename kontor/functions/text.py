@@ -66,19 +66,20 @@ def normalize_counterparty(c: Column) -> Column:
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode compatibility composition, which has no built-in function."""
+    """Unicode compatibility composition, which has no built-in function; a Python function on Arrow batches, for texts with non-ASCII characters alone."""
 
     def compose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return F.pandas_udf(compose, "string", F.PandasUDFType.SCALAR_ITER)(c)
+    other = F.when(c.rlike("[^\\x00-\\x7F]"), c)
+    return F.coalesce(F.pandas_udf(compose, "string", F.PandasUDFType.SCALAR_ITER)(other), c)
 
 
-def normalize_memo(c: Column, *, compose: bool = False) -> Column:
-    """The memo's wording without links, account numbers, SEPA marks, long numbers and punctuation.
+def normalize_memo(c: Column, *, compose: bool = True) -> Column:
+    """The memo's wording, composed (NFKC), without links, account numbers, SEPA marks, long numbers and punctuation.
 
-    ``compose`` adds NFKC, a Python function on Arrow batches; leave it out where the input is composed already.
+    ``compose`` false leaves composition out, and Python with it, where the input is composed already.
     """
     s = fold_umlauts(F.trim(nfkc(or_empty(c)) if compose else or_empty(c)))
     for pattern in (URL, IBAN_LIKE, SEPA_REFERENCE, LONG_DIGITS):
@@ -150,18 +151,38 @@ def premise(text: Column, industry: Column, summary: Column, most: int = 200) ->
     return F.trim(F.concat_ws(" ", first, F.when(ind != "", F.concat(F.lit("Branche: "), ind, F.lit("."))), F.when(short != "", short)))
 
 
+def longest_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a word of bits per character of ``a``."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for ch in b:
+        hit = v & places.get(ch, 0)
+        v = (v + hit | v - hit) & full
+    return len(a) - v.bit_count()
+
+
+def indel_ratio(a: str, b: str) -> float:
+    """0 to 100: twice the longest common subsequence in both lengths; two empty strings are alike."""
+    return 200.0 * longest_common(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     """0 to 100: how alike two names are as sets of words; the best of shared words against each side and the sides against each other.
 
-    Likeness of two strings is 1 - (insertions and deletions) / (both lengths); here the edit distance stands in for those.
+    Likeness of two strings counts insertions and deletions only, for which there is no built-in function. Names of which one has all words
+    of the other are 100 without it.
     """
     ta, tb = (F.array_sort(F.array_distinct(F.split(F.trim(x), r"\s+"))) for x in (a, b))
     both, only_a, only_b = F.array_intersect(ta, tb), F.array_except(ta, tb), F.array_except(tb, ta)
     s0 = F.array_join(both, " ")
     s1, s2 = (F.trim(F.concat_ws(" ", s0, F.array_join(x, " "))) for x in (only_a, only_b))
 
-    def ratio(x: Column, y: Column) -> Column:
-        return 100 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)))
+    def best(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y, z in parts:
+            yield pd.Series([max(indel_ratio(p, q) if p else 0.0, indel_ratio(p, r) if p else 0.0, indel_ratio(q, r)) if q is not None and r is not None else None for p, q, r in zip(x, y, z, strict=True)], dtype="float64")
 
     inside = (F.size(both) > 0) & ((F.size(only_a) == 0) | (F.size(only_b) == 0))
-    return F.when(inside, 100.0).otherwise(F.greatest(F.when(F.size(both) > 0, F.greatest(ratio(s0, s1), ratio(s0, s2))).otherwise(0.0), ratio(s1, s2)))
+    return F.when(inside, 100.0).otherwise(F.pandas_udf(best, "double", F.PandasUDFType.SCALAR_ITER)(s0, s1, s2))

@@ -14,9 +14,11 @@ HASH_PREFIX = 120
 
 def derive(rows: DataFrame, own: DataFrame) -> DataFrame:
     """All columns that follow from a parsed row (date, payee, payer, memo, iban, cents): names, texts, flags, account."""
+    if "dedup_hash" not in rows.columns:
+        rows = with_dedup_hash(rows)
     number, party = iban.clean(F.col("iban")), text.counterparty_of(F.col("payee"), F.col("payer"))
     memo = text.simplify_paypal_memo(F.col("memo"), F.col("payer"), F.col("payee"))
-    out = rows.withColumns({"iban": number, "counterparty": party, "vendor": text.normalize_counterparty(party), "dedup_hash": dedup_hash(), "memo": memo, "memo_normalized": text.normalize_memo(memo)})
+    out = rows.withColumns({"iban": number, "counterparty": party, "vendor": text.normalize_counterparty(party), "memo": memo, "memo_normalized": text.normalize_memo(memo)})
     out = out.withColumns({
         "combined": text.combined_text(F.col("vendor"), F.col("memo_normalized")), "is_income": amounts.is_income(F.col("cents")), "is_round": amounts.is_round(F.col("cents")),
         "bucket": amounts.bucket(F.col("cents")), **{k: v for k, v in iban.classify(F.col("iban")).items()},
@@ -24,21 +26,23 @@ def derive(rows: DataFrame, own: DataFrame) -> DataFrame:
     return out.join(own.select(F.col("iban"), F.lit(1).alias("self")).distinct(), "iban", "left").withColumn("iban_is_known_self", F.coalesce("self", F.lit(0))).drop("self")
 
 
-def dedup_hash() -> Column:
-    """SHA-256 over dates, cents, account, vendor and the beginning of the original memo; nulls count as empty."""
+def with_dedup_hash(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``dedup_hash``: SHA-256 over dates, cents, account, vendor and the beginning of the original memo; nulls count as empty."""
     parts = [F.col("date").cast("string"), F.col("value_date").cast("string"), F.col("cents").cast("string"), iban.clean(F.col("iban")), text.normalize_counterparty(text.counterparty_of(F.col("payee"), F.col("payer"))), F.substring(text.normalize_memo(F.col("memo")), 1, HASH_PREFIX)]
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+    return rows.withColumn("dedup_hash", F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]), 256))
 
 
 def ingest(rows: DataFrame, store: DataFrame | None, own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New rows of ``rows`` (also: source_file, source_row), each content once and none that ``store`` (dedup_hash) has, and a report: parsed, new, duplicate."""
-    derived = derive(rows, own)
+    """New rows of ``rows`` (also: source_file, source_row), each content once and none that ``store`` (dedup_hash) has, and a report: parsed, new, duplicate.
+
+    Only the hash is computed for every row; all else follows for the new ones.
+    """
+    hashed = with_dedup_hash(rows)
     first = F.row_number().over(Window.partitionBy("dedup_hash").orderBy("source_file", "source_row"))
-    new = derived.withColumn("_n", first).where("_n = 1").drop("_n")
-    if store is not None:
-        new = new.join(store.select("dedup_hash").distinct(), "dedup_hash", "left_anti")
-    counts = derived.agg(F.count(F.lit(1)).alias("parsed")).crossJoin(new.agg(F.count(F.lit(1)).alias("new")))  # one row each
-    return new, counts.withColumn("duplicate", F.col("parsed") - F.col("new"))
+    fresh = hashed if store is None else hashed.join(store.select("dedup_hash").distinct(), "dedup_hash", "left_anti")
+    new = fresh.withColumn("_n", first).where("_n = 1").drop("_n")
+    counts = rows.agg(F.count(F.lit(1)).alias("parsed")).crossJoin(fresh.agg(F.count_distinct("dedup_hash").alias("new")))  # one row each
+    return derive(new, own), counts.withColumn("duplicate", F.col("parsed") - F.col("new"))
 
 
 def missing_embeddings(rows: DataFrame, embeddings: DataFrame, model: str, embed: Column) -> DataFrame:
@@ -58,6 +62,12 @@ def embedding_inventory(embeddings: DataFrame) -> DataFrame:
     return embeddings.groupBy("model", "dim").agg(F.count(F.lit(1)).alias("n"))
 
 
+def purge_embeddings(embeddings: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors of ``keep`` alone, and how many went, by model."""
+    gone = embeddings.where(~F.col("model").eqNullSafe(keep))
+    return embeddings.where(F.col("model") == keep), gone.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, position, column, type, n_rows, n_nulls, about_distinct) of every column; one aggregate per table."""
     out = None

@@ -10,22 +10,30 @@ from kontor.functions import text
 
 
 def greedy_matches(rows: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Candidates in order of date and id each take the nearest unused record within ``window`` days; ties take none and are marked."""
+    """Candidates in order of date and id each take the nearest unused record within ``window`` days; ties take none and are marked.
+
+    Records are looked at in a window that moves with the candidates' dates.
+    """
     candidates = rows[rows["is_candidate"]].sort_values(["day", "id"])
-    records = rows[~rows["is_candidate"]]
+    records = rows[~rows["is_candidate"]].sort_values(["day", "ref"])
     days, refs = records["day"].to_numpy(), records["ref"].to_numpy()
-    used, tied = set(), set()
+    near: list[int] = []
+    ahead, used, tied = 0, set(), set()
     found: list[tuple[int, str, int]] = []
     for day, id_ in zip(candidates["day"], candidates["id"], strict=True):
-        pool = [i for i in range(len(refs)) if i not in used and abs(days[i] - day) <= window]
-        if not pool:
+        while ahead < len(days) and days[ahead] <= day + window:
+            near.append(ahead)
+            ahead += 1
+        near = [i for i in near if days[i] >= day - window]
+        if not near:
             continue
-        best = min(abs(days[i] - day) for i in pool)
-        nearest = [i for i in pool if abs(days[i] - day) == best]
+        best = min(abs(days[i] - day) for i in near)
+        nearest = [i for i in near if abs(days[i] - day) == best]
         if len(nearest) > 1:
             tied.update(nearest)
         else:
             used.add(nearest[0])
+            near.remove(nearest[0])
             found.append((int(id_), refs[nearest[0]], int(best)))
     out = pd.DataFrame(found, columns=["id", "ref", "days"])
     out["outcome"] = "matched"
@@ -39,14 +47,17 @@ def match_secondary(tx: DataFrame, records: DataFrame, window: int = 5) -> DataF
     """(id, ref, days, outcome): matches of ``tx`` (id, date, cents) with ``records`` (ref, txn_date, cents), and the records left over.
 
     Only equal absolute amounts meet, so the choice is local to an amount, and within it to a run of dates none of which is
-    more than ``window`` days from the next: each such run is one group. Amounts without a candidate never reach Python.
+    more than ``window`` days from the next: each such run is one group, decided in one pass by date. Amounts without a candidate never reach Python.
     """
     c = tx.select(F.abs("cents").alias("a"), F.lit(True).alias("is_candidate"), "id", F.lit(None).cast("string").alias("ref"), F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"))
     r = records.select(F.abs("cents").alias("a"), F.lit(False).alias("is_candidate"), F.lit(None).cast("long").alias("id"), "ref", F.datediff("txn_date", F.lit("1970-01-01").cast("date")).alias("day"))
     shared = c.join(r.select("a").distinct(), "a", "left_semi").unionByName(r)
+    # runs are cut on one row for an amount and day, of which there are no more than days
     order = Window.partitionBy("a").orderBy("day")
     new = (F.col("day") - F.lag("day").over(order) > window).cast("int")
-    runs = shared.withColumn("run", F.sum(F.coalesce(new, F.lit(1))).over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    cuts = shared.select("a", "day").distinct().withColumn("new", F.coalesce(new, F.lit(1)))
+    cuts = cuts.select("a", "day", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    runs = shared.join(cuts, ["a", "day"])
     # one candidate and one record decide themselves, and records alone are unmatched: built-in functions; only what competes goes to Python
     n = runs.groupBy("a", "run").agg(
         F.count(F.when(F.col("is_candidate"), 1)).alias("n_c"), F.count(F.when(~F.col("is_candidate"), 1)).alias("n_r"), F.max("id").alias("one_id"), F.max("ref").alias("one_ref"),

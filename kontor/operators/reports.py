@@ -149,9 +149,9 @@ def month_to_date_pace(s: DataFrame, today: str, trailing_months: int = 6) -> Da
     d = date.fromisoformat(today)
     first, days = d.replace(day=1).isoformat(), (date(d.year + d.month // 12, d.month % 12 + 1, 1) - d.replace(day=1)).days
     rows = s.where((F.col("is_income") == 0) & external() & not_savings())
-    spent = rows.where(between(first, today)).agg(F.coalesce(F.sum(F.abs("cents")), F.lit(0)).alias("s"))
+    this_month = rows.where(between(first, today)).agg(F.coalesce(F.sum(F.abs("cents")), F.lit(0)).alias("s"))
     months = rows.where(F.col("date") < F.lit(first).cast("date")).groupBy(dates.month_key(F.col("date")).alias("ym")).agg(spent().alias("m")).orderBy(F.desc("ym")).limit(trailing_months)
-    both = spent.crossJoin(months.agg((F.sum("m") / F.count("m") / 100.0).alias("baseline")))  # one row each
+    both = this_month.crossJoin(months.agg((F.sum("m") / F.count("m") / 100.0).alias("baseline")))  # one row each
     return both.select((F.col("s") / 100.0).alias("spent"), F.lit(d.day).alias("days_elapsed"), F.lit(days).alias("days_in_month"), (F.col("s") / 100.0 / d.day * days).alias("projected"), "baseline")
 
 

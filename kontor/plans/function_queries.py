@@ -43,9 +43,18 @@ add("b16_b17_classify_iban", """SELECT id, CASE WHEN iban <> '' THEN iban[1:2] E
 add("b18_secondary_memo", "SELECT 'R' || o_orderkey AS ref, 'Shop ' || (o_orderkey % 10) || CASE WHEN o_orderkey % 2 = 0 THEN ' (a@example.com)' ELSE '' END AS memo FROM orders WHERE o_orderkey % 7 = 0")(
     lambda s, d: t.secondary(s, d).select("ref", text.secondary_memo(F.col("name"), F.col("email")).alias("memo")))
 TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4))"
-add("b19_b20_token_overlap", f"""SELECT tx.id, cat.category_id, round(least(0.15::DOUBLE, 0.05::DOUBLE * len(list_intersect({TOKENS.format(x="memo || ' ' || vendor || ' reisen strom'")}, {TOKENS.format(x="name || ' ' || description")}))), 6) AS bonus FROM tx, cat WHERE tx.id % 50 = cat.category_id""")(
-    lambda s, d: raw(s, d).withColumn("v", text.normalize_counterparty(F.col("payee"))).join(t.categories(s, d), F.col("id") % 50 == F.col("category_id"))
+add("b19_b20_token_overlap", f"""SELECT tx.id, cat.category_id, round(least(0.15::DOUBLE, 0.05::DOUBLE * len(list_intersect({TOKENS.format(x="memo || ' ' || vendor || ' reisen strom'")}, {TOKENS.format(x="name || ' ' || description")}))), 6) AS bonus FROM tx, cat""")(
+    lambda s, d: raw(s, d).withColumn("v", text.normalize_counterparty(F.col("payee"))).crossJoin(F.broadcast(t.categories(s, d)))  # the category dimension
+    
     .select("id", "category_id", text.overlap_bonus(text.long_tokens(F.concat_ws(" ", "memo", "v", F.lit("reisen strom"))), text.long_tokens(F.concat_ws(" ", "name", "description"))).alias("bonus")))
+
+
+def other_name():  # noqa: ANN201
+    """The vendor (words, then v and a number) within a longer name, with w for its v, or with vx for its last word."""
+    v = F.col("vendor")
+    return F.when(F.col("id") % 3 == 0, F.concat(F.lit("filiale "), v, F.lit(" "))).when(F.col("id") % 3 == 1, F.regexp_replace(v, " v([0-9]+)$", " w$1")).otherwise(F.regexp_replace(v, " v[0-9]+$", " vx"))
+
+
 INDUSTRY = "['Sonstige', 'Sonstige', 'Supermarkt', 'Versorgung', 'Streaming', 'Gesundheit', 'Verkehr', 'Versicherung', 'Telekommunikation', 'Reisen']"
 add("b21_heuristic_industry", f"""SELECT id, CASE WHEN vendor = '' THEN 'Sonstige' ELSE {INDUSTRY}[list_position({list(SHOP_KEYS)}, regexp_replace(vendor, ' v[0-9]+$', ''))] END AS industry FROM tx""")(
     lambda s, d: t.transactions(s, d).select("id", text.heuristic_industry(F.col("vendor")).alias("industry")))
@@ -60,7 +69,8 @@ add("b25_hash_embedding", """SELECT id, i, round(x / sqrt(sum(x * x) OVER (PARTI
     lambda s, d: t.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(vectors.hash_embedding(F.col("p_name"), 64)).alias("i", "x")))
 add("b26_cadence", """SELECT id, cadence FROM (SELECT id, cadence, row_number() OVER (PARTITION BY id ORDER BY abs(ln(gap / days)), o) AS r FROM (SELECT o_orderkey AS id, (o_orderkey % 500)::DOUBLE AS gap FROM orders WHERE o_orderkey % 500 > 0), (VALUES ('weekly', 7.0::DOUBLE, 1), ('bi-weekly', 14.0::DOUBLE, 2), ('monthly', 30.4::DOUBLE, 3), ('quarterly', 91.3::DOUBLE, 4), ('semi-annual', 182.6::DOUBLE, 5), ('annual', 365.25::DOUBLE, 6)) b(cadence, days, o)) WHERE r = 1""")(
     lambda s, d: raw(s, d).withColumn("k", dates.cadence((F.col("id") % 500).cast("double"))).where("k is not null").select("id", F.col("k.label").alias("cadence")))
-add("b32_token_set_ratio", """SELECT id, CASE WHEN vendor = '' THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS score FROM tx""")(
-    lambda s, d: t.transactions(s, d).select("id", F.when(F.col("vendor") == "", 0.0).otherwise(text.token_set_ratio(F.col("vendor"), F.concat(F.lit("filiale "), F.col("vendor"), F.lit(" ")))).alias("score")))
+add("b32_token_set_ratio", """SELECT id, round(CASE WHEN vendor = '' THEN 0.0::DOUBLE WHEN id % 3 = 0 THEN 100.0::DOUBLE WHEN id % 3 = 1 THEN 100.0::DOUBLE * (n - 1) / n
+ELSE greatest(200.0::DOUBLE * b / (b + n), 200.0::DOUBLE * b / (2 * b + 3), 200.0::DOUBLE * (b + 2) / (n + b + 3)) END, 6) AS score FROM (SELECT *, length(vendor) AS n, length(regexp_replace(vendor, ' v[0-9]+$', '')) AS b FROM tx)""")(
+    lambda s, d: t.transactions(s, d).select("id", F.round(F.when(F.col("vendor") == "", 0.0).otherwise(text.token_set_ratio(F.col("vendor"), other_name())), 6).alias("score")))
 add("a4_a5_german_cells", """SELECT id, a AS cents, date FROM tx""")(
     lambda s, d: raw(s, d).select("id", amounts.to_cents(amounts.parse_german_amount(F.concat(F.regexp_replace(F.format_number(F.floor(F.abs("cents") / 100), 0), ",", "."), F.lit(","), F.lpad((F.abs("cents") % 100).cast("string"), 2, "0"), F.lit(" €")))).alias("cents"), dates.parse_german_date(F.date_format("date", "d.M.yy")).alias("date")))

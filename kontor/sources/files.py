@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from kontor.functions import amounts, dates, text
 
-MOST_COLUMNS = 40
+SNIFFED = 4096
+# Fixed value: a record is what stands between line breaks outside quotes.
+RECORD = r'(?:[^"\r\n]++|"[^"]*+(?:""[^"]*+)*+"?)++'
 
 
 def bank_header(c: Column) -> Column:
@@ -67,36 +69,64 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("file"), decode(F.col("content")).alias("content"))
 
 
-def cells(line: Column, sep: str) -> Column:
-    """A quoted line as an array of MOST_COLUMNS cells, empty beyond the line's own."""
-    row = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(MOST_COLUMNS))), {"sep": sep, "quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": ""})
-    return F.array(*[F.coalesce(row[f"c{i}"], F.lit("")) for i in range(MOST_COLUMNS)])
+def separator(content: Column, candidates: tuple[str, ...]) -> Column:
+    """The candidate that occurs most often in the file's beginning, the first of equals."""
+    head = F.substring(content, 1, SNIFFED)
+    counts = [F.length(head) - F.length(F.replace(head, F.lit(x), F.lit(""))) for x in candidates]
+    out = F.lit(candidates[-1])
+    for i in range(len(candidates) - 2, -1, -1):
+        best = counts[i + 1]
+        for c in counts[i + 2 :]:
+            best = F.greatest(best, c)
+        out = F.when(counts[i] >= best, F.lit(candidates[i])).otherwise(out)
+    return out
+
+
+def cells(line: Column, sep: Column) -> Column:
+    """A record as an array of its cells, however many; quotes and doubled quotes are undone."""
+    quoted = r'"[^"]*+(?:""[^"]*+)*+"?'
+    found = F.regexp_extract_all(F.concat(sep, line), F.concat(sep, F.lit(f"({quoted}|[^"), sep, F.lit("]*+)")), 1)
+    return F.transform(found, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def parsed(files: DataFrame, spec: SourceSpec) -> DataFrame:
+    """(file, pos, cells) of the records that are not blank; records may hold line breaks within quotes."""
+    lines = files.select("file", separator(F.col("content"), spec.separators).alias("sep"), F.posexplode(F.regexp_extract_all("content", F.lit(RECORD), 0)).alias("pos", "line"))
+    rows = lines.select("file", "pos", cells(F.col("line"), F.col("sep")).alias("cells"))
+    return rows.where(F.exists("cells", lambda c: F.trim(c) != ""))
+
+
+def headers(rows: DataFrame, spec: SourceSpec) -> DataFrame:
+    """(file, head, keys): the first row of each file that has the spec's required columns (for banks: that begins with its first column), wherever it stands."""
+    keys = F.transform("cells", spec.header)
+    test = F.size(F.array_except(F.array(*[F.lit(x) for x in spec.required]), keys)) == 0
+    if spec.first is not None:
+        test = test & (F.get(keys, F.lit(0)) == spec.first)
+    head = rows.where(test).groupBy("file").agg(F.min_by(F.struct(F.col("pos").alias("head"), keys.alias("keys")), "pos").alias("h"))
+    return head.select("file", "h.*")
 
 
 def records(files: DataFrame, spec: SourceSpec) -> DataFrame:
-    """(file, row, record): the rows below each file's header as maps from column key to cell; blank rows go, short rows are filled up; header cells must differ.
+    """(file, row, record): the rows below each file's header as maps from column key to cell.
 
-    The header is the first row that has the spec's required columns (for banks: that begins with its first column), wherever it stands.
+    Blank rows go, short rows are filled up, what stands beyond the header goes; of columns with one key the last counts.
     """
-    lines = files.select("file", F.posexplode(F.split("content", r"\R")).alias("pos", "line")).where(F.trim(F.translate("line", ";,\t\"", "    ")) != "")
-    out = None
-    for sep in spec.separators:
-        rows = lines.select("file", "pos", cells(F.col("line"), sep).alias("cells"))
-        keys = F.transform("cells", spec.header)
-        is_header = F.size(F.array_except(F.array(*[F.lit(x) for x in spec.required]), keys)) == 0
-        if spec.first is not None:
-            is_header = is_header & (F.get(keys, F.lit(0)) == spec.first)
-        head = rows.where(is_header).groupBy("file").agg(F.min_by(F.struct("pos", keys.alias("keys")), "pos").alias("h"))
-        found = rows.join(head, "file").where(F.col("pos") > F.col("h.pos"))
-        named = F.filter(F.zip_with("h.keys", "cells", lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: e["k"] != "")
-        one = found.select("file", (F.col("pos") - F.col("h.pos")).alias("row"), F.map_from_entries(named).alias("record"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = parsed(files, spec)
+    found = rows.join(headers(rows, spec), "file").where("pos > head")
+    keyed = F.zip_with("keys", "cells", lambda k, v: F.struct(k.alias("k"), F.coalesce(v, F.lit("")).alias("v")))
+    last = lambda e, i: F.coalesce(e["k"] != "", F.lit(False)) & ~F.array_contains(F.slice("keys", i + 2, F.greatest(F.size("keys"), F.lit(1))), e["k"])
+    return found.select("file", (F.col("pos") - F.col("head")).alias("row"), F.map_from_entries(F.filter(keyed, last)).alias("record"))
+
+
+def without_header(files: DataFrame, spec: SourceSpec) -> DataFrame:
+    """(file) of the files that are not empty and have no header of the spec."""
+    rows = parsed(files, spec)
+    return rows.select("file").distinct().join(headers(rows, spec), "file", "left_anti")
 
 
 def classify_files(files: DataFrame) -> DataFrame:
     """(file, kind, n_kinds): which spec's header a file has; ``kind`` is null unless exactly one fits."""
-    tests = [records(files, s).select("file", F.lit(s.name).alias("kind")).distinct() for s in SPECS]
+    tests = [headers(parsed(files, s), s).select("file", F.lit(s.name).alias("kind")) for s in SPECS]
     kinds = tests[0].unionByName(tests[1]).groupBy("file").agg(F.collect_set("kind").alias("k"))
     return files.select("file").join(kinds, "file", "left").select("file", F.when(F.size("k") == 1, F.col("k")[0]).alias("kind"), F.coalesce(F.size("k"), F.lit(0)).alias("n_kinds"))
 
@@ -106,7 +136,7 @@ def get(name: str) -> Column:
 
 
 def bank_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parsed rows of bank exports, and the rejects (file, row, reason)."""
+    """Parsed rows of bank exports, and the rejects (file, row, reason); a file without a header is one reject, of row 0."""
     r = records(files, BANK)
     clean = lambda c: text.collapse_spaces(get(c))
     day, cents = dates.parse_german_date(get("buchungsdatum")), amounts.to_cents(amounts.parse_german_amount(get("betrag")))
@@ -116,7 +146,8 @@ def bank_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         clean("verwendungszweck").alias("memo"), clean("umsatztyp").alias("kind"), F.replace(F.trim(get("iban")), F.lit(" "), F.lit("")).alias("iban"), cents.alias("cents"), clean("glaeubiger_id").alias("creditor"), clean("mandatsreferenz").alias("mandate"), clean("kundenreferenz").alias("reference"),
         F.when(day.isNull(), "bad or missing date").when(cents.isNull(), "bad or missing amount").when((F.trim(get("wertstellung")) != "") & value.isNull(), "bad value date").alias("reason"),
     )
-    return p.where("reason is null").drop("reason"), p.where("reason is not null").select("source_file", "source_row", "reason")
+    no_header = without_header(files, BANK).select(F.col("file").alias("source_file"), F.lit(0).alias("source_row"), F.lit("no header").alias("reason"))
+    return p.where("reason is null").drop("reason"), p.where("reason is not null").select("source_file", "source_row", "reason").unionByName(no_header)
 
 
 def whole_files_only(rows: DataFrame, rejects: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,21 +18,23 @@ from kontor.scratch import scratch_path
 def continuous_ingest(source: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Appends rows of a stream (with ``dedup_hash``) that ``store`` has not, once each; what is there is processed and the query ends.
 
-    A batch that is run again after a failure overwrites its own folder, so that nothing is added twice.
+    Each batch has a folder of its own, named by the checkpoint and the batch's number: one that is run again after a failure overwrites
+    its own folder and nothing else, and a query with a new checkpoint adds to what others have stored. The folders are partitioned by
+    the first two digits of the hash, so that a batch reads only those parts of the store that its rows can be in.
     """
+    spark = source.sparkSession
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    root = spark._jvm.org.apache.hadoop.fs.Path(store)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
 
     def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["dedup_hash"])
-        try:
-            old = spark.read.parquet(f"{store}/*").where(F.col("batch") != number).select("dedup_hash")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        if old is not None:
-            new = new.join(old, "dedup_hash", "left_anti")
-        new.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{store}/part-{number:08d}")
+        part = F.substring(F.sha2(F.col("dedup_hash").cast("string"), 256), 1, 2)
+        new = batch.dropDuplicates(["dedup_hash"]).withColumn("part", part)
+        me = f"{writer}-{number:08d}"
+        schema = T.StructType([*new.drop("part").schema.fields, T.StructField("batch", T.StringType()), T.StructField("part", T.StringType())])
+        old = batch.sparkSession.read.schema(schema).parquet(store).where(F.col("batch") != me).select("dedup_hash", "part")
+        new = new.join(old, ["dedup_hash", "part"], "left_anti").select(*batch.columns, "part", F.lit(me).alias("batch"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(store)
 
     return source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
