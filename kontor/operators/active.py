@@ -78,6 +78,23 @@ def select_diverse(rows: DataFrame, train: DataFrame, train_labels: DataFrame, u
     return in_turn(first, farthest_first(rows.join(near, "id", "left_anti"), n), n=n).select("id", (F.col("source") * n + F.col("pos")).alias("pos"))
 
 
+def pick_candidates(strategy: str, n: int, *, tx: DataFrame, labels: DataFrame, predictions: DataFrame, rows: DataFrame, train: DataFrame, train_labels: DataFrame, undercovered: DataFrame | None = None) -> DataFrame:
+    """(id, pos, ...) of ``n`` rows to label next, by ``uncertainty``, ``low-confidence-first``, ``diverse`` or ``mixed``: half by uncertainty, half diverse, each id once.
+
+    ``predictions``: of the rows without a user label; ``rows``, ``train``: vectors without and with one.
+    """
+    half = max(1, n // 2)
+    if strategy == "uncertainty":
+        return select_uncertain(predictions, n)
+    if strategy == "low-confidence-first":
+        return select_low_confidence(tx, labels, n, predictions)
+    if strategy == "diverse":
+        return select_diverse(rows, train, train_labels, undercovered, n)
+    if strategy == "mixed":
+        return in_turn(select_uncertain(predictions, half), select_diverse(rows, train, train_labels, undercovered, half), n=n)
+    raise ValueError(f"unknown strategy {strategy}")
+
+
 def review_batch(tx: DataFrame, labels: DataFrame, picks: DataFrame, n: int) -> DataFrame:
     """Rows to confirm first (model labels of the middle band, least sure first), then ``picks``."""
     order = ("confidence", "id")

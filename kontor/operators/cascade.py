@@ -6,19 +6,19 @@ A prediction: id, category_id (null: abstained), confidence, stage, runner_up, r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontor.functions import amounts, dates, text, vectors
-from kontor.operators import knn
+from kontor.functions import amounts, dates, iban, text, vectors
+from kontor.operators import jobs, knn
 from kontor.operators import labels as lb
 from kontor.operators.temporal import temporal_features
 from kontor.scratch import scratch_table
@@ -40,8 +40,9 @@ class CascadeConfig:
     sign_support: int = 5
     sign_consistency: float = 0.95
     scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None
-    max_categories: int = 10_000
     classifier: dict = field(default_factory=dict)
+    calibration_folds: int = 3
+    calibration_least: int = 50
 
 
 def prediction(df: DataFrame, stage: str, confidence: Column, runner_up: Column | None = None, runner_up_confidence: Column | None = None) -> DataFrame:
@@ -51,15 +52,22 @@ def prediction(df: DataFrame, stage: str, confidence: Column, runner_up: Column
 
 
 def feature_frame(tx: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
-    """All numeric features by id: calendar, history, amount; and the vector where there is one."""
-    base = tx.select("id", F.col("cents").alias("cents"), amounts.log_abs(F.col("cents")).alias("log_abs_amount"), amounts.is_round(F.col("cents")).alias("is_round"), "is_income", *[c.alias(k) for k, c in dates.calendar_features(F.col("date")).items()])
+    """All numeric features by id: calendar, history, amount, account and mandate; and the vector where there is one. Columns that ``tx`` has not count as empty."""
+    has = lambda c: F.when(text.or_empty(F.col(c)) != "", 1).otherwise(0) if c in tx.columns else F.lit(0)
+    own = F.coalesce("iban_is_known_self", F.lit(0)) if "iban_is_known_self" in tx.columns else F.lit(0)
+    account = {"iban_is_foreign": iban.classify(F.col("iban"))["iban_is_foreign"], "iban_is_known_self": own, "has_glaeubiger_id": has("creditor"), "mandatsreferenz_present": has("mandate")}
+    base = tx.select(
+        "id", F.col("cents").alias("cents"), amounts.log_abs(F.col("cents")).alias("log_abs_amount"), amounts.is_round(F.col("cents")).alias("is_round"), "is_income",
+        *[c.alias(k) for k, c in {**dates.calendar_features(F.col("date")), **account}.items()],
+    )
     out = base.join(temporal_features(tx), "id")
     return out if embeddings is None else out.join(embeddings.select("id", "vector"), "id", "left")
 
 
 NUMERIC = [
-    "log_abs_amount", "is_round", "is_income", "year", "month", "quarter", "week", "day_of_month", "day_of_week", "is_weekend", "is_month_end", "days_since_prev_same_cp", "count_same_cp_30d",
+    "log_abs_amount", "is_round", "is_income", "year", "month", "quarter", "day_of_month", "day_of_week", "is_weekend", "is_month_end", "days_since_prev_same_cp", "count_same_cp_30d",
     "count_same_cp_90d", "count_same_cp_365d", "amount_zscore_within_cp", "is_likely_recurring", "recurring_months_12", "recurring_is_exact_amount", "iban_count_before",
+    "iban_is_foreign", "iban_is_known_self", "has_glaeubiger_id", "mandatsreferenz_present",
 ]
 
 
@@ -89,28 +97,81 @@ def class_probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return scored.select("id", F.transform(ranked, lambda s: F.struct((-s["neg"]).alias("p"), s["category_id"].alias("category_id"))).alias("ranked"))
 
 
+def isotonic(p: np.ndarray, hit: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rising step function nearest to the shares ``hit / n`` at the points ``p`` (in order): where each level begins and ends, and the levels."""
+    level: list[list[float]] = []
+    for x, h, k in zip(p, hit, n, strict=True):
+        level.append([h, k, x, x])
+        while len(level) > 1 and level[-2][0] * level[-1][1] >= level[-1][0] * level[-2][1]:
+            h2, k2, _, last = level.pop()
+            level[-1] = [level[-1][0] + h2, level[-1][1] + k2, level[-1][2], last]
+    ends = np.array([[x, y] for _, _, x, y in level]).ravel()
+    return ends, np.repeat([h / k for h, k, *_ in level], 2)
+
+
 def calibrate(held_out: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Isotonic calibration, one class against the rest, from held-out (ranked, category_id); the result maps (id, ranked) to the same, normalised."""
-    flat = held_out.select("category_id", F.explode("ranked").alias("r")).select(F.col("r.category_id").alias("c"), F.col("r.p").alias("p"), (F.col("r.category_id") == F.col("category_id")).cast("double").alias("hit")).persist()
-    models = {r["c"]: IsotonicRegression(featuresCol="p", labelCol="hit").fit(flat.where(F.col("c") == r["c"])) for r in flat.select("c").distinct().collect()}
-    curves = {c: (m.boundaries.toArray().tolist(), m.predictions.toArray().tolist()) for c, m in models.items()}
-    flat.unpersist()
+    """Isotonic calibration, one class against the rest, from held-out (ranked, category_id); the result maps (id, ranked) to the same, normalised.
+
+    Equal probabilities are added up first; each class is one group, and the curves (one for a category) come to the driver.
+    """
+    flat = held_out.select("category_id", F.explode("ranked").alias("r")).select(F.col("r.category_id").alias("c"), F.round("r.p", 6).alias("p"), (F.col("r.category_id") == F.col("category_id")).cast("double").alias("hit"))
+    points = flat.groupBy("c", "p").agg(F.sum("hit").alias("hit"), F.count(F.lit(1)).cast("double").alias("n"))
+
+    def curve_of(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("p")
+        x, y = isotonic(rows["p"].to_numpy(), rows["hit"].to_numpy(), rows["n"].to_numpy())
+        return pd.DataFrame({"c": [int(rows["c"].iloc[0])], "x": [x.tolist()], "y": [y.tolist()]})
+
+    curves = {r["c"]: (np.array(r["x"]), np.array(r["y"])) for r in points.groupBy("c").applyInPandas(curve_of, "c int, x array<double>, y array<double>").collect()}
 
     def apply(scored: DataFrame) -> DataFrame:
         @F.pandas_udf("double")
         def curve(c: pd.Series, p: pd.Series) -> pd.Series:
-            import numpy as np
+            out = p.to_numpy(float).copy()
+            for k in c.unique():
+                if k in curves:
+                    at = (c == k).to_numpy()
+                    out[at] = np.interp(out[at], *curves[k])
+            return pd.Series(out)
 
-            return pd.Series([float(np.interp(x, *curves[k])) if k in curves else x for k, x in zip(c, p, strict=True)])
-
-        rows = scored.select("id", F.explode("ranked").alias("r")).select("id", F.col("r.category_id").alias("category_id"), curve("r.category_id", "r.p").alias("q"))
-        total = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("neg"), "category_id"))).alias("l"), F.sum("q").alias("t"))
-        share = lambda s: F.struct(F.when(F.col("t") > 0, -s["neg"] / F.col("t")).otherwise(0.0).alias("p"), s["category_id"].alias("category_id"))
-        return total.select("id", F.transform("l", share).alias("ranked"))
+        rows = scored.select("id", F.explode("ranked").alias("r")).select("id", F.col("r.category_id").alias("category_id"), curve("r.category_id", "r.p").alias("p"))
+        return ranking(rows)
 
     return apply
 
 
+def ranking(rows: DataFrame) -> DataFrame:
+    """(id, ranked) from (id, category_id, p): shares of the sum, most probable first; all 0 where nothing is probable."""
+    total = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("neg"), "category_id"))).alias("l"), F.sum("p").alias("t"))
+    share = lambda s: F.struct(F.when(F.col("t") > 0, -s["neg"] / F.col("t")).otherwise(0.0).alias("p"), s["category_id"].alias("category_id"))
+    return total.select("id", F.transform("l", share).alias("ranked"))
+
+
+def calibrated_probabilities(train: DataFrame, rows: DataFrame, *, folds: int = 3, least: int = 50, **classifier) -> DataFrame | None:  # noqa: ANN003
+    """(id, ranked) of ``rows`` (id, x) by models of ``train`` (id, x, category_id); None with fewer than two classes.
+
+    With ``least`` rows or more and ``folds`` of every class, a model is fitted for each fold on the others, calibrated on the fold, and the
+    calibrated probabilities are averaged; else one model's own probabilities are returned.
+    """
+    sizes = train.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
+    r = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("n").alias("smallest")).first()
+    if r["n"] < least or r["smallest"] < folds:
+        model = fit_classifier(train, **classifier)
+        return None if model is None else class_probabilities(model, rows)
+    place = F.row_number().over(Window.partitionBy("category_id").orderBy(F.xxhash64("id"), "id"))
+    dealt = scratch_table(train.select("id", "x", "category_id", (place % folds).alias("fold")), "calibration-folds")
+    every = None
+    for f in range(folds):
+        part = dealt.where(F.col("fold") == f)
+        model = fit_classifier(dealt.where(F.col("fold") != f), **classifier)
+        if model is None:
+            return None
+        held = class_probabilities(model, part).join(part.select("id", "category_id"), "id")
+        one = calibrate(held)(class_probabilities(model, rows)).select("id", F.explode("ranked").alias("r")).select("id", "r.category_id", "r.p")
+        every = one if every is None else every.unionByName(one)
+    return ranking(every.groupBy("id", "category_id").agg((F.sum("p") / folds).alias("p")))
+
+
 def vendor_stage(rows: DataFrame, tx: DataFrame, labels: DataFrame, least: float, only: DataFrame | None = None) -> DataFrame:
     """The majority of a vendor's user labels, or of its IBAN's; ``only``: ids whose labels may be read."""
     by = {key: lb.majority(lb.label_distribution(tx, labels, key, only), key, least) for key in ("vendor", "iban")}
@@ -133,31 +194,45 @@ def classifier_stage(ranked: DataFrame, threshold: float) -> DataFrame:
     return prediction(r, STAGES[2], F.col("ranked")[0]["p"], F.get("ranked", F.lit(1))["category_id"], F.get("ranked", F.lit(1))["p"])
 
 
-def category_variants(categories: DataFrame, dim: int, most: int) -> Column:
-    """The categories as one literal array of struct(category_id, vectors, tokens); a dimension, checked to have ``most`` rows at most."""
+def similarity_stage(rows: DataFrame, categories: DataFrame, *, dim: int = 64, least: float = 0.25, margin: float = 0.03) -> DataFrame:
+    """The category whose text is most like the row's (``vector``, unit length, and ``combined``): best cosine over the variants plus a bonus for shared words.
+
+    The categories, a dimension, are multiplied with the rows block by block, and only the two best come out of a block.
+    """
     name, about = F.col("name"), text.or_empty(F.col("description"))
     full = F.when(about != "", F.concat(name, F.lit(": "), about)).otherwise(name)
-    rows = categories.select("category_id", vectors.hash_embedding(name, dim).alias("a"), vectors.hash_embedding(full, dim).alias("b"), text.long_tokens(F.concat_ws(" ", name, about)).alias("tokens")).orderBy("category_id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} categories")
-    lit = lambda xs, kind: F.array(*[F.lit(x) for x in xs]).cast(kind)
-    return F.array(*[F.struct(F.lit(r["category_id"]).alias("category_id"), lit(r["a"], "array<double>").alias("a"), lit(r["b"], "array<double>").alias("b"), lit(r["tokens"], "array<string>").alias("tokens")) for r in rows])
-
-
-def similarity_stage(rows: DataFrame, categories: DataFrame, *, dim: int = 64, least: float = 0.25, margin: float = 0.03, most: int = 10_000) -> DataFrame:
-    """The category whose text is most like the row's (``vector``, unit length, and ``combined``): best cosine over the variants plus a bonus for shared words."""
-    # written out, so that vectors, words and scores are each computed once a row and not once a use
-    rows = scratch_table(rows.select("id", text.long_tokens(F.col("combined")).alias("tokens"), "vector", vectors.norm(F.col("vector")).alias("norm")), "similarity-rows")
-
-    def score(c: Column) -> Column:
-        like = F.greatest(vectors.dot(F.col("vector"), c["a"]), vectors.dot(F.col("vector"), c["b"])) / F.col("norm")
-        return F.struct((-(like + text.overlap_bonus(F.col("tokens"), c["tokens"]))).alias("neg"), c["category_id"].alias("category_id"))
-
-    best = F.slice(F.array_sort(F.transform(category_variants(categories, dim, most), score)), 1, 2)
-    r = scratch_table(rows.where("norm > 0").select("id", best.alias("l")), "similarity-scores")
-    top, second = -F.col("l")[0]["neg"], F.coalesce(-F.get("l", F.lit(1))["neg"], F.lit(0.0))
-    r = r.withColumn("category_id", F.col("l")[0]["category_id"]).where((top >= least) & (top - second >= margin))
-    return prediction(r, STAGES[3], top)
+    variants = categories.select("category_id", vectors.hash_embedding(name, dim).alias("a"), vectors.hash_embedding(full, dim).alias("b"), text.long_tokens(F.concat_ws(" ", name, about)).alias("tokens")).orderBy("category_id").toPandas()
+    ids = variants["category_id"].to_numpy(np.int64)
+    a, b = (np.array(variants[c].tolist(), dtype=float).reshape(len(ids), -1) for c in ("a", "b"))
+    words: dict[str, list[int]] = {}
+    for i, tokens in enumerate(variants["tokens"]):
+        for w in tokens:
+            words.setdefault(w, []).append(i)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, a, b, words))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, a, b, words = shared.value
+        for batch in batches:
+            if not len(batch) or not len(ids):
+                continue
+            x = np.array(batch["vector"].tolist(), dtype=float)
+            norm = np.sqrt((x * x).sum(axis=1))
+            score = np.maximum(x @ a.T, x @ b.T) / np.where(norm > 0, norm, 1.0)[:, None]
+            bonus = np.zeros_like(score)
+            for i, tokens in enumerate(batch["tokens"]):
+                for w in tokens:
+                    bonus[i, words.get(w, [])] += 0.05
+            score = np.round(score + np.minimum(bonus, 0.15), 12)
+            top = score.argmax(axis=1)  # the first, and smallest, of equals
+            at = np.arange(len(top))
+            first = score[at, top]
+            score[at, top] = -np.inf
+            second = score.max(axis=1) if len(ids) > 1 else np.zeros(len(top))
+            keep = (norm > 0) & (first >= least) & (np.round(first - second, 12) >= margin)
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[keep], "category_id": ids[top[keep]], "score": first[keep]})
+
+    given = rows.select("id", "vector", text.long_tokens(F.col("combined")).alias("tokens"))
+    return prediction(given.mapInPandas(best, "id long, category_id int, score double"), STAGES[3], F.col("score"))
 
 
 def zeroshot_stage(rows: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -189,29 +264,30 @@ def predict(rows: DataFrame, tx: DataFrame, labels: DataFrame, categories: DataF
     todo = tx.join(rows.select("id"), "id", "left_semi")
     done, left = [], todo.select("id", "vendor", "iban")
     if STAGES[0] in c.enabled:
-        done.append(vendor_stage(left, tx, labels, c.vendor_agreement, only).persist())
+        done.append(scratch_table(vendor_stage(left, tx, labels, c.vendor_agreement, only), "cascade-vendor"))
         left = left.join(done[-1], "id", "left_anti")
     if STAGES[1] in c.enabled:
-        done.append(knn_stage(left, embeddings, train, c.k, c.knn_agreement).persist())
+        done.append(scratch_table(knn_stage(left, embeddings, train, c.k, c.knn_agreement), "cascade-knn"))
         left = left.join(done[-1], "id", "left_anti")
     vague = None
     if STAGES[2] in c.enabled:
-        x = design(feature_frame(tx, embeddings), dim).select("id", "x").persist()
-        model = fit_classifier(x.join(train, "id"), **c.classifier)
-        if model is not None:
-            ranked = class_probabilities(model, x.join(left.select("id"), "id", "left_semi")).persist()
-            done.append(classifier_stage(ranked, c.classifier_threshold).persist())
+        x = scratch_table(design(feature_frame(tx, embeddings), dim).select("id", "x"), "cascade-design")
+        rows_x = x.join(left.select("id"), "id", "left_semi")
+        ranked = calibrated_probabilities(x.join(train, "id"), rows_x, folds=c.calibration_folds, least=c.calibration_least, **c.classifier)
+        if ranked is not None:
+            ranked = scratch_table(ranked, "cascade-ranked")
+            done.append(classifier_stage(ranked, c.classifier_threshold))
             vague = ranked.where(F.col("ranked")[0]["p"] >= c.zeroshot_below).select("id")
             left = left.join(done[-1], "id", "left_anti")
     open_rows = left if vague is None else left.join(vague, "id", "left_anti")
     about = tx.select("id", text.combined_text(F.col("vendor"), text.normalize_memo(F.col("memo"))).alias("combined"))
     if STAGES[3] in c.enabled:
         with_text = open_rows.select("id").join(about, "id").withColumn("vector", vectors.hash_embedding(F.col("combined"), dim))
-        done.append(similarity_stage(with_text, categories, dim=dim, least=c.similarity_least, margin=c.similarity_margin, most=c.max_categories).persist())
+        done.append(scratch_table(similarity_stage(with_text, categories, dim=dim, least=c.similarity_least, margin=c.similarity_margin), "cascade-similarity"))
         open_rows = open_rows.join(done[-1], "id", "left_anti")
     if STAGES[4] in c.enabled and c.scorer is not None:
         premises = open_rows.select("id").join(about, "id").select("id", text.premise(F.col("combined"), F.lit(""), F.lit("")).alias("premise"))
-        done.append(zeroshot_stage(premises, c.scorer).persist())
+        done.append(scratch_table(zeroshot_stage(premises, c.scorer), "cascade-zeroshot"))
     decided = None
     for d in done:
         decided = d if decided is None else decided.unionByName(d)
@@ -222,6 +298,23 @@ def predict(rows: DataFrame, tx: DataFrame, labels: DataFrame, categories: DataF
     return sign_guardrail(out.select(*COLUMNS), tx, lb.sign_consistency(tx, labels, only), support=c.sign_support, least=c.sign_consistency)
 
 
+def predict_job(
+    tx: DataFrame, labels: DataFrame, categories: DataFrame, embeddings: DataFrame, created_at: str, config: CascadeConfig | None = None, *, threshold: float | None = None, dry_run: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions for all rows without a user label, and the label log with those that decided added as model labels (unchanged in a dry run).
+
+    ``threshold``, where given, stands for the configured one of the classifier.
+    """
+    c = config or CascadeConfig()
+    if threshold is not None:
+        c = replace(c, classifier_threshold=threshold)
+    made = scratch_table(predict(lb.without_label(tx, labels), tx, labels, categories, embeddings, c), "predictions")
+    if dry_run:
+        return made, labels
+    new = made.where("category_id is not null").select(F.col("id").alias("expense_id"), "category_id", F.lit("model").alias("source"), "confidence", F.lit(created_at).cast("timestamp").alias("created_at"))
+    return made, jobs.append_labels(labels, new)
+
+
 def pca_projection(rows: DataFrame) -> DataFrame:
     """(id, category_id, x, y, explained): centred vectors on their two principal axes, classes of one row left out; each axis points the way of its largest loading."""
     from pyspark.ml.feature import PCA

@@ -26,12 +26,17 @@ def fold_sizes(folds: DataFrame) -> DataFrame:
     return n.withColumn("train", F.sum("test").over(Window.partitionBy()) - F.col("test"))  # one row per fold
 
 
-def cross_validate(folds: DataFrame, run: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """(id, truth, predicted, stage, confidence): each fold predicted with the labels of the others; ``run(test ids, train ids)`` gives predictions."""
+def cross_validate(folds: DataFrame, run: Callable[[DataFrame, DataFrame], DataFrame], only: DataFrame | None = None) -> DataFrame:
+    """(id, truth, predicted, stage, confidence): each fold predicted with the labels of the others; ``run(test ids, train ids)`` gives predictions.
+
+    ``only``: ids that may be learnt from; all are predicted.
+    """
     folds = scratch_table(folds, "folds")
     out = None
     for f in sorted(r[0] for r in folds.select("fold").distinct().collect()):
         test, train = folds.where(F.col("fold") == f), folds.where(F.col("fold") != f)
+        if only is not None:
+            train = train.join(only.select("id"), "id", "left_semi")
         p = run(test.select("id"), train.select("id")).select("id", F.col("category_id").alias("predicted"), "stage", "confidence")
         rows = test.select("id", F.col("category_id").alias("truth")).join(p, "id", "left")
         out = rows if out is None else out.unionByName(rows)
@@ -82,24 +87,39 @@ def misclassified(records: DataFrame, tx: DataFrame, categories: DataFrame) -> D
     return wrong.join(name("truth"), "truth", "left").join(name("predicted"), "predicted", "left")
 
 
+# The labels of an ablation's runs.
+CUMULATIVE, WHOLE, WITHOUT = "cumulative: {}", "full baseline: {}", "leave-one-out: drop {}"
+
+
 def ablation_plan(stages: tuple[str, ...] = STAGES[:4]) -> list[tuple[str, tuple[str, ...]]]:
-    """Cumulative subsets, the whole, and each stage left out."""
-    runs = [(f"cumulative: {'+'.join(stages[: i + 1])}", stages[: i + 1]) for i in range(len(stages))]
-    runs.append((f"full baseline: {'+'.join(stages)}", stages))
-    return runs + [(f"leave-one-out: drop {s}", tuple(x for x in stages if x != s)) for s in stages if len(stages) > 1]
+    """Which stages each run has: the first few, more and more; all; and all but one."""
+    first = {CUMULATIVE.format("+".join(stages[:n])): stages[:n] for n in range(1, len(stages) + 1)}
+    whole = {WHOLE.format("+".join(stages)): stages}
+    without = {WITHOUT.format(s): tuple(x for x in stages if x != s) for s in stages if len(stages) > 1}
+    return list((first | whole | without).items())
 
 
 def ablation(folds: DataFrame, run_with: Callable[[CascadeConfig], Callable], config: CascadeConfig) -> DataFrame:
-    """(run, accuracy, coverage, delta against the whole) of each run of the plan."""
-    out = None
+    """(run, accuracy, coverage, delta against the whole) of each run of the plan; runs of the same stages are made once."""
+    out, made = None, {}
     for label, stages in ablation_plan(config.enabled):
-        r = scores(cross_validate(folds, run_with(replace(config, enabled=stages)))).select(F.lit(label).alias("run"), "accuracy", "coverage")
+        if stages not in made:
+            made[stages] = scratch_table(scores(cross_validate(folds, run_with(replace(config, enabled=stages)))), "ablation-run")
+        r = made[stages].select(F.lit(label).alias("run"), "accuracy", "coverage")
         out = r if out is None else out.unionByName(r)
     whole = F.max(F.when(F.col("run").startswith("full"), F.col("accuracy"))).over(Window.partitionBy())  # one row per run
     return out.withColumn("delta", F.col("accuracy") - whole)
 
 
 def batch_impact(records_without: DataFrame, records_with: DataFrame) -> DataFrame:
-    """One row: accuracy without and with a batch of labels, and the difference."""
-    a, b = scores(records_without).select(F.col("accuracy").alias("before")), scores(records_with).select(F.col("accuracy").alias("after"))
-    return a.crossJoin(b).withColumn("delta", F.col("after") - F.col("before"))  # one row each
+    """One row: accuracy and macro F1 without and with a batch of labels, and the accuracies' difference."""
+    one = lambda r, when: scores(r).select(F.col("accuracy").alias(when)).crossJoin(f1_summary(r).select(F.col("macro_f1").alias(f"{when}_macro_f1")))
+    return one(records_without, "before").crossJoin(one(records_with, "after")).withColumn("delta", F.col("after") - F.col("before"))  # one row each
+
+
+def label_batch_impact(folds: DataFrame, batch: DataFrame, run: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """What the labels of ``batch`` (id) are worth: two cross-validations over all of ``folds``, one that may not learn from them and one that may. Plus ``n_batch``."""
+    mine = folds.join(batch.select("id"), "id", "left_semi")
+    rest = folds.join(batch.select("id"), "id", "left_anti")
+    before, after = cross_validate(folds, run, only=rest), cross_validate(folds, run)
+    return batch_impact(scratch_table(before, "impact"), scratch_table(after, "impact")).crossJoin(mine.agg(F.count(F.lit(1)).alias("n_batch")))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from kontor.functions import amounts, iban, text
 from kontor.operators.matching import match_secondary
+from kontor.scratch import scratch_table
 
 TEXT_COLUMNS = ("payee", "payer", "memo", "kind")
 HASH_PREFIX = 120
@@ -50,6 +56,18 @@ def missing_embeddings(rows: DataFrame, embeddings: DataFrame, model: str, embed
     return rows.join(embeddings.where(F.col("model") == model).select("id"), "id", "left_anti").select("id", F.lit(model).alias("model"), embed.alias("vector")).withColumn("dim", F.size("vector"))
 
 
+def embed_rows(rows: DataFrame, model: str, encode: Callable[[], Callable[[np.ndarray], np.ndarray]], *, column: str = "combined", batch_size: int = 256) -> DataFrame:
+    """(id, model, dim, vector) of ``rows`` by a user's encoder: ``encode`` gives, once a worker, a function from a batch of texts to their vectors."""
+    vector = predict_batch_udf(encode, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return rows.select("id", F.lit(model).alias("model"), vector(text.or_empty(F.col(column))).alias("vector")).withColumn("dim", F.size("vector"))
+
+
+def embed_again(embeddings: DataFrame, changed: DataFrame, model: str, encode: Callable[[], Callable[[np.ndarray], np.ndarray]], *, column: str = "combined") -> DataFrame:
+    """``embeddings`` with the vectors of ``model`` for the rows of ``changed`` (id and text), such as enriched ones, made anew."""
+    kept = embeddings.join(changed.select("id", F.lit(model).alias("model")), ["id", "model"], "left_anti").select("id", "model", "dim", "vector")
+    return kept.unionByName(embed_rows(changed, model, encode, column=column).select("id", "model", "dim", "vector"))
+
+
 def load_embeddings(embeddings: DataFrame, model: str, ids: DataFrame | None = None) -> DataFrame:
     """The vectors of ``model`` whose length is the most common one (the smaller on ties)."""
     rows = embeddings.where(F.col("model") == model)
@@ -111,10 +129,18 @@ def invalid_ibans(own: DataFrame) -> DataFrame:
 
 
 def append_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """The log with ``new`` (expense_id, category_id, source, confidence, created_at) after it, numbered on in order of expense and category."""
+    """The log with ``new`` (expense_id, category_id, source, confidence, created_at) after it, numbered on in order of expense, category and source.
+
+    The new rows are dealt out by ranges and numbered within each; only the ranges' sizes are added up in one place.
+    """
+    order = ("expense_id", "category_id", "source")
+    dealt = scratch_table(new.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "new-labels")
     last = labels.agg(F.coalesce(F.max("label_id"), F.lit(0)).alias("last"))
-    rank = F.row_number().over(Window.orderBy("expense_id", "category_id", "source"))  # one batch of a user's or a job's labels
-    return labels.unionByName(new.withColumn("r", rank).crossJoin(last).select((F.col("last") + F.col("r")).alias("label_id"), *[c for c in labels.columns if c != "label_id"]))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("k")).select("_range", before.alias("start")).crossJoin(last)
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = dealt.join(starts, "_range").withColumn("label_id", F.col("last") + F.col("start") + rank)
+    return labels.unionByName(numbered.select(*labels.columns))
 
 
 def apply_changes(labels: DataFrame, changes: DataFrame) -> DataFrame:

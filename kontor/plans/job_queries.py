@@ -225,6 +225,19 @@ add("a8_m2_classify_files", f"SELECT 'bank' AS kind, count(DISTINCT id // {FILE_
 add("a11_missing_embeddings", "SELECT tx.id FROM tx WHERE id NOT IN (SELECT vec_id FROM embeddings)")(lambda s, d: jobs.missing_embeddings(t.transactions(s, d), t.vectors(s, d), "given", hash_embedding(F.col("vendor"))).select("id"))
 add("a12_load_embeddings", "SELECT vec_id AS id, len(embedding)::INT AS dim FROM embeddings WHERE vec_id IN (SELECT id FROM tx)")(
     lambda s, d: jobs.load_embeddings(t.vectors(s, d).unionByName(t.vectors(s, d).limit(3).withColumn("vector", F.slice("vector", 1, 3))), "given", t.transactions(s, d)).select("id", "dim"))
+add("a13_purge_embeddings", "SELECT 'given' AS model, count(*) AS n FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'old', count(*) FROM embeddings WHERE vec_id % 2 = 1")(
+    lambda s, d: (lambda kept, gone: kept.groupBy("model").agg(F.count(F.lit(1)).alias("n")).unionByName(gone))(*jobs.purge_embeddings(t.vectors(s, d).withColumn("model", F.when(F.col("id") % 2 == 1, "old").otherwise("given")), "given")))
+
+
+def letter_counts():  # noqa: ANN201
+    """A stand-in for a user's encoder: counts of eight letters."""
+    import numpy as np
+
+    return lambda texts: np.array([[x.count(c) for c in "aehilnor"] for x in texts], dtype=np.float32)
+
+
+add("m1_embed_rows", "SELECT id, [length(vendor) - length(replace(vendor, c, '')) FOR c IN ['a', 'e', 'h', 'i', 'l', 'n', 'o', 'r']]::VARCHAR AS vector FROM tx")(
+    lambda s, d: jobs.embed_rows(t.transactions(s, d), "letters", letter_counts, column="vendor").select("id", F.concat(F.lit("["), F.array_join(F.col("vector").cast("array<int>"), ", "), F.lit("]")).alias("vector")))
 add("a13_embedding_inventory", "SELECT 'given' AS model, len(embedding)::INT AS dim, count(*) AS n FROM embeddings GROUP BY 2")(lambda s, d: jobs.embedding_inventory(t.vectors(s, d)))
 NOTES = ", notes AS (SELECT event_id * 4 AS expense_id, max(event_type) AS text FROM events WHERE event_id % 10 = 0 GROUP BY 1)\n"
 
@@ -248,7 +261,8 @@ def _(spark, d):  # noqa: ANN001, ANN202
     return cascade.vendor_stage(tx, tx, t.labels(spark, d), 0.2).select("id", "category_id", "confidence")
 
 
-add("h1_h2_feature_frame", "SELECT id, round(ln(1 + a / 100.0), 6) AS log_abs_amount, is_income, month(date)::INT AS month FROM tx")(lambda s, d: cascade.feature_frame(t.transactions(s, d), t.vectors(s, d)).select("id", "log_abs_amount", "is_income", "month"))
+add("h1_h2_feature_frame", "SELECT id, round(ln(1 + a / 100.0), 6) AS log_abs_amount, is_income, year(date)::INT AS year, month(date)::INT AS month, quarter(date)::INT AS quarter, CASE WHEN iban <> '' THEN (iban NOT LIKE 'DE%')::INT END AS iban_is_foreign, coalesce(self, 0) AS iban_is_known_self, 0 AS has_glaeubiger_id, 0 AS mandatsreferenz_present FROM tx")(
+    lambda s, d: cascade.feature_frame(t.transactions(s, d), t.vectors(s, d)).select("id", "log_abs_amount", "is_income", "year", "month", "quarter", "iban_is_foreign", "iban_is_known_self", "has_glaeubiger_id", "mandatsreferenz_present"))
 
 
 def labelled_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -271,9 +285,7 @@ def _(spark, d):  # noqa: ANN001, ANN202
 @add("h4_calibrated_probabilities", None)
 def _(spark, d):  # noqa: ANN001, ANN202
     rows = embedded_rows(spark, d)
-    model = cascade.fit_classifier(rows.where("id % 3 = 0"), forest=False)
-    held = cascade.class_probabilities(model, rows.where("id % 3 = 1")).join(rows.select("id", "category_id"), "id")
-    out = cascade.calibrate(held)(cascade.class_probabilities(model, rows.where("id % 3 = 2")))
+    out = cascade.calibrated_probabilities(rows.where("id % 3 <> 2"), rows.where("id % 3 = 2"), forest=False)
     return out.select("id", F.col("ranked")[0]["category_id"].alias("category_id"), F.col("ranked")[0]["p"].alias("p"))
 
 
@@ -293,19 +305,28 @@ add("h9_m1_zeroshot_hook", "SELECT id, CASE WHEN vendor LIKE 'hotel%' OR memo LI
     lambda s, d: cascade.zeroshot_stage(t.transactions(s, d).select("id", text.combined_text(F.col("vendor"), text.normalize_memo(F.col("memo"))).alias("premise")), keyword_scorer).select("id", "category_id", "confidence"))
 
 
-def quick(enabled: tuple[str, ...] = ("vendor_exact_match", "knn", "category_similarity")) -> cascade.CascadeConfig:
-    return cascade.CascadeConfig(enabled=enabled, vendor_agreement=0.2, knn_agreement=2)
+def all_stages(**other) -> cascade.CascadeConfig:  # noqa: ANN003
+    """All four stages that need no model from outside; thresholds at which the synthetic labels, which are drawn at random, are not all too weak."""
+    return cascade.CascadeConfig(vendor_agreement=0.2, knn_agreement=2, classifier_threshold=0.2, zeroshot_below=0.15, classifier={"forest": False, "max_iter": 10}, **other)
 
 
 def predictions(spark: SparkSession, d: str, config: cascade.CascadeConfig | None = None) -> DataFrame:
     tx, labels = t.transactions(spark, d), t.labels(spark, d)
-    return cascade.predict(lb.without_label(tx, labels), tx, labels, t.categories(spark, d), t.vectors(spark, d), config or quick())
+    return cascade.predict(lb.without_label(tx, labels), tx, labels, t.categories(spark, d), t.vectors(spark, d), config or all_stages())
 
 
 add("h10_h12_cascade", None)(predictions)
 add("e34_stage_counts", None)(lambda s, d: predictions(s, d).groupBy("stage").agg(F.count(F.lit(1)).alias("n")))
 
 
+@add("h12_predict_job", None)
+def _(spark, d):  # noqa: ANN001, ANN202
+    """The model labels that a run adds: each with the next number of the log."""
+    tx, labels = t.transactions(spark, d), t.labels(spark, d)
+    _, log = cascade.predict_job(tx, labels, t.categories(spark, d), t.vectors(spark, d), "2002-01-01", all_stages(), threshold=0.3)
+    return log.where("created_at = timestamp '2002-01-01'")
+
+
 @add("h11_sign_guardrail", """, sc AS (SELECT lab.category_id, count(*) FILTER (cents > 0) AS p, count(*) FILTER (cents < 0) AS n FROM lab JOIN tx ON tx.id = expense_id WHERE source = 'user' GROUP BY 1), g AS (SELECT category_id, CASE WHEN p >= n THEN 1 ELSE -1 END AS sg FROM sc WHERE greatest(p, n) / (p + n) >= 0.9 AND p + n >= 5)
 SELECT tx.id, CASE WHEN sg IS NULL OR sign(cents) = sg THEN latest.category_id END AS category_id FROM tx JOIN latest ON expense_id = id LEFT JOIN g ON g.category_id = latest.category_id""")
 def _(spark, d):  # noqa: ANN001, ANN202
@@ -368,19 +389,30 @@ def truth_rows(spark: SparkSession, d: str) -> DataFrame:
 add("k2_fold_sizes", "SELECT f AS fold, count(*) AS test, sum(count(*)) OVER ()::BIGINT - count(*) AS train FROM (SELECT (row_number() OVER (PARTITION BY category_id ORDER BY expense_id) - 1)::INT % 4 AS f FROM latest_user) GROUP BY 1")(lambda s, d: evaluate.fold_sizes(evaluate.stratified_folds(truth_rows(s, d), 4)))
 
 
-@add("k1_cross_validate", None)
-def _(spark, d):  # noqa: ANN001, ANN202
-    run = evaluate.cascade_run(t.transactions(spark, d), t.labels(spark, d), t.categories(spark, d), t.vectors(spark, d), quick(("vendor_exact_match", "knn")))
-    return evaluate.cross_validate(evaluate.stratified_folds(truth_rows(spark, d), 2), run)
+def fold_run(spark: SparkSession, d: str, config: cascade.CascadeConfig):  # noqa: ANN201
+    return evaluate.cascade_run(t.transactions(spark, d), t.labels(spark, d), t.categories(spark, d), t.vectors(spark, d), config)
+
+
+add("k1_cross_validate", None)(lambda s, d: evaluate.cross_validate(evaluate.stratified_folds(truth_rows(s, d), 3), fold_run(s, d, all_stages())))
 
 
 @add("k7_ablation", None)
 def _(spark, d):  # noqa: ANN001, ANN202
-    tx, labels, cats, vecs = (f(spark, d) for f in (t.transactions, t.labels, t.categories, t.vectors))
-    return evaluate.ablation(evaluate.stratified_folds(truth_rows(spark, d), 2), lambda c: evaluate.cascade_run(tx, labels, cats, vecs, c), quick(("vendor_exact_match", "knn")))
+    return evaluate.ablation(evaluate.stratified_folds(truth_rows(spark, d), 2), lambda c: fold_run(spark, d, c), all_stages())
+
+
+@add("j6_label_batch_impact", None)
+def _(spark, d):  # noqa: ANN001, ANN202
+    """What the labels of the later half of the orders add."""
+    folds = evaluate.stratified_folds(truth_rows(spark, d), 2)
+    batch = t.transactions(spark, d).where("date >= '1998-01-01'").select("id")
+    return evaluate.label_batch_impact(folds, batch, fold_run(spark, d, all_stages()))
 
 
-add("j6_batch_impact", REC + """SELECT round(a, 6) AS before, round(b, 6) AS after, round(b - a, 6) AS delta FROM (SELECT count(*) FILTER (truth = predicted) / count(*) AS a, (SELECT count(*) FILTER (truth = predicted) / count(*) FROM rec WHERE stage <> 'unknown') AS b FROM rec)""")(lambda s, d: evaluate.batch_impact(evaluated(s, d), evaluated(s, d).where("stage <> 'unknown'")))
+add("j6_batch_impact", REC + """, f1 AS (SELECT avg(f) AS f FROM pc), rec2 AS (SELECT * FROM rec WHERE stage <> 'unknown'),
+f2 AS (SELECT avg(f) AS f FROM (SELECT 2 * count(*) FILTER (truth = c AND predicted = c) / (count(*) FILTER (truth = c) + count(*) FILTER (predicted = c)) AS f FROM rec2, (SELECT truth AS c FROM rec2 UNION SELECT predicted FROM rec2) GROUP BY c))
+SELECT round(a, 6) AS before, round(b, 6) AS after, round(b - a, 6) AS delta, round((SELECT f FROM f1), 6) AS before_macro_f1, round((SELECT f FROM f2), 6) AS after_macro_f1
+FROM (SELECT count(*) FILTER (truth = predicted) / count(*) AS a, (SELECT count(*) FILTER (truth = predicted) / count(*) FROM rec2) AS b FROM rec)""")(lambda s, d: evaluate.batch_impact(evaluated(s, d), evaluated(s, d).where("stage <> 'unknown'")))
 
 
 # streams over the events table, run to their end
