@@ -25,17 +25,17 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The whole documents are dealt out; sizes and checksums are those of the texts that arrive."""
+    placed = shuffle_into_shards(read_table(spark, sf_dir, "documents"), N_SHARDS, seed=1, stable_input=True)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = shuffle_into_shards(rows, N_SHARDS, seed=1, stable_input=True)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    mixed = mix_sources(rows, F.col("size"), key=("doc_id", "text_hash"), seed=6)
+    mixed = mix_sources(rows, F.col("size"), key=("doc_id", "text_hash"), seed=6, stable_input=True)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).cast("long").alias("taken"), "source", "repeats")
 
 

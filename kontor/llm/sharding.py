@@ -3,7 +3,10 @@
 Row ``i`` of the matrix says how many rows input partition ``i`` sends to each destination. It is drawn from the
 multivariate hypergeometric law, so the destinations' sizes are exact and every arrangement is equally likely. The
 matrix is never held anywhere: each task descends a binary tree over the input partitions, whose nodes are seeded by
-their place, and gets its own row alone.
+their place, and gets its own row alone: shards times the logarithm of the partitions, however many rows there are.
+
+Within a shard, every row falls into one of many chunks by a random number of its own and is put in order there, which is a uniform
+arrangement again; a chunk's first slot is the number of rows in the chunks before it.
 """
 
 from __future__ import annotations
@@ -58,20 +61,13 @@ def matrix_row(offsets: np.ndarray, columns: np.ndarray, i: int, seed: int) -> n
     return left
 
 
-def chunk_sizes(n: int, n_shards: int, per_shard: int) -> np.ndarray:
-    shard = np.arange(n_shards, dtype=np.int64)
-    rows = n // n_shards + (shard < n % n_shards)
-    cut = rows[:, None] * np.arange(per_shard + 1, dtype=np.int64)[None, :] // per_shard
-    return np.diff(cut, axis=1).ravel()
-
-
 def shuffle_into_shards(df: DataFrame, n_shards: int, *, seed: int = 0, rows_per_chunk: int = 16384, stable_input: bool = False) -> DataFrame:
     """All rows and columns of ``df`` plus ``shard`` (int, 0 to ``n_shards - 1``) and ``slot`` (long, gapless from 0 in each shard).
 
     A uniform random arrangement: shard sizes differ by one row at most, the first ``n mod n_shards`` shards have the extra
-    row. Shards are cut into chunks of at most ``rows_per_chunk`` rows, which are the matrix' destinations, so that no
-    task holds a shard. Three steps: a count of rows per input partition; each task labels its rows with a random
-    arrangement of its matrix row; one exchange by chunk, and a random order within the chunk gives the slot.
+    row. Three steps: a count of rows per input partition; each task labels its rows with a random
+    arrangement of its matrix row; one exchange by shard and chunk, and the order within the chunk gives the slot. Chunks have about
+    ``rows_per_chunk`` rows, so that no task holds a shard; their sizes are counted in a pass over the labels alone.
     What is broadcast is one long per input partition.
 
     ``stable_input``: ``df`` reads files and each partition gives the same rows again (no shuffle, no sample); else it is
@@ -85,6 +81,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, *, seed: int = 0, rows_per
         df = scratch_table(df, "shards-input")
     counts = sorted((r[0], r[1]) for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     n = sum(c for _, c in counts)
+    rows_of = np.array([n // n_shards + (s < n % n_shards) for s in range(n_shards)], dtype=np.int64)
     per_shard = max(1, -(-(-(-n // n_shards)) // rows_per_chunk))
     place = {p: i for i, (p, _) in enumerate(counts)}
     offsets = np.concatenate([[0], np.cumsum([c for _, c in counts])]).astype(np.int64)
@@ -99,7 +96,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, *, seed: int = 0, rows_per
             if left is None:
                 here, cuts = known.value
                 at = int(part.iloc[0])
-                left = matrix_row(cuts, chunk_sizes(n, n_shards, per_shard), here[at], seed)
+                left = matrix_row(cuts, rows_of, here[at], seed)
                 rng = np.random.default_rng([seed, at, 1])
             if len(part) > int(left.sum()):
                 raise ValueError("a partition gave more rows than were counted: use stable_input=False")
@@ -111,10 +108,12 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, *, seed: int = 0, rows_per
             yield pd.Series(out)
 
     label = F.pandas_udf(labels, "long").asNondeterministic()
-    chunk, order = fresh(df, "_chunk", "_order")
-    out = df.withColumn(order, F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).withColumn(chunk, label(F.spark_partition_id()))
-    shard = F.floor(F.col(chunk) / F.lit(per_shard)).cast("int")
-    rows = F.lit(n // n_shards) + (shard < n % n_shards).cast("long")
-    start = F.floor(rows * (F.col(chunk) % per_shard) / F.lit(per_shard)).cast("long")
-    rank = F.row_number().over(Window.partitionBy(chunk).orderBy(order))
-    return out.withColumn("shard", shard).withColumn("slot", (start + rank - 1).cast("long")).drop(chunk, order)
+    chunk, order, start = fresh(df, "_chunk", "_order", "_start")
+    out = df.withColumn(order, F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).withColumn("shard", label(F.spark_partition_id()).cast("int"))
+    out = out.withColumn(chunk, F.pmod(F.shiftrightunsigned(order, 32), F.lit(per_shard)))
+    before = F.sum("k").over(Window.partitionBy("shard").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))  # one row a chunk
+    starts = out.groupBy("shard", chunk).agg(F.count(F.lit(1)).alias("k")).select("shard", chunk, F.coalesce(before, F.lit(0)).alias(start))
+    starts = scratch_table(starts, "shards-starts")
+    rank = F.row_number().over(Window.partitionBy("shard", chunk).orderBy(order))
+    out = out.join(starts, ["shard", chunk])
+    return out.withColumn("slot", (F.col(start) + rank - 1).cast("long")).select(*df.columns, "shard", "slot")

@@ -7,7 +7,7 @@ passes the threshold and its trust.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm.common import fold_ascii, fresh, scratch_table
@@ -65,8 +65,8 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.
     rank = seeds.withColumn("rank", F.lit(1 - damping)).withColumn("new", F.col("rank"))
     if edges.isEmpty():
         return rank.drop("new")
-    out_weight = F.sum("n").over(Window.partitionBy("src"))
-    flow = edges.select("src", "dst", (damping * F.col("n") / out_weight).alias("w"))
+    totals = edges.groupBy("src").agg(F.sum("n").alias("total"))
+    flow = edges.join(totals, "src").select("src", "dst", (damping * F.col("n") / F.col("total")).alias("w"))
     hosts = edges.select("src").union(edges.select("dst")).union(seeds).distinct()
     flow = scratch_table(flow.unionByName(hosts.select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("w"))), "host-flow")  # null: what the host has, it keeps
     left = None
