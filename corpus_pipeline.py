@@ -59,7 +59,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def mix(d: DataFrame) -> DataFrame:
         (text_hash, copy) = fresh(d, "_text_hash", "_copy")
-        mixed = mix_sources(d.withColumn(text_hash, F.xxhash64("text")), n_words(F.col("text")), key=("doc_id", text_hash), seed=6)
+        mixed = mix_sources(d.withColumn(text_hash, F.xxhash64("text")), n_words(F.col("text")), key=("doc_id", text_hash), seed=6, stable_input=True)
         return mixed.where("repeats > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("repeats"))))
 
     return set_aside(docs, ("size", "source_size", "target", "repeats"), mix)
