@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a local folder where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a local folder for a local master, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="kontor-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
