@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The shared folder for tables that cut lineage: ``spark.checkpoint.dir``; where it is unset, a local one for a local master, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="kontor-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,7 +34,23 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later plans start from files that survive lost executors."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    WRITTEN[id(out)] = path
+    weakref.finalize(out, WRITTEN.pop, id(out), None)
+    return out
+
+
+#: Where the tables that are still in use were written.
+WRITTEN: dict[int, str] = {}
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Deletes scratch tables that no later plan reads."""
+    for t in tables:
+        path = WRITTEN.pop(id(t), None)
+        if path is not None:
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fold_ascii(c: Column) -> Column:
@@ -44,11 +63,6 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
-def text_key(c: Column) -> Column:
-    """128-bit key of a text; null has the key of the empty text."""
-    return F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
-
-
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for working columns that clash with none of ``df``, whatever extra columns it has."""
     have = {c.lower() for c in df.columns}

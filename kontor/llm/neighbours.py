@@ -151,17 +151,19 @@ def top_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 
 
 def nearest(
-    df: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, parts: int = 16, sample_rows: int = 8192, target_recall: float = 0.96, block_rows: int = 16384, query_rows: int = 4096, seed: int = 0
+    df: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, parts: int | None = None, sample_rows: int = 8192, target_recall: float = 0.96, block_rows: int = 16384, query_rows: int = 4096, seed: int = 0
 ) -> DataFrame:
     """(query_id, rank, ``key``, score): for each row with ``is_query`` its ``k`` nearest other rows found, by inner product in double precision.
 
     The router is fitted on at most ``sample_rows`` rows, those of the smallest hashes; all rows are indexed. Partitions are cut into blocks of about
     ``block_rows`` rows, their queries into about ``query_rows``, so that neither a hot partition nor a hot vector
-    fills a task; every block gives at most ``k`` rows per query.
+    fills a task; every block gives at most ``k`` rows per query. ``parts``, where not given, grows with the root of the rows, from 16 up to what the sample can teach
+    (50 of its rows each). How many partitions a query goes to is what ``target_recall`` takes on the sample: few where vectors form groups, most where they
+    lie about evenly. Queries that find fewer than ``k`` rows there go to all other partitions too.
 
     Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without a key
-    or of another length than most; a query never finds its own key, repeated or not; fewer candidates than ``k`` give all
-    that are in the probed partitions; up to 99 rows there is one partition, and the search is exact; no usable rows give no rows.
+    or of another length than most; a query never finds its own key, repeated or not; fewer candidates than ``k`` give all;
+    up to 99 rows there is one partition, and the search is exact; no usable rows give no rows.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -171,6 +173,7 @@ def nearest(
     if width is None:
         return df.sparkSession.createDataFrame([], empty)
     rows = rows.where(F.size("v") == width["d"])
+    parts = max(16, int(width["n"] ** 0.5) // 4) if parts is None else parts
     sample = rows.select("id", "v").withColumn("h", F.xxhash64(F.lit(seed), "id", "v")).orderBy("h").limit(sample_rows).toPandas()
     router = fit_router(np.array(sample["v"].tolist(), dtype=np.float64).reshape(len(sample), -1), width["norm"], parts=parts, k=k, target_recall=target_recall)
     shared = df.sparkSession.sparkContext.broadcast(router)
@@ -185,16 +188,6 @@ def nearest(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array([list(map(int, a)) if y else [] for a, y in zip(asked, is_q, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "q", "part", "asked"])
 
     routed = scratch_table(rows.mapInArrow(route, "id long, v array<double>, q boolean, part int, asked array<int>"), "neighbours-routed")
-    asked = routed.where("q").select("id", "v", F.explode("asked").alias("part"))
-    sizes = routed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("part").agg(F.count(F.lit(1)).alias("m")), "part")
-    plan = sizes.select("part", F.ceil(F.col("n") / block_rows).cast("int").alias("c_blocks"), F.ceil(F.col("m") / query_rows).cast("int").alias("q_blocks"))
-    plan = F.broadcast(plan)  # one row per partition
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
-    candidates = routed.select("id", "v", "part").join(plan, "part").withColumn("c", block("c_blocks")).withColumn("b", every("q_blocks")).select("part", "c", "b", "id", "v")
-    queries = asked.join(plan, "part").withColumn("b", block("q_blocks")).withColumn("c", every("c_blocks"))
-    queries = queries.select(F.col("part").alias("q_part"), F.col("c").alias("q_c"), F.col("b").alias("q_b"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))  # names of their own, as both come from one table
-
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             q, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -202,6 +195,27 @@ def nearest(
             q, c, s = top_of_block(left["q_id"].to_numpy(), matrix(left["q_v"]), right["id"].to_numpy(), matrix(right["v"]), k)
         return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    found = queries.groupBy("q_part", "q_c", "q_b").cogroup(candidates.groupBy("part", "c", "b")).applyInArrow(search, "query_id long, id long, score double")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+
+    def met(asked: DataFrame) -> DataFrame:
+        """What the queries of ``asked`` (id, v, part) find in those partitions."""
+        sizes = routed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("part").agg(F.count(F.lit(1)).alias("m")), "part")
+        plan = sizes.select("part", F.ceil(F.col("n") / block_rows).cast("int").alias("c_blocks"), F.ceil(F.col("m") / query_rows).cast("int").alias("q_blocks"))
+        plan = F.broadcast(plan)  # one row per partition
+        candidates = routed.select("id", "v", "part").join(plan, "part").withColumn("c", block("c_blocks")).withColumn("b", every("q_blocks")).select("part", "c", "b", "id", "v")
+        queries = asked.join(plan, "part").withColumn("b", block("q_blocks")).withColumn("c", every("c_blocks"))
+        queries = queries.select(F.col("part").alias("q_part"), F.col("c").alias("q_c"), F.col("b").alias("q_b"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))  # names of their own, as both come from one table
+        return queries.groupBy("q_part", "q_c", "q_b").cogroup(candidates.groupBy("part", "c", "b")).applyInArrow(search, "query_id long, id long, score double")
+
+    found = met(routed.where("q").select("id", "v", F.explode("asked").alias("part")))
+    used = len(router.bias)
+    if router.probes < used:
+        found = scratch_table(found, "neighbours-found")
+        enough = found.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+        short = scratch_table(routed.where("q").join(enough, "id", "left_anti").select("id", "v", "asked"), "neighbours-short")
+        if not short.isEmpty():
+            others = F.array_except(F.array(*[F.lit(i) for i in range(used)]), "asked")
+            found = found.unionByName(met(short.select("id", "v", F.explode(others).alias("part"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

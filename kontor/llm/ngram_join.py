@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kontor.llm.common import fresh, scratch_table
+from kontor.llm.common import drop_scratch, fresh, scratch_table
 from kontor.llm.components import connected_components
 from kontor.llm.words import GOLDEN, Words, cut_words, gram_hashes, mix64
 
@@ -266,11 +266,13 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     known = classes.select("class", F.col("class").alias("component")).limit(0)
     both = [f("a", "b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
     met, tested = meetings(tokens, None), None
+    drop_scratch(tokens)
     for turn in range(STARS):
         pairs = scratch_table(star_pairs(met, turn, percent), "ngram-stars")
         tested = pairs.select(*both) if tested is None else tested.unionByName(pairs.select(*both))
         known = contract(known, verify(pairs, classes, reps, n, percent))
-        met = meetings(met.drop("component"), known)
+        before, met = met, meetings(met.drop("component"), known)
+        drop_scratch(before)
     pairs = prefix_pairs(met, percent).select(*both).join(tested, ["a", "b"], "left_anti")
     known = contract(known, verify(scratch_table(pairs, "ngram-candidates"), classes, reps, n, percent))
     member = component_of(described.select("id", "key", "class", "n"), known)
