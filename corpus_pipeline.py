@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), where ``docs`` reads a written table, and works on all rows that the stage
 before kept. Columns of ``docs`` that clash with an operator's own are set aside meanwhile and come back unchanged.
+
+In every stage null and empty texts are documents without words: no stage before mixing removes them, and mixing repeats them as
+their source's other documents. Repeated rows are documents like others, of which the near-duplicate stage keeps one (those without words,
+which are alike to nothing, all stay); null keys and ties change nothing but the order; an empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontor.llm.common import fresh, n_words, read_table, scratch_table
+from kontor.llm.common import drop_scratch, fresh, n_words, read_table, scratch_table
 from kontor.llm.decontaminate import find_benchmark, remove_spans
 from kontor.llm.mixing import mix_sources
 from kontor.llm.ngram_join import jaccard_components
@@ -49,7 +53,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         out = remove_spans(find_benchmark(d, read_table(spark, sf_dir, "benchmark"), window=10))
         hit = F.size("contamination.byte_spans") > 0
         left = F.col("contamination.n_words") > F.col("contamination.n_hit")
-        return out.where(~hit | left).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.where(~hit | left)
+        return out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in d.columns else out
 
     return set_aside(docs, ("contamination",), cut)
 
@@ -72,7 +77,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: No stage before the last is SQL's: fitted models, seeded samples and a random order. The tests hold it against a plain version.
+#: Most stages are not SQL's: a fitted model, a seeded sample and a random order. tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
@@ -80,7 +85,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; each but the last is written to the shared scratch folder and read back."""
     docs = read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch_table(docs, f"pipeline-{name}")
+            drop_scratch(before)
     return docs
