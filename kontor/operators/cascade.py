@@ -174,6 +174,7 @@ def calibrated_probabilities(train: DataFrame, rows: DataFrame, *, folds: int =
 
 def vendor_stage(rows: DataFrame, tx: DataFrame, labels: DataFrame, least: float, only: DataFrame | None = None) -> DataFrame:
     """The majority of a vendor's user labels, or of its IBAN's; ``only``: ids whose labels may be read."""
+    tx = scratch_table(tx.select("id", "vendor", "iban"), "vendor-facts")  # the vendor's key is computed once, and read by both
     by = {key: lb.majority(lb.label_distribution(tx, labels, key, only), key, least) for key in ("vendor", "iban")}
     out = rows.select("id", "vendor", "iban")
     for key, m in by.items():

@@ -12,10 +12,15 @@ from kontor.operators.reports import between, external
 def recurring_subscriptions(tx: DataFrame, since: str | None = None, until: str | None = None, min_charges: int = 3) -> DataFrame:
     """Vendors with a cadence: name (of the last charge), cadence, last_seen, typical_amount (median), charges_per_year, annualised, n_charges."""
     rows = tx.where((F.col("is_income") == 0) & (F.col("vendor") != "") & between(since, until)).select("vendor", "id", "date", "counterparty", F.abs("cents").alias("c"))
-    rows = rows.withColumn("gap", F.datediff("date", F.lag("date").over(Window.partitionBy("vendor").orderBy("date", "id"))))
+    # gaps between charges: one for each date that follows another, and 0 for every further charge of a date
+    days = rows.groupBy("vendor", "date").agg(F.count(F.lit(1)).alias("k"))
+    days = days.withColumn("gap", F.datediff("date", F.lag("date").over(Window.partitionBy("vendor").orderBy("date"))))
+    gaps = days.groupBy("vendor", "gap").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("k") - 1).alias("same"))
+    gaps = gaps.where("gap is not null").select("vendor", "gap", "k").unionByName(gaps.groupBy("vendor").agg(F.lit(0).alias("gap"), F.sum("same").alias("k")).where("k > 0"))
+    gaps = gaps.groupBy("vendor").agg(F.expr("percentile(gap, 0.5, k)").alias("gap"))
     v = rows.groupBy("vendor").agg(
-        F.count(F.lit(1)).alias("n_charges"), F.median("gap").alias("gap"), (F.median("c") / 100.0).alias("typical_amount"), F.max("date").alias("last_seen"), F.max_by("counterparty", F.struct("date", "id")).alias("name")
-    )
+        F.count(F.lit(1)).alias("n_charges"), (F.median("c") / 100.0).alias("typical_amount"), F.max("date").alias("last_seen"), F.max_by("counterparty", F.struct("date", "id")).alias("name")
+    ).join(gaps, "vendor")
     v = v.where(F.col("n_charges") >= min_charges).withColumn("k", dates.cadence(F.col("gap"))).where("k is not null")
     yearly = F.lit(365.25) / F.col("k.days")
     return v.select(

@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def days_before(n: int, by: str = "vendor") -> Column:
-    """Rows of the same key on strictly earlier dates, at most ``n`` days back (all, if 0), as one frame of a sorted window."""
-    w = Window.partitionBy(by).orderBy(F.datediff("date", F.lit("1970-01-01").cast("date")))
-    return F.count(F.lit(1)).over(w.rangeBetween(-n if n else Window.unboundedPreceding, -1))
+def by_day(rows: DataFrame, key: str, *sums) -> DataFrame:  # noqa: ANN002
+    """One row for a key and date, with its number of rows ``n`` and the ``sums``: what windows over a key's history run over, however many rows a day has."""
+    return rows.groupBy(key, "date").agg(F.count(F.lit(1)).alias("n"), *sums).withColumn("day", F.datediff("date", F.lit("1970-01-01").cast("date")))
+
+
+def days_before(n: int, key: str) -> Column:
+    """Rows on strictly earlier dates, at most ``n`` days back (all, if 0), over the days of a key."""
+    w = Window.partitionBy(key).orderBy("day").rangeBetween(-n if n else Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("n").over(w), F.lit(0))
 
 
 def vendor_history(tx: DataFrame) -> DataFrame:
@@ -22,40 +27,45 @@ def vendor_history(tx: DataFrame) -> DataFrame:
     The gap and the z-score look at rows before in order of date and id, the same day included; the counts at earlier dates only.
     """
     rows = tx.where("vendor <> ''").select("id", "vendor", "date", F.abs("cents").alias("a"))
-    order = Window.partitionBy("vendor").orderBy("date", "id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     a = F.col("a").cast("double")
-    mean, square, n = F.avg(a).over(before), F.avg(a * a).over(before), F.count(F.lit(1)).over(before)
-    out = rows.withColumns({"days_since_prev": F.datediff("date", F.lag("date").over(order)), "m": mean, "s": square, "k": n, "n30": days_before(30), "n90": days_before(90), "n365": days_before(365)})
-    spread = F.col("s") - F.col("m") * F.col("m")
-    z = F.when(F.col("k") < 2, None).when(spread <= 0, 0.0).otherwise((a - F.col("m")) / F.sqrt(spread))
-    return out.select("id", "days_since_prev", z.alias("z"), "n30", "n90", "n365")
+    days = by_day(rows, "vendor", F.sum("a").alias("s"), F.sum(a * a).alias("q"))
+    order = Window.partitionBy("vendor").orderBy("day")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = {c: F.coalesce(F.sum(x).over(before), F.lit(0)) for c, x in (("k0", "n"), ("s0", "s"), ("q0", "q"))}
+    days = days.select("vendor", "date", F.lag("date").over(order).alias("prev"), *[c.alias(k) for k, c in earlier.items()], *[days_before(n, "vendor").alias(f"n{n}") for n in (30, 90, 365)])
+    # rows of the same day before this one
+    same = Window.partitionBy("vendor", "date").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({"k1": F.count(F.lit(1)).over(same), "s1": F.coalesce(F.sum("a").over(same), F.lit(0)), "q1": F.coalesce(F.sum(a * a).over(same), F.lit(0.0))}).join(days, ["vendor", "date"])
+    k = F.col("k0") + F.col("k1")
+    mean, square = (F.col("s0") + F.col("s1")) / k, (F.col("q0") + F.col("q1")) / k
+    spread = square - mean * mean
+    z = F.when(k < 2, None).when(spread <= 0, 0.0).otherwise((a - mean) / F.sqrt(spread))
+    gap = F.when(F.col("k1") > 0, 0).otherwise(F.datediff("date", "prev"))
+    return out.select("id", gap.alias("days_since_prev"), z.alias("z"), "n30", "n90", "n365")
 
 
 def similar_amounts(tx: DataFrame) -> DataFrame:
     """(id, n_months, n_months_12, all_exact) over earlier rows of the vendor within ten percent of the amount.
 
     The tolerance join is an equi-join on vendor and logarithmic bucket: an amount within 10 % lies in one of five buckets
-    of ratio 1.1 around its own. The earlier side is aggregated to one row per vendor, date and amount first.
+    of ratio 1.1 around its own. The earlier side is aggregated to one row per vendor, amount and month first, with its first and last date:
+    a month counts if its first is earlier, and within a year if its last is not too early.
     """
-    rows = tx.where("vendor <> ''").select("id", "vendor", "date", F.abs("cents").alias("a"))
-    bucket = F.floor(F.log(F.col("a").cast("double")) / F.log(F.lit(1.1))).cast("int")
-    prior = rows.where("a > 0").groupBy("vendor", F.col("date").alias("p_date"), F.col("a").alias("p_a")).agg(F.count(F.lit(1)).alias("k"))
-    prior = prior.withColumn("b", F.floor(F.log(F.col("p_a").cast("double")) / F.log(F.lit(1.1))).cast("int"))
-    probe = rows.where("a > 0").withColumn("b", F.explode(F.sequence(bucket - 2, bucket + 2)))
-    near = (F.col("p_date") < F.col("date")) & (F.abs(F.col("p_a") - F.col("a")) <= F.col("a") * F.lit(0.1))
-    month = F.date_format("p_date", "yyyy-MM")
-    pairs = probe.join(prior, ["vendor", "b"]).where(near)
-    out = pairs.groupBy("id").agg(
-        F.count_distinct(month).alias("n_months"), F.count_distinct(F.when(F.datediff("date", "p_date") <= 365, month)).alias("n_months_12"),
-        (F.sum(F.when(F.col("p_a") == F.col("a"), F.col("k")).otherwise(0)) == F.sum("k")).cast("int").alias("all_exact"),
-    )
-    return out
+    rows = tx.where("vendor <> '' and cents <> 0").select("id", "vendor", "date", F.abs("cents").alias("a"))
+    bucket = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1.1))).cast("int")
+    month = F.year("date") * 12 + F.month("date")
+    prior = rows.groupBy("vendor", F.col("a").alias("p_a"), month.alias("month")).agg(F.min("date").alias("first"), F.max("date").alias("last")).withColumn("b", bucket(F.col("p_a")))
+    probe = rows.withColumn("b", F.explode(F.sequence(bucket(F.col("a")) - 2, bucket(F.col("a")) + 2)))
+    near = (F.col("first") < F.col("date")) & (F.abs(F.col("p_a") - F.col("a")) <= F.col("a") * F.lit(0.1))
+    months = probe.join(prior, ["vendor", "b"]).where(near).groupBy("id", "month").agg(F.max((F.datediff("date", "last") <= 365).cast("int")).alias("late"), F.max((F.col("p_a") != F.col("a")).cast("int")).alias("other"))
+    return months.groupBy("id").agg(F.count(F.lit(1)).alias("n_months"), F.sum("late").alias("n_months_12"), (1 - F.max("other")).alias("all_exact"))
 
 
 def iban_history(tx: DataFrame) -> DataFrame:
     """(id, n_iban): rows of the same IBAN on earlier dates."""
-    return tx.where("iban <> ''").select("id", days_before(0, "iban").alias("n_iban"))
+    rows = tx.where("iban <> ''").select("id", "iban", "date")
+    days = by_day(rows, "iban").select("iban", "date", days_before(0, "iban").alias("n_iban"))
+    return rows.join(days, ["iban", "date"]).select("id", "n_iban")
 
 
 def temporal_features(tx: DataFrame, ids: DataFrame | None = None) -> DataFrame:
