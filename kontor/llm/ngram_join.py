@@ -205,11 +205,14 @@ def contract(known: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def meetings(tokens: DataFrame, known: DataFrame | None) -> DataFrame:
-    """``tokens`` with their classes' components, of those tokens that two components have."""
-    met = tokens.withColumn("component", F.col("class")) if known is None else component_of(tokens, known)
-    mixed = met.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    # one plan at every size
-    return scratch_table(met.join(mixed.hint("merge"), "token", "left_semi"), "ngram-met")
+    """``tokens`` with their classes' components, of those tokens that two components have; without ``known``, each class is one."""
+    if known is None:
+        mixed = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    else:
+        tokens = component_of(tokens, known)
+        mixed = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    met = tokens.join(mixed.select("token").hint("merge"), "token", "left_semi")  # one plan at every size
+    return scratch_table(met if known is not None else met.withColumn("component", F.col("class")), "ngram-met")
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
@@ -258,7 +261,8 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     some = described.where("class is not null")
     classes = scratch_table(some.groupBy("class").agg(F.min(F.struct("id", "n", "ranges")).alias("s")).select("class", "s.*"), "ngram-classes")
     (first,) = fresh(rows, "_first")
-    reps = rows.select(F.col(id_).alias("_id"), F.col(text).alias("text")).join(classes.select("class", F.col("id").alias(first)), F.col("_id") == F.col(first)).select("class", "text")
+    of_class = classes.select("class", F.col("id").alias(first)).hint("merge")  # one plan at every size
+    reps = rows.select(F.col(id_).alias("_id"), F.col(text).alias("text")).join(of_class, F.col("_id") == F.col(first)).select("class", "text")
     reps = scratch_table(reps, "ngram-texts")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(MOST_BITS, max(LEAST_BITS, (int(total) // NGRAMS_PER_COUNT).bit_length()))
