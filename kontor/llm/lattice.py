@@ -122,23 +122,28 @@ def expected_counts(v: Pieces, lattice: list[tuple[int, int, np.ndarray, np.ndar
 
 
 def long_word(v: Pieces, word: bytes, counts: np.ndarray | None = None) -> float:
-    """The forward recursion of one word, in memory in proportion to its length; ``counts`` gets its expected pieces added."""
+    """The forward recursion of one word, in memory in proportion to its length; ``counts`` gets its expected pieces added. Arcs are looked up again on the way back."""
     n = len(word)
-    lattice = [(a, b, i) for b in range(1, n + 1) for a in range(max(0, b - v.longest), b) if (i := v.index.get(word[a:b])) is not None]
+
+    def ending(b: int) -> list[tuple[int, int]]:
+        return [(a, i) for a in range(max(0, b - v.longest), b) if (i := v.index.get(word[a:b])) is not None]
+
     alpha = np.full(n + 1, -np.inf)
     alpha[0] = 0.0
-    for a, b, i in lattice:
-        alpha[b] = np.logaddexp(alpha[b], alpha[a] + v.log_p[i])
+    for b in range(1, n + 1):
+        alpha[b] = np.logaddexp.reduce([alpha[a] + v.log_p[i] for a, i in ending(b)])
     if counts is not None:
         beta = np.full(n + 1, -np.inf)
         beta[n] = 0.0
-        for a, b, i in sorted(lattice, key=lambda x: -x[0]):
-            counts[i] += np.exp(alpha[a] + v.log_p[i] + beta[b] - alpha[n])
-            beta[a] = np.logaddexp(beta[a], v.log_p[i] + beta[b])
+        for b in range(n, 0, -1):  # all arcs that begin at b have been added to beta[b]
+            for a, i in ending(b):
+                step = v.log_p[i] + beta[b]
+                counts[i] += np.exp(alpha[a] + step - alpha[n])
+                beta[a] = np.logaddexp(beta[a], step)
     return float(alpha[-1])
 
 
-LONG = 192
+LONG, LONG_TEXT = 192, 1 << 16
 
 
 def by_length(words: pa.Array, step: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray | bytes]]:
@@ -229,7 +234,7 @@ def score_likelihood(df: DataFrame, train: Column, *, text: str = "text", vocabu
     Tokens: words between ASCII spaces, A-Z folded, and one end. ``train`` marks the rows to learn from (null: not).
     ``base_score`` is the add-0.1 estimate of single tokens; ``score`` the model's log-probability.
 
-    Every ``rows_per_block`` consecutive rows of an input partition are a block. A block's distinct words are one row each: added up by word
+    Every ``rows_per_block`` consecutive rows of an input partition are a block, texts of over 64 KB one each, so that a block's size is bounded. A block's distinct words are one row each: added up by word
     they are the corpus counts, and sent back to the block they are all that scoring it needs, so that no dictionary is broadcast
     and no word, however common, has more rows than there are blocks. The text moves once. ``stable_input``: ``df`` reads files, and each
     partition gives the same rows again; else it is written to the shared scratch folder first.
@@ -243,7 +248,8 @@ def score_likelihood(df: DataFrame, train: Column, *, text: str = "text", vocabu
     if not stable_input:
         df = scratch_table(df, "lattice-input")
     bits = max(0, int(rows_per_block).bit_length() - 1)
-    df = df.withColumn(block, F.shiftright(F.monotonically_increasing_id(), bits))
+    place = F.monotonically_increasing_id()
+    df = df.withColumn(block, F.when(F.octet_length(text) > LONG_TEXT, -1 - place).otherwise(F.shiftright(place, bits)))
     seen = scratch_table(block_words(df, block, train_col, text), "lattice-block-words")
     words = scratch_table(seen.groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c")), "lattice-words")
     ends = df.where(train_col).count()

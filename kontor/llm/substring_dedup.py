@@ -157,7 +157,9 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
     wanted = kinds.join(hot, "anchor", "left").select("id", F.struct("start", "n", "anchor", "content", "k", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
     wanted = wanted.groupBy("id").agg(F.collect_list("s").alias("segments"))
     moved = rows.repartition(id_)
-    names = [*moved.columns, "id", "segments"]
+    of_row, segments_of, spans_of = fresh(moved, "_of_row", "_segments", "_spans_of")
+    wanted = wanted.toDF(of_row, segments_of)
+    names = [*moved.columns, of_row, segments_of]
     texts_at, segments_at = names.index(text), len(names) - 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,7 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
                         bodies.append(None if s["hot"] else body)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(offsets, pa.int32()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(bodies, pa.binary()).cast(pa.string())], names=["window", "anchor", "content", "start", "n", "k", "body"])
 
-    bodies = moved.join(wanted, moved[id_] == wanted["id"]).select(*names).mapInArrow(cut, "window binary, anchor long, content long, start int, n int, k long, body string")
+    bodies = moved.join(wanted, F.col(id_) == F.col(of_row)).select(*names).mapInArrow(cut, "window binary, anchor long, content long, start int, n int, k long, body string")
     any_hot = not hot.isEmpty()
     if any_hot:
         bodies = scratch_table(bodies, "substring-bodies")
@@ -207,8 +209,8 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
             F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(out, F.array(s))),
     )
-    spans = spans.select("id", merged.alias("repeats"))
-    out = moved.join(spans, moved[id_] == spans["id"], "left").drop(id_, "id")
+    spans = spans.select(F.col("id").alias(spans_of), merged.alias("repeats"))
+    out = moved.join(spans, F.col(id_) == F.col(spans_of), "left").drop(id_, spans_of)
     return out.withColumn("repeats", F.coalesce("repeats", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")))
 
 

@@ -62,15 +62,77 @@ def test_sharding(docs, empty, rows):
     assert abs(np.mean(x) - 375_000) < 150 and 300 < np.std(x) < 700
 
 
+def test_sharding_law():
+    """Rows of the communication matrix follow the hypergeometric law, and add up to the columns."""
+    from kontor.llm.sharding import matrix_row
+
+    offsets, columns = np.array([0, 3, 5, 9]), np.array([2, 4, 3])
+    seen = collections.Counter()
+    for seed in range(4000):
+        m = np.array([matrix_row(offsets, columns, i, seed) for i in range(3)])
+        assert (m.sum(axis=1) == np.diff(offsets)).all() and (m.sum(axis=0) == columns).all()
+        seen[int(m[0, 0])] += 1
+    for k in range(3):
+        p = math.comb(2, k) * math.comb(7, 3 - k) / math.comb(9, 3)
+        assert abs(seen[k] / 4000 - p) < 4 * math.sqrt(p * (1 - p) / 4000)
+
+
+WORKING = "id class key n ranges token at component a b row place value kind new block hash word c lp shard_ chunk order start segments anchor content spans _row _row_ part salt rest whole src dst w rank z level before".split()
+
+
+def test_clashing_names(spark):
+    """Columns that are named like an operator's own working columns stay as they are."""
+    from kontor.llm.decontaminate import find_benchmark
+    from kontor.llm.lattice import score_likelihood
+    from kontor.llm.mixing import mix_sources
+    from kontor.llm.ngram_join import jaccard_components
+    from kontor.llm.pii import pseudonymise
+    from kontor.llm.sharding import shuffle_into_shards
+    from kontor.llm.substring_dedup import find_repeats, keep_words
+    from kontor.llm.url_filter import judge_pages
+
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, text(rng, 30) + " 10.20.30.40", f"s{i % 2}") for i in range(12)] * 2 + [(None, None, None)], "doc_id long, text string, source string")
+    df = df.withColumns({c: F.lit("x") for c in WORKING}).withColumns({"url": F.lit("http://h/p"), "html": F.lit("")})
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    runs = {
+        "shuffle_into_shards": lambda d: shuffle_into_shards(d, 3), "mix_sources": lambda d: mix_sources(d, F.length("text")), "find_benchmark": lambda d: find_benchmark(d, bench),
+        "find_repeats": lambda d: keep_words(find_repeats(d, window=9, anchor=3)), "jaccard_components": jaccard_components, "score_likelihood": lambda d: score_likelihood(d, F.col("doc_id") > 3),
+        "pseudonymise": lambda d: pseudonymise(d, "k"), "judge_pages": lambda d: judge_pages(d, {"h/": "allow"}),
+    }
+    for name, run in runs.items():
+        out = run(df).collect()
+        assert len(out) == 25, name
+        gone = {"judge_pages": {"rank"}}.get(name, set())
+        for c in set(WORKING) - gone:
+            assert {r[c] for r in out} == {"x"}, (name, c)
+        assert run(df.limit(0)).count() == 0, name
+
+
+def test_mixing_many_ties(spark):
+    """All rows of a source agree in key and size: the mix's end falls between rows that only their places tell apart."""
+    from kontor.llm.mixing import mix_sources
+
+    df = spark.createDataFrame([(7, "a b", "s")] * 101 + [(8, "c d", "t")] * 40, "doc_id long, text string, source string").repartition(5)
+    for few in (50_000, 3):
+        out = mix_sources(df, F.lit(2).cast("long"), few=few).collect()
+        for s in "st":
+            taken, target = sum(r["repeats"] * 2 for r in out if r["source"] == s), next(r["target"] for r in out if r["source"] == s)
+            assert abs(taken - target) <= 1
+
+
 def test_mixing(docs, empty):
     from kontor.llm.common import n_words
     from kontor.llm.mixing import mix_sources
 
     def run():
-        return sorted(((r["doc_id"], r["size"], r["source"], r["source_size"], r["target"], r["repeats"]) for r in mix_sources(docs, n_words(F.col("text")), key=("doc_id",)).collect()), key=repr)
+        return sorted(((r["doc_id"], r["size"], r["source"], r["source_size"], r["target"], r["repeats"]) for r in mix_sources(docs, n_words(F.col("text")), key=("doc_id",), few=few, stable_input=True).collect()), key=repr)
 
+    few = 50_000
     out = run()
     assert out == run()
+    few = 1  # narrowed down to single rows
+    assert out == run()
     size = collections.Counter()
     for r in out:
         size[r[2]] += r[1]
@@ -230,6 +292,11 @@ def test_lattice(docs, empty):
     block = np.frombuffer(word, np.uint8)[None, :]
     assert math.isclose(forward(v, arcs(v, block), 1, len(word))[-1][0], math.log(total[len(word)]), rel_tol=1e-9)
     assert math.isclose(long_word(v, word), math.log(total[len(word)]), rel_tol=1e-9)
+    from kontor.llm.lattice import expected_counts
+
+    counts = np.zeros(len(v.pieces))
+    long_word(v, word, counts)
+    assert np.allclose(counts, expected_counts(v, arcs(v, block), np.ones(1), len(word)), rtol=1e-9)
     out = score_likelihood(docs, F.col("doc_id") % 2 == 0, stable_input=True, rows_per_block=4).collect()
     c = collections.Counter()
     for r in out:
@@ -242,6 +309,23 @@ def test_lattice(docs, empty):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(c[t] > 0 for t in tokens), n)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isfinite(r["score"]) and r["score"] < 0
     assert score_likelihood(empty, F.lit(True)).count() == 0
+    # the model's score against the same sums in plain Python: known words by discounted counts and the lattice, others by the lattice alone
+    from kontor.llm.lattice import train_pieces, word_log_p
+
+    train = sorted({w for r in out if r["doc_id"] is not None and r["doc_id"] % 2 == 0 for w in (r["text"] or "").encode().lower().split()})
+    pieces = train_pieces(docs.sparkSession.createDataFrame([(bytearray(w),) for w in train], "word binary"), v)
+    only = {w: k for w, k in c.items() if w != b"\0end"}
+    once, twice, tokens = sum(k == 1 for k in only.values()), sum(k == 2 for k in only.values()), sum(only.values())
+    d, ends = min(0.95, max(0.05, once / max(1, once + 2 * twice))), c[b"\0end"]
+    p_end = (ends + 0.5) / (n + 1)
+    for r in out[:25]:
+        total = math.log10(p_end)
+        for w in (r["text"] or "").encode().lower().split():
+            lattice = math.exp(word_log_p(pieces, pa.array([w], pa.binary()))[0])
+            total += math.log10((max(only.get(w, 0) - d, 0) / tokens + d * len(only) / tokens * lattice) * (1 - p_end))
+        assert math.isclose(r["score"], total, rel_tol=1e-6)
+    long = docs.sparkSession.createDataFrame([(1, "a" * 3000 + " b"), (2, "c d " * 30_000)], "doc_id long, text string")
+    assert {r["n_tokens"] for r in score_likelihood(long.withColumn("score", F.lit("x")), F.lit(True)).collect()} == {3, 60_001}
     assert score_likelihood(docs, F.lit(False)).where("n_known > 0 or isnan(score)").count() == 0
 
 
@@ -335,6 +419,17 @@ def test_neighbours(spark):
         hits += len({i for i, _ in got[q]} & set(best))
         assert all(math.isclose(s[i], y) for i, y in got[q]) and len(got[q]) == 20
     assert set(got) == set(range(0, 700, 20)) and hits / (35 * 20) >= 0.9
+    # groups: a query goes to few partitions, and still finds 20 where its partition has fewer
+    centre = rng.normal(size=(12, 12)) * 4
+    y = centre[np.arange(1500) % 12] + rng.normal(size=(1500, 12)) * 0.3
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    from kontor.llm.neighbours import fit_router
+
+    router = fit_router(y, 1.0, parts=12, k=20, target_recall=0.96)
+    assert router.probes <= 6 and len(router.bias) == 12
+    clustered = spark.createDataFrame([(i, [float(a) for a in v], "x", 1) for i, v in enumerate(y)], "vec_id long, embedding array<double>, part string, q int")
+    got = collections.Counter(r["query_id"] for r in nearest(clustered, F.col("vec_id") % 20 == 0, k=200).collect())
+    assert set(got) == set(range(0, 1500, 20)) and set(got.values()) == {200}
     few = nearest(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
     assert len(few) == 4
     assert nearest(df.where("vec_id >= 1000"), F.col("vec_id") % 20 == 0).count() == 0
