@@ -196,7 +196,7 @@ def pseudonymise(df: DataFrame, key: str, *, text: str = "text", stable_input: b
     known = values.join(pseudonyms(values.where("kind is not null"), subkey), "value", "left")
     named = hits.join(known, "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "kind", F.coalesce("new", "value").alias("new")))).alias(found))
     named = scratch_table(named.withColumnRenamed("row", row), "pii-named")
-    out = rows.join(named, row, "left")
+    out = rows.join(named.hint("merge"), row, "left")  # one plan at every size
     parts = F.zip_with(F.split(text, ANY, -1), F.transform(found, lambda x: x["new"]), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
     kinds = F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull())
 
