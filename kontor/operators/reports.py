@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import dates
-from kontor.operators.labels import category_color, category_name
+from kontor.operators.labels import category_color, category_name, spine
+from kontor.scratch import scratch_table
 
 
 def between(since: str | None = None, until: str | None = None) -> Column:
@@ -155,17 +156,20 @@ def month_to_date_pace(s: DataFrame, today: str, trailing_months: int = 6) -> Da
     return both.select((F.col("s") / 100.0).alias("spent"), F.lit(d.day).alias("days_elapsed"), F.lit(days).alias("days_in_month"), (F.col("s") / 100.0 / d.day * days).alias("projected"), "baseline")
 
 
-def anomalies(s: DataFrame, since: str | None = None, until: str | None = None, z: float = 2.0, min_history: int = 3, limit: int = 25) -> DataFrame:
+def anomalies(tx: DataFrame, labels: DataFrame, categories: DataFrame, since: str | None = None, until: str | None = None, z: float = 2.0, min_history: int = 3, limit: int = 25) -> DataFrame:
     """Expenses far above their vendor's mean over the whole history, the latest and farthest first.
 
-    The vendors' statistics are aggregated before the join, so that a vendor with very many rows is no window of its own.
+    The vendors' statistics are aggregated before the join, so that a vendor with very many rows is no window of its own; labels are read for the
+    ``limit`` rows alone.
     """
     a = F.abs("cents")
-    rows = s.where("is_income = 0 and vendor <> ''")
+    rows = tx.where("is_income = 0 and vendor <> ''").select("id", "date", "vendor", "counterparty", "cents")
     stats = rows.groupBy("vendor").agg(F.avg(a).alias("mean"), F.avg(a.cast("double") * a).alias("square"), F.count(F.lit(1)).alias("n_history"))
     stats = stats.where((F.col("n_history") >= min_history) & (F.col("square") - F.col("mean") * F.col("mean") > 0))
     out = rows.where(between(since, until)).join(stats, "vendor").withColumn("zscore", (a - F.col("mean")) / F.sqrt(F.col("square") - F.col("mean") * F.col("mean"))).where(F.col("zscore") > z)
-    out = out.orderBy(F.desc("date"), F.desc("zscore"), "id").limit(limit)
+    out = scratch_table(out.orderBy(F.desc("date"), F.desc("zscore"), "id").limit(limit), "anomalies")
+    theirs = labels.join(F.broadcast(out.select(F.col("id").alias("expense_id"))), "expense_id", "left_semi").select(*labels.columns)
+    out = spine(out, theirs, categories)
     return out.select("id", "date", "counterparty", category_name().alias("category"), (a / 100.0).alias("amount"), (F.col("mean") / 100.0).alias("typical"), (a / F.col("mean")).alias("vs_typical"), "zscore", "n_history")
 
 

@@ -106,7 +106,8 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
 
 add("l1_enrich", PAIRS + """SELECT tx.id, CASE WHEN m.ref IS NOT NULL THEN 'paypal' END AS enrichment_source, m.ref AS enrichment_ref, CASE WHEN m.ref IS NOT NULL THEN 'Shop ' || (substr(m.ref, 2)::BIGINT % 10) || CASE WHEN substr(m.ref, 2)::BIGINT % 2 = 0 THEN ' (a@example.com)' ELSE '' END ELSE memo END AS memo
 FROM tx LEFT JOIN (SELECT tx.id, ref FROM rec JOIN tx USING (a) WHERE payer <> '' AND ref NOT LIKE '%0' AND abs(day - date) <= 5 QUALIFY count(*) OVER (PARTITION BY tx.id) = 1 AND count(*) OVER (PARTITION BY ref) = 1) m USING (id)""")(lambda s, d: enriched(s, d).select("id", "enrichment_source", "enrichment_ref", "memo"))
-add("l2_enrichment_preview", None)(lambda s, d: jobs.enrichment_preview(enriched(s, d)))
+add("l2_enrichment_preview", PAIRS + """SELECT tx.id, m.ref AS enrichment_ref, memo AS memo_before, 'Shop ' || (substr(m.ref, 2)::BIGINT % 10) || CASE WHEN substr(m.ref, 2)::BIGINT % 2 = 0 THEN ' (a@example.com)' ELSE '' END AS memo
+FROM tx JOIN (SELECT tx.id, ref FROM rec JOIN tx USING (a) WHERE payer <> '' AND ref NOT LIKE '%0' AND abs(day - date) <= 5 QUALIFY count(*) OVER (PARTITION BY tx.id) = 1 AND count(*) OVER (PARTITION BY ref) = 1) m USING (id)""")(lambda s, d: jobs.enrichment_preview(enriched(s, d)))
 add("l3_reflag_own", "SELECT id, (coalesce(self, 0) = 1 AND iban IN (SELECT iban FROM own WHERE right(label, 1) <> '3'))::INT AS iban_is_known_self, (coalesce(self, 0) = 1 AND iban NOT IN (SELECT iban FROM own WHERE right(label, 1) <> '3'))::INT AS changed FROM tx")(
     lambda s, d: jobs.reflag_own(t.transactions(s, d), t.own_ibans(s, d).where(F.col("label").rlike("[^3]$"))).select("id", "iban_is_known_self", "changed"))
 add("b17_invalid_ibans", "SELECT id, iban FROM tx WHERE iban NOT LIKE 'DE%'")(lambda s, d: jobs.invalid_ibans(t.transactions(s, d).select("id", "iban")))
@@ -431,4 +432,6 @@ def _(spark, d):  # noqa: ANN001, ANN202
 
 
 add("s2_running_spend", "SELECT date_trunc('day', ts)::TIMESTAMPTZ AS start, event_type, sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: streams.finish(streams.running_spend(event_stream(s, d)), s, "spend", "complete"))
-add("s3_vendor_anomalies", None)(lambda s, d: streams.finish(streams.vendor_anomalies(event_stream(s, d)), s, "anomalies"))
+add("s3_vendor_anomalies", """, e AS (SELECT event_id, user_id, value, count(*) OVER w AS n, avg(value) OVER w AS m, avg(value * value) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, user_id, value, round((value - m) / sqrt(q - m * m), 6) AS zscore FROM e WHERE n >= 5 AND q - m * m > 0 AND (value - m) / sqrt(q - m * m) > 3""")(
+    lambda s, d: streams.finish(streams.vendor_anomalies(event_stream(s, d)), s, "anomalies").withColumn("zscore", F.round("zscore", 6)))

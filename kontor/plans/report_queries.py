@@ -119,8 +119,8 @@ rec AS (SELECT coalesce(nullif(cname, ''), vendor) AS name, cadence, last_seen,
 on_tx("e16_f9_recurring_subscriptions", REC + "SELECT name, cadence, last_seen, round(typical_amount, 6) AS typical_amount, round(charges_per_year, 6) AS charges_per_year, round(annualised, 6) AS annualised, n_charges FROM rec", recurring.recurring_subscriptions)
 on_tx("e17_upcoming_recurring", REC + """SELECT name, cadence, e AS expected_date, round(typical_amount, 6) AS typical_amount, (e - DATE '2001-07-15')::INT AS days_until FROM (SELECT *, (last_seen + (g * greatest(1, ceil((DATE '2001-07-15' - last_seen) / g)))::INT)::DATE AS e FROM (SELECT *, round_even(365.25 / charges_per_year, 0)::INT AS g FROM rec)) WHERE e - DATE '2001-07-15' <= 30""", lambda x: recurring.upcoming_recurring(x, "2001-07-15"))
 on_tx("e18_fixed_vs_variable", REC + """SELECT round(least(f, t), 6) AS fixed_monthly, round(greatest(t - least(f, t), 0), 6) AS variable_monthly, round(t, 6) AS total_monthly, round(least(f, t) / t, 6) AS fixed_share FROM (SELECT coalesce(sum(annualised) / 12, 0) AS f FROM rec), (SELECT avg(m) / 100.0 AS t FROM (SELECT sum(a) AS m FROM tx WHERE is_income = 0 AND coalesce(self, 0) = 0 GROUP BY strftime(date, '%Y-%m')))""", recurring.fixed_vs_variable)
-on_spine("e19_d3_anomalies", f"""SELECT id, date, counterparty, {NAME} AS category, round(a / 100.0, 6) AS amount, round(mean / 100.0, 6) AS typical, round(a / mean, 6) AS vs_typical, round(z, 6) AS zscore, n_history FROM (SELECT s.*, mean, k AS n_history, (a - mean) / sqrt(sq - mean * mean) AS z FROM s JOIN (SELECT vendor, avg(a) AS mean, avg(a::DOUBLE * a) AS sq, count(*) AS k FROM s WHERE is_income = 0 AND vendor <> '' GROUP BY 1) USING (vendor) WHERE is_income = 0 AND k >= 3 AND sq - mean * mean > 0)
-WHERE z > 2 ORDER BY date DESC, z DESC, id LIMIT 25""", reports.anomalies)
+add("e19_d3_anomalies", f"""SELECT id, date, counterparty, {NAME} AS category, round(a / 100.0, 6) AS amount, round(mean / 100.0, 6) AS typical, round(a / mean, 6) AS vs_typical, round(z, 6) AS zscore, n_history FROM (SELECT s.*, mean, k AS n_history, (a - mean) / sqrt(sq - mean * mean) AS z FROM s JOIN (SELECT vendor, avg(a) AS mean, avg(a::DOUBLE * a) AS sq, count(*) AS k FROM s WHERE is_income = 0 AND vendor <> '' GROUP BY 1) USING (vendor) WHERE is_income = 0 AND k >= 3 AND sq - mean * mean > 0)
+WHERE z > 2 ORDER BY date DESC, z DESC, id LIMIT 25""")(lambda spark, d: reports.anomalies(t.transactions(spark, d), t.labels(spark, d), t.categories(spark, d)))
 on_spine("e33_g1_latest_records", f"SELECT id, date, counterparty, {NAME} AS category, round(cents / 100.0, 6) AS amount FROM s ORDER BY date DESC, id DESC LIMIT 5000", reports.latest_records)
 NOTES = ", notes AS (SELECT event_id * 4 AS expense_id, max(event_type) AS text, max(ts)::DATE AS updated FROM events WHERE event_id % 10 = 0 GROUP BY 1)\n"
 add("e33_b30_records", NOTES + """SELECT s.id, s.date, text AS note, greatest(s.date, (SELECT max(created) FROM lab WHERE lab.expense_id = s.id), updated) AS last_modified FROM s LEFT JOIN notes n ON n.expense_id = s.id""")(
