@@ -40,14 +40,29 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-#: Where the tables that are still in use were written.
+def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``: joins on it move the other side alone."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{scratch_root(spark)}/{table}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    WRITTEN[id(out)], TABLES[id(out)] = path, table
+    weakref.finalize(out, WRITTEN.pop, id(out), None)
+    return out
+
+
+#: Where the tables that are still in use were written, and the catalogue's names of those in buckets.
+TABLES: dict[int, str] = {}
 WRITTEN: dict[int, str] = {}
 
 
 def drop_scratch(*tables: DataFrame) -> None:
     """Deletes scratch tables that no later plan reads."""
     for t in tables:
-        path = WRITTEN.pop(id(t), None)
+        path, table = WRITTEN.pop(id(t), None), TABLES.pop(id(t), None)
+        if table is not None:
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path is not None:
             where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

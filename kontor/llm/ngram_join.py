@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kontor.llm.common import drop_scratch, fresh, scratch_table
+from kontor.llm.common import bucketed_table, drop_scratch, fresh, scratch_table
 from kontor.llm.components import connected_components
 from kontor.llm.words import GOLDEN, Words, cut_words, gram_hashes, mix64
 
@@ -36,6 +36,7 @@ NGRAMS_PER_COUNT = 8
 RANGES = 64
 STARS = 2
 WORDS_PER_GROUP = 200_000
+NGRAMS_PER_BUCKET, MOST_BUCKETS = 4_000_000, 100_000
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +169,9 @@ def verify(pairs: DataFrame, classes: DataFrame, reps: DataFrame, n: int, percen
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("a", "b", "nb")], names=["a", "b", "nb"])
 
     near = scratch_table(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(suffix_filter, "a long, b long, nb int"), "ngram-pairs")
-    load = near.groupBy("a").agg(F.ceil(F.sum("nb") / WORDS_PER_GROUP).cast("int").alias("groups"))
-    right = near.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
+    load = scratch_table(near.groupBy("a").agg(F.ceil(F.sum("nb") / WORDS_PER_GROUP).cast("int").alias("groups")), "ngram-load")
+    right = near.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
+    right = scratch_table(right, "ngram-salted")  # written out, so that its size is known when it is joined
     right = right.join(reps, F.col("b") == F.col("class")).select(F.col("a").alias("of"), F.col("salt").alias("part"), "b", F.col("text").alias("other"))
     left = load.join(reps, F.col("a") == F.col("class")).select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), "text")
 
@@ -263,8 +265,8 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     (first,) = fresh(rows, "_first")
     of_class = classes.select("class", F.col("id").alias(first)).hint("merge")  # one plan at every size
     reps = rows.select(F.col(id_).alias("_id"), F.col(text).alias("text")).join(of_class, F.col("_id") == F.col(first)).select("class", "text")
-    reps = scratch_table(reps, "ngram-texts")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    reps = bucketed_table(reps, "ngram_texts", "class", min(MOST_BUCKETS, max(8, int(total) // NGRAMS_PER_BUCKET)))
     bits = min(MOST_BITS, max(LEAST_BITS, (int(total) // NGRAMS_PER_COUNT).bit_length()))
     tokens = scratch_table(prefixes(reps, n, percent, frequency_table(reps, n, bits), bits), "ngram-prefixes")
     known = classes.select("class", F.col("class").alias("component")).limit(0)
@@ -279,6 +281,7 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
         drop_scratch(before)
     pairs = prefix_pairs(met, percent).select(*both).join(tested, ["a", "b"], "left_anti")
     known = contract(known, verify(scratch_table(pairs, "ngram-candidates"), classes, reps, n, percent))
+    drop_scratch(reps, met)
     member = component_of(described.select("id", "key", "class", "n"), known)
     named = scratch_table(member.where("class is not null").groupBy("component").agg(F.min("key").alias("least"), F.min("id").alias("lead")), "ngram-components")
     columns = [c for c in df.columns if keep is None or c in keep]
