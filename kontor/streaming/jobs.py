@@ -45,7 +45,10 @@ def running_spend(events: DataFrame, window: str = "1 day", late: str = "2 days"
 
 
 class VendorAnomalies(StatefulProcessor):
-    """Keeps count, sum and sum of squares per vendor; gives rows whose value is ``z`` deviations above what came before."""
+    """Keeps count, sum and sum of squares per vendor; gives rows whose value is ``z`` deviations above what came before.
+
+    A trigger's rows of one vendor are put in order of time in memory; ``maxFilesPerTrigger`` of the source bounds how many those are.
+    """
 
     def __init__(self, z: float = 3.0, least: int = 5) -> None:
         self.z, self.least = z, least
@@ -73,17 +76,27 @@ def vendor_anomalies(events: DataFrame, z: float = 3.0, least: int = 5) -> DataF
     return events.groupBy("user_id").transformWithStateInPandas(VendorAnomalies(z, least), "event_id long, user_id long, value double, zscore double", "Append", "None")
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def finish(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end and reads what it wrote. Keyed state needs the RocksDB store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Runs a bounded stream to its end and reads what it wrote. Keyed state needs the RocksDB store; the session's own setting comes back afterwards."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    if mode == "complete":
-
-        def last(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
 
-        q = stream.writeStream.outputMode(mode).foreachBatch(last).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    else:
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    def last(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    try:
+        if mode == "complete":
+            q = stream.writeStream.outputMode(mode).foreachBatch(last).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        else:
+            q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
     return spark.read.schema(stream.schema).parquet(out)
