@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from kontor.llm.common import n_words, read_table
 from kontor.llm.decontaminate import find_benchmark
+from kontor.llm.fill_middle import fill_in_middle, restore
 from kontor.llm.lattice import score_likelihood
+from kontor.llm.merkle import fold_proof, merkle_manifest
 from kontor.llm.mixing import mix_sources
 from kontor.llm.neighbours import nearest
 from kontor.llm.ngram_join import jaccard_components
 from kontor.llm.pii import KINDS, pseudonymise
 from kontor.llm.sharding import shuffle_into_shards
+from kontor.llm.simhash import simhash_components
 from kontor.llm.substring_dedup import find_repeats, keep_words
 from kontor.llm.toxicity import fit_toxicity, score_toxicity
 from kontor.llm.url_filter import judge_pages
@@ -87,6 +90,29 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_likelihood(docs, ~F.col("held_out"), stable_input=True).drop("text")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row is tampered with where 7 divides its key's checksum: its claim then counts one character more."""
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    rows = merkle_manifest(docs, fields=("doc_id", "source", "lang", "n_chars", "text"), tree="lang", order="doc_id", keep=("doc_id",), probe=claim)
+    proof = F.sha2(F.concat_ws("", F.transform("proof", lambda s: s["hash"])), 256)
+    rows = rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), fold_proof(F.col("probe"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash_components(docs, n=3, keep=("doc_id",))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1, percent=90, suffix_first_percent=20)
+    fim = F.col("fim")
+    digests = [F.sha2(fim["output"], 256).alias("output_sha256"), F.sha2(restore(fim["output"], fim["form"]), 256).alias("restored_sha256")]
+    return docs.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pii": op2_pii,
@@ -98,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_lattice": op10_lattice,
+    "op11_merkle": op11_merkle,
+    "op12_simhash": op12_simhash,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 OP5_SQL = """
@@ -135,4 +164,38 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, b
 SELECT doc.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) m USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_ngram_join": OP9_SQL}
+OP11_SQL = """
+WITH RECURSIVE bits AS (SELECT *, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))) AS b FROM documents),
+claim AS (SELECT *, CASE WHEN xor(list_reduce(b, lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS told FROM bits),
+leaf AS (SELECT doc_id, lang, sha256(f(doc_id) || f(source) || f(lang) || f(n_chars) || f(text)) AS leaf, sha256(f(doc_id) || f(source) || f(lang) || f(told) || f(text)) AS probe FROM claim),
+placed AS (SELECT *, coalesce('1' || lang, '0') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaf),
+up AS (
+  SELECT g, 0 AS lvl, list(leaf ORDER BY i) AS h FROM placed GROUP BY g
+  UNION ALL SELECT g, lvl + 1, list_transform(range(0, (len(h) + 1) // 2), lambda k: sha256(h[2 * k + 1] || coalesce(h[2 * k + 2], ''))) FROM up WHERE len(h) > 1),
+sub AS (SELECT g, h[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS j FROM up WHERE len(h) = 1),
+over_all AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY j) AS h FROM sub
+  UNION ALL SELECT lvl + 1, list_transform(range(0, (len(h) + 1) // 2), lambda k: sha256(h[2 * k + 1] || coalesce(h[2 * k + 2], ''))) FROM over_all WHERE len(h) > 1),
+path AS (SELECT g, list(h ORDER BY lvl) AS lanes FROM up WHERE len(h) > 1 GROUP BY g),
+top AS (SELECT coalesce(list(h ORDER BY lvl) FILTER (len(h) > 1), []) AS lanes, any_value(h[1]) FILTER (len(h) = 1) AS root FROM over_all),
+proof AS (
+  SELECT doc_id, leaf, probe, subroot, root, list_concat(
+    list_transform(range(0, len(coalesce(path.lanes, []))), lambda l: {'h': coalesce(path.lanes[l + 1][xor(i >> l, 1) + 1], ''), 'a': (i >> l) & 1}),
+    list_transform(range(0, len(top.lanes)), lambda l: {'h': coalesce(top.lanes[l + 1][xor(j >> l, 1) + 1], ''), 'a': (j >> l) & 1})) AS p
+  FROM placed JOIN sub USING (g) LEFT JOIN path USING (g), top),
+fold AS (SELECT *, list_reduce(list_concat([{'h': probe, 'a': 0}], p), lambda x, y: {'h': sha256(CASE WHEN y.a = 1 THEN y.h || x.h ELSE x.h || y.h END), 'a': 0}).h AS folded_root FROM proof)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda s: s.h), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM fold"""
+for _f in ("doc_id", "source", "lang", "n_chars", "text", "told"):
+    OP11_SQL = OP11_SQL.replace(f"f({_f})", f"coalesce(strlen({_f}::VARCHAR) || ':' || {_f}, '-')")
+
+OP13_SQL = """
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM cut),
+k AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS x FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s"""
+
+ORACLE_SQL: dict[str, str] = {"op11_merkle": OP11_SQL, "op13_fill_middle": OP13_SQL, "op5_decontamination": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_ngram_join": OP9_SQL}
