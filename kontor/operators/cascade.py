@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from kontor.functions import amounts, dates, iban, text, vectors
 from kontor.operators import jobs, knn
 from kontor.operators import labels as lb
+from kontor.operators.numbering import rank_in_groups
 from kontor.operators.temporal import temporal_features
 from kontor.scratch import scratch_table
 
@@ -43,6 +44,8 @@ class CascadeConfig:
     classifier: dict = field(default_factory=dict)
     calibration_folds: int = 3
     calibration_least: int = 50
+    use_vendor_industry: bool = True
+    use_vendor_context: bool = True
 
 
 def prediction(df: DataFrame, stage: str, confidence: Column, runner_up: Column | None = None, runner_up_confidence: Column | None = None) -> DataFrame:
@@ -158,8 +161,8 @@ def calibrated_probabilities(train: DataFrame, rows: DataFrame, *, folds: int =
     if r["n"] < least or r["smallest"] < folds:
         model = fit_classifier(train, **classifier)
         return None if model is None else class_probabilities(model, rows)
-    place = F.row_number().over(Window.partitionBy("category_id").orderBy(F.xxhash64("id"), "id"))
-    dealt = scratch_table(train.select("id", "x", "category_id", (place % folds).alias("fold")), "calibration-folds")
+    dealt = rank_in_groups(train.select("id", "x", "category_id"), "category_id", [F.xxhash64("id"), F.col("id")])
+    dealt = scratch_table(dealt.select("id", "x", "category_id", ((F.col("rank") + 1) % folds).cast("int").alias("fold")), "calibration-folds")
     every = None
     for f in range(folds):
         part = dealt.where(F.col("fold") == f)
@@ -183,10 +186,10 @@ def vendor_stage(rows: DataFrame, tx: DataFrame, labels: DataFrame, least: float
     return prediction(out, STAGES[0], F.when(F.col("c_vendor").isNotNull(), F.col("a_vendor")).otherwise(F.col("a_iban")))
 
 
-def knn_stage(rows: DataFrame, embeddings: DataFrame, train: DataFrame, k: int, least: int) -> DataFrame:
-    """``train``: (id, category_id). The vote of the nearest labelled vectors where enough of them agree."""
-    known = embeddings.join(train.select("id"), "id", "left_semi")
-    votes = knn.knn_vote(knn.knn_join(embeddings.join(rows.select("id"), "id", "left_semi"), known, k), train, k).where(F.col("votes") >= least)
+def knn_stage(rows: DataFrame, embeddings: DataFrame, train: DataFrame, k: int, least: int, apart: str | None = None) -> DataFrame:
+    """``train``: (id, category_id). The vote of the nearest labelled vectors where enough of them agree; ``apart``: a column of both that must differ."""
+    side = lambda df: embeddings.join(df.select("id", *([apart] if apart else [])), "id")
+    votes = knn.knn_vote(knn.knn_join(side(rows), side(train), k, apart=apart), train, k).where(F.col("votes") >= least)
     return prediction(votes, STAGES[1], F.col("votes") / F.col("k"), F.col("runner_up"), F.col("runner_up_votes") / F.col("k"))
 
 
@@ -196,7 +199,7 @@ def classifier_stage(ranked: DataFrame, threshold: float) -> DataFrame:
 
 
 def similarity_stage(rows: DataFrame, categories: DataFrame, *, dim: int = 64, least: float = 0.25, margin: float = 0.03) -> DataFrame:
-    """The category whose text is most like the row's (``vector``, unit length, and ``combined``): best cosine over the variants plus a bonus for shared words.
+    """The category whose text is most like the row's (``vector``, unit length, and ``combined``): best cosine over the variants plus a bonus for shared words, those of the vendor's ``industry`` (a column that may be missing) included.
 
     The categories, a dimension, are multiplied with the rows block by block, and only the two best come out of a block.
     """
@@ -232,7 +235,8 @@ def similarity_stage(rows: DataFrame, categories: DataFrame, *, dim: int = 64, l
             keep = (norm > 0) & (first >= least) & (np.round(first - second, 12) >= margin)
             yield pd.DataFrame({"id": batch["id"].to_numpy()[keep], "category_id": ids[top[keep]], "score": first[keep]})
 
-    given = rows.select("id", "vector", text.long_tokens(F.col("combined")).alias("tokens"))
+    words_of = F.concat_ws(" ", "combined", "industry") if "industry" in rows.columns else F.col("combined")
+    given = rows.select("id", "vector", text.long_tokens(words_of).alias("tokens"))
     return prediction(given.mapInPandas(best, "id long, category_id int, score double"), STAGES[3], F.col("score"))
 
 
@@ -255,9 +259,32 @@ def sign_guardrail(predictions: DataFrame, tx: DataFrame, consistency: DataFrame
     return out.select("id", F.when(~clash, F.col("category_id")).alias("category_id"), F.when(clash, 0.0).otherwise(F.col("confidence")).alias("confidence"), F.when(clash, "unknown").otherwise(F.col("stage")).alias("stage"), *[F.when(~clash, F.col(c)).alias(c) for c in COLUMNS[4:]])
 
 
-def predict(rows: DataFrame, tx: DataFrame, labels: DataFrame, categories: DataFrame, embeddings: DataFrame, config: CascadeConfig | None = None, *, only: DataFrame | None = None, dim: int = 64) -> DataFrame:
+def row_texts(tx: DataFrame, vendors: DataFrame | None, config: CascadeConfig) -> DataFrame:
+    """(id, combined, industry, summary): a row's own text, and of its vendor's row in ``vendors`` what the configuration lets in; an industry that says nothing is empty."""
+    about = tx.select("id", "vendor", text.combined_text(F.col("vendor"), text.normalize_memo(F.col("memo"))).alias("combined"))
+    if vendors is None or not (config.use_vendor_industry or config.use_vendor_context):
+        return about.select("id", "combined", F.lit("").alias("industry"), F.lit("").alias("summary"))
+    tag = text.translate_industry(F.col("industry"))
+    known = vendors.where("vendor <> ''").groupBy("vendor").agg(F.max(F.when(text.is_meaningful_industry(tag), tag)).alias("industry"), F.max("summary").alias("summary"))
+    return about.join(known, "vendor", "left").select("id", "combined", text.or_empty(F.col("industry")).alias("industry"), text.or_empty(F.col("summary")).alias("summary"))
+
+
+def similarity_rows(texts: DataFrame, config: CascadeConfig, dim: int) -> DataFrame:
+    out = texts.select("id", "combined", "industry").withColumn("vector", vectors.hash_embedding(F.col("combined"), dim))
+    return out if config.use_vendor_industry else out.drop("industry")
+
+
+def premises(texts: DataFrame, config: CascadeConfig) -> DataFrame:
+    given = [F.col(c) if config.use_vendor_context else F.lit("") for c in ("industry", "summary")]
+    return texts.select("id", text.premise(F.col("combined"), *given).alias("premise"))
+
+
+def predict(
+    rows: DataFrame, tx: DataFrame, labels: DataFrame, categories: DataFrame, embeddings: DataFrame, config: CascadeConfig | None = None, *, only: DataFrame | None = None, vendors: DataFrame | None = None, dim: int = 64
+) -> DataFrame:
     """One prediction for each of ``rows`` (ids). Each stage sees what the stages before left; a row whose classifier score is
-    between the two thresholds is not guessed at by the last two. ``only``: ids whose labels may be read (leak-free folds)."""
+    between the two thresholds is not guessed at by the last two. ``only``: ids whose labels may be read (leak-free folds).
+    ``vendors``: (vendor, industry, summary), from which the industry's words count for likeness to a category, and both go into what the zero-shot scorer reads."""
     c = config or CascadeConfig()
     train = lb.latest_labels(labels, "user").select(F.col("expense_id").alias("id"), "category_id")
     if only is not None:
@@ -281,14 +308,14 @@ def predict(rows: DataFrame, tx: DataFrame, labels: DataFrame, categories: DataF
             vague = ranked.where(F.col("ranked")[0]["p"] >= c.zeroshot_below).select("id")
             left = left.join(done[-1], "id", "left_anti")
     open_rows = left if vague is None else left.join(vague, "id", "left_anti")
-    about = tx.select("id", text.combined_text(F.col("vendor"), text.normalize_memo(F.col("memo"))).alias("combined"))
+    about = row_texts(tx, vendors, c)
     if STAGES[3] in c.enabled:
-        with_text = open_rows.select("id").join(about, "id").withColumn("vector", vectors.hash_embedding(F.col("combined"), dim))
+        with_text = similarity_rows(about.join(open_rows.select("id"), "id", "left_semi"), c, dim)
         done.append(scratch_table(similarity_stage(with_text, categories, dim=dim, least=c.similarity_least, margin=c.similarity_margin), "cascade-similarity"))
         open_rows = open_rows.join(done[-1], "id", "left_anti")
     if STAGES[4] in c.enabled and c.scorer is not None:
-        premises = open_rows.select("id").join(about, "id").select("id", text.premise(F.col("combined"), F.lit(""), F.lit("")).alias("premise"))
-        done.append(scratch_table(zeroshot_stage(premises, c.scorer), "cascade-zeroshot"))
+        to_read = premises(about.join(open_rows.select("id"), "id", "left_semi"), c)
+        done.append(scratch_table(zeroshot_stage(to_read, c.scorer), "cascade-zeroshot"))
     decided = None
     for d in done:
         decided = d if decided is None else decided.unionByName(d)
@@ -299,8 +326,109 @@ def predict(rows: DataFrame, tx: DataFrame, labels: DataFrame, categories: DataF
     return sign_guardrail(out.select(*COLUMNS), tx, lb.sign_consistency(tx, labels, only), support=c.sign_support, least=c.sign_consistency)
 
 
+@dataclass
+class LabelFree:
+    """What no label changes: facts, the classifier's design, and the answers of the last two stages for every row of ``rows``."""
+
+    tx: DataFrame
+    design: DataFrame | None
+    answers: list[DataFrame]
+
+
+def label_free(rows: DataFrame, tx: DataFrame, categories: DataFrame, embeddings: DataFrame, config: CascadeConfig, *, vendors: DataFrame | None = None, dim: int = 64) -> LabelFree:
+    facts = scratch_table(tx.select("id", "vendor", "iban", "cents"), "store-facts")
+    x = scratch_table(design(feature_frame(tx, embeddings), dim).select("id", "x"), "store-design") if STAGES[2] in config.enabled else None
+    texts, answers = row_texts(tx, vendors, config).join(rows.select("id"), "id", "left_semi"), []
+    if STAGES[3] in config.enabled:
+        answers.append(scratch_table(similarity_stage(similarity_rows(texts, config, dim), categories, dim=dim, least=config.similarity_least, margin=config.similarity_margin), "store-similarity"))
+    if STAGES[4] in config.enabled and config.scorer is not None:
+        answers.append(scratch_table(zeroshot_stage(premises(texts, config), config.scorer), "store-zeroshot"))
+    return LabelFree(facts, x, answers)
+
+
+def without_fold(counts: DataFrame, keys: list[str], values: list[str], n_folds: int) -> DataFrame:
+    """``values`` by ``keys`` and ``fold`` added up over all folds but one: a row for each fold left out, where something is left."""
+    both = counts.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values], F.map_from_entries(F.collect_list(F.struct("fold", F.struct(*values)))).alias("_of"))
+    out = both.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    mine = F.try_element_at("_of", F.col("fold"))
+    rest = [(F.col(f"_t_{v}") - F.coalesce(mine[v], F.lit(0))).alias(v) for v in values]
+    return out.select(*keys, "fold", *rest).where(" + ".join(values) + " > 0")
+
+
+def vendor_by_fold(folds: DataFrame, train: DataFrame, tx: DataFrame, labels: DataFrame, least: float, n_folds: int) -> DataFrame:
+    """:func:`vendor_stage` for the rows of every fold by the labels of the others, in one pass over the log."""
+    user = labels.where("source = 'user'").select(F.col("expense_id").alias("id"), "category_id").join(train.select("id", "fold"), "id")
+    out = folds.select("id", "fold").join(tx.select("id", "vendor", "iban"), "id")
+    for key in ("vendor", "iban"):
+        n = user.join(tx.where((F.col(key) != "") & F.col(key).isNotNull()).select("id", key), "id").groupBy(key, "category_id", "fold").agg(F.count(F.lit(1)).alias("n"))
+        m = lb.majority(without_fold(n, [key, "category_id"], ["n"], n_folds), [key, "fold"], least)
+        out = out.join(m.select(key, "fold", F.col("category_id").alias(f"c_{key}"), F.col("agreement").alias(f"a_{key}")), [key, "fold"], "left")
+    out = out.withColumn("category_id", F.coalesce("c_vendor", "c_iban")).where("category_id is not null")
+    return prediction(out, STAGES[0], F.when(F.col("c_vendor").isNotNull(), F.col("a_vendor")).otherwise(F.col("a_iban")))
+
+
+def signs_by_fold(train: DataFrame, tx: DataFrame, labels: DataFrame, n_folds: int) -> DataFrame:
+    user = labels.where("source = 'user'").select(F.col("expense_id").alias("id"), "category_id").join(train.select("id", "fold"), "id")
+    n = user.join(tx.where("cents <> 0").select("id", "cents"), "id").groupBy("category_id", "fold").agg(lb.count_if(F.col("cents") > 0).alias("pos"), lb.count_if(F.col("cents") < 0).alias("neg"))
+    return lb.signs(without_fold(n, ["category_id"], ["pos", "neg"], n_folds), "category_id", "fold")
+
+
+def stage_store(
+    folds: DataFrame, tx: DataFrame, labels: DataFrame, categories: DataFrame, embeddings: DataFrame, config: CascadeConfig, *, only: DataFrame | None = None, vendors: DataFrame | None = None, free: LabelFree | None = None, dim: int = 64
+) -> DataFrame:
+    """What every stage says of every row, each fold by the labels of the others: (id, fold, truth, vague, answers), written once.
+
+    ``folds``: (id, category_id, fold from 0), the latest user labels. A stage's answer does not depend on the stages before it, so any choice of stages is
+    a projection of this table (:func:`choose`). Labels are counted in one pass and a fold's own taken off; neighbours of all folds are one join in which rows of one fold do
+    not meet; only the classifier is fitted fold by fold. ``only``: ids that may be learnt from. ``free``: what two stores of the same rows share.
+    """
+    c = config
+    folds = scratch_table(folds.select("id", "category_id", F.col("fold").cast("int").alias("fold")), "store-folds")
+    train = folds if only is None else scratch_table(folds.join(only.select("id"), "id", "left_semi"), "store-train")
+    n_folds = (folds.agg(F.max("fold")).first()[0] or 0) + 1
+    free = free or label_free(folds, tx, categories, embeddings, c, vendors=vendors, dim=dim)
+    made, vague = list(free.answers), None
+    if STAGES[0] in c.enabled:
+        made.append(vendor_by_fold(folds, train, free.tx, labels, c.vendor_agreement, n_folds))
+    if STAGES[1] in c.enabled:
+        made.append(knn_stage(folds, embeddings, train, c.k, c.knn_agreement, apart="fold"))
+    if STAGES[2] in c.enabled:
+        for f in range(n_folds):
+            learn = free.design.join(train.where(F.col("fold") != f).select("id", "category_id"), "id")
+            ranked = calibrated_probabilities(learn, free.design.join(folds.where(F.col("fold") == f).select("id"), "id", "left_semi"), folds=c.calibration_folds, least=c.calibration_least, **c.classifier)
+            if ranked is not None:
+                ranked = scratch_table(ranked, "store-ranked")
+                made.append(classifier_stage(ranked, c.classifier_threshold))
+                some = ranked.where(F.col("ranked")[0]["p"] >= c.zeroshot_below).select("id")
+                vague = some if vague is None else vague.unionByName(some)
+    every = None
+    for m in made:
+        every = m if every is None else every.unionByName(m)
+    if every is None:
+        every = prediction(folds.limit(0), STAGES[0], F.lit(0.0))
+    order = F.create_map(*[F.lit(x) for i, s in enumerate(STAGES) for x in (s, i)])
+    firm = signs_by_fold(train, free.tx, labels, n_folds).where((F.col("support") >= c.sign_support) & (F.col("consistency") >= c.sign_consistency))
+    said = every.join(folds.select("id", "fold"), "id").join(firm.select("category_id", "fold", F.col("sign").alias("_sign")), ["category_id", "fold"], "left")
+    said = said.join(free.tx.select("id", F.signum("cents").cast("int").alias("_s")), "id")
+    clash = F.coalesce((F.col("_s") != 0) & (F.col("_s") != F.col("_sign")), F.lit(False))
+    answer = F.struct(order[F.col("stage")].alias("rank"), "stage", "category_id", "confidence", "runner_up", "runner_up_confidence", clash.alias("clash"))
+    answers = said.groupBy("id").agg(F.array_sort(F.collect_list(answer)).alias("answers"))  # one a stage
+    out = folds.select("id", "fold", F.col("category_id").alias("truth")).join(answers, "id", "left")
+    out = out.withColumn("vague", F.lit(False)) if vague is None else out.join(vague.withColumn("vague", F.lit(True)), "id", "left").withColumn("vague", F.coalesce("vague", F.lit(False)))
+    return scratch_table(out, "stage-store")
+
+
+def choose(enabled: tuple[str, ...]) -> Column:
+    """The prediction of the cascade that has these stages, from a row of the store: the first answer, unless its sign speaks against it (null: none)."""
+    held_back = (F.col("vague") if STAGES[2] in enabled else F.lit(False))
+    here = F.filter("answers", lambda a: a["stage"].isin(list(enabled)) & ~(held_back & (a["rank"] > STAGES.index(STAGES[2]))))
+    first = F.get(here, F.lit(0))
+    kept = ~F.coalesce(first["clash"], F.lit(True))
+    return F.struct(F.when(kept, first["category_id"]).alias("category_id"), F.when(kept, first["confidence"]).otherwise(0.0).alias("confidence"), F.when(kept, first["stage"]).otherwise("unknown").alias("stage"))
+
+
 def predict_job(
-    tx: DataFrame, labels: DataFrame, categories: DataFrame, embeddings: DataFrame, created_at: str, config: CascadeConfig | None = None, *, threshold: float | None = None, dry_run: bool = False
+    tx: DataFrame, labels: DataFrame, categories: DataFrame, embeddings: DataFrame, created_at: str, config: CascadeConfig | None = None, *, threshold: float | None = None, dry_run: bool = False, vendors: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Predictions for all rows without a user label, and the label log with those that decided added as model labels (unchanged in a dry run).
 
@@ -309,7 +437,7 @@ def predict_job(
     c = config or CascadeConfig()
     if threshold is not None:
         c = replace(c, classifier_threshold=threshold)
-    made = scratch_table(predict(lb.without_label(tx, labels), tx, labels, categories, embeddings, c), "predictions")
+    made = scratch_table(predict(lb.without_label(tx, labels), tx, labels, categories, embeddings, c, vendors=vendors), "predictions")
     if dry_run:
         return made, labels
     new = made.where("category_id is not null").select(F.col("id").alias("expense_id"), "category_id", F.lit("model").alias("source"), "confidence", F.lit(created_at).cast("timestamp").alias("created_at"))

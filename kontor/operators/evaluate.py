@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kontor.operators.cascade import STAGES, CascadeConfig, predict
+from kontor.operators.cascade import STAGES, CascadeConfig, choose, label_free, predict, stage_store
+from kontor.operators.numbering import rank_in_groups
 from kontor.scratch import scratch_table
 
 
@@ -17,8 +18,9 @@ def stratified_folds(truth: DataFrame, n_folds: int, seed: int = 0) -> DataFrame
     sizes = truth.groupBy("category_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     smallest = sizes.agg(F.min("n")).first()[0]
     k = max(2, min(n_folds, smallest or 2))
-    place = F.row_number().over(Window.partitionBy("category_id").orderBy(F.xxhash64(F.lit(seed), "id"), "id")) - 1
-    return truth.join(sizes.select("category_id"), "category_id", "left_semi").select("id", "category_id", (place % k).alias("fold"))
+    rows = truth.join(sizes.select("category_id"), "category_id", "left_semi").select("id", "category_id")
+    placed = rank_in_groups(rows, "category_id", [F.xxhash64(F.lit(seed), "id"), F.col("id")])
+    return placed.select("id", "category_id", (F.col("rank") % k).cast("int").alias("fold"))
 
 
 def fold_sizes(folds: DataFrame) -> DataFrame:
@@ -99,16 +101,24 @@ def ablation_plan(stages: tuple[str, ...] = STAGES[:4]) -> list[tuple[str, tuple
     return list((first | whole | without).items())
 
 
-def ablation(folds: DataFrame, run_with: Callable[[CascadeConfig], Callable], config: CascadeConfig) -> DataFrame:
-    """(run, accuracy, coverage, delta against the whole) of each run of the plan; runs of the same stages are made once."""
-    out, made = None, {}
-    for label, stages in ablation_plan(config.enabled):
-        if stages not in made:
-            made[stages] = scratch_table(scores(cross_validate(folds, run_with(replace(config, enabled=stages)))), "ablation-run")
-        r = made[stages].select(F.lit(label).alias("run"), "accuracy", "coverage")
-        out = r if out is None else out.unionByName(r)
-    whole = F.max(F.when(F.col("run").startswith("full"), F.col("accuracy"))).over(Window.partitionBy())  # one row per run
-    return out.withColumn("delta", F.col("accuracy") - whole)
+def records(store: DataFrame, enabled: tuple[str, ...]) -> DataFrame:
+    """(id, truth, predicted, stage, confidence) of the cascade with these stages, from a stage store: a projection."""
+    p = choose(enabled)
+    return store.select("id", "truth", p["category_id"].alias("predicted"), p["stage"].alias("stage"), p["confidence"].alias("confidence"))
+
+
+def ablation(store: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    """(run, accuracy, coverage, delta against the whole) of each run of the plan: one aggregate over the stage store, in which each choice of stages is an expression."""
+    plan = ablation_plan(stages)
+    different = list(dict.fromkeys(s for _, s in plan))
+    n, sums = F.count(F.lit(1)).alias("n"), []
+    for i, enabled in enumerate(different):
+        said = choose(enabled)["category_id"]
+        sums += [F.count(F.when(said == F.col("truth"), 1)).alias(f"hit{i}"), F.count(said).alias(f"covered{i}")]
+    rate = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
+    whole = rate(f"hit{different.index(tuple(stages))}")
+    rows = [F.struct(F.lit(label).alias("run"), rate(f"hit{i}").alias("accuracy"), rate(f"covered{i}").alias("coverage"), (rate(f"hit{i}") - whole).alias("delta")) for label, s in plan for i in [different.index(s)]]
+    return store.agg(n, *sums).select(F.inline(F.array(*rows)))
 
 
 def batch_impact(records_without: DataFrame, records_with: DataFrame) -> DataFrame:
@@ -123,3 +133,12 @@ def label_batch_impact(folds: DataFrame, batch: DataFrame, run: Callable[[DataFr
     rest = folds.join(batch.select("id"), "id", "left_anti")
     before, after = cross_validate(folds, run, only=rest), cross_validate(folds, run)
     return batch_impact(scratch_table(before, "impact"), scratch_table(after, "impact")).crossJoin(mine.agg(F.count(F.lit(1)).alias("n_batch")))
+
+
+def cascade_batch_impact(folds: DataFrame, batch: DataFrame, tx: DataFrame, labels: DataFrame, categories: DataFrame, embeddings: DataFrame, config: CascadeConfig, **other: Any) -> DataFrame:
+    """:func:`label_batch_impact` for the cascade: two stage stores that share everything no label changes."""
+    free = label_free(folds, tx, categories, embeddings, config, vendors=other.get("vendors"))
+    store = lambda only: records(stage_store(folds, tx, labels, categories, embeddings, config, only=only, free=free, **other), config.enabled)
+    mine = folds.join(batch.select("id"), "id", "left_semi")
+    impact = batch_impact(store(folds.join(batch.select("id"), "id", "left_anti")), store(None))
+    return impact.crossJoin(mine.agg(F.count(F.lit(1)).alias("n_batch")))  # one row each

@@ -117,11 +117,12 @@ def label_distribution(tx: DataFrame, labels: DataFrame, key: str, only: DataFra
     return rows.join(tx.where((F.col(key) != "") & F.col(key).isNotNull()).select("id", key), "id").groupBy(key, "category_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def majority(distribution: DataFrame, key: str, least: float = 0.8) -> DataFrame:
+def majority(distribution: DataFrame, key: str | list[str], least: float = 0.8) -> DataFrame:
     """(key, category_id, agreement) where the largest category has that share; ties to the smaller category."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "category_id"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(key))
-    return distribution.withColumn("agreement", share).withColumn("r", rank).where((F.col("r") == 1) & (F.col("agreement") >= least)).select(key, "category_id", "agreement")
+    keys = [key] if isinstance(key, str) else key
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "category_id"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
+    return distribution.withColumn("agreement", share).withColumn("r", rank).where((F.col("r") == 1) & (F.col("agreement") >= least)).select(*keys, "category_id", "agreement")
 
 
 def sign_consistency(tx: DataFrame, labels: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -130,7 +131,13 @@ def sign_consistency(tx: DataFrame, labels: DataFrame, only: DataFrame | None =
     if only is not None:
         rows = rows.join(only.select("id"), "id", "left_semi")
     n = rows.join(tx.where("cents <> 0").select("id", "cents"), "id").groupBy("category_id").agg(count_if(F.col("cents") > 0).alias("pos"), count_if(F.col("cents") < 0).alias("neg"))
-    return n.select("category_id", F.when(F.col("pos") >= F.col("neg"), 1).otherwise(-1).alias("sign"), (F.greatest("pos", "neg") / (F.col("pos") + F.col("neg"))).alias("consistency"), (F.col("pos") + F.col("neg")).alias("support"))
+    return signs(n, "category_id")
+
+
+def signs(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, sign, consistency, support) from (keys, pos, neg)."""
+    both = F.col("pos") + F.col("neg")
+    return counts.select(*keys, F.when(F.col("pos") >= F.col("neg"), 1).otherwise(-1).alias("sign"), (F.greatest("pos", "neg") / both).alias("consistency"), both.alias("support"))
 
 
 def labelled_vendors(tx: DataFrame, labels: DataFrame) -> DataFrame:

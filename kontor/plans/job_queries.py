@@ -313,7 +313,7 @@ def all_stages(**other) -> cascade.CascadeConfig:  # noqa: ANN003
 
 def predictions(spark: SparkSession, d: str, config: cascade.CascadeConfig | None = None) -> DataFrame:
     tx, labels = t.transactions(spark, d), t.labels(spark, d)
-    return cascade.predict(lb.without_label(tx, labels), tx, labels, t.categories(spark, d), t.vectors(spark, d), config or all_stages())
+    return cascade.predict(lb.without_label(tx, labels), tx, labels, t.categories(spark, d), t.vectors(spark, d), config or all_stages(), vendors=t.vendor_cache(spark, d))
 
 
 add("h10_h12_cascade", None)(predictions)
@@ -390,16 +390,12 @@ def truth_rows(spark: SparkSession, d: str) -> DataFrame:
 add("k2_fold_sizes", "SELECT f AS fold, count(*) AS test, sum(count(*)) OVER ()::BIGINT - count(*) AS train FROM (SELECT (row_number() OVER (PARTITION BY category_id ORDER BY expense_id) - 1)::INT % 4 AS f FROM latest_user) GROUP BY 1")(lambda s, d: evaluate.fold_sizes(evaluate.stratified_folds(truth_rows(s, d), 4)))
 
 
-def fold_run(spark: SparkSession, d: str, config: cascade.CascadeConfig):  # noqa: ANN201
-    return evaluate.cascade_run(t.transactions(spark, d), t.labels(spark, d), t.categories(spark, d), t.vectors(spark, d), config)
+def store(spark: SparkSession, d: str, n_folds: int) -> DataFrame:
+    return cascade.stage_store(evaluate.stratified_folds(truth_rows(spark, d), n_folds), t.transactions(spark, d), t.labels(spark, d), t.categories(spark, d), t.vectors(spark, d), all_stages(), vendors=t.vendor_cache(spark, d))
 
 
-add("k1_cross_validate", None)(lambda s, d: evaluate.cross_validate(evaluate.stratified_folds(truth_rows(s, d), 3), fold_run(s, d, all_stages())))
-
-
-@add("k7_ablation", None)
-def _(spark, d):  # noqa: ANN001, ANN202
-    return evaluate.ablation(evaluate.stratified_folds(truth_rows(spark, d), 2), lambda c: fold_run(spark, d, c), all_stages())
+add("k1_cross_validate", None)(lambda s, d: evaluate.records(store(s, d, 3), all_stages().enabled))
+add("k7_ablation", None)(lambda s, d: evaluate.ablation(store(s, d, 2), all_stages().enabled))
 
 
 @add("j6_label_batch_impact", None)
@@ -407,7 +403,7 @@ def _(spark, d):  # noqa: ANN001, ANN202
     """What the labels of the later half of the orders add."""
     folds = evaluate.stratified_folds(truth_rows(spark, d), 2)
     batch = t.transactions(spark, d).where("date >= '1998-01-01'").select("id")
-    return evaluate.label_batch_impact(folds, batch, fold_run(spark, d, all_stages()))
+    return evaluate.cascade_batch_impact(folds, batch, t.transactions(spark, d), t.labels(spark, d), t.categories(spark, d), t.vectors(spark, d), all_stages())
 
 
 add("j6_batch_impact", REC + """, f1 AS (SELECT avg(f) AS f FROM pc), rec2 AS (SELECT * FROM rec WHERE stage <> 'unknown'),

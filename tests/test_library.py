@@ -1,6 +1,7 @@
 """Operators that SQL does not cover, against plain versions; edge cases of files, streams and names."""
 
 import collections
+import datetime
 import random
 
 import numpy as np
@@ -203,10 +204,99 @@ def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):
         con.sql(f"create view {p.stem} as select * from '{p}'")
-    plain = lambda x: round(x, 6) if isinstance(x, float) else str(x)
+    plain = lambda x: round(x, 6) if isinstance(x, float) else str(x.replace(tzinfo=None)) if isinstance(x, datetime.datetime) else str(x)
+    con.sql("set timezone = 'UTC'")
     want = con.sql(SQL[name])
     names = [d[0] for d in want.description]
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     rows = lambda rs: collections.Counter(tuple(plain(x) for x in r) for r in rs)
     assert rows(tuple(r) for r in got.select(*names).collect()) == rows(want.fetchall())
+
+
+def test_stage_store(spark):
+    """Every choice of stages out of the store is what a separate run of the cascade gives; neighbours of one fold stay apart."""
+    from kontor.operators import evaluate
+    from kontor.operators.cascade import CascadeConfig, stage_store
+
+    rng = np.random.default_rng(4)
+    rows, vecs, labels = [], [], []
+    for i in range(160):
+        kind = i % 3
+        rows.append((i, "2020-01-01", f"shop {i % 40}" if i % 2 else "", f"DE{i % 9}" if i % 5 else "", "", int(rng.integers(1, 900)) * (-1 if kind or i % 11 == 0 else 1), "Lebensmittel" if i % 4 else "Strom"))
+        vecs.append((i, (np.eye(8)[kind] * 2 + rng.normal(size=8)).tolist()))
+        if i < 120:
+            labels.append((i + 1, i, kind if rng.random() < 0.8 else 1, "user", None, None))
+    tx = spark.createDataFrame(rows, "id long, date string, vendor string, iban string, payer string, cents long, memo string").withColumns({"date": F.to_date("date"), "is_income": (F.col("cents") > 0).cast("int")})
+    log = spark.createDataFrame(labels, "label_id long, expense_id long, category_id int, source string, confidence double, created_at timestamp")
+    e = spark.createDataFrame(vecs, "id long, vector array<double>")
+    cats = spark.createDataFrame([(0, "Markt", "Lebensmittel und mehr"), (1, "Strom", "Versorgung"), (2, "c", "")], "category_id int, name string, description string")
+    config = CascadeConfig(vendor_agreement=0.7, knn_agreement=4, classifier_threshold=0.7, zeroshot_below=0.5, similarity_least=0.1, sign_support=3, sign_consistency=0.7, classifier={"forest": False, "max_iter": 5})
+    folds = evaluate.stratified_folds(log.select(F.col("expense_id").alias("id"), "category_id"), 2)
+    kept = stage_store(folds, tx, log, cats, e, config, dim=8)
+    plain = lambda df: sorted((r["id"], r["truth"], r["predicted"], r["stage"], round(r["confidence"], 9)) for r in df.collect())
+    seen = set()
+    for enabled in (config.enabled, ("knn", "classifier", "category_similarity"), ("category_similarity",)):
+        from dataclasses import replace
+
+        c = replace(config, enabled=enabled)
+        run = lambda test, train: evaluate.predict(test, tx, log, cats, e, c, only=train, dim=8)  # noqa: B023, E731
+        got = plain(evaluate.records(kept, enabled))
+        assert got == plain(evaluate.cross_validate(folds, run))
+        seen |= {r[3] for r in got}
+    assert seen == {"vendor_exact_match", "knn", "classifier", "category_similarity", "unknown"}
+    runs = {r["run"]: r for r in evaluate.ablation(kept, config.enabled).collect()}
+    assert len(runs) == 9 and all(r["delta"] == pytest.approx(r["accuracy"] - runs[f"full baseline: {'+'.join(config.enabled)}"]["accuracy"]) for r in runs.values())
+    one = runs["leave-one-out: drop vendor_exact_match"]
+    want = evaluate.scores(evaluate.records(kept, config.enabled[1:])).first()
+    assert (one["accuracy"], one["coverage"]) == (want["accuracy"], want["coverage"])
+
+
+def test_vendor_context(spark):
+    """The industry of a row's vendor decides between two categories, unless it is switched off; both industry and summary reach the scorer."""
+    from kontor.operators.cascade import CascadeConfig, predict
+
+    tx = spark.createDataFrame([(1, "markt alpha", "Kauf"), (2, "", "Kauf")], "id long, vendor string, memo string").withColumns({"iban": F.lit(""), "cents": F.lit(-5).cast("long")})
+    log = spark.createDataFrame([], "label_id long, expense_id long, category_id int, source string, confidence double, created_at timestamp")
+    e = spark.createDataFrame([], "id long, vector array<double>")
+    cats = spark.createDataFrame([(4, "Essen", "Supermarkt Laden"), (9, "Kauf", "")], "category_id int, name string, description string")
+    vendors = spark.createDataFrame([("markt alpha", "supermarket", "Ein Haendler."), ("markt alpha", "other", None), ("", "Reisen", "x")], "vendor string, industry string, summary string")
+    config = CascadeConfig(enabled=("category_similarity",), similarity_least=-1.0, similarity_margin=-1.0)
+    said = lambda **kw: {r["id"]: r["category_id"] for r in predict(tx, tx, log, cats, e, CascadeConfig(**{**config.__dict__, **kw}), vendors=vendors).collect()}
+    with_it, without = said(), said(use_vendor_industry=False)
+    from kontor.operators import cascade
+
+    rows = {r["id"]: (r["combined"], r["industry"], r["summary"]) for r in cascade.row_texts(tx, vendors, config).collect()}
+    assert rows == {1: ("markt alpha | kauf", "Supermarkt", "Ein Haendler."), 2: ("kauf", "", "")}
+    assert with_it[2] == without[2] and set(with_it.values()) <= {4, 9}
+    read = {r["id"]: r["premise"] for r in cascade.premises(cascade.row_texts(tx, vendors, config), config).collect()}
+    assert read == {1: "markt alpha | kauf. Branche: Supermarkt. Ein Haendler.", 2: "kauf."}
+    off = CascadeConfig(use_vendor_context=False)
+    assert {r["premise"] for r in cascade.premises(cascade.row_texts(tx, vendors, off), off).collect()} == {"markt alpha | kauf.", "kauf."}
+
+
+def test_knn_pivots(spark):
+    """Exact over cells, with ties, repeated and zero vectors and groups apart; on vectors in groups most pairs are never compared."""
+    from kontor.operators.knn import knn_search
+
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(12, 16))
+    v = [centres[i % 12] + rng.normal(size=16) * 0.05 for i in range(1200)]
+    v += [v[3], v[3] * 2, np.zeros(16), np.zeros(16)]
+    rows = [(i, x.tolist(), i // 12 % 4) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, fold int")
+    x = np.array(v)
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    x = x / np.where(n == 0, 1, n)
+    for apart in (None, "fold"):
+        found, pairs = knn_search(df, df, 5, apart=apart, cell_rows=50, block_rows=100, block_queries=64)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["id"], []).append((r["rank"], r["neighbour"], round(r["similarity"], 9)))
+        sims = np.round(x @ x.T, 12)
+        for i in range(len(v)):
+            ids = [j for j in range(len(v)) if j != i and not (apart and i // 12 % 4 == j // 12 % 4)]
+            want = sorted(ids, key=lambda j: (-sims[i, j], j))[:5]
+            assert [a[1] for a in sorted(got[i])] == want, i
+        share = pairs.first()["pairs"] / len(v) ** 2
+        assert share < 0.2, share
