@@ -7,69 +7,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import text
+from kontor.scratch import scratch_table
 
 
-def greedy_matches(rows: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Candidates in order of date and id each take the nearest unused record within ``window`` days; ties take none and are marked.
+def decide_days(days: pd.DataFrame, window: int) -> pd.DataFrame:
+    """One run of days of one amount: candidates in order of date and id each take the only nearest unused record within ``window`` days; where there are several they take none and mark them.
 
-    Records are looked at in a window that moves with the candidates' dates.
+    ``days``: day, ``ids`` (the first few candidates, in order) and ``n_records``, one row a day. A day of several records can never be used, as its records always tie, so that a
+    day has one free record, none, or ever as many as it has.
     """
-    candidates = rows[rows["is_candidate"]].sort_values(["day", "id"])
-    records = rows[~rows["is_candidate"]].sort_values(["day", "ref"])
-    days, refs = records["day"].to_numpy(), records["ref"].to_numpy()
-    near: list[int] = []
-    ahead, used, tied = 0, set(), set()
-    found: list[tuple[int, str, int]] = []
-    for day, id_ in zip(candidates["day"], candidates["id"], strict=True):
-        while ahead < len(days) and days[ahead] <= day + window:
-            near.append(ahead)
-            ahead += 1
-        near = [i for i in near if days[i] >= day - window]
-        if not near:
-            continue
-        best = min(abs(days[i] - day) for i in near)
-        nearest = [i for i in near if abs(days[i] - day) == best]
-        if len(nearest) > 1:
-            tied.update(nearest)
-        else:
-            used.add(nearest[0])
-            near.remove(nearest[0])
-            found.append((int(id_), refs[nearest[0]], int(best)))
-    out = pd.DataFrame(found, columns=["id", "ref", "days"])
-    out["outcome"] = "matched"
-    # a record that tied and was matched later counts in both
-    ties = pd.DataFrame({"id": pd.NA, "ref": refs[sorted(tied)], "days": pd.NA, "outcome": "ambiguous"})
-    rest = [r for i, r in enumerate(refs) if i not in used and i not in tied]
-    return pd.concat([out, ties, pd.DataFrame({"id": pd.NA, "ref": rest, "days": pd.NA, "outcome": "unmatched"})]).astype({"id": "Int64", "days": "Int32"})
+    days = days.sort_values("day")
+    left = {int(d): int(n) for d, n in zip(days["day"], days["n_records"], strict=True) if n}
+    found, tied = [], set()
+    for day, ids in zip(days["day"], days["ids"], strict=True):
+        for id_ in ids:
+            near = next(([d for d in {day - off, day + off} if left.get(d)] for off in range(window + 1) if left.get(day - off) or left.get(day + off)), [])
+            if sum(left[d] for d in near) != 1:
+                tied.update(near)
+                break  # nothing has changed for the next candidate of the day
+            left[near[0]] = 0
+            found.append((near[0], int(id_), abs(int(near[0]) - int(day))))
+    out = pd.DataFrame(found, columns=["day", "id", "days"]).assign(outcome="matched")
+    ties = pd.DataFrame({"day": sorted(tied), "id": pd.NA, "days": pd.NA, "outcome": "ambiguous"})
+    return pd.concat([out, ties]).assign(a=days["a"].iloc[0]).astype({"day": "int64", "id": "Int64", "days": "Int32"})[["a", "day", "id", "days", "outcome"]]
 
 
 def match_secondary(tx: DataFrame, records: DataFrame, window: int = 5) -> DataFrame:
     """(id, ref, days, outcome): matches of ``tx`` (id, date, cents) with ``records`` (ref, txn_date, cents), and the records left over.
 
-    Only equal absolute amounts meet, so the choice is local to an amount, and within it to a run of dates none of which is
-    more than ``window`` days from the next: each such run is one group, decided in one pass by date. Amounts without a candidate never reach Python.
+    Only equal absolute amounts meet. However many rows have an amount, a day of it is decided by at most 2 * ``window`` + 2 candidates, as each but the last uses up a record in reach, and by
+    how many records it has; so what is decided in order is a table of a few candidates a day, in runs of days none of which is more than ``window`` from the next. A run whose one
+    candidate meets one record is decided by built-in functions. Records learn from their day what became of them. A record that tied and was matched later counts in both.
     """
-    c = tx.select(F.abs("cents").alias("a"), F.lit(True).alias("is_candidate"), "id", F.lit(None).cast("string").alias("ref"), F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"))
-    r = records.select(F.abs("cents").alias("a"), F.lit(False).alias("is_candidate"), F.lit(None).cast("long").alias("id"), "ref", F.datediff("txn_date", F.lit("1970-01-01").cast("date")).alias("day"))
-    shared = c.join(r.select("a").distinct(), "a", "left_semi").unionByName(r)
-    # runs are cut on one row for an amount and day, of which there are no more than days
-    order = Window.partitionBy("a").orderBy("day")
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    c = tx.select(F.abs("cents").alias("a"), "id", day("date").alias("day")).where("day is not null")
+    r = scratch_table(records.select(F.abs("cents").alias("a"), "ref", day("txn_date").alias("day")), "match-records")
+    per_day = r.where("day is not null").groupBy("a", "day").agg(F.count(F.lit(1)).alias("n_records"))
+    turn = F.row_number().over(Window.partitionBy("a", "day").orderBy("id"))
+    first = c.join(r.select("a").distinct(), "a", "left_semi").withColumn("turn", turn).where(F.col("turn") <= 2 * window + 2)
+    ids = first.groupBy("a", "day").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # a few
+    days = per_day.join(ids, ["a", "day"], "full").withColumns({"n_records": F.coalesce("n_records", F.lit(0)), "ids": F.coalesce("ids", F.array().cast("array<long>"))})
+    order = Window.partitionBy("a").orderBy("day")  # days of an amount
     new = (F.col("day") - F.lag("day").over(order) > window).cast("int")
-    cuts = shared.select("a", "day").distinct().withColumn("new", F.coalesce(new, F.lit(1)))
-    cuts = cuts.select("a", "day", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-    runs = shared.join(cuts, ["a", "day"])
-    # one candidate and one record decide themselves, and records alone are unmatched: built-in functions; only what competes goes to Python
-    n = runs.groupBy("a", "run").agg(
-        F.count(F.when(F.col("is_candidate"), 1)).alias("n_c"), F.count(F.when(~F.col("is_candidate"), 1)).alias("n_r"), F.max("id").alias("one_id"), F.max("ref").alias("one_ref"),
-        (F.max(F.when(F.col("is_candidate"), F.col("day"))) - F.max(F.when(~F.col("is_candidate"), F.col("day")))).alias("off"),
-    )
-    hit = F.abs("off") <= window
-    single = n.where("n_c = 1 and n_r = 1").select(F.when(hit, F.col("one_id")).alias("id"), F.col("one_ref").alias("ref"), F.when(hit, F.abs("off")).cast("int").alias("days"), F.when(hit, "matched").otherwise("unmatched").alias("outcome"))
-    none = F.lit(None)
-    alone = runs.join(n.where("n_c = 0").select("a", "run"), ["a", "run"], "left_semi").select(none.cast("long").alias("id"), "ref", none.cast("int").alias("days"), F.lit("unmatched").alias("outcome"))
-    contested = runs.join(n.where("n_c > 0 and n_r > 0 and n_c + n_r > 2").select("a", "run"), ["a", "run"], "left_semi")
-    decided = contested.groupBy("a", "run").applyInPandas(lambda rows: greedy_matches(rows, window), "id long, ref string, days int, outcome string")
-    return single.unionByName(alone).unionByName(decided)
+    runs = days.withColumn("new", F.coalesce(new, F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    of_run = Window.partitionBy("a", "run")
+    runs = scratch_table(runs.withColumns({"n_c": F.sum(F.size("ids")).over(of_run), "n_r": F.sum("n_records").over(of_run)}).where("n_c > 0 and n_r > 0"), "match-runs")
+    single = runs.where("n_c = 1 and n_r = 1").groupBy("a", "run").agg(F.max(F.when(F.col("n_records") == 1, F.col("day"))).alias("day"), F.max(F.get("ids", F.lit(0))).alias("id"), F.max(F.when(F.size("ids") == 1, F.col("day"))).alias("own"))
+    single = single.withColumn("days", F.abs(F.col("day") - F.col("own")).cast("int")).where(F.col("days") <= window).select("a", "day", "id", "days", F.lit("matched").alias("outcome"))
+    contested = runs.where("n_c + n_r > 2").select("a", "run", "day", "ids", "n_records")
+    decided = contested.groupBy("a", "run").applyInPandas(lambda d: decide_days(d, window), "a long, day long, id long, days int, outcome string").unionByName(single)
+    said = decided.groupBy("a", "day").agg(F.collect_set(F.struct("id", "days", "outcome")).alias("said"))  # two at most
+    rest = F.struct(F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("days"), F.lit("unmatched").alias("outcome"))
+    return r.join(said, ["a", "day"], "left").select("ref", F.explode(F.coalesce("said", F.array(rest))).alias("s")).select("s.id", "ref", "s.days", "s.outcome")
 
 
 def match_report(matches: DataFrame) -> DataFrame:

@@ -6,9 +6,16 @@ window of the whole table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kontor.scratch import scratch_table
+
 
 def by_day(rows: DataFrame, key: str, *sums) -> DataFrame:  # noqa: ANN002
     """One row for a key and date, with its number of rows ``n`` and the ``sums``: what windows over a key's history run over, however many rows a day has."""
@@ -44,21 +51,110 @@ def vendor_history(tx: DataFrame) -> DataFrame:
     return out.select("id", gap.alias("days_since_prev"), z.alias("z"), "n30", "n90", "n365")
 
 
+#: Logarithmic buckets of ratio 1.1 in a band: what is within ten percent of an amount lies at most two buckets away.
+BAND = 8
+
+
+def first_within(first: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of ``first[low:high]`` for each pair of bounds, a large number where there is nothing, by tables of the least over runs of two, four and more."""
+    tables = [first]
+    while 2 << (len(tables) - 1) <= len(first):
+        half = 1 << (len(tables) - 1)
+        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+    out = np.full(len(low), np.iinfo(np.int64).max)
+    some = np.flatnonzero(high > low)
+    level = np.frexp((high - low)[some])[1] - 1
+    for k in np.unique(level):
+        at = some[level == k]
+        out[at] = np.minimum(tables[k][low[at]], tables[k][high[at] - (1 << k)])
+    return out
+
+
+def sweep(a: np.ndarray, day: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """For distinct (amount, day) of one vendor, in that order: months with earlier rows within ten percent, those of them not over a year back, and whether one of these rows has another amount.
+
+    One pass by amount: the window of similar amounts moves up, and keeps as bits which days and which months it has. Rows that do not ``ask`` stay 0.
+    """
+    amounts, at = np.unique(a, return_index=True)
+    low = np.searchsorted(amounts, amounts - amounts // 10)
+    high = np.searchsorted(amounts, amounts + amounts // 10, side="right")
+    ends = np.append(at[1:], len(a))
+    first, index = np.minimum.reduceat(day, at), np.arange(len(amounts))
+    other = np.repeat(np.minimum(first_within(first, low, index), first_within(first, index + 1, high)), ends - at) < day
+    month_of = lambda d: d.astype("datetime64[D]").astype("datetime64[M]").astype(np.int64)
+    day_of = lambda m: m.astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
+    month, back = month_of(day), day - 365
+    edge = month_of(back)
+    zero, none = int(back.min()), int(edge.min())
+    # days and months counted from the first that matters: of the row, of its month's begin, a year back, and of what is left of that month
+    d, m, begin, b, e, left_of = (x.tolist() for x in (day - zero, month - none, day_of(month) - zero, back - zero, edge - none, day_of(edge + 1) - back))
+    n_day, n_month, days, months, left, right = {}, {}, 0, 0, 0, 0
+    out = np.zeros((len(a), 3), np.int64)
+    for i in range(len(amounts)):
+        for r in range(at[right] if right < len(at) else len(a), ends[high[i] - 1]):
+            n_day[d[r]], n_month[m[r]] = n_day.get(d[r], 0) + 1, n_month.get(m[r], 0) + 1
+            days, months = days | 1 << d[r], months | 1 << m[r]
+        right = high[i]
+        for r in range(at[left], at[low[i]]):
+            n_day[d[r]] -= 1
+            n_month[m[r]] -= 1
+            days, months = days & ~(int(not n_day[d[r]]) << d[r]), months & ~(int(not n_month[m[r]]) << m[r])
+        left = low[i]
+        for r in range(at[i], ends[i]):
+            if asks[r]:
+                own = int((days & (1 << d[r]) - 1) >> max(begin[r], 0) != 0)
+                earlier = months & (1 << m[r]) - 1
+                late = (earlier >> e[r] + 1).bit_count() + int(days >> b[r] & (1 << left_of[r]) - 1 != 0)
+                out[r] = earlier.bit_count() + own, late + own, other[r]
+    return out
+
+
+def sweep_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (vendor, band, a, day, asks) in order: each band of a vendor once all of it has come."""
+    held: list[pa.RecordBatch] = []
+
+    def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not len(part):
+            return
+        part = part.combine_chunks()
+        v, band = part["vendor"].dictionary_encode().combine_chunks().indices.to_numpy(), part["band"].to_numpy()
+        a, day, asks = (part[c].to_numpy() for c in ("a", "day", "asks"))
+        cuts = np.append(np.flatnonzero(np.diff(v, prepend=-1) | np.diff(band, prepend=band[0])), len(v))
+        found = np.concatenate([sweep(a[i:j], day[i:j], asks[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+        some = np.flatnonzero(found[:, 0])
+        rows = part.select(["vendor", "a", "day"]).take(pa.array(some)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in rows.columns], *[pa.array(found[some, i]) for i in range(3)]], ["vendor", "a", "day", "n_months", "n_months_12", "other"])
+
+    for b in batches:
+        if not len(b):
+            continue
+        last = (b["vendor"][-1], b["band"][-1])
+        if held and (held[-1]["vendor"][-1], held[-1]["band"][-1]) == last and (b["vendor"][0], b["band"][0]) == last:
+            held.append(b)
+            continue
+        size = len(b)
+        same = np.flatnonzero((b["band"].to_numpy() != last[1].as_py()) | (pc.not_equal(b["vendor"], last[0]).to_numpy(zero_copy_only=False)))
+        cut = int(same[-1]) + 1 if len(same) else 0
+        if cut or held:
+            yield from done(pa.Table.from_batches([*held, b.slice(0, cut)]))
+        held = [b.slice(cut, size - cut)]
+    if held:
+        yield from done(pa.Table.from_batches(held))
+
+
 def similar_amounts(tx: DataFrame) -> DataFrame:
     """(id, n_months, n_months_12, all_exact) over earlier rows of the vendor within ten percent of the amount.
 
-    The tolerance join is an equi-join on vendor and logarithmic bucket: an amount within 10 % lies in one of five buckets
-    of ratio 1.1 around its own. The earlier side is aggregated to one row per vendor, amount and month first, with its first and last date:
-    a month counts if its first is earlier, and within a year if its last is not too early.
+    What asks and what answers are a vendor's distinct (amount, day), however many rows it has. Bands of eight logarithmic buckets, each with two more buckets on
+    either side, part a vendor's amounts, and each band is gone through once in order of the amount (:func:`sweep`), which is linear in its distinct rows.
     """
-    rows = tx.where("vendor <> '' and cents <> 0").select("id", "vendor", "date", F.abs("cents").alias("a"))
-    bucket = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1.1))).cast("int")
-    month = F.year("date") * 12 + F.month("date")
-    prior = rows.groupBy("vendor", F.col("a").alias("p_a"), month.alias("month")).agg(F.min("date").alias("first"), F.max("date").alias("last")).withColumn("b", bucket(F.col("p_a")))
-    probe = rows.withColumn("b", F.explode(F.sequence(bucket(F.col("a")) - 2, bucket(F.col("a")) + 2)))
-    near = (F.col("first") < F.col("date")) & (F.abs(F.col("p_a") - F.col("a")) <= F.col("a") * F.lit(0.1))
-    months = probe.join(prior, ["vendor", "b"]).where(near).groupBy("id", "month").agg(F.max((F.datediff("date", "last") <= 365).cast("int")).alias("late"), F.max((F.col("p_a") != F.col("a")).cast("int")).alias("other"))
-    return months.groupBy("id").agg(F.count(F.lit(1)).alias("n_months"), F.sum("late").alias("n_months_12"), (1 - F.max("other")).alias("all_exact"))
+    rows = tx.where("vendor <> '' and cents <> 0").select("id", "vendor", F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long").alias("day"), F.abs("cents").alias("a")).where("day is not null")
+    rows = scratch_table(rows, "similar-rows")
+    bucket = F.floor(F.log(F.col("a").cast("double")) / F.log(F.lit(1.1)))
+    bands = [F.floor((F.col("b") + k) / BAND).cast("int") for k in (-2, 0, 2)]
+    told = rows.select("vendor", "a", "day").distinct().withColumn("b", bucket).withColumn("band", F.explode(F.array_distinct(F.array(*bands)))).select("vendor", "band", "a", "day", (F.col("band") == bands[1]).alias("asks"))
+    found = told.repartition("vendor", "band").sortWithinPartitions("vendor", "band", "a", "day").mapInArrow(sweep_bands, "vendor string, a long, day long, n_months long, n_months_12 long, other long")
+    return rows.join(found, ["vendor", "a", "day"]).select("id", "n_months", "n_months_12", (1 - F.col("other")).cast("int").alias("all_exact"))
 
 
 def iban_history(tx: DataFrame) -> DataFrame:

@@ -57,7 +57,20 @@ def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return t.transactions(spark, d), t.secondary(spark, d).withColumn("description", text.secondary_memo(F.col("name"), F.col("email")))
 
 
-add("d10_match_secondary", None)(lambda s, d: matching.match_secondary(*candidates(s, d)))
+#: Every candidate in turn, all amounts at once: what is used and tied so far goes along.
+GREEDY = """WITH RECURSIVE """ + t.PREFIX.removeprefix("WITH ") + """, rec AS (SELECT 'R' || o_orderkey AS ref, o_orderdate::DATE + (o_orderkey % 9 - 4)::INT AS day, round(o_totalprice * 100)::BIGINT AS a FROM orders WHERE o_orderkey % 7 = 0),
+rs AS (SELECT a, list({'ref': ref, 'day': day}) AS rs FROM rec GROUP BY a), cs AS (SELECT a, list({'id': id, 'day': date} ORDER BY date, id) AS cs FROM tx GROUP BY a),
+turn AS (
+  SELECT a, rs, cs, 0 AS i, []::VARCHAR[] AS used, []::VARCHAR[] AS tied, NULL::BIGINT AS id, NULL::VARCHAR AS ref, NULL::INT AS days FROM rs JOIN cs USING (a)
+  UNION ALL
+  SELECT a, rs, cs, i, CASE WHEN len(near) = 1 THEN list_append(used, near[1].ref) ELSE used END, CASE WHEN len(near) > 1 THEN list_concat(tied, list_transform(near, lambda r: r.ref)) ELSE tied END,
+    CASE WHEN len(near) = 1 THEN cs[i].id END, CASE WHEN len(near) = 1 THEN near[1].ref END, CASE WHEN len(near) = 1 THEN abs(near[1].day - cs[i].day)::INT END
+  FROM (SELECT *, list_filter(free, lambda r: abs(r.day - cs[i].day) = list_min(list_transform(free, lambda q: abs(q.day - cs[i].day)))) AS near
+    FROM (SELECT a, rs, cs, i + 1 AS i, used, tied, list_filter(rs, lambda r: abs(r.day - cs[i + 1].day) <= 5 AND NOT list_contains(used, r.ref)) AS free FROM turn WHERE i < len(cs)))),
+last AS (SELECT * FROM turn WHERE i = len(cs)), matched AS (SELECT id, ref, days, 'matched' AS outcome FROM turn WHERE id IS NOT NULL), ties AS (SELECT DISTINCT unnest(tied) AS ref FROM last),
+said AS (FROM matched UNION ALL SELECT NULL, ref, NULL, 'ambiguous' FROM ties UNION ALL SELECT NULL, ref, NULL, 'unmatched' FROM rec WHERE ref NOT IN (SELECT ref FROM matched) AND ref NOT IN (FROM ties))
+"""
+add("d10_match_secondary", GREEDY + "SELECT id, ref, days, outcome FROM said", prefix=False)(lambda s, d: matching.match_secondary(*candidates(s, d)))
 PAIRS = """, rec AS (SELECT 'R' || o_orderkey AS ref, o_orderdate::DATE + (o_orderkey % 9 - 4)::INT AS day, round(o_totalprice * 100)::BIGINT AS a FROM orders WHERE o_orderkey % 7 = 0),
 one AS (SELECT a FROM tx GROUP BY a HAVING count(*) = 1 INTERSECT SELECT a FROM rec GROUP BY a HAVING count(*) = 1)
 """
@@ -72,7 +85,17 @@ def _(spark, d):  # noqa: ANN001, ANN202
     return m.join(both, "a", "left_semi").select("id", "ref", "days")
 
 
-add("d10_match_report", None)(lambda s, d: matching.match_report(matching.match_secondary(*candidates(s, d))))
+CROWDED = GREEDY.replace("round(o_totalprice * 100)::BIGINT AS a FROM orders WHERE", "round(o_totalprice * 100)::BIGINT // 100000 AS a FROM orders WHERE").replace("cs AS (SELECT a, list", "cs AS (SELECT a // 100000 AS a, list").replace("FROM tx GROUP BY a)", "FROM tx GROUP BY a // 100000)")
+
+
+@add("d10_crowded_amounts", CROWDED + "SELECT id, ref, days, outcome FROM said", prefix=False)
+def _(spark, d):  # noqa: ANN001, ANN202
+    """Amounts in whole thousands, so that many candidates and records compete for each other."""
+    whole = F.floor(F.abs("cents") / 100_000).cast("long")
+    return matching.match_secondary(*[df.withColumn("cents", whole) for df in candidates(spark, d)])
+
+
+add("d10_match_report", GREEDY + "SELECT count(*) FILTER (outcome = 'matched') AS matched, count(*) FILTER (outcome = 'ambiguous') AS ambiguous, count(*) FILTER (outcome = 'unmatched') AS unmatched FROM said", prefix=False)(lambda s, d: matching.match_report(matching.match_secondary(*candidates(s, d))))
 
 
 @add("d11_b32_best_name_match", None)

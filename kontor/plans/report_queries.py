@@ -25,11 +25,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
-def add(name: str, sql: str | None) -> Callable:
+def add(name: str, sql: str | None, *, prefix: bool = True) -> Callable:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         Q[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
-            SQL[name] = PREFIX + sql
+            SQL[name] = PREFIX + sql if prefix else sql
         return f
 
     return register

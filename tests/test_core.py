@@ -64,15 +64,16 @@ def test_week_key_and_iban(spark):
     assert got == [True, False, False]
 
 
-def test_greedy_matching():
-    from kontor.operators.matching import greedy_matches
-
-    rows = pd.DataFrame([(True, 1, None, 10), (True, 2, None, 11), (False, None, "a", 11), (False, None, "b", 13), (False, None, "c", 40)], columns=["is_candidate", "id", "ref", "day"])
-    out = greedy_matches(rows, 5)
-    assert [(r.id, r.ref) for r in out[out.outcome == "matched"].itertuples()] == [(1, "a"), (2, "b")]
-    assert list(out[out.outcome == "unmatched"].ref) == ["c"]
-    tie = pd.DataFrame([(True, 1, None, 10), (False, None, "a", 9), (False, None, "b", 11)], columns=rows.columns)
-    assert sorted(greedy_matches(tie, 5).outcome) == ["ambiguous", "ambiguous"]
+def test_greedy_days():
+    from kontor.operators.matching import decide_days
+
+    made = lambda rows: decide_days(pd.DataFrame(rows, columns=["day", "ids", "n_records"]).assign(a=5), 5)
+    out = made([(10, [1], 0), (11, [2], 1), (13, [], 1), (16, [], 0)])
+    assert [(r.id, r.day, r.days) for r in out.itertuples()] == [(1, 11, 1), (2, 13, 2)]
+    tie = made([(9, [], 1), (10, [1, 2], 0), (11, [], 1)])
+    assert sorted(zip(tie.day, tie.outcome, strict=True)) == [(9, "ambiguous"), (11, "ambiguous")]
+    many = made([(9, [7, 8, 9], 1), (12, [], 3)])
+    assert [(r.day, r.outcome) for r in many.itertuples()] == [(9, "matched"), (12, "ambiguous")]
 
 
 def test_bank_file_round_trip(spark, tmp_path):

@@ -55,16 +55,21 @@ def test_best_name_match(spark):
     assert got == want
 
 
-def test_matching_against_plain(spark):
+@pytest.mark.parametrize(("amounts", "n"), [([999, 500, 1234], 60), ([5], 120), ([5], 700)])
+def test_matching_against_plain(spark, amounts, n):
+    """Candidates one by one, in order of date and id; also with one amount for all rows, and with many candidates and records a day."""
     from kontor.operators.matching import match_secondary
 
-    rng = random.Random(3)
-    tx = [(i, f"2020-01-{rng.randint(1, 28):02d}", -rng.choice([999, 500, 1234])) for i in range(60)]
-    rec = [(f"r{i}", f"2020-01-{rng.randint(1, 28):02d}", rng.choice([999, 500, 77])) for i in range(50)]
-    out = match_secondary(spark.createDataFrame(tx, "id long, date string, cents long").withColumn("date", F.to_date("date")), spark.createDataFrame(rec, "ref string, txn_date string, cents long").withColumn("txn_date", F.to_date("txn_date"))).collect()
+    rng = random.Random(n)
+    day = lambda: f"2020-{rng.randint(1, 2 if n < 200 else 12):02d}-{rng.randint(1, 28):02d}"
+    tx = [(i, day(), -rng.choice(amounts)) for i in rng.sample(range(9 * n), n)] + [(10_000 + i, "2020-02-28", -5) for i in range(30)]
+    rec = [(f"r{i}", day(), rng.choice([*amounts, 77])) for i in range(n // 2)] + [("far", "2031-01-01", 5), ("none", None, 5)] + [(f"same{i}", "2020-02-27", 5) for i in range(3)]
+    date = lambda rows, schema, c: spark.createDataFrame(rows, schema).withColumn(c, F.to_date(c))
+    out = match_secondary(date(tx, "id long, date string, cents long", "date"), date(rec, "ref string, txn_date string, cents long", "txn_date")).collect()
+    number = lambda d: datetime.date.fromisoformat(d).toordinal()
     used, tied, want = set(), set(), set()
     for i, d, c in sorted(tx, key=lambda t: (t[1], t[0])):
-        near = [(abs(int(e[-2:]) - int(d[-2:])), r) for r, e, a in rec if a == -c and r not in used and abs(int(e[-2:]) - int(d[-2:])) <= 5]
+        near = [(abs(number(e) - number(d)), r) for r, e, a in rec if a == -c and e and r not in used and abs(number(e) - number(d)) <= 5]
         if near:
             best = [r for k, r in near if k == min(near)[0]]
             if len(best) > 1:
@@ -74,7 +79,7 @@ def test_matching_against_plain(spark):
                 want.add((i, best[0], min(near)[0]))
     assert {(r["id"], r["ref"], r["days"]) for r in out if r["outcome"] == "matched"} == want
     assert {r["ref"] for r in out if r["outcome"] == "ambiguous"} == tied
-    assert {r["ref"] for r in out if r["outcome"] == "unmatched"} == {r for r, *_ in rec} - used - tied
+    assert sorted(r["ref"] for r in out if r["outcome"] == "unmatched") == sorted({r for r, *_ in rec} - used - tied)
 
 
 def test_quoted_records_and_wide_files(spark, tmp_path):
@@ -300,3 +305,36 @@ def test_knn_pivots(spark):
             assert [a[1] for a in sorted(got[i])] == want, i
         share = pairs.first()["pairs"] / len(v) ** 2
         assert share < 0.2, share
+
+
+def test_similar_amounts_sweep(spark):
+    """Against every pair of rows, with amounts at the edge of the tolerance, and split over small batches; one vendor's many rows are gone through in linear time."""
+    import time
+
+    from kontor.operators import temporal
+
+    rng = random.Random(8)
+    start = datetime.date(2018, 1, 15).toordinal()
+    rows = [(i, rng.choice(["a", "b", "b", "b"]), datetime.date.fromordinal(start + rng.randrange(900)), rng.choice([1000, 1100, 1101, 900, 899, 990, rng.randint(500, 2000), 7]) * rng.choice([1, -1])) for i in range(700)]
+    rows += [(900 + i, "b", rows[i][2], rows[i][3]) for i in range(50)] + [(990, "", rows[0][2], 1000), (991, "b", None, 1000), (992, "b", rows[0][2], 0)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        df = spark.createDataFrame(rows, "id long, vendor string, date date, cents long")
+        got = {r["id"]: (r["n_months"], r["n_months_12"], r["all_exact"]) for r in temporal.similar_amounts(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for i, v, d, c in rows:
+        if v and c and d:
+            near = [(e, abs(x)) for _, w, e, x in rows if w == v and e and x and e < d and abs(abs(x) - abs(c)) * 10 <= abs(c)]
+            if near:
+                want[i] = (len({(e.year, e.month) for e, _ in near}), len({(e.year, e.month) for e, _ in near if (d - e).days <= 365}), int(all(x == abs(c) for _, x in near)))
+    assert got == want
+    seconds = []
+    for n in (50_000, 200_000):
+        pairs = np.unique(np.stack([np.random.default_rng(n).integers(10_000, 22_000, n), np.random.default_rng(1).integers(15_000, 20_000, n)], axis=1), axis=0)
+        t = time.process_time()
+        temporal.sweep(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool))
+        seconds.append(time.process_time() - t)
+    assert seconds[1] < 10 * seconds[0], seconds
