@@ -39,15 +39,17 @@ def with_dedup_hash(rows: DataFrame) -> DataFrame:
 
 
 def ingest(rows: DataFrame, store: DataFrame | None, own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New rows of ``rows`` (also: source_file, source_row), each content once and none that ``store`` (dedup_hash) has, and a report: parsed, new, duplicate.
+    """New rows of ``rows`` (also: source_file and source_row, which name a row), each content once and none that ``store`` (dedup_hash) has, and a report: parsed, new, duplicate.
 
-    Only the hash is computed for every row; all else follows for the new ones.
+    The hash is computed once for every row and written with its name alone; which rows are new, and the report, follow from that, and all other columns for the new rows only.
     """
-    hashed = with_dedup_hash(rows)
-    first = F.row_number().over(Window.partitionBy("dedup_hash").orderBy("source_file", "source_row"))
-    fresh = hashed if store is None else hashed.join(store.select("dedup_hash").distinct(), "dedup_hash", "left_anti")
-    new = fresh.withColumn("_n", first).where("_n = 1").drop("_n")
-    counts = rows.agg(F.count(F.lit(1)).alias("parsed")).crossJoin(fresh.agg(F.count_distinct("dedup_hash").alias("new")))  # one row each
+    name = ("source_file", "source_row")
+    hashed = scratch_table(with_dedup_hash(rows).select(*name, "dedup_hash"), "ingest-hashes")
+    first = hashed.groupBy("dedup_hash").agg(F.min(F.struct(*name)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    known = first.withColumn("_known", F.lit(None).cast("boolean")) if store is None else first.join(store.select("dedup_hash", F.lit(True).alias("_known")).distinct(), "dedup_hash", "left")
+    known = scratch_table(known, "ingest-contents")
+    counts = known.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("parsed"), F.count(F.when(F.col("_known").isNull(), 1)).alias("new"))
+    new = rows.join(known.where("_known is null").select("_first.*", "dedup_hash"), list(name))
     return derive(new, own), counts.withColumn("duplicate", F.col("parsed") - F.col("new"))
 
 

@@ -165,8 +165,9 @@ def iban_history(tx: DataFrame) -> DataFrame:
 
 
 def temporal_features(tx: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """All history features of every row, or of ``ids`` (their history is still the whole table's)."""
+    """All history features of every row, or of ``ids`` (their history is still the whole table's). What they are made of is written once and read by all."""
     zero = F.lit(0).cast("long")
+    tx = scratch_table(tx.select("id", "vendor", "iban", "date", "cents"), "history-facts")
     out = tx.select("id").join(vendor_history(tx), "id", "left").join(similar_amounts(tx), "id", "left").join(iban_history(tx), "id", "left")
     out = out.select(
         "id", F.col("days_since_prev").alias("days_since_prev_same_cp"), *[F.coalesce(f"n{n}", zero).alias(f"count_same_cp_{n}d") for n in (30, 90, 365)], F.col("z").alias("amount_zscore_within_cp"),
