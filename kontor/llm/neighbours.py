@@ -25,11 +25,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` others with the largest inner product of each row."""
+def neighbour_graph(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` others of ``x`` with the largest inner product with each of ``q``, the same rows as queries."""
     out = np.empty((len(x), k), np.int64)
     for low in range(0, len(x), 512):
-        s = x[low : low + 512] @ x.T
+        s = q[low : low + 512] @ x.T
         s[np.arange(len(s)), np.arange(low, low + len(s))] = -np.inf
         out[low : low + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
@@ -71,11 +71,12 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, slack: floa
 
 @dataclass
 class Router:
-    """``largest``: the largest norm; weights of the classifier; ``probes``: how many partitions a query goes to."""
+    """``largest``: the largest norm; weights of the classifier; ``level``: what is taken off when rows are placed, so that no partition gets far more than its share; ``probes``: how many partitions a query goes to."""
 
     largest: float
     weights: np.ndarray
     bias: np.ndarray
+    level: np.ndarray
     probes: int
 
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
@@ -90,25 +91,44 @@ class Router:
         """Partitions of each vector, most probable first."""
         return np.argsort(-(self.lift(x, query) @ self.weights + self.bias), axis=1, kind="stable")
 
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The partition of each row."""
+        return (self.lift(x, query=False) @ self.weights + self.bias - self.level).argmax(axis=1)
+
+
+def levels(z: np.ndarray, slack: float = 0.25, rounds: int = 500) -> np.ndarray:
+    """What to take off each column so that it is the largest of a row about as often as any other: prices that rise where there are too many and fall where there are too few."""
+    share, price = len(z) / z.shape[1], np.zeros(z.shape[1])
+    best, least, step = price, np.inf, z.std() / 4
+    for _ in range(rounds):
+        size = np.bincount((z - price).argmax(axis=1), minlength=z.shape[1])
+        if size.max() < least:
+            best, least = price, size.max()
+        if least <= (1 + slack) * share:
+            break
+        price = price + step * np.clip(size / share - 1, -1, 1)
+        step *= 0.995
+    return best
+
 
 def fit_router(x: np.ndarray, largest: float, *, parts: int, k: int, target_recall: float, steps: int = 300) -> Router:
     """Partition the sample ``x`` and learn to route; ``probes`` is the least number that finds ``target_recall`` of the sample's neighbours."""
-    router = Router(largest, np.zeros((x.shape[1] + 1, 1)), np.zeros(1), 1)
+    router = Router(largest, np.zeros((x.shape[1] + 1, 1)), np.zeros(1), np.zeros(1), 1)
     parts, k = max(1, min(parts, len(x) // 50)), min(k, len(x) - 1)
     if parts == 1:
         return router
-    lifted = router.lift(x, query=False)
-    graph = neighbour_graph(lifted, k)
-    part = balanced_partition(lifted, graph, parts)
-    own = np.eye(parts)[part]
-    target = 0.5 * own + 0.5 * own[graph].mean(axis=1)
+    rows, asked = router.lift(x, query=False), router.lift(x, query=True)
+    graph = neighbour_graph(asked, rows, k)
+    own = np.eye(parts)[balanced_partition(rows, graph, parts)]
+    # a row is to go to its own part, a query to where the rows are that it seeks
+    lifted, target = np.concatenate([rows, asked]), np.concatenate([own, own[graph].mean(axis=1)])
     w, b = np.zeros((lifted.shape[1], parts)), np.zeros(parts)
     m = [np.zeros_like(w), np.zeros_like(b), np.zeros_like(w), np.zeros_like(b)]
     for t in range(1, steps + 1):
         z = lifted @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = (p - target) / len(x)
+        g = (p - target) / len(lifted)
         for i, grad in enumerate((lifted.T @ g + 1e-5 * w, g.sum(axis=0))):
             m[i] = 0.9 * m[i] + 0.1 * grad
             m[i + 2] = 0.999 * m[i + 2] + 0.001 * grad * grad
@@ -118,12 +138,12 @@ def fit_router(x: np.ndarray, largest: float, *, parts: int, k: int, target_reca
             else:
                 b = b - step
     router.weights, router.bias = w, b
+    router.level = levels(rows @ w + b)
     # where the neighbours of sample rows stand in the order of their partitions
     order = router.rank(x, query=True)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(len(x), axis=0), axis=1)
-    lifted_part = router.rank(x, query=False)[:, 0]
-    needed = place[np.arange(len(x))[:, None], lifted_part[graph]]
+    needed = place[np.arange(len(x))[:, None], router.place(x)[graph]]
     found = np.cumsum(np.bincount(needed.ravel(), minlength=parts)) / needed.size
     router.probes = int(min(parts, np.searchsorted(found, target_recall) + 1))
     return router
@@ -135,17 +155,27 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def top_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best of a block for each query: query, candidate, score; ties to the smaller id; never the query's own id."""
+    """The ``k`` best ids of a block for each query: query, candidate, score; ties to the smaller id; never the query's own id. An id of several vectors counts once, with its best."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    order = np.argsort(c_ids, kind="stable")
+    c_ids, c = c_ids[order], c[order]
+    first = np.flatnonzero(np.diff(c_ids, prepend=c_ids[0] - 1))
+    names, count = c_ids[first], np.diff(np.append(first, len(c_ids)))
     for low in range(0, len(q), 128):
         s = q[low : low + 128] @ c.T
-        s[q_ids[low : low + 128][:, None] == c_ids[None, :]] = -np.inf
-        edge = np.partition(s, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(s), -np.inf)
+        if len(names) < len(c_ids):
+            s = np.maximum.reduceat(s, first, axis=1)
+        s[q_ids[low : low + 128][:, None] == names[None, :]] = -np.inf
+        edge = np.partition(s, len(names) - k, axis=1)[:, len(names) - k] if len(names) > k else np.full(len(s), -np.inf)
         for i in range(len(s)):
             near = np.flatnonzero((s[i] >= edge[i] - 1e-9 * max(1.0, abs(edge[i]))) & np.isfinite(s[i])) if np.isfinite(edge[i]) else np.flatnonzero(np.isfinite(s[i]))
-            exact = (c[near] * q[low + i]).sum(axis=1)  # the same order of sums for equal vectors, so that ties are ties
-            best = np.lexsort((c_ids[near], -exact))[:k]
-            out.append((np.full(len(best), q_ids[low + i]), c_ids[near[best]], exact[best]))
+            if not len(near):
+                continue
+            begin = np.cumsum(count[near]) - count[near]
+            every = np.repeat(first[near] - begin, count[near]) + np.arange(count[near].sum())
+            exact = np.maximum.reduceat((c[every] * q[low + i]).sum(axis=1), begin)  # the same order of sums for equal vectors, so that ties are ties
+            best = np.lexsort((names[near], -exact))[:k]
+            out.append((np.full(len(best), q_ids[low + i]), names[near[best]], exact[best]))
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(none, *out, strict=True))  # type: ignore[return-value]
 
@@ -161,7 +191,10 @@ def nearest(
     (50 of its rows each). How many partitions a query goes to is what ``target_recall`` takes on the sample: few where vectors form groups, most where they
     lie about evenly. Queries that find fewer than ``k`` rows there go to all other partitions too.
 
-    Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without a key
+    A row's partition is the classifier's choice under levels that even out the partitions on the sample, as the balanced cut does.
+
+    Edge cases: repeated rows are one row, and vectors of one id one candidate or query: the score of two ids is the largest between their vectors, and an id is
+    found once. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without a key
     or of another length than most; a query never finds its own key, repeated or not; fewer candidates than ``k`` give all;
     up to 99 rows there is one partition, and the search is exact; no usable rows give no rows.
     """
@@ -182,7 +215,7 @@ def nearest(
         r = shared.value
         for batch in batches:
             x = matrix(batch.column(1))
-            part = r.rank(x, query=False)[:, 0] if len(x) else np.zeros(0, np.int64)
+            part = r.place(x) if len(x) else np.zeros(0, np.int64)
             asked = r.rank(x, query=True)[:, : r.probes] if len(x) else np.zeros((0, 1), np.int64)
             is_q = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array([list(map(int, a)) if y else [] for a, y in zip(asked, is_q, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "q", "part", "asked"])
@@ -212,10 +245,10 @@ def nearest(
     used = len(router.bias)
     if router.probes < used:
         found = scratch_table(found, "neighbours-found")
-        enough = found.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+        enough = found.groupBy("query_id").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
         short = scratch_table(routed.where("q").join(enough, "id", "left_anti").select("id", "v", "asked"), "neighbours-short")
         if not short.isEmpty():
             others = F.array_except(F.array(*[F.lit(i) for i in range(used)]), "asked")
             found = found.unionByName(met(short.select("id", "v", F.explode(others).alias("part"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    return found.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

@@ -435,6 +435,41 @@ def test_neighbours(spark):
     assert nearest(df.where("vec_id >= 1000"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_repeated_rows(spark):
+    """Every row twice, and ids with two vectors, as queries and as candidates: an id is found once, with its best score."""
+    from kontor.llm.neighbours import nearest
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(45, 8))
+    twice = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] * 2, "vec_id long, embedding array<double>")
+    for df, vectors in ((twice, {i: [v] for i, v in enumerate(x)}), (twice.union(spark.createDataFrame([(i, [float(y) for y in 2 * x[i - 1]]) for i in (20, 21, 22)], twice.schema)), {i: [v, *([2 * x[i - 1]] if i in (20, 21, 22) else [])] for i, v in enumerate(x)})):
+        for block_rows in (16384, 7):
+            out = nearest(df, F.col("vec_id") % 20 == 0, block_rows=block_rows, query_rows=2).collect()
+            for q in (0, 20, 40):
+                score = {i: max(float(a @ b) for a in vectors[q] for b in v) for i, v in vectors.items() if i != q}
+                want = sorted(score, key=lambda i: (-score[i], i))[:20]
+                got = sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
+                assert [r["vec_id"] for r in got] == want and [r["rank"] for r in got] == list(range(1, 21))
+                assert [r["score"] for r in got] == pytest.approx([score[i] for i in want])
+
+
+def test_neighbours_uneven_norms():
+    """With norms over several orders no partition holds twice its share, and the neighbours are found."""
+    from kontor.llm.neighbours import fit_router, neighbour_graph
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16)) * np.exp(rng.normal(size=(3000, 1)))
+    fit, rest = x[:1500], x[1500:]
+    largest = float(np.linalg.norm(x, axis=1).max())
+    router = fit_router(fit, largest, parts=19, k=20, target_recall=0.96)
+    n = len(router.bias)
+    assert n == 19 and np.bincount(router.place(rest), minlength=n).max() <= 2 * len(rest) / n
+    graph = neighbour_graph(router.lift(rest, query=True), router.lift(rest, query=False), 20)
+    asked, part = router.rank(rest, query=True)[:, : router.probes], router.place(rest)
+    hits = np.mean([[p in set(a) for p in part[g]] for a, g in zip(asked.tolist(), graph, strict=True)])
+    assert hits >= 0.9, (hits, router.probes)
+
+
 def test_pii(spark):
     from kontor.llm.pii import pseudonymise
 
