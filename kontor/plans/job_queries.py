@@ -199,7 +199,13 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def bank_files(spark: SparkSession, d: str, broken: bool = False) -> DataFrame:
-    """The transactions written as bank exports, some after a preamble and in another column order, and read back.
+    path = scratch_path(spark, "bank-files")
+    write_bank_files(spark, d, path, broken)
+    return files.read_files(spark, path).where(F.length("content") > 0)
+
+
+def write_bank_files(spark: SparkSession, d: str, path: str, broken: bool = False) -> None:
+    """The transactions written as bank exports, some after a preamble and in another column order.
 
     Memos of every seventh row hold a line break. ``broken``: a few rows have no date or amount, and one file no header.
     """
@@ -214,12 +220,10 @@ def bank_files(spark: SparkSession, d: str, broken: bool = False) -> DataFrame:
     wide = '"Buchungsdatum";"Wertstellung";"Zahlungspflichtige*r";"Zahlungsempfänger*in";"Verwendungszweck";"Umsatztyp";"IBAN";"Betrag (€)"' + "".join(f';"Zusatz {i}"' for i in range(40))
     head = F.when(F.col("f") % 2 == 0, F.lit(wide)).otherwise(F.lit("Konto;12\n\nBuchungsdatum;Betrag (€);Verwendungszweck;IBAN;Zahlungsempfänger*in"))
     ends = body.select("f").distinct().select("f", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("at"), head.alias("line")), F.struct(F.lit(2**62).alias("at"), F.lit(";;").alias("line")))).alias("x")).select("f", "x.*")
-    path = scratch_path(spark, "bank-files")
     lines = body.unionByName(ends)
     if broken:
         lines = lines.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("f"), F.lit(0).cast("long").alias("at"), F.lit("no;bank;file").alias("line")))
     write_lines(lines, path)
-    return files.read_files(spark, path).where(F.length("content") > 0)
 
 
 add("a1_a3_bank_files", "SELECT id, date, cents, CASE WHEN iban LIKE 'FR%' THEN 'fr' || substr(iban, 3) ELSE iban END AS iban FROM tx")(
@@ -435,7 +439,7 @@ SELECT round(a, 6) AS before, round(b, 6) AS after, round(b - a, 6) AS delta, ro
 FROM (SELECT count(*) FILTER (truth = predicted) / count(*) AS a, (SELECT count(*) FILTER (truth = predicted) / count(*) FROM rec2) AS b FROM rec)""")(lambda s, d: evaluate.batch_impact(evaluated(s, d), evaluated(s, d).where("stage <> 'unknown'")))
 
 
-# streams over the events table, run to their end
+# streams over the events table, run to their end: what the watermark, two days behind the last event, has passed
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(t.read(spark, d, "events").schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -450,7 +454,31 @@ def _(spark, d):  # noqa: ANN001, ANN202
     return spark.read.parquet(store).select("dedup_hash")
 
 
-add("s2_running_spend", "SELECT date_trunc('day', ts)::TIMESTAMPTZ AS start, event_type, sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: streams.finish(streams.running_spend(event_stream(s, d)), s, "spend", "complete"))
-add("s3_vendor_anomalies", """, e AS (SELECT event_id, user_id, value, count(*) OVER w AS n, avg(value) OVER w AS m, avg(value * value) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+@add("s1_ingest_exports", "SELECT id, date, cents, CASE WHEN iban LIKE 'FR%' THEN 'FR' || substr(iban, 3) ELSE iban END AS iban, is_income, CASE WHEN counterparty = '' AND id // 1000 % 2 = 0 THEN payer ELSE replace(counterparty, '  ', ' ') END AS counterparty FROM raw JOIN (SELECT id, is_income FROM tx) USING (id)")
+def _(spark, d):  # noqa: ANN001, ANN202
+    """Every export arrives twice under different names, a third of the files a trigger: each row is stored once."""
+    path, landing = scratch_path(spark, "exports"), streams.Landing(scratch_path(spark, "landing"))
+    for name in ("one", "two"):
+        write_bank_files(spark, d, f"{path}/{name}")
+        streams.ingest_exports(spark, path, landing, t.own_ibans(spark, d), files_per_trigger=max(1, t.read(spark, d, "orders").count() * 4 // FILE_IDS // 3))
+    return spark.read.parquet(landing.store).select(F.regexp_extract("memo", r"#(\d+)$", 1).cast("long").alias("id"), "date", "cents", "iban", "is_income", "counterparty")
+
+
+PASSED = ", last AS (SELECT epoch_ms(max(ts)) - 2 * 86400000 AS ms FROM events)\n"
+for unit in ("day", "week"):
+    add(f"s2_spend_by_{unit}" if unit != "day" else "s2_running_spend", PASSED + f"SELECT date_trunc('{unit}', ts)::TIMESTAMP AS start, event_type, sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(*) AS n FROM events, last GROUP BY 1, 2 HAVING epoch_ms(date_trunc('{unit}', any_value(ts))::TIMESTAMP + INTERVAL 1 {unit}) <= any_value(last.ms)")(
+        lambda s, d, unit=unit: streams.finish(streams.running_spend(event_stream(s, d), unit), s, "spend").withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
+@add("s2_spend_by_month", """, last AS (SELECT max(o_orderdate::TIMESTAMP) - INTERVAL 2 DAY AS t FROM orders)
+SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS start, o_orderstatus AS event_type, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents, count(*) AS n FROM orders, last GROUP BY 1, 2 HAVING date_trunc('month', any_value(o_orderdate))::TIMESTAMP + INTERVAL 1 MONTH <= any_value(last.t)""")
+def _(spark, d):  # noqa: ANN001, ANN202
+    """The orders as a stream: they reach over years."""
+    o = spark.readStream.schema(t.read(spark, d, "orders").schema).parquet(f"{d}/orders*.parquet")
+    rows = o.select(F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("event_type"), F.col("o_totalprice").alias("value"))
+    return streams.finish(streams.running_spend(rows, "month"), spark, "spend").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+add("s3_vendor_anomalies", PASSED.strip() + """, e AS (SELECT event_id, user_id, value, count(*) OVER w AS n, avg(value) OVER w AS m, avg(value * value) OVER w AS q FROM events, last WHERE epoch_ms(ts) < last.ms WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT event_id, user_id, value, round((value - m) / sqrt(q - m * m), 6) AS zscore FROM e WHERE n >= 5 AND q - m * m > 0 AND (value - m) / sqrt(q - m * m) > 3""")(
     lambda s, d: streams.finish(streams.vendor_anomalies(event_stream(s, d)), s, "anomalies").withColumn("zscore", F.round("zscore", 6)))

@@ -109,6 +109,81 @@ def test_ingest_stream_keeps_what_is_stored(spark, tmp_path):
     assert sorted(r["dedup_hash"] for r in spark.read.parquet(store).collect()) == ["h1", "h2", "h3"]
 
 
+@pytest.fixture(scope="module")
+def shuffled_events(spark, tmp_path_factory):
+    """Events of 80 days in four files, a trigger each: within a file in any order, and over files up to two days late; in the last file one event comes very late."""
+    rng, folder = random.Random(6), tmp_path_factory.mktemp("events")
+    start = datetime.datetime(2024, 1, 3, tzinfo=datetime.UTC)
+    rows = [(i, rng.randrange(3), rng.choice("ab"), start + datetime.timedelta(hours=rng.random() * 24 * 80), round(rng.gauss(50, 5) + (60 if rng.random() < 0.03 else 0), 2)) for i in range(900)]
+    parts = [[] for _ in range(4)]
+    for r in rows:
+        parts[min(3, int(((r[3] - start).total_seconds() / 86400 + rng.random() * 2) // 20.5))].append(r)
+    late = (9999, 0, "a", start + datetime.timedelta(days=20), 70.0)
+    parts[3].append(late)
+    schema = "event_id long, user_id long, event_type string, ts timestamp, value double"
+    import time
+
+    for i, p in enumerate(parts):
+        rng.shuffle(p)
+        spark.createDataFrame(p, schema).coalesce(1).write.parquet(f"{folder}/{i}")
+        time.sleep(1.1)  # files are read in the order in which they were written
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return stream, rows, max(r[3] for r in rows)
+
+
+def test_spend_windows_in_append_mode(spark, shuffled_events):
+    from kontor.streaming import jobs as streams
+
+    stream, rows, last = shuffled_events
+    passed = last - datetime.timedelta(days=3)
+    begin = {
+        "day": lambda d: (d, d + datetime.timedelta(days=1)),
+        "week": lambda d: (d - datetime.timedelta(days=d.weekday()), d - datetime.timedelta(days=d.weekday() - 7)),
+        "month": lambda d: (d.replace(day=1), (d.replace(day=1) + datetime.timedelta(days=32)).replace(day=1)),
+    }
+    for unit, of in begin.items():
+        want = collections.defaultdict(lambda: [0, 0])
+        for _, _, kind, ts, value in rows:
+            a, b = of(ts.replace(hour=0, minute=0, second=0, microsecond=0))
+            if b <= passed:
+                want[(a.replace(tzinfo=None), kind)][0] += round(value * 100)
+                want[(a.replace(tzinfo=None), kind)][1] += 1
+        out = streams.finish(streams.running_spend(stream, unit, late="3 days"), spark, "spend").collect()
+        got = {(r["start"].astimezone(datetime.UTC).replace(tzinfo=None), r["event_type"]): [r["cents"], r["n"]] for r in out}
+        assert len(out) == len(got) and got == dict(want) and got
+
+
+def test_anomalies_in_event_order(spark, shuffled_events):
+    from kontor.streaming import jobs as streams
+
+    stream, rows, last = shuffled_events
+    want, seen = {}, collections.defaultdict(list)
+    for i, user, _, ts, x in sorted(rows, key=lambda r: (r[3], r[0])):
+        if ts < last - datetime.timedelta(days=3):
+            before = seen[user]
+            if len(before) >= 5 and (spread := np.var(before)) > 0 and (z := (x - np.mean(before)) / spread**0.5) > 3:
+                want[i] = (user, x, z)
+            before.append(x)
+    got = {r["event_id"]: (r["user_id"], r["value"], r["zscore"]) for r in streams.finish(streams.vendor_anomalies(stream, late="3 days"), spark, "anomalies").collect()}
+    assert set(got) == set(want) and len(want) > 5
+    assert all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
+
+
+def test_ingest_of_arriving_exports(spark, tmp_path):
+    """Three calls, with rows that come again in later files; a file without header is a reject."""
+    from kontor.streaming import jobs as streams
+
+    head = '"Buchungsdatum";"Betrag (€)";"Verwendungszweck";"IBAN";"Zahlungsempfänger*in"\n'
+    line = lambda i: f'"0{i}.03.2024";"-{i},50";"Miete {i}";"";"Laden {i}"\n'
+    landing, own = streams.Landing(str(tmp_path / "landing")), spark.createDataFrame([], "iban string")
+    (tmp_path / "in").mkdir()
+    for name, body in (("a.csv", head + line(1) + line(2)), ("b.csv", head + line(2) + line(3) + '"x";"1";"";"";""\n'), ("c.csv", "no header\n"), ("d.csv", head + line(1) + line(1) + line(4))):
+        (tmp_path / "in" / name).write_text(body)
+        streams.ingest_exports(spark, str(tmp_path / "in"), landing, own)
+    assert sorted((r["cents"], r["vendor"]) for r in spark.read.parquet(landing.store).collect()) == [(-450, "laden 4"), (-350, "laden 3"), (-250, "laden 2"), (-150, "laden 1")]
+    assert sorted(r["reason"] for r in spark.read.parquet(f"{landing.rejects}/*").collect()) == ["bad or missing date", "no header"]
+
+
 def test_composition_and_registry(spark):
     from kontor.functions import iban, text
 
