@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,31 +45,85 @@ def select_low_confidence(tx: DataFrame, labels: DataFrame, n: int, predictions:
     return low.select("id", F.lit(0).alias("source"), F.col("pos").cast("long").alias("pos")) if predictions is None else in_turn(low, select_uncertain(predictions, n), n=n)
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((x - y) ** 2).sum(axis=1)
+
+
+def greedy(ids: np.ndarray, x: np.ndarray, n: int, centre: np.ndarray) -> list[int]:
+    """Places of the ``n`` rows that a farthest-first walk takes: first the farthest from the centre, then always the farthest from all taken; ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    x = x[order]
+    away, out = squares(x, centre), []
+    while len(out) < min(n, len(x)):
+        out.append(int(away.argmax()))
+        away = np.minimum(away if len(out) > 1 else np.inf, squares(x, x[out[-1]]))
+        away[out] = -np.inf
+    return order[out].tolist()
+
+
+def batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    v = batch.column("vector")
+    return batch.column("id").to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+
+
 def farthest_first(rows: DataFrame, n: int) -> DataFrame:
     """(id, pos): ``n`` rows (id, vector), first the farthest from the centre, then always the farthest from all chosen; ties to the smaller id.
 
-    One pass over the rows for each choice: distances only to the last one chosen are new. The distances are cut to a
-    table every ten choices, so that plans stay short.
+    Not a pass a choice: every task walks through its rows and keeps the ``n`` that it would take (a core-set), the core-sets are walked through again, and the walk over what is left is the proposal.
+    A pass over all rows then gives the row that really is the farthest at each step of it. Where that is another one the walk is repeated with it, and checked again;
+    each time at least one more step is right, and mostly the first proposal is, so that there are three passes whatever ``n``.
     """
-    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    rows = rows.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    spark = rows.sparkSession
+    rows = scratch_table(rows.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null"), "farthest")
     width = rows.select(F.max(F.size("vector"))).first()[0]
-    if not width:
-        return rows.select("id", F.lit(0).alias("pos")).limit(0)
-    centre = rows.agg(*[F.avg(F.col("vector")[i]) for i in range(width)]).first()
-    state, chosen = scratch_table(rows.withColumn("d", square(F.col("vector"), lit(centre))), "farthest"), []
-    best = state.agg(F.max_by(F.struct("id", "vector"), F.struct("d", -F.col("id"))).alias("b")).first()["b"]
-    state = state.withColumn("d", F.lit(float("inf")))
-    while best is not None:
-        chosen.append(best["id"])
-        if len(chosen) >= n:
-            break
-        state = state.where(F.col("id") != best["id"]).withColumn("d", F.least("d", square(F.col("vector"), lit(best["vector"]))))
-        if len(chosen) % 10 == 0:
-            state = scratch_table(state, "farthest")
-        best = state.agg(F.max_by(F.struct("id", "vector"), F.struct("d", -F.col("id"))).alias("b")).first()["b"]
-    return rows.sparkSession.createDataFrame([(int(i), p + 1) for p, i in enumerate(chosen)], "id long, pos int")
+    if not width or n < 1:
+        return spark.createDataFrame([], "id long, pos int")
+    centre = np.array(rows.agg(*[F.avg(F.col("vector")[i]) for i in range(width)]).first(), float)
+    schema = "id long, vector array<double>"
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if len(b):
+                t = pa.Table.from_batches([*held, b]).combine_chunks()
+                ids, x = batch_arrays(t.to_batches()[0])
+                held = t.take(pa.array(greedy(ids, x, n, centre))).combine_chunks().to_batches()
+        yield from held
+
+    parts = rows.rdd.getNumPartitions()
+    core = rows.mapInArrow(reduce, schema)
+    if parts > 16:  # the core-sets' own core-sets, so that what reaches the driver grows with the root of the tasks
+        core = core.repartition(int(parts**0.5)).mapInArrow(reduce, schema)
+    found = {r["id"]: np.array(r["vector"]) for r in core.collect()}
+    while True:
+        ids, x = np.array(list(found)), np.array(list(found.values()))
+        walk = [int(ids[i]) for i in greedy(ids, x, n, centre)]
+        shared = spark.sparkContext.broadcast((walk, [found[i] for i in walk]))
+
+        def farthest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            walk, taken = shared.value
+            best: dict[int, tuple[float, int, np.ndarray]] = {}
+            for b in batches:
+                if not len(b):
+                    continue
+                ids, x = batch_arrays(b)
+                away = squares(x, centre)
+                for step in range(len(walk)):
+                    if step:
+                        away = np.minimum(away if step > 1 else np.inf, squares(x, taken[step - 1]))
+                        away[ids == walk[step - 1]] = -np.inf
+                    top = np.flatnonzero(away == away.max())
+                    i = top[ids[top].argmin()]
+                    if step not in best or (-away[i], ids[i]) < (-best[step][0], best[step][1]):
+                        best[step] = (float(away[i]), int(ids[i]), x[i])
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(list(best)), pa.array([v[0] for v in best.values()]), pa.array([v[1] for v in best.values()]), pa.array([v[2].tolist() for v in best.values()])], ["step", "away", "id", "vector"])
+
+        seen = rows.mapInArrow(farthest, "step long, away double, id long, vector array<double>")
+        true = {r["step"]: r["b"] for r in seen.groupBy("step").agg(F.max_by(F.struct("id", "vector"), F.struct("away", -F.col("id"))).alias("b")).collect()}
+        if all(true[s]["id"] == i for s, i in enumerate(walk)):
+            return spark.createDataFrame([(i, p + 1) for p, i in enumerate(walk)], "id long, pos int")
+        found |= {b["id"]: np.array(b["vector"]) for b in true.values()}
 
 
 def select_diverse(rows: DataFrame, train: DataFrame, train_labels: DataFrame, undercovered: DataFrame | None, n: int) -> DataFrame:

@@ -18,9 +18,10 @@ def recurring_subscriptions(tx: DataFrame, since: str | None = None, until: str
     gaps = days.groupBy("vendor", "gap").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("k") - 1).alias("same"))
     gaps = gaps.where("gap is not null").select("vendor", "gap", "k").unionByName(gaps.groupBy("vendor").agg(F.lit(0).alias("gap"), F.sum("same").alias("k")).where("k > 0"))
     gaps = gaps.groupBy("vendor").agg(F.expr("percentile(gap, 0.5, k)").alias("gap"))
-    v = rows.groupBy("vendor").agg(
-        F.count(F.lit(1)).alias("n_charges"), (F.median("c") / 100.0).alias("typical_amount"), F.max("date").alias("last_seen"), F.max_by("counterparty", F.struct("date", "id")).alias("name")
-    ).join(gaps, "vendor")
+    # the median over distinct amounts and how often they come, added up before anything of a vendor meets
+    amounts = rows.groupBy("vendor", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("date", "id", "counterparty")).alias("last"))
+    v = amounts.groupBy("vendor").agg(F.sum("k").alias("n_charges"), (F.expr("percentile(c, 0.5, k)") / 100.0).alias("typical_amount"), F.max("last").alias("last"))
+    v = v.select("vendor", "n_charges", "typical_amount", F.col("last.date").alias("last_seen"), F.col("last.counterparty").alias("name")).join(gaps, "vendor")
     v = v.where(F.col("n_charges") >= min_charges).withColumn("k", dates.cadence(F.col("gap"))).where("k is not null")
     yearly = F.lit(365.25) / F.col("k.days")
     return v.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kontor.functions import text
 from kontor.functions.vectors import hash_embedding
-from kontor.operators import active, cascade, evaluate, jobs, knn, matching
+from kontor.operators import active, cascade, evaluate, jobs, knn, maintenance, matching
 from kontor.operators import labels as lb
 from kontor.plans import tables as t
 from kontor.plans.report_queries import add, spine
@@ -133,6 +133,42 @@ add("l2_enrichment_preview", PAIRS + """SELECT tx.id, m.ref AS enrichment_ref, m
 FROM tx JOIN (SELECT tx.id, ref FROM rec JOIN tx USING (a) WHERE payer <> '' AND ref NOT LIKE '%0' AND abs(day - date) <= 5 QUALIFY count(*) OVER (PARTITION BY tx.id) = 1 AND count(*) OVER (PARTITION BY ref) = 1) m USING (id)""")(lambda s, d: jobs.enrichment_preview(enriched(s, d)))
 add("l3_reflag_own", "SELECT id, (coalesce(self, 0) = 1 AND iban IN (SELECT iban FROM own WHERE right(label, 1) <> '3'))::INT AS iban_is_known_self, (coalesce(self, 0) = 1 AND iban NOT IN (SELECT iban FROM own WHERE right(label, 1) <> '3'))::INT AS changed FROM tx")(
     lambda s, d: jobs.reflag_own(t.transactions(s, d), t.own_ibans(s, d).where(F.col("label").rlike("[^3]$"))).select("id", "iban_is_known_self", "changed"))
+NATION_ONE = "SELECT " + t._IBAN.format(k="c_custkey") + " AS iban, c_name AS label FROM customer WHERE c_nationkey = 1"
+
+
+def accounts(spark: SparkSession, d: str, nation: int) -> DataFrame:
+    """Numbers as a user types them, with blanks."""
+    number = t.own_ibans(spark, d, nation)
+    return number.withColumn("iban", F.concat(F.substring("iban", 1, 4), F.lit(" "), F.substring("iban", 5, 40)))
+
+
+add("l3_add_own", f", more AS ({NATION_ONE}) SELECT (SELECT count(*) FROM more) + (SELECT count(*) FROM own) AS accounts, count(*) FILTER (iban IN (SELECT iban FROM more)) AS changed, count(*) FILTER (self = 1) + count(*) FILTER (iban IN (SELECT iban FROM more)) AS flagged FROM tx")(
+    lambda s, d: (lambda own, tx, report, bad: own.agg(F.count(F.lit(1)).alias("accounts")).crossJoin(report).crossJoin(tx.agg(F.count(F.when(F.col("iban_is_known_self") == 1, 1)).alias("flagged"))))(*maintenance.add_own(t.own_ibans(s, d), accounts(s, d, 1).unionByName(accounts(s, d, 1).limit(2).withColumn("iban", F.lit("DE00 1"))), t.transactions(s, d))))
+add("l3_remove_own", "SELECT (SELECT count(*) FROM own WHERE right(label, 1) <> '3') AS accounts, count(*) FILTER (self = 1 AND iban IN (SELECT iban FROM own WHERE right(label, 1) = '3')) AS changed, count(*) FILTER (iban IN (SELECT iban FROM own WHERE right(label, 1) <> '3')) AS flagged FROM tx")(
+    lambda s, d: (lambda own, tx, report: own.agg(F.count(F.lit(1)).alias("accounts")).crossJoin(report).crossJoin(tx.agg(F.count(F.when(F.col("iban_is_known_self") == 1, 1)).alias("flagged"))))(*maintenance.remove_own(t.own_ibans(s, d), accounts(s, d, 0).where("label like '%3'").unionByName(accounts(s, d, 1)), t.transactions(s, d))))
+add("l3_relabel_own", "SELECT iban, CASE WHEN right(label, 1) = '3' THEN 'Konto ' || label ELSE label END AS label FROM own")(
+    lambda s, d: maintenance.relabel_own(t.own_ibans(s, d), accounts(s, d, 0).where("label like '%3'").withColumn("label", F.concat(F.lit(" Konto "), "label")).unionByName(accounts(s, d, 1)))[0])
+RESET = "SELECT 'labels' AS \"table\", (SELECT count(*) FROM lab) AS n_rows UNION ALL SELECT 'embeddings', (SELECT count(*) FROM embeddings) UNION ALL SELECT 'notes', (SELECT count(DISTINCT event_id) FROM events WHERE event_id % 10 = 0) UNION ALL SELECT 'transactions', (SELECT count(*) FROM tx)"
+
+
+def snapshot(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"transactions": t.transactions(spark, d), "labels": t.labels(spark, d), "embeddings": t.vectors(spark, d), "notes": t.notes(spark, d), "categories": t.categories(spark, d), "own_ibans": t.own_ibans(spark, d)}
+
+
+def after_reset(spark: SparkSession, d: str, everything: bool) -> DataFrame:
+    """What went, and what is left of each table."""
+    left, report = maintenance.reset(snapshot(spark, d), everything=everything)
+    rows = None
+    for name, df in left.items():
+        one = df.agg(F.count(F.lit(1)).alias("n_left")).select(F.lit(name).alias("table"), "n_left")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.join(report, "table", "left").select("table", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_left")
+
+
+add("l6_reset_data", f"SELECT *, 0 AS n_left FROM ({RESET}) UNION ALL SELECT 'categories', 0, (SELECT count(*) FROM cat) UNION ALL SELECT 'own_ibans', 0, (SELECT count(*) FROM own)")(lambda s, d: after_reset(s, d, False))
+add("l6_reset_all", f"SELECT *, 0 AS n_left FROM ({RESET} UNION ALL SELECT 'categories', (SELECT count(*) FROM cat) UNION ALL SELECT 'own_ibans', (SELECT count(*) FROM own))")(lambda s, d: after_reset(s, d, True))
+add("l6_delete_user_labels", "SELECT (SELECT count(*) FROM lab WHERE source = 'user') AS deleted, count(*) AS n_left FROM lab WHERE source <> 'user'")(
+    lambda s, d: (lambda left, report: report.crossJoin(left.agg(F.count(F.lit(1)).alias("n_left"))))(*maintenance.delete_user_labels(t.labels(s, d))))
 add("b17_invalid_ibans", "SELECT id, iban FROM tx WHERE iban NOT LIKE 'DE%'")(lambda s, d: jobs.invalid_ibans(t.transactions(s, d).select("id", "iban")))
 
 
@@ -276,6 +312,22 @@ def _(spark, d):  # noqa: ANN001, ANN202
 
 
 add("a14_labels_only", "SELECT iban, category FROM s WHERE label_source = 'user'")(lambda s, d: spine(s, d).where("label_source = 'user'").select("iban", "category"))
+EXPORT = "id long, date date, counterparty string, memo string, iban string, cents long, category string, label_source string, confidence double, note string"
+
+
+@add("a14_export_csv", NOTES + "SELECT s.id, s.date, counterparty, memo, iban, cents, category, label_source, confidence, text AS note FROM s LEFT JOIN notes n ON n.expense_id = s.id")
+def _(spark, d):  # noqa: ANN001, ANN202
+    """Written as CSV in order of date, with a mark, and read back."""
+    path = scratch_path(spark, "export-csv")
+    maintenance.write_export(jobs.export(spine(spark, d), t.notes(spark, d)), path, "csv", ("date", "id"))
+    back = maintenance.read_export(spark, path, EXPORT)
+    return back.withColumns({c: F.coalesce(c, F.lit("")) for c in ("counterparty", "memo", "iban")})
+
+
+add("a14_labels_handoff", "SELECT expense_id, latest.category_id, cat.name AS category, source, confidence FROM latest LEFT JOIN cat USING (category_id)")(lambda s, d: maintenance.labels_handoff(t.labels(s, d), t.categories(s, d)))
+add("a16_profile_all", """, n AS (""" + " UNION ALL ".join(f"SELECT '{x}' AS \"table\", count(*) AS n_rows FROM {x}" for x in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")) + """)
+SELECT "table", column_name AS "column", n_rows, 0 AS n_nulls FROM n JOIN (SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN (SELECT "table" FROM n)) ON table_name = "table" WHERE n_rows > 0""")(
+    lambda s, d: jobs.profile({x: t.read(s, d, x) for x in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")}).where("n_rows > 0").select("table", "column", "n_rows", "n_nulls"))
 add("a16_profile", """SELECT 'customer' AS "table", (SELECT count(*) FROM customer) AS n_rows, 'c_custkey' AS "column", (SELECT count(*) - count(c_custkey) FROM customer) AS n_nulls UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 'n_name', 0""")(
     lambda s, d: jobs.profile({n: t.read(s, d, n) for n in ("customer", "nation")}).where("column in ('c_custkey', 'n_name')").select("table", "n_rows", "column", "n_nulls"))
 

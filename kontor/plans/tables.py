@@ -43,8 +43,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(own.select("iban", "iban_is_known_self"), "iban", "left").select("id", "date", "counterparty", "vendor", "payee", "payer", "memo", "iban", "cents", "kind", "is_income", "iban_is_known_self", "imported_at")
 
 
-def own_ibans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").where("c_nationkey = 0")
+def own_ibans(spark: SparkSession, sf_dir: str, nation: int = 0) -> DataFrame:
+    c = read(spark, sf_dir, "customer").where(F.col("c_nationkey") == nation)
     account = F.lpad(F.col("c_custkey").cast("string"), 18, "0")
     check = F.lit(98) - F.concat(account, F.lit("131400")).cast("decimal(38,0)") % 97
     return c.select(F.concat(F.lit("DE"), F.lpad(check.cast("int").cast("string"), 2, "0"), account).alias("iban"), F.col("c_name").alias("label"))
@@ -94,10 +94,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.lit("given").alias("model"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"), F.col("label").alias("category_id"))
 
 
-
-
-
-
 _IBAN = "'DE' || lpad((98 - (lpad({k}::VARCHAR, 18, '0') || '131400')::HUGEINT % 97)::VARCHAR, 2, '0') || lpad({k}::VARCHAR, 18, '0')"
 _LIST = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
 
