@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import text
@@ -66,16 +66,47 @@ def match_report(matches: DataFrame) -> DataFrame:
     return matches.agg(n("matched"), n("ambiguous"), n("unmatched"))
 
 
+def letters(c: Column) -> Column:
+    """How often each of 31 kinds of characters is in a text, by code."""
+    kinds = F.transform(F.split(c, ""), lambda x: F.pmod(F.ascii(x), F.lit(31)))
+    return F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.size(F.filter(kinds, lambda x: x == k)))
+
+
 def best_name_match(names: DataFrame, known: DataFrame, column: str = "vendor") -> DataFrame:
     """(name, match, score): for each name the most alike of ``known``, ties to the first by alphabet; names that share no word with any are left out.
 
-    Known names are their own best match and never joined; the others meet the known ones through shared words.
+    Known names are their own best match and never joined; the others meet the known ones through shared words, and only pairs that can be the best are scored. What a
+    pair shares bounds its score from both sides: the shared words are a common subsequence, and no common subsequence has more of any letter than either name. A pair of
+    which the upper bound is below the best lower bound of its name goes before any text is compared.
     """
     a, b = names.select(F.col(column).alias("name")).distinct(), known.select(F.col(column).alias("match")).distinct()
     same = a.join(b, a.name == b.match).select("name", "match", F.lit(100.0).alias("score"))
     rest = a.join(b, a.name == b.match, "left_anti")
-    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, r"\s+"))).alias("word")).where("word <> ''")
-    pairs = words(rest, "name").join(words(b, "match"), "word").select("name", "match").distinct()
-    scored = pairs.withColumn("score", F.floor(text.token_set_ratio(F.col("name"), F.col("match"))).cast("double"))
+    best = candidate_pairs(rest, b)
+    scored = best.withColumn("score", F.floor(text.token_set_ratio(F.col("name"), F.col("match"))).cast("double"))
     best = scored.groupBy("name").agg(F.min_by(F.struct("match", "score"), F.struct(-F.col("score"), "match")).alias("m")).select("name", "m.match", "m.score")
     return same.unionByName(best)
+
+
+def candidate_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, match) of the pairs that share a word and may be a name's best."""
+
+    def described(df: DataFrame, c: str) -> DataFrame:
+        words = F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+        joined = F.array_join(words, " ")
+        return df.select(c, words.alias("words"), F.length(joined).alias(f"n_{c}"), F.size(words).alias(f"k_{c}"), letters(joined).alias(f"l_{c}"))
+
+    x, y = described(names, "name"), described(known, "match")
+    met = x.withColumn("word", F.explode("words")).drop("words").join(y.withColumn("word", F.explode("words")).drop("words"), "word")
+    pairs = met.groupBy("name", "match").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("word")).alias("shared"), *[F.first(f"{p}_{c}").alias(f"{p}_{c}") for c in ("name", "match") for p in ("n", "k", "l")])
+    n, m, both = F.col("n_name"), F.col("n_match"), F.col("shared") + F.col("k") - 1  # characters of the shared words, joined
+    inside = (F.col("k") == F.col("k_name")) | (F.col("k") == F.col("k_match"))
+    against_either = F.greatest(2 * both / (both + n), 2 * both / (both + m))  # exactly: the shared words are where either begins
+    common = F.aggregate(F.zip_with("l_name", "l_match", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    # beside the shared words, the blank behind them is common
+    low = F.when(inside, 100.0).otherwise(100.0 * F.greatest(against_either, 2 * (both + 1) / (n + m)))
+    high = F.when(inside, 100.0).otherwise(100.0 * F.greatest(against_either, 2 * common / (n + m)))
+    pairs = pairs.select("name", "match", F.floor(low - 1e-9).alias("low"), F.floor(high + 1e-9).alias("high"))
+    pairs = scratch_table(pairs, "name-pairs")
+    least = pairs.groupBy("name").agg(F.max("low").alias("least"))
+    return pairs.join(least, "name").where(F.col("high") >= F.col("least")).select("name", "match")

@@ -55,6 +55,24 @@ def test_best_name_match(spark):
     assert got == want
 
 
+def test_best_name_match_scores_few(spark):
+    """On a word that all names share: brute force's answer, and most pairs are never scored."""
+    from kontor.operators.matching import best_name_match, candidate_pairs
+
+    rng = random.Random(12)
+    part = lambda: "".join(rng.choices("abcdefghijklmnoprstuwz", k=rng.randint(3, 12)))
+    known = sorted({f"markt {part()} {part()}" for _ in range(120)})
+    names = [" ".join(x for x in k.replace(rng.choice("aeiou"), "", 1).split()) for k in known[:60]] + [f"markt {part()}" for _ in range(20)] + ["gmbh markt", "markt", known[3]]
+    frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "vendor string")
+    got = {r["name"]: (r["match"], r["score"]) for r in best_name_match(frame(names), frame(known)).collect()}
+    for n in names:
+        score, match = min((-int(set_ratio(n, k) + 1e-9), k) for k in known)
+        assert got[n] == ((n, 100.0) if n in known else (match, float(-score))), n
+    asked = sorted(set(names) - set(known))
+    pairs = candidate_pairs(spark.createDataFrame([(n,) for n in asked], "name string"), spark.createDataFrame([(k,) for k in known], "match string")).count()
+    assert pairs < 0.5 * len(asked) * len(known), pairs
+
+
 @pytest.mark.parametrize(("amounts", "n"), [([999, 500, 1234], 60), ([5], 120), ([5], 700)])
 def test_matching_against_plain(spark, amounts, n):
     """Candidates one by one, in order of date and id; also with one amount for all rows, and with many candidates and records a day."""
