@@ -264,6 +264,17 @@ def write_bank_files(spark: SparkSession, d: str, path: str, broken: bool = Fals
 
 add("a1_a3_bank_files", "SELECT id, date, cents, CASE WHEN iban LIKE 'FR%' THEN 'fr' || substr(iban, 3) ELSE iban END AS iban FROM tx")(
     lambda s, d: files.bank_rows(bank_files(s, d))[0].select(F.regexp_extract("memo", r"#(\d+)$", 1).cast("long").alias("id"), "date", "cents", "iban"))
+
+
+@add("a1_split_bank_files", "SELECT id, date, cents, CASE WHEN iban LIKE 'FR%' THEN 'fr' || substr(iban, 3) ELSE iban END AS iban FROM tx")
+def _(spark, d):  # noqa: ANN001, ANN202
+    """The same exports, record by record over splits of their files."""
+    path = scratch_path(spark, "bank-files")
+    write_bank_files(spark, d, path)
+    good, _ = files.bank_rows(files.read_records(spark, path))
+    return good.select(F.regexp_extract("memo", r"#(\d+)$", 1).cast("long").alias("id"), "date", "cents", "iban")
+
+
 REJECTS = "SELECT id FROM tx WHERE id % 5000 IN (7, 8)"
 add("a6_rejects", f"SELECT (SELECT count(*) + 1 FROM ({REJECTS})) AS rejects, count(*) AS n FROM tx WHERE id // {FILE_IDS} NOT IN (SELECT id // {FILE_IDS} FROM ({REJECTS}))")(
     lambda s, d: (lambda good, bad: bad.agg(F.count(F.lit(1)).alias("rejects")).crossJoin(files.whole_files_only(good, bad).agg(F.count(F.lit(1)).alias("n"))))(*files.bank_rows(bank_files(s, d, broken=True))))

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import amounts, dates, text
+from kontor.scratch import scratch_table
 
 SNIFFED = 4096
 # Fixed value: a record is what stands between line breaks outside quotes.
@@ -69,6 +70,45 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("file"), decode(F.col("content")).alias("content"))
 
 
+# What Windows-1252 has in place of 27 control characters of Latin-1, and the five bytes that it has not.
+CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+WINDOWS = "".join(bytes([ord(c)]).decode("cp1252") for c in CONTROLS)
+UNASSIGNED = "[\\x81\\x8D\\x8F\\x90\\x9D]"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, head, pos, line): the records of all files under ``path``, however large a file is; takes the place of :func:`read_files`.
+
+    A file is read by as many tasks as Spark cuts it into splits. A split counts the quotes of its lines; the parity of all quotes before it, added up over the splits, tells for each line
+    whether it begins within a quoted cell. Lines that are records by themselves stay as they are; only those within which a cell goes on meet, record by record. The encoding is
+    decided over the whole file as in :func:`decode`: UTF-8 if every line is, else Windows-1252 unless one of its unassigned bytes occurs. ``head``: the file's first characters. Line
+    breaks within a cell become ``\\n``.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("bytes"))
+    latin = F.decode("bytes", "ISO-8859-1")
+    utf8 = F.is_valid_utf8(F.col("bytes").cast("string"))
+    lines = lines.withColumn("odd", F.regexp_count(latin, F.lit('"')) % 2)
+    of_file, before_me = Window.partitionBy("file"), Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = lines.groupBy("file", "split").agg(F.sum("odd").alias("odd"), F.min(utf8).alias("utf8"), F.max(~utf8 & latin.rlike(UNASSIGNED)).alias("unassigned"))
+    splits = splits.select("file", "split", (F.coalesce(F.sum("odd").over(before_me), F.lit(0)) % 2).alias("inside"), F.min("utf8").over(of_file).alias("utf8"), F.max("unassigned").over(of_file).alias("unassigned"))
+    here = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    content = F.when(F.col("utf8"), F.regexp_replace(F.col("bytes").cast("string"), "^\ufeff", "")).when(F.col("unassigned"), latin).otherwise(F.translate(latin, CONTROLS, WINDOWS))
+    goes_on = (F.col("inside") + F.sum("odd").over(here) - F.col("odd")) % 2 == 1
+    lines = lines.join(scratch_table(splits, "file-splits"), ["file", "split"]).select("file", "split", "at", "odd", goes_on.alias("goes_on"), content.alias("line"))
+    starts = F.sum((~F.col("goes_on") & (F.col("line") != "")).cast("long")).over(here)
+    lines = scratch_table(lines.withColumn("starts", starts), "file-lines")
+    counts = lines.groupBy("file", "split").agg(F.max("starts").alias("k")).select("file", "split", F.coalesce(F.sum("k").over(before_me), F.lit(0)).alias("before"))
+    lines = lines.join(scratch_table(counts, "file-starts"), ["file", "split"]).withColumn("pos", F.col("before") + F.col("starts") - 1)
+    # an even number of quotes in a line that begins outside of a cell: the line is a record; all others are parts of one
+    alone = ~F.col("goes_on") & (F.col("odd") == 0)
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "at", c.alias("line")))), lambda p: p["line"]), "\n")
+    pieces = lines.where(~alone).groupBy("file", "pos").agg(in_order(F.col("line")).alias("line"))
+    heads = lines.where((F.col("split") == 0) & (F.col("starts") <= 64)).groupBy("file").agg(F.substring(in_order(F.substring("line", 1, SNIFFED)), 1, SNIFFED).alias("head"))
+    every = lines.where(alone & (F.col("line") != "")).select("file", "pos", "line").unionByName(pieces)
+    return every.join(heads, "file", "left").select("file", F.coalesce("head", F.lit("")).alias("head"), F.col("pos").cast("int").alias("pos"), "line")
+
+
 def separator(content: Column, candidates: tuple[str, ...]) -> Column:
     """The candidate that occurs most often in the file's beginning, the first of equals."""
     head = F.substring(content, 1, SNIFFED)
@@ -91,7 +131,10 @@ def cells(line: Column, sep: Column) -> Column:
 
 def parsed(files: DataFrame, spec: SourceSpec) -> DataFrame:
     """(file, pos, cells) of the records that are not blank; records may hold line breaks within quotes."""
-    lines = files.select("file", separator(F.col("content"), spec.separators).alias("sep"), F.posexplode(F.regexp_extract_all("content", F.lit(RECORD), 0)).alias("pos", "line"))
+    if "line" in files.columns:
+        lines = files.select("file", separator(F.col("head"), spec.separators).alias("sep"), "pos", "line")
+    else:
+        lines = files.select("file", separator(F.col("content"), spec.separators).alias("sep"), F.posexplode(F.regexp_extract_all("content", F.lit(RECORD), 0)).alias("pos", "line"))
     rows = lines.select("file", "pos", cells(F.col("line"), F.col("sep")).alias("cells"))
     return rows.where(F.exists("cells", lambda c: F.trim(c) != ""))
 
@@ -128,7 +171,7 @@ def classify_files(files: DataFrame) -> DataFrame:
     """(file, kind, n_kinds): which spec's header a file has; ``kind`` is null unless exactly one fits."""
     tests = [headers(parsed(files, s), s).select("file", F.lit(s.name).alias("kind")) for s in SPECS]
     kinds = tests[0].unionByName(tests[1]).groupBy("file").agg(F.collect_set("kind").alias("k"))
-    return files.select("file").join(kinds, "file", "left").select("file", F.when(F.size("k") == 1, F.col("k")[0]).alias("kind"), F.coalesce(F.size("k"), F.lit(0)).alias("n_kinds"))
+    return files.select("file").distinct().join(kinds, "file", "left").select("file", F.when(F.size("k") == 1, F.col("k")[0]).alias("kind"), F.coalesce(F.size("k"), F.lit(0)).alias("n_kinds"))
 
 
 def get(name: str) -> Column:

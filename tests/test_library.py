@@ -114,6 +114,37 @@ def test_quoted_records_and_wide_files(spark, tmp_path):
     assert sorted((r["source_file"][-5:], r["reason"]) for r in bad.collect()) == [("a.csv", "bad or missing amount"), ("b.csv", "no header")]
 
 
+def test_records_over_splits(spark, tmp_path):
+    """Files cut into many splits give what whole files give: cells over several lines, blank lines, marks, and three encodings."""
+    from kontor.sources import files
+
+    rng = random.Random(4)
+    head = "Konto;1\n\nBuchungsdatum;Betrag (€);Verwendungszweck;Zahlungsempfänger*in\n"
+    memo = lambda: rng.choice(["kurz", '"zwei\nZeilen; und ""Wort"""', '"lang\n\n' + "x" * rng.randint(1, 300) + '\nEnde"', "Müller", '""', "a b  c"])
+    body = lambda n: head + "".join(f"0{rng.randint(1, 9)}.02.2024;{rng.choice(['-1.234,50', '7', 'bad'])};{memo()};Laden {i}\n" + rng.choice(["", "", "\n", ";;;\n"]) for i in range(n))
+    (tmp_path / "a.csv").write_bytes(body(60).encode())
+    (tmp_path / "b.csv").write_bytes(b"\xef\xbb\xbf" + body(40).encode())
+    (tmp_path / "c.csv").write_bytes(body(50).encode("cp1252"))
+    (tmp_path / "d.csv").write_bytes(body(30).replace("€", "EUR").replace(" (EUR)", "").encode("latin-1") + b"09.02.2024;1;\x81 \xe9;x\n")
+    (tmp_path / "e.csv").write_text("nothing;here\n")
+    before = [spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")]
+    plain = lambda df: sorted(tuple(str(x) for x in r) for r in df.collect())
+    last = lambda df: df.withColumn("source_file", F.substring_index("source_file", "/", -1))
+    want = [plain(last(x)) for x in files.bank_rows(files.read_files(spark, str(tmp_path)))]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        records = files.read_records(spark, str(tmp_path))
+        got = [plain(last(x)) for x in files.bank_rows(records)]
+        kinds = {r["file"][-5:]: r["kind"] for r in files.classify_files(records).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == want and len(want[0]) > 100 and len(want[1]) > 30
+    assert kinds == {"a.csv": "bank", "b.csv": "bank", "c.csv": "bank", "d.csv": "bank", "e.csv": None}
+
+
 def test_ingest_stream_keeps_what_is_stored(spark, tmp_path):
     from kontor.streaming.jobs import continuous_ingest
 
