@@ -407,6 +407,23 @@ def predictions(spark: SparkSession, d: str, config: cascade.CascadeConfig | Non
 
 
 add("h10_h12_cascade", None)(predictions)
+#: The first two stages and the sign's veto: vendors' and accounts' majorities, then neighbours' votes for what is left.
+TWO_STAGES = VEC.rstrip() + """, d AS (SELECT vendor, category_id, count(*) AS n FROM lab JOIN tx ON tx.id = expense_id WHERE source = 'user' AND vendor <> '' GROUP BY 1, 2), dv AS (SELECT *, sum(n) OVER (PARTITION BY vendor) AS t, row_number() OVER (PARTITION BY vendor ORDER BY n DESC, category_id) AS r FROM d),
+e AS (SELECT iban, category_id, count(*) AS n FROM lab JOIN tx ON tx.id = expense_id WHERE source = 'user' AND iban <> '' GROUP BY 1, 2), di AS (SELECT *, sum(n) OVER (PARTITION BY iban) AS t, row_number() OVER (PARTITION BY iban ORDER BY n DESC, category_id) AS r FROM e),
+open AS (SELECT * FROM tx WHERE id NOT IN (SELECT expense_id FROM latest_user)),
+one AS (SELECT open.id, coalesce(dv.category_id, di.category_id) AS category_id, 'vendor_exact_match' AS stage FROM open LEFT JOIN dv ON dv.vendor = open.vendor AND dv.r = 1 AND dv.n / dv.t >= 0.25 LEFT JOIN di ON di.iban = open.iban AND di.r = 1 AND di.n / di.t >= 0.25 WHERE coalesce(dv.category_id, di.category_id) IS NOT NULL),
+two AS (SELECT votes.id, category_id, 'knn' AS stage FROM votes JOIN open USING (id) WHERE r = 1 AND n >= 2 AND votes.id NOT IN (SELECT id FROM one)),
+sc AS (SELECT lab.category_id, count(*) FILTER (cents > 0) AS p, count(*) FILTER (cents < 0) AS n FROM lab JOIN tx ON tx.id = expense_id WHERE source = 'user' GROUP BY 1), g AS (SELECT category_id, CASE WHEN p >= n THEN 1 ELSE -1 END AS sg FROM sc WHERE greatest(p, n) / (p + n) >= 0.95 AND p + n >= 5),
+said AS (FROM one UNION ALL FROM two), final AS (SELECT open.id, CASE WHEN sg IS NULL OR sign(cents) = sg THEN said.category_id END AS category_id, CASE WHEN said.id IS NULL OR sign(cents) <> sg THEN 'unknown' ELSE stage END AS stage FROM open LEFT JOIN said USING (id) LEFT JOIN g ON g.category_id = said.category_id)
+"""
+
+
+def two_stages(spark: SparkSession, d: str) -> DataFrame:
+    return predictions(spark, d, cascade.CascadeConfig(enabled=cascade.STAGES[:2], vendor_agreement=0.25, knn_agreement=2))
+
+
+add("h10_vendor_and_neighbours", TWO_STAGES + "SELECT id, category_id, stage FROM final")(lambda s, d: two_stages(s, d).select("id", "category_id", "stage"))
+add("e34_two_stage_counts", TWO_STAGES + "SELECT stage, count(*) AS n FROM final GROUP BY 1")(lambda s, d: two_stages(s, d).groupBy("stage").agg(F.count(F.lit(1)).alias("n")))
 add("e34_stage_counts", None)(lambda s, d: predictions(s, d).groupBy("stage").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -433,7 +450,14 @@ LOWEST = "SELECT id FROM st WHERE u = 0 AND ls = 'model' AND (cf IS NULL OR cf <
 add("j2_low_confidence", LOWEST)(lambda s, d: active.select_low_confidence(t.transactions(s, d), t.labels(s, d), 50).select("id"))
 add("j1_uncertain", "SELECT id FROM st WHERE ls = 'model' ORDER BY cf, id LIMIT 40")(
     lambda s, d: active.select_uncertain(lb.label_state(t.transactions(s, d), t.labels(s, d)).where("label_source = 'model'").withColumn("runner_up_confidence", F.lit(0.0)), 40).select("id"))
-add("j3_farthest_first", None)(lambda s, d: active.farthest_first(t.vectors(s, d), 12))
+WALK = """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT list(m ORDER BY k) AS m FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS k FROM v) GROUP BY k)),
+walk AS (
+  SELECT 1 AS pos, f.id AS id, [f.id] AS ids, [f.v] AS vs FROM (SELECT arg_max({'id': id, 'v': v}, list_distance(v, m)) AS f FROM v, c)
+  UNION ALL
+  SELECT pos + 1, f.id, list_append(ids, f.id), list_append(vs, f.v) FROM (SELECT pos, ids, vs, arg_max({'id': v.id, 'v': v.v}, list_min(list_transform(vs, lambda q: list_distance(q, v.v)))) AS f FROM walk, v WHERE pos < 12 AND NOT list_contains(ids, v.id) GROUP BY pos, ids, vs))
+"""
+add("j3_farthest_first", WALK + "SELECT id, pos FROM walk", prefix=False)(lambda s, d: active.farthest_first(t.vectors(s, d), 12))
 
 
 @add("j4_stratified_diversity", None)
