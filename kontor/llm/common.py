@@ -49,6 +49,7 @@ def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     out = spark.table(table)
     WRITTEN[id(out)], TABLES[id(out)] = path, table
     weakref.finalize(out, WRITTEN.pop, id(out), None)
+    weakref.finalize(out, TABLES.pop, id(out), None)
     return out
 
 

@@ -8,7 +8,8 @@ backward search gives for a word how long a match ends there that occurs twice o
 that is a window or longer, the match is reported, and with it all its windows.
 
 An anchor with very many different segments (a passage that many documents share, in as many surroundings) would fill one
-shard; its segments are cut into single windows instead, which are counted by a 128-bit hash of their words and never meet in a shard.
+shard with surroundings. Of its segments, only what may be repeated goes there: windows whose 128-bit hash comes once in all of them are left out, and what remains of a
+segment, the same few texts in most documents, travels once with its number. The shard's index then decides as it does for all others.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +97,8 @@ def repeated_in_shard(texts: pa.Array, n_windows: np.ndarray, weight: np.ndarray
     symbols, own = np.zeros(len(row) + len(texts), np.int64), np.zeros(len(row) + len(texts) + 1, np.int64)
     symbols[place], own[place] = number + 1, weight[row]
     index = FMIndex(symbols, len(kinds) + 1, depth=window + int(n_windows.max(initial=0)))
-    upto = np.concatenate([[0], np.cumsum(own[index.suffixes])])
+    upto = np.concatenate([[0], np.cumsum(own[index.suffixes])])  # all that the suffixes' places are needed for
+    del index.suffixes
     cover = np.zeros(len(symbols) + 1, np.int64)
     # each row is streamed from its end: what ends at ``end`` is extended backwards by one word a step while it occurs twice
     live = np.arange(len(texts))
@@ -133,8 +136,8 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
     occurrences are reported, and windows are judged on the input alone.
 
     Shuffles: anchors' counts; segments of anchors that occur again; their texts, by segment; and the rows by number, twice the same
-    exchange, to cut those texts and to get the spans. A shard holds about ``shard_words`` words; anchors with over
-    ``hot_segments`` different segments are split into windows, each of which is added up before the exchange. ``stable_input``: ``df`` reads files, and each partition gives
+    exchange, to cut those texts and to get the spans. A shard holds about ``shard_words`` words. Of anchors with over
+    ``hot_segments`` different segments, what can be repeated is told by the windows' hashes first, each added up before its exchange; the result does not depend on it. ``stable_input``: ``df`` reads files, and each partition gives
     the same rows again; else it is written to the shared scratch folder first.
 
     Edge cases: null and empty texts, and texts of fewer words than a window, have no spans; repeated rows are each other's
@@ -167,38 +170,47 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
             texts, lists = batch.column(texts_at), batch.column(segments_at)
             for i in range(batch.num_rows):
                 words = texts[i].as_py().encode().split()
-                hashes, anchors, contents, offsets, ns, ks, bodies = [], [], [], [], [], [], []
+                anchors, contents, ns, ks, parts, windows = [], [], [], [], [], []
                 for s in lists[i].as_py():
                     part = words[s["start"] : s["start"] + s["n"] + window - 1]
-                    pieces = [(j, part[j : j + window]) for j in range(s["n"])] if s["hot"] else [(0, part)]
-                    for j, piece in pieces:
-                        body = b" ".join(piece)
-                        hashes.append(hash_of(body) if s["hot"] else None)
-                        anchors.append(s["anchor"])
-                        contents.append(s["content"])
-                        offsets.append(j)
-                        ns.append(len(piece) - window + 1)
-                        ks.append(s["k"])
-                        bodies.append(None if s["hot"] else body)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(offsets, pa.int32()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(bodies, pa.binary()).cast(pa.string())], names=["window", "anchor", "content", "start", "n", "k", "body"])
-
-    bodies = moved.join(wanted, F.col(id_) == F.col(of_row)).select(*names).mapInArrow(cut, "window binary, anchor long, content long, start int, n int, k long, body string")
+                    anchors.append(s["anchor"])
+                    contents.append(s["content"])
+                    ns.append(s["n"])
+                    ks.append(s["k"])
+                    parts.append(b" ".join(part))
+                    windows.append([hash_of(b" ".join(part[j : j + window])) for j in range(s["n"])] if s["hot"] else None)
+                yield pa.RecordBatch.from_arrays([pa.array(windows, pa.list_(pa.binary())), pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(parts, pa.binary()).cast(pa.string())], names=["windows", "anchor", "content", "n", "k", "body"])
+
+    bodies = moved.join(wanted, F.col(id_) == F.col(of_row)).select(*names).mapInArrow(cut, "windows array<binary>, anchor long, content long, n int, k long, body string")
     any_hot = not hot.isEmpty()
     if any_hot:
         bodies = scratch_table(bodies, "substring-bodies")
-    shards = bodies.where("window is null").drop("window").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
 
     def search(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
         row, begin, end = repeated_in_shard(shard["body"], shard["n"].to_numpy().astype(np.int64), shard["k"].to_numpy(), window)
-        start = shard["start"].to_numpy()[row]
-        return pa.table({"anchor": shard["anchor"].to_numpy()[row], "content": shard["content"].to_numpy()[row], "begin": pa.array(start + begin, pa.int32()), "end": pa.array(start + end, pa.int32())})
-
-    hits = shards.groupBy("shard").applyInArrow(search, "anchor long, content long, begin int, end int")
-    if any_hot:  # equal windows have one anchor, so all of them are here
-        windows = bodies.where("window is not null")
-        twice = windows.groupBy("window").agg(F.sum("k").alias("n")).where("n > 1")
-        hits = hits.unionByName(windows.join(twice, "window", "left_semi").select("anchor", "content", F.col("start").alias("begin"), (F.col("start") + window).cast("int").alias("end")))
+        return pa.table({"anchor": shard["anchor"].to_numpy()[row], "content": shard["content"].to_numpy()[row], "begin": pa.array(begin, pa.int32()), "end": pa.array(end, pa.int32())})
+
+    def decided(texts: DataFrame, n_shards: int) -> DataFrame:
+        """(anchor, content, begin, end): the repeats in rows (anchor, content, n, k, body), each anchor's in its shard."""
+        dealt = texts.select("anchor", "content", "n", "k", "body", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard"))
+        return dealt.groupBy("shard").applyInArrow(search, "anchor long, content long, begin int, end int")
+
+    hits = decided(bodies.where("windows is null"), n_shards)
+    if any_hot:
+        crowded = bodies.where("windows is not null")
+        single = crowded.select("anchor", "content", "k", F.posexplode("windows").alias("start", "window"))
+        twice = single.groupBy("window").agg(F.sum("k").alias("n")).where("n > 1")  # equal windows have one anchor, so all of them are here
+        left = single.join(twice, "window", "left_semi").groupBy("anchor", "content").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # at most LONGEST
+        rest = crowded.select("anchor", "content", "k", "body").join(left, ["anchor", "content"])
+        pieces = rest.select("anchor", "content", "k", F.explode(runs_of_windows(window)("body", "starts")).alias("p")).select("anchor", "content", "k", "p.*")
+        pieces = scratch_table(pieces.withColumn("text_hash", F.xxhash64("body")), "substring-pieces")
+        different = pieces.groupBy("anchor", F.col("text_hash").alias("content")).agg(F.sum("k").alias("k"), F.first("n").alias("n"), F.first("body").alias("body"))
+        different = scratch_table(different, "substring-different")
+        words = different.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0))).first()[0]
+        again = decided(different, max(1, -(-words // shard_words))).withColumnRenamed("content", "text_hash")
+        of_piece = pieces.select("anchor", "text_hash", "content", "start").join(again, ["anchor", "text_hash"])
+        hits = hits.unionByName(of_piece.select("anchor", "content", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")))
     spans = candidates.join(hits, ["anchor", "content"]).select("id", F.struct((F.col("start") + F.col("begin")).cast("long").alias("start"), (F.col("start") + F.col("end")).cast("long").alias("end")).alias("s"))
     spans = spans.groupBy("id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
     merged = F.aggregate(
@@ -220,6 +232,22 @@ def hash_of(body: bytes) -> bytes:
     return xxh3_128_digest(body)
 
 
+def runs_of_windows(window: int):  # noqa: ANN201
+    """What some windows of a text cover: an array of (start, n, body), one for each run of neighbouring windows."""
+
+    @F.pandas_udf("array<struct<start: int, n: int, body: string>>")
+    def cut(bodies: pd.Series, starts: pd.Series) -> pd.Series:
+        out = []
+        for body, places in zip(bodies, starts, strict=True):
+            words, places = body.encode().split(), np.asarray(places)
+            edges = np.flatnonzero(np.diff(places) > 1) + 1
+            runs = [(int(r[0]), len(r)) for r in np.split(places, edges)]
+            out.append([(a, n, b" ".join(words[a : a + n + window - 1]).decode()) for a, n in runs])
+        return pd.Series(out)
+
+    return cut
+
+
 def keep_words(df: DataFrame, *, text: str = "text", spans: str = "repeats") -> DataFrame:
     """``df`` plus n_words, n_removed (long) and ``kept``: the words outside ``spans``, joined by one space. Null text: no words."""
     df = df.drop("n_words", "n_removed", "kept")

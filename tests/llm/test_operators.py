@@ -219,6 +219,11 @@ def test_substring_dedup_hot_passage(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(substring_dedup, "repeated_in_shard", seen)
     df = spark.createDataFrame([(i, f"{text(rng, 9)} {passage} {text(rng, 9)}") for i in range(300)], "doc_id long, text string")
     out = substring_dedup.find_repeats(df, window=9, anchor=3, hot_segments=50).collect()
+    windows = lambda r: [tuple(r["text"].split()[i : i + 9]) for i in range(22)]
+    count = collections.Counter(w for r in out for w in windows(r))
+    for r in out:  # brute force, over the whole result
+        gone = {j for i, w in enumerate(windows(r)) if count[w] > 1 for j in range(i, i + 9)}
+        assert {j for a in r["repeats"] for j in range(a["start"], a["end"])} == gone
     assert len(out) == 300 and all(any(a["start"] <= 9 and a["end"] >= 21 for a in r["repeats"]) for r in out)
     # the windows of the shared passage do not fill a shard, once a document
     assert max((int(f.read_text()) for f in tmp_path.iterdir()), default=0) < 300
