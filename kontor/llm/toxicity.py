@@ -1,7 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Both classes have an interpolated model of four levels, counted once a document: a word after the one before it, the word, its first
-7 bytes, its first 4 bytes. Each level is discounted and backs off to the next; below the last there are the shared
+Both classes have an interpolated model of four levels: a word after the one before it, the word, its first
+7 bytes, its first 4 bytes. Of the first level the class' documents are counted, in which it occurs; of each level below, as Kneser and Ney have it, the different
+expressions of the level above that the class has and that back off to it. Each level is discounted and backs off to the next; below the last there are the shared
 counts of both classes, in whose units all probabilities are held. Rare expressions are smoothed through shared counts twice: by the discount,
 and because a class' own estimate counts only k / (k + ``strength``), k being the documents of both classes together.
 
@@ -117,8 +118,18 @@ def count_expressions(sample: DataFrame) -> DataFrame:
     return rows.groupBy("level", "key", "parent", "before").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
+def continued(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``documents``, those of both classes, and below the first level the classes' numbers of expressions that back off to each in place of documents (1, if it has documents but none of these)."""
+    docs = counts.withColumn("documents", F.col("toxic") + F.col("other"))
+    above = counts.where("parent <> 0").groupBy(F.col("parent").alias("key")).agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(f"above_{c}") for c in ("toxic", "other")])
+    kinds = {c: F.greatest(F.coalesce(f"above_{c}", F.lit(0)), F.least(F.col(c), F.lit(1))) for c in ("toxic", "other")}
+    lower = docs.where(F.col("level") < LEVELS - 1).join(above, "key", "left").withColumns(kinds).select(*docs.columns)
+    return lower.unionByName(docs.where(F.col("level") == LEVELS - 1))
+
+
 def expression_gains(counts: DataFrame, *, strength: float, margin: float) -> DataFrame:
     """(key, gain) of the expressions whose gain is not that of what they back off to."""
+    counts = continued(counts)
     totals = counts.groupBy("level").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.count(F.when(F.col("toxic") > 0, 1)).alias("toxic_kinds"), F.count(F.when(F.col("other") > 0, 1)).alias("other_kinds"),
         F.count(F.when(F.col("toxic") + F.col("other") == 1, 1)).alias("ones"), F.count(F.when(F.col("toxic") + F.col("other") == 2, 1)).alias("twos"),
@@ -138,8 +149,8 @@ def expression_gains(counts: DataFrame, *, strength: float, margin: float) -> Da
         else:
             up = known.select(F.col("key").alias("parent"), F.col("p_toxic").alias("up_toxic"), F.col("p_other").alias("up_other"))
             rows = rows.join(up, "parent", "left").na.fill(1.0, ["up_toxic", "up_other"])
-        k = F.col("toxic") + F.col("other")
-        shared = k / (F.col("toxic_total") + F.col("other_total"))
+        k = F.col("documents")
+        shared = (F.col("toxic") + F.col("other")) / (F.col("toxic_total") + F.col("other_total"))
 
         def smoothed(side: str, k: Column = k, shared: Column = shared, d: float = d) -> Column:
             total, up = F.col(f"{side}_total"), F.col(f"up_{side}")

@@ -376,6 +376,16 @@ def test_toxicity_against_plain_model(spark):
         for level in range(4):
             for x in {levels(w, ws[i - 1] if i else None)[level] for i, w in enumerate(ws)} - {None}:
                 counts[level][x][toxic] += 1
+    # below the pairs: how many expressions of a class back off to each, in place of its documents
+    documents, kinds = [{x: sum(c) for x, c in level.items()} for level in counts], [collections.defaultdict(lambda: [0, 0]) for _ in range(4)]
+    for level in range(1, 4):
+        for x, c in counts[level].items():
+            lower = levels(x[1] if level == 3 else x, None)
+            lv = next((i for i in range(min(level, 3) - 1, -1, -1) if lower[i] is not None), None)
+            if lv is not None:
+                for s in (0, 1):
+                    kinds[lv][lower[lv]][s] += c[s] > 0
+    counts = [{x: [max(kinds[level][x][s], min(1, c[s])) for s in (0, 1)] if level < 3 else c for x, c in counts[level].items()} for level in range(4)]
     known = [{}, {}, {}, {}]
     for level in range(4):
         both = [sum(c) for c in counts[level].values()]
@@ -384,10 +394,10 @@ def test_toxicity_against_plain_model(spark):
             word = x[1] if level == 3 else x
             up = next((known[lv][y] for lv in range(level - 1, -1, -1) if (y := levels(word, None)[lv]) is not None and lv < 3), (1.0, 1.0))
             peers = [v for y, v in counts[level].items() if level < 3 or y[0] == x[0]]
-            k, total = sum(c), [sum(v[s] for v in peers) for s in (0, 1)]
+            k, share, total = documents[level][x], sum(c), [sum(v[s] for v in peers) for s in (0, 1)]
             p = []
             for s in (0, 1):
-                own = max(c[s] - d, 0) / total[s] / (k / sum(total)) + d * sum(v[s] > 0 for v in peers) / total[s] * up[s] if total[s] else up[s]
+                own = max(c[s] - d, 0) / total[s] / (share / sum(total)) + d * sum(v[s] > 0 for v in peers) / total[s] * up[s] if total[s] else up[s]
                 p.append(k / (k + 2.0) * own + 2.0 / (k + 2.0) * up[s] if total[s] else up[s])
             known[level][x] = tuple(p)
     df = spark.createDataFrame(docs, "text string, toxic boolean")
