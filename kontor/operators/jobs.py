@@ -115,6 +115,19 @@ def enrich(tx: DataFrame, records: DataFrame, used: DataFrame, source: str, keyw
     return out.drop("ref", "description"), matches
 
 
+def enrich_and_embed(
+    tx: DataFrame, records: DataFrame, used: DataFrame, source: str, keyword: str, embeddings: DataFrame, model: str, encode: Callable[[], Callable[[np.ndarray], np.ndarray]], window: int = 5
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """:func:`enrich`, the vectors with those of the enriched rows made anew from their new text, the matches, and one row: candidates, matched, ambiguous, unmatched, skipped (used before), embedded."""
+    out, matches = enrich(tx, records, used, source, keyword, window)
+    out, matches = scratch_table(out, "enriched"), scratch_table(matches, "enrich-matches")
+    changed = out.where("enrichment_ref is not null")
+    said = lambda o: F.count(F.when(F.col("outcome") == o, 1)).alias(o)
+    one = matches.agg(said("matched"), said("ambiguous"), said("unmatched")).crossJoin(changed.agg(F.count(F.lit(1)).alias("embedded")))
+    seen = records.join(used.select("ref").distinct().withColumn("_used", F.lit(True)), "ref", "left").agg(F.count(F.lit(1)).alias("candidates"), F.count("_used").alias("skipped"))
+    return out, embed_again(embeddings, changed, model, encode), matches, one.crossJoin(seen)  # one row each
+
+
 def enrichment_preview(enriched: DataFrame) -> DataFrame:
     return enriched.where("enrichment_ref is not null").select("id", "enrichment_ref", "memo_before", "memo")
 

@@ -44,8 +44,7 @@ add("b18_secondary_memo", "SELECT 'R' || o_orderkey AS ref, 'Shop ' || (o_orderk
     lambda s, d: t.secondary(s, d).select("ref", text.secondary_memo(F.col("name"), F.col("email")).alias("memo")))
 TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4))"
 add("b19_b20_token_overlap", f"""SELECT tx.id, cat.category_id, round(least(0.15::DOUBLE, 0.05::DOUBLE * len(list_intersect({TOKENS.format(x="memo || ' ' || vendor || ' reisen strom'")}, {TOKENS.format(x="name || ' ' || description")}))), 6) AS bonus FROM tx, cat""")(
-    lambda s, d: raw(s, d).withColumn("v", text.normalize_counterparty(F.col("payee"))).crossJoin(F.broadcast(t.categories(s, d)))  # the category dimension
-    
+    lambda s, d: raw(s, d).withColumn("v", text.normalize_counterparty(F.col("payee"))).crossJoin(t.categories(s, d))  # the category dimension
     .select("id", "category_id", text.overlap_bonus(text.long_tokens(F.concat_ws(" ", "memo", "v", F.lit("reisen strom"))), text.long_tokens(F.concat_ws(" ", "name", "description"))).alias("bonus")))
 
 

@@ -313,6 +313,25 @@ def letter_counts():  # noqa: ANN201
 
 add("m1_embed_rows", "SELECT id, [length(vendor) - length(replace(vendor, c, '')) FOR c IN ['a', 'e', 'h', 'i', 'l', 'n', 'o', 'r']]::VARCHAR AS vector FROM tx")(
     lambda s, d: jobs.embed_rows(t.transactions(s, d), "letters", letter_counts, column="vendor").select("id", F.concat(F.lit("["), F.array_join(F.col("vector").cast("array<int>"), ", "), F.lit("]")).alias("vector")))
+MATCHED = """, m AS (SELECT tx.id, ref FROM rec JOIN tx USING (a) WHERE payer <> '' AND ref NOT LIKE '%0' AND abs(day - date) <= 5 QUALIFY count(*) OVER (PARTITION BY tx.id) = 1 AND count(*) OVER (PARTITION BY ref) = 1),
+said AS (SELECT id, 'shop ' || (substr(ref, 2)::BIGINT % 10) || CASE WHEN substr(ref, 2)::BIGINT % 2 = 0 THEN ' a example com' ELSE '' END AS memo FROM m),
+texts AS (SELECT tx.id, coalesce(tx.vendor || ' | ' || said.memo, tx.vendor) AS t FROM tx LEFT JOIN said USING (id) WHERE tx.vendor <> '' AND tx.payer <> '')
+"""
+
+
+def refreshed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the vendors' names alone, and after enrichment those of the enriched rows of all their text."""
+    tx, rec = candidates(spark, d)
+    tx = tx.where("vendor <> '' and payer <> ''")
+    old = jobs.embed_rows(tx, "letters", letter_counts, column="vendor")
+    _, vectors, _, report = jobs.enrich_and_embed(tx, rec, rec.where("ref like '%0'"), "paypal", "paypal", old, "letters", letter_counts)
+    return vectors, report
+
+
+add("l1_refreshed_vectors", PAIRS.rstrip() + MATCHED + "SELECT id, [length(t) - length(replace(t, c, '')) FOR c IN ['a', 'e', 'h', 'i', 'l', 'n', 'o', 'r']]::VARCHAR AS vector FROM texts")(
+    lambda s, d: refreshed(s, d)[0].select("id", F.concat(F.lit("["), F.array_join(F.col("vector").cast("array<int>"), ", "), F.lit("]")).alias("vector")))
+add("l1_enrichment_report", PAIRS.rstrip() + MATCHED + "SELECT count(*) AS candidates, count(*) FILTER (ref LIKE '%0') AS skipped, (SELECT count(*) FROM m WHERE id IN (SELECT id FROM texts)) AS matched, (SELECT count(*) FROM m WHERE id IN (SELECT id FROM texts)) AS embedded, 0 AS ambiguous, count(*) FILTER (ref NOT LIKE '%0') - (SELECT count(*) FROM m WHERE id IN (SELECT id FROM texts)) AS unmatched FROM rec")(
+    lambda s, d: refreshed(s, d)[1])
 add("a13_embedding_inventory", "SELECT 'given' AS model, len(embedding)::INT AS dim, count(*) AS n FROM embeddings GROUP BY 2")(lambda s, d: jobs.embedding_inventory(t.vectors(s, d)))
 NOTES = ", notes AS (SELECT event_id * 4 AS expense_id, max(event_type) AS text FROM events WHERE event_id % 10 = 0 GROUP BY 1)\n"
 
@@ -468,6 +487,8 @@ def _(spark, d):  # noqa: ANN001, ANN202
 
 add("j5_g4_mixed", f"SELECT id FROM ({LOWEST}) UNION SELECT id FROM (SELECT id FROM st WHERE u = 0 AND m = 0 ORDER BY id LIMIT 20)")(
     lambda s, d: active.in_turn(active.select_low_confidence(t.transactions(s, d), t.labels(s, d), 50), active.numbered(lb.label_state(t.transactions(s, d), t.labels(s, d)).where("has_user = 0 and has_model = 0").orderBy("id").limit(20), "id"), n=70).select("id"))
+add("j5_pick_low_confidence", LOWEST)(
+    lambda s, d: active.pick_candidates("low-confidence-first", 50, tx=t.transactions(s, d), labels=t.labels(s, d), predictions=lb.label_state(t.transactions(s, d), t.labels(s, d)).where("has_user = 0 and has_model = 0").select("id", F.lit(0.9).alias("confidence"), F.lit(0.1).alias("runner_up_confidence")), rows=t.vectors(s, d), train=t.vectors(s, d), train_labels=t.labels(s, d)).select("id"))
 add("j7_review_batch", "SELECT id FROM st WHERE u = 0 AND ls = 'model' AND cf >= 0.4 AND cf < 0.7 ORDER BY cf, id LIMIT 30")(
     lambda s, d: active.review_batch(t.transactions(s, d), t.labels(s, d), active.select_low_confidence(t.transactions(s, d), t.labels(s, d), 30), 30).select("id"))
 add("g5_set_difference", "SELECT id FROM tx EXCEPT SELECT expense_id FROM latest WHERE source = 'model' AND confidence > 0.5")(
