@@ -8,8 +8,8 @@ backward search gives for a word how long a match ends there that occurs twice o
 that is a window or longer, the match is reported, and with it all its windows.
 
 An anchor with very many different segments (a passage that many documents share, in as many surroundings) would fill one
-shard with surroundings. Of its segments, only what may be repeated goes there: windows whose 128-bit hash comes once in all of them are left out, and what remains of a
-segment, the same few texts in most documents, travels once with its number. The shard's index then decides as it does for all others.
+shard with surroundings. Its segments' windows are added up by their hash first: what comes once is no repeat, and of all others, the same few in most documents, each
+goes to the shard once, with its number. The shard's index then decides as it does for all others.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from kontor.llm.common import fresh, scratch_table
 from kontor.llm.decontaminate import spread
@@ -178,10 +178,10 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
                     ns.append(s["n"])
                     ks.append(s["k"])
                     parts.append(b" ".join(part))
-                    windows.append([hash_of(b" ".join(part[j : j + window])) for j in range(s["n"])] if s["hot"] else None)
-                yield pa.RecordBatch.from_arrays([pa.array(windows, pa.list_(pa.binary())), pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(parts, pa.binary()).cast(pa.string())], names=["windows", "anchor", "content", "n", "k", "body"])
+                    windows.append([xxh3_64_intdigest(b" ".join(part[j : j + window])) - (1 << 63) for j in range(s["n"])] if s["hot"] else None)
+                yield pa.RecordBatch.from_arrays([pa.array(windows, pa.list_(pa.int64())), pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(parts, pa.binary()).cast(pa.string())], names=["windows", "anchor", "content", "n", "k", "body"])
 
-    bodies = moved.join(wanted, F.col(id_) == F.col(of_row)).select(*names).mapInArrow(cut, "windows array<binary>, anchor long, content long, n int, k long, body string")
+    bodies = moved.join(wanted, F.col(id_) == F.col(of_row)).select(*names).mapInArrow(cut, "windows array<long>, anchor long, content long, n int, k long, body string")
     any_hot = not hot.isEmpty()
     if any_hot:
         bodies = scratch_table(bodies, "substring-bodies")
@@ -200,17 +200,13 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
     if any_hot:
         crowded = bodies.where("windows is not null")
         single = crowded.select("anchor", "content", "k", F.posexplode("windows").alias("start", "window"))
-        twice = single.groupBy("window").agg(F.sum("k").alias("n")).where("n > 1")  # equal windows have one anchor, so all of them are here
-        left = single.join(twice, "window", "left_semi").groupBy("anchor", "content").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # at most LONGEST
-        rest = crowded.select("anchor", "content", "k", "body").join(left, ["anchor", "content"])
-        pieces = rest.select("anchor", "content", "k", F.explode(runs_of_windows(window)("body", "starts")).alias("p")).select("anchor", "content", "k", "p.*")
-        pieces = scratch_table(pieces.withColumn("text_hash", F.xxhash64("body")), "substring-pieces")
-        different = pieces.groupBy("anchor", F.col("text_hash").alias("content")).agg(F.sum("k").alias("k"), F.first("n").alias("n"), F.first("body").alias("body"))
-        different = scratch_table(different, "substring-different")
-        words = different.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0))).first()[0]
-        again = decided(different, max(1, -(-words // shard_words))).withColumnRenamed("content", "text_hash")
-        of_piece = pieces.select("anchor", "text_hash", "content", "start").join(again, ["anchor", "text_hash"])
-        hits = hits.unionByName(of_piece.select("anchor", "content", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")))
+        # equal windows have one anchor, so all of them are here; one of each stands for all
+        twice = single.groupBy("window").agg(F.sum("k").alias("k"), F.min(F.struct("anchor", "content", "start")).alias("one")).where("k > 1")
+        twice = scratch_table(twice.select("window", "k", "one.*"), "substring-windows")
+        words = F.slice(F.split("body", " "), F.col("start") + 1, window)
+        texts = twice.join(crowded.select("anchor", "content", "body"), ["anchor", "content"]).select("anchor", F.col("window").alias("content"), F.lit(1).alias("n"), "k", F.array_join(words, " ").alias("body"))
+        again = decided(texts, max(1, -(-twice.count() * (window + 1) // shard_words))).select(F.col("content").alias("window"))
+        hits = hits.unionByName(single.join(again, "window", "left_semi").select("anchor", "content", F.col("start").alias("begin"), (F.col("start") + window).alias("end")))
     spans = candidates.join(hits, ["anchor", "content"]).select("id", F.struct((F.col("start") + F.col("begin")).cast("long").alias("start"), (F.col("start") + F.col("end")).cast("long").alias("end")).alias("s"))
     spans = spans.groupBy("id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
     merged = F.aggregate(
@@ -226,28 +222,6 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
     return out.withColumn("repeats", F.coalesce("repeats", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")))
 
 
-def hash_of(body: bytes) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(body)
-
-
-def runs_of_windows(window: int):  # noqa: ANN201
-    """What some windows of a text cover: an array of (start, n, body), one for each run of neighbouring windows."""
-
-    @F.pandas_udf("array<struct<start: int, n: int, body: string>>")
-    def cut(bodies: pd.Series, starts: pd.Series) -> pd.Series:
-        out = []
-        for body, places in zip(bodies, starts, strict=True):
-            words, places = body.encode().split(), np.asarray(places)
-            edges = np.flatnonzero(np.diff(places) > 1) + 1
-            runs = [(int(r[0]), len(r)) for r in np.split(places, edges)]
-            out.append([(a, n, b" ".join(words[a : a + n + window - 1]).decode()) for a, n in runs])
-        return pd.Series(out)
-
-    return cut
-
-
 def keep_words(df: DataFrame, *, text: str = "text", spans: str = "repeats") -> DataFrame:
     """``df`` plus n_words, n_removed (long) and ``kept``: the words outside ``spans``, joined by one space. Null text: no words."""
     df = df.drop("n_words", "n_removed", "kept")
