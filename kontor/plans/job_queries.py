@@ -405,6 +405,25 @@ def _(spark, d):  # noqa: ANN001, ANN202
     return cascade.similarity_stage(rows, t.categories(spark, d))
 
 
+WORDS_OF = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4))"
+BYTES_OF = "list_transform(range(64), lambda i: (('0x' || sha256({x})[(i % 32) * 2 + 1:(i % 32) * 2 + 2])::INT - 127.5)::DOUBLE)"
+LIKENESS = f""", known AS (SELECT vendor, CASE WHEN industry <> 'Sonstige' THEN industry ELSE '' END AS industry FROM ({CACHE})),
+texts AS (SELECT tx.id, concat_ws(' | ', nullif(tx.vendor, ''), replace(lower(kind), '-', ' ')) AS c, coalesce(known.industry, '') AS industry FROM tx LEFT JOIN known USING (vendor)),
+r AS (SELECT id, {BYTES_OF.format(x="c")} AS v, {WORDS_OF.format(x="c || ' ' || industry")} AS w FROM texts),
+c AS (SELECT category_id, {BYTES_OF.format(x="name")} AS a, {BYTES_OF.format(x="CASE WHEN description <> '' THEN name || ': ' || description ELSE name END")} AS b, {WORDS_OF.format(x="name || ' ' || description")} AS w FROM cat),
+liked AS (SELECT id, category_id, round(greatest(list_cosine_similarity(r.v, c.a), list_cosine_similarity(r.v, c.b)) + least(0.15::DOUBLE, 0.05::DOUBLE * len(list_intersect(r.w, c.w))), 12) AS s FROM r, c),
+two AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, category_id) AS k, lead(s) OVER (PARTITION BY id ORDER BY s DESC, category_id) AS next FROM liked)
+"""
+
+
+@add("h8_vendor_industry", LIKENESS + "SELECT id, category_id, round(s, 6) AS confidence FROM two WHERE k = 1 AND s >= 0.25 AND round(s - next, 12) >= 0.03")
+def _(spark, d):  # noqa: ANN001, ANN202
+    """Likeness to the categories' texts, the industries of the vendor cache included."""
+    tx, config = t.transactions(spark, d).withColumn("memo", F.col("kind")), cascade.CascadeConfig()
+    rows = cascade.similarity_rows(cascade.row_texts(tx, t.vendor_cache(spark, d), config), config, 64)
+    return cascade.similarity_stage(rows, t.categories(spark, d)).select("id", "category_id", "confidence")
+
+
 def keyword_scorer(batch: pd.DataFrame) -> pd.DataFrame:
     """A stand-in for a model: rows that name an hotel are category 1, railways 2, all others abstain."""
     hit = batch["premise"].map(lambda p: 1 if "hotel" in p else 2 if "bahn" in p else None)
