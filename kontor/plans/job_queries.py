@@ -488,17 +488,28 @@ LOWEST = "SELECT id FROM st WHERE u = 0 AND ls = 'model' AND (cf IS NULL OR cf <
 add("j2_low_confidence", LOWEST)(lambda s, d: active.select_low_confidence(t.transactions(s, d), t.labels(s, d), 50).select("id"))
 add("j1_uncertain", "SELECT id FROM st WHERE ls = 'model' ORDER BY cf, id LIMIT 40")(
     lambda s, d: active.select_uncertain(lb.label_state(t.transactions(s, d), t.labels(s, d)).where("label_source = 'model'").withColumn("runner_up_confidence", F.lit(0.0)), 40).select("id"))
-WALK = """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-c AS (SELECT list(m ORDER BY k) AS m FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS k FROM v) GROUP BY k)),
-walk AS (
-  SELECT 1 AS pos, f.id AS id, [f.id] AS ids, [f.v] AS vs FROM (SELECT arg_max({'id': id, 'v': v}, list_distance(v, m)) AS f FROM v, c)
+def walk_of(pool: str, name: str, n: int) -> str:
+    """The farthest-first walk over (id, v) of ``pool``, as recursive SQL."""
+    return f"""{name}_c AS (SELECT list(m ORDER BY k) AS m FROM (SELECT k, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS k FROM {pool}) GROUP BY k)),
+{name} AS (
+  SELECT 1 AS pos, f.id AS id, [f.id] AS ids, [f.v] AS vs FROM (SELECT arg_max({{'id': id, 'v': v}}, list_distance(v, m)) AS f FROM {pool}, {name}_c) WHERE f IS NOT NULL
   UNION ALL
-  SELECT pos + 1, f.id, list_append(ids, f.id), list_append(vs, f.v) FROM (SELECT pos, ids, vs, arg_max({'id': v.id, 'v': v.v}, list_min(list_transform(vs, lambda q: list_distance(q, v.v)))) AS f FROM walk, v WHERE pos < 12 AND NOT list_contains(ids, v.id) GROUP BY pos, ids, vs))
-"""
+  SELECT pos + 1, f.id, list_append(ids, f.id), list_append(vs, f.v) FROM (SELECT pos, ids, vs, arg_max({{'id': p.id, 'v': p.v}}, list_min(list_transform(vs, lambda q: list_distance(q, p.v)))) AS f FROM {name}, {pool} p WHERE pos < {n} AND NOT list_contains(ids, p.id) GROUP BY pos, ids, vs))"""
+
+
+WALK = "WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),\n" + walk_of("v", "walk", 12) + "\n"
 add("j3_farthest_first", WALK + "SELECT id, pos FROM walk", prefix=False)(lambda s, d: active.farthest_first(t.vectors(s, d), 12))
 
 
-@add("j4_stratified_diversity", None)
+STRATIFIED = "WITH RECURSIVE " + t.PREFIX.removeprefix("WITH ") + VEC.rstrip() + f""", few AS (SELECT category_id FROM cat WHERE category_id NOT IN (SELECT category_id FROM lab WHERE source = 'user' GROUP BY 1 HAVING count(*) >= 130)),
+best AS (SELECT id FROM near WHERE category_id IN (FROM few) AND neighbour = (SELECT arg_max(n.neighbour, (n.sim, -n.neighbour)) FROM near n WHERE n.id = near.id)),
+first_pool AS (SELECT id, v FROM test WHERE id IN (FROM best)), other_pool AS (SELECT id, v FROM test WHERE id NOT IN (FROM best)),
+{walk_of("first_pool", "one", 8)},
+{walk_of("other_pool", "two", 8)}
+SELECT id, pos FROM (SELECT id, pos FROM one UNION ALL SELECT id, 8 + pos FROM two) ORDER BY pos LIMIT 8"""
+
+
+@add("j4_stratified_diversity", STRATIFIED, prefix=False)
 def _(spark, d):  # noqa: ANN001, ANN202
     test, train, truth = split(spark, d)
     return active.select_diverse(test, train, truth, lb.undercovered(t.labels(spark, d), t.categories(spark, d), 130), 8)
