@@ -40,6 +40,25 @@ add("b13_b15_date_keys", "SELECT id, strftime(date, '%Y-%m') AS ym, strftime(dat
     lambda s, d: raw(s, d).select("id", dates.month_key(F.col("date")).alias("ym"), dates.week_key(F.col("date")).alias("yw"), F.datediff("date", F.lit("1998-01-01").cast("date")).alias("days")))
 add("b16_b17_classify_iban", """SELECT id, CASE WHEN iban <> '' THEN iban[1:2] END AS iban_country, CASE WHEN iban LIKE 'DE%' THEN iban[5:12] END AS iban_blz, (iban LIKE 'DE%')::INT AS iban_is_valid, CASE WHEN iban <> '' THEN (iban NOT LIKE 'DE%')::INT END AS iban_is_foreign FROM tx""")(
     lambda s, d: raw(s, d).select("id", *[c.alias(k) for k, c in iban.classify(F.col("iban")).items()]))
+# numbers of four countries and one that does not exist, every second with its right check digits
+COUNTRIES = (("DE", 18, "1314", ""), ("AT", 16, "1029", ""), ("CH", 17, "1217", ""), ("NL", 10, "2321", "ABNA"), ("XX", 18, "3333", ""))
+NUMBERS = f"""SELECT *, CASE WHEN k % 2 = 0 THEN lpad((98 - (spelt || '00')::HUGEINT % 97)::VARCHAR, 2, '0') ELSE lpad((k * 31 % 97 + 2)::VARCHAR, 2, '0') END AS digits FROM (
+SELECT c_custkey AS k, {[c[0] for c in COUNTRIES]}[c_custkey % 5 + 1] AS country, {[c[3] for c in COUNTRIES]}[c_custkey % 5 + 1] AS bank, lpad((c_custkey * 7919)::VARCHAR, {[c[1] for c in COUNTRIES]}[c_custkey % 5 + 1], '0') AS account,
+CASE WHEN c_custkey % 5 = 3 THEN '10112310' ELSE '' END || account || {[c[2] for c in COUNTRIES]}[c_custkey % 5 + 1] AS spelt FROM customer)"""
+add("b16_check_digits", f""", n AS ({NUMBERS}) SELECT k AS id, country AS iban_country, (country <> 'XX' AND (spelt || digits)::HUGEINT % 97 = 1)::INT AS iban_is_valid, CASE WHEN country = 'DE' AND (spelt || digits)::HUGEINT % 97 = 1 THEN account[1:8] END AS iban_blz, (country <> 'DE')::INT AS iban_is_foreign FROM n""")(
+    lambda s, d: numbers(s, d).select("id", *[c.alias(k) for k, c in iban.classify(F.col("iban")).items()]))
+
+
+def numbers(spark, d):  # noqa: ANN001, ANN201
+    k = F.col("c_custkey")
+    pick = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in COUNTRIES]), (k % 5 + 1).cast("int"))
+    account = F.lpad((k * 7919).cast("string"), pick(1), F.lit("0"))
+    spelt = F.concat(F.when(k % 5 == 3, "10112310").otherwise(""), account, pick(2))
+    right = F.lpad((F.lit(98) - F.concat(spelt, F.lit("00")).cast("decimal(38,0)") % 97).cast("int").cast("string"), 2, "0")
+    digits = F.when(k % 2 == 0, right).otherwise(F.lpad((k * 31 % 97 + 2).cast("string"), 2, "0"))
+    return t.read(spark, d, "customer").select(k.alias("id"), F.lower(F.concat(pick(0), digits, F.lit(" "), pick(3), account)).alias("iban"))
+
+
 add("b18_secondary_memo", "SELECT 'R' || o_orderkey AS ref, 'Shop ' || (o_orderkey % 10) || CASE WHEN o_orderkey % 2 = 0 THEN ' (a@example.com)' ELSE '' END AS memo FROM orders WHERE o_orderkey % 7 = 0")(
     lambda s, d: t.secondary(s, d).select("ref", text.secondary_memo(F.col("name"), F.col("email")).alias("memo")))
 TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4))"
@@ -57,6 +76,9 @@ def other_name():  # noqa: ANN201
 INDUSTRY = "['Sonstige', 'Sonstige', 'Supermarkt', 'Versorgung', 'Streaming', 'Gesundheit', 'Verkehr', 'Versicherung', 'Telekommunikation', 'Reisen']"
 add("b21_heuristic_industry", f"""SELECT id, CASE WHEN vendor = '' THEN 'Sonstige' ELSE {INDUSTRY}[list_position({list(SHOP_KEYS)}, regexp_replace(vendor, ' v[0-9]+$', ''))] END AS industry FROM tx""")(
     lambda s, d: t.transactions(s, d).select("id", text.heuristic_industry(F.col("vendor")).alias("industry")))
+BY_WORDS = " ".join("WHEN " + " OR ".join(f"contains(x, '{w}')" for w in words) + f" THEN '{label}'" for label, words in text.INDUSTRIES)
+add("b21_industry_of_documents", f"""SELECT id, CASE {BY_WORDS} ELSE 'Sonstige' END AS industry FROM (SELECT doc_id AS id, lower(coalesce(source, '') || ' ' || coalesce(text, '')) AS x FROM documents)""")(
+    lambda s, d: t.read(s, d, "documents").select(F.col("doc_id").alias("id"), text.heuristic_industry(F.col("source"), F.col("text")).alias("industry")))
 add("b22_translate_industry", """SELECT DISTINCT o_custkey // 5 AS v, ['Supermarkt', 'Reisen', 'Sonstige', 'Telekommunikation'][o_custkey // 5 % 4 + 1] AS industry, o_custkey // 5 % 4 <> 2 AS meaningful FROM orders WHERE o_custkey // 5 % 3 = 0""")(
     lambda s, d: t.vendor_cache(s, d).select(F.substring_index("vendor", " v", -1).cast("long").alias("v"), text.translate_industry(F.col("industry")).alias("industry"), text.is_meaningful_industry(text.translate_industry(F.col("industry"))).alias("meaningful")))
 add("b23_premise", """SELECT doc_id AS id, 'rechnung. Branche: ' || source || '. ' || CASE WHEN length(x) > 60 THEN regexp_replace(CASE WHEN contains(c, ' ') AND length(c) - position(' ' IN reverse(c)) > 36 THEN c[:length(c) - position(' ' IN reverse(c))] ELSE c END, '[ ,.;:]+$', '') || '…' ELSE x END AS premise
