@@ -30,6 +30,11 @@ TWICE = lambda inner: ONCE(ONCE("x", inner), inner)
 MEMO = MEMO.format(twice_iban=TWICE("[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}"), twice_digits=TWICE("[0-9]{6,}"))
 add("b4_normalize_memo", MEMO)(
     lambda s, d: t.read(s, d, "documents").select(F.col("doc_id").alias("id"), text.normalize_memo(F.col("text")).alias("memo")))
+NAME_OF = "coalesce(source, '') || ' GmbH & Co. KG, PayPal 1234567 ' || coalesce(text, '')"
+add("b3_names_of_documents", f""", f AS (SELECT doc_id AS id, lower(replace(replace(replace(replace(replace(replace(replace({NAME_OF}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss')) AS x FROM documents),
+p AS (SELECT id, regexp_replace(x, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g') AS x FROM f), g AS (SELECT id, {TWICE("[0-9]{6,}")} AS x FROM p), h AS (SELECT id, {TWICE("(?:visa|mastercard|maestro|paypal|klarna|sofort|sumup|adyen|stripe)")} AS x FROM g)
+SELECT id, array_to_string(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w NOT IN ('', 'gmbh', 'ag', 'kg', 'ohg', 'ug', 'se', 'co', 'ltd', 'limited', 'inc', 'bv', 'sa', 'mbh', 'kgaa', 'ev')), ' ') AS vendor FROM h""")(
+    lambda s, d: t.read(s, d, "documents").select(F.col("doc_id").alias("id"), text.normalize_counterparty(F.concat(F.coalesce("source", F.lit("")), F.lit(" GmbH & Co. KG, PayPal 1234567 "), F.coalesce("text", F.lit("")))).alias("vendor")))
 add("b5_combined_text", "SELECT id, concat_ws(' | ', nullif(vendor, ''), kind) AS combined FROM tx")(lambda s, d: t.transactions(s, d).select("id", text.combined_text(F.col("vendor"), F.col("kind")).alias("combined")))
 add("b6_simplify_paypal_memo", "SELECT id, CASE WHEN payer <> '' THEN trim(split_part(memo, 'Ihr Einkauf bei ', 2)) ELSE memo END AS memo FROM tx")(lambda s, d: raw(s, d).select("id", text.simplify_paypal_memo(F.col("memo"), F.col("payer"), F.col("payee")).alias("memo")))
 add("b8_b11_amounts", """SELECT id, is_income, (cents <> 0 AND a % 500 = 0)::INT AS is_round, CASE WHEN a < 1000 THEN '<10' WHEN a < 5000 THEN '10-50' WHEN a < 20000 THEN '50-200' WHEN a < 100000 THEN '200-1000' ELSE '>1000' END AS bucket, round(ln(1 + a / 100.0), 6) AS log_abs FROM tx""")(
