@@ -100,28 +100,32 @@ def repeated_in_shard(texts: pa.Array, n_windows: np.ndarray, weight: np.ndarray
     upto = np.concatenate([[0], np.cumsum(own[index.suffixes])])  # all that the suffixes' places are needed for
     del index.suffixes
     cover = np.zeros(len(symbols) + 1, np.int64)
-    # each row is streamed from its end: what ends at ``end`` is extended backwards by one word a step while it occurs twice
-    live = np.arange(len(texts))
+    # Runs of windows not yet decided: first and last one's place, and the one probed, which is extended backwards from its end, one
+    # word a step, while it occurs twice. If the longest match is shorter than a window, each window from the probed one to the
+    # last that holds the match and the word before it is unique; else all windows in the match are repeats. What is left on either side is probed next.
     begin = place[first] if len(place) else np.zeros(0, np.int64)
-    end = begin + n_windows + window - 1
-    length, low, high = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), np.full(len(live), index.size, np.int64)
-    while len(live):
-        at = end[live] - length[live] - 1
-        a, b = index.extend(symbols[at], low[live], high[live])
+    left, right = begin, begin + n_windows - 1
+    probe = right
+    length, low, high = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64), np.full(len(left), index.size, np.int64)
+    while len(left):
+        a, b = index.extend(symbols[probe + window - 1 - length], low, high)
         again = upto[b] - upto[a] >= 2
-        on, off = live[again], live[~again]
-        low[on], high[on] = a[again], b[again]
-        length[on] += 1
-        # the longest repeat that ends here is known: all windows in it are repeated
-        whole = on[end[on] - length[on] == begin[on]]
-        done = np.concatenate([off, whole])
-        done = done[length[done] >= window]
-        np.add.at(cover, end[done] - length[done], 1)
-        np.add.at(cover, end[done], -1)
-        end[off] -= 1
-        length[off], low[off], high[off] = 0, 0, index.size
-        end[whole] = begin[whole]
-        live = live[end[live] - begin[live] >= window]
+        length, low, high = length + again, np.where(again, a, low), np.where(again, b, high)
+        ended = ~again | (probe + window - length == left)
+        l, r, s, n = left[ended], right[ended], probe[ended], length[ended]
+        repeat, start = n >= window, s + window - n
+        np.add.at(cover, start[repeat], 1)
+        np.add.at(cover, s[repeat] + window, -1)
+        before = np.where(repeat, start, s) - 1
+        behind = np.where(repeat, s + 1, start)
+        # a unique stretch is likely followed by more of it: the next probe is as far on as this match was short
+        probes = np.concatenate([np.where(repeat, before, np.maximum(l, before + 1 - (window - n))), np.where(repeat, (behind + r) // 2, behind)])
+        l, r = np.concatenate([l, behind]), np.concatenate([before, r])
+        more, on = l <= r, ~ended
+        n_new = int(more.sum())
+        left, right, probe = (np.concatenate([x[on], y[more]]) for x, y in ((left, l), (right, r), (probe, probes)))
+        length, low = (np.concatenate([x[on], np.zeros(n_new, np.int64)]) for x in (length, low))
+        high = np.concatenate([high[on], np.full(n_new, index.size, np.int64)])
     inside = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
     starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
     which = np.searchsorted(begin, starts, side="right") - 1
