@@ -53,6 +53,12 @@ def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     return out
 
 
+def forget_name(table: DataFrame) -> DataFrame:
+    """``table``, in buckets, without its name in the catalogue: its files stay, and plans made from it read them."""
+    table.sparkSession.sql(f"DROP TABLE IF EXISTS {TABLES.pop(id(table))}")
+    return table
+
+
 #: Where the tables that are still in use were written, and the catalogue's names of those in buckets.
 TABLES: dict[int, str] = {}
 WRITTEN: dict[int, str] = {}

@@ -4,8 +4,9 @@ Shards are dealt by content, so that no shard must see all documents. Every wind
 smallest hash of the ``anchor`` words long runs in it; equal windows have equal anchors. A document is cut into segments, the
 maximal runs of windows of one anchor, and a segment goes to its anchor's shard if that anchor occurs again at all. Equal
 segments travel once, with their number. In its shard, each segment is streamed against an FM-index of all of them: the
-backward search gives for a word how long a match ends there that occurs twice or more (a matching statistic), and where
-that is a window or longer, the match is reported, and with it all its windows.
+backward search gives for a word how long a match ends there that occurs twice or more (a matching statistic). Where
+that is a window or longer, the match is reported, and with it all its windows; where it is shorter, the windows around it are unique. Windows that this
+decides are not searched for.
 
 An anchor with very many different segments (a passage that many documents share, in as many surroundings) would fill one
 shard with surroundings. Its segments' windows are added up by their hash first: what comes once is no repeat, and of all others, the same few in most documents, each
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from kontor.llm.common import fresh, scratch_table
+from kontor.llm.common import bucketed_table, forget_name, fresh, scratch_table
 from kontor.llm.decontaminate import spread
 from kontor.llm.fm_index import FMIndex
 from kontor.llm.words import GOLDEN, NOT_SPACE, Words, cut_words, gram_hashes, mix64, powers
 
+MOST_BUCKETS = 100_000  # what Spark allows for a table
 LONGEST = 64  # windows in a segment; a longer run of one anchor (a text that repeats itself) makes several
 
 
@@ -139,8 +141,8 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
     ``window`` words of its row covers it whose word sequence also starts anywhere else, in the same row too; all
     occurrences are reported, and windows are judged on the input alone.
 
-    Shuffles: anchors' counts; segments of anchors that occur again; their texts, by segment; and the rows by number, twice the same
-    exchange, to cut those texts and to get the spans. A shard holds about ``shard_words`` words. Of anchors with over
+    Shuffles: anchors' counts; segments of anchors that occur again; their texts, by segment; and the rows by number, once, into a table in
+    as many buckets as there are shuffle partitions, to cut those texts and to get the spans. A shard holds about ``shard_words`` words. Of anchors with over
     ``hot_segments`` different segments, what can be repeated is told by the windows' hashes first, each added up before its exchange; the result does not depend on it. ``stable_input``: ``df`` reads files, and each partition gives
     the same rows again; else it is written to the shared scratch folder first.
 
@@ -163,7 +165,9 @@ def find_repeats(df: DataFrame, *, text: str = "text", window: int = 35, anchor:
     n_shards = max(1, -(-size // shard_words))
     wanted = kinds.join(hot, "anchor", "left").select("id", F.struct("start", "n", "anchor", "content", "k", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
     wanted = wanted.groupBy("id").agg(F.collect_list("s").alias("segments"))
-    moved = rows.repartition(id_)
+    # the texts move once: both joins by number find them in their buckets
+    buckets = min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    moved = forget_name(bucketed_table(rows, "substring_rows", id_, buckets))
     of_row, segments_of, spans_of = fresh(moved, "_of_row", "_segments", "_spans_of")
     wanted = wanted.toDF(of_row, segments_of)
     names = [*moved.columns, of_row, segments_of]
