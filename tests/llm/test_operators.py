@@ -203,6 +203,41 @@ def test_substring_dedup(docs, empty):
     assert find_repeats(empty, window=9).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_repeats_of_a_shard_are_those_of_a_plain_count(seed):
+    """Words of few kinds, passages pasted at many offsets, a self-repeating row, rows of one window, and weights."""
+    from kontor.llm.substring_dedup import repeated_in_shard
+
+    rng, window = random.Random(seed), (3, 8, 35)[seed % 3]
+    kinds = [f"w{i}" for i in range(rng.choice([2, 5, 200]))]
+    passages = [[rng.choice(kinds) for _ in range(rng.randint(window - 1, 3 * window))] for _ in range(4)]
+    rows = []
+    for _ in range(60):
+        row = [rng.choice(kinds) for _ in range(rng.randint(0, 2 * window))]
+        for _ in range(rng.randint(0, 3)):
+            row += rng.choice(passages)[rng.randint(0, 2) :] + [rng.choice(kinds) for _ in range(rng.randint(0, 5))]
+        rows.append(row + [rng.choice(kinds) for _ in range(max(0, window - len(row)))])
+    rows += [["same"] * (4 * window), ["one", *(f"u{i}" for i in range(window - 1))]]
+    weight = np.array([rng.choice([1, 1, 1, 2]) for _ in rows])
+    count = collections.Counter()
+    for row, k in zip(rows, weight.tolist(), strict=True):
+        for i in range(len(row) - window + 1):
+            count[tuple(row[i : i + window])] += k
+    want = {(r, j) for r, row in enumerate(rows) for i in range(len(row) - window + 1) if count[tuple(row[i : i + window])] > 1 for j in range(i, i + window)}
+    which, begin, end = repeated_in_shard(pa.array([" ".join(r) for r in rows]), np.array([len(r) - window + 1 for r in rows]), weight, window)
+    got = [(r, j) for r, a, b in zip(which.tolist(), begin.tolist(), end.tolist(), strict=True) for j in range(a, b)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_substring_dedup_leaves_no_name(docs, spark):
+    from kontor.llm.substring_dedup import find_repeats
+
+    before = {t.name for t in spark.catalog.listTables()}
+    out = find_repeats(docs, window=9, anchor=3)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert out.count() == docs.count()
+
+
 def test_substring_dedup_hot_passage(spark, monkeypatch, tmp_path):
     from kontor.llm import substring_dedup
 
