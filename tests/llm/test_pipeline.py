@@ -117,3 +117,23 @@ def test_empty(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).where(F.lit(True)).count() == 0, name
+
+
+def test_shuffle_files_go_while_stages_run(spark, folder, monkeypatch):
+    """Stages run under the setting, which is as before when the pipeline is done, also after an error."""
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(spark.conf.get(corpus_pipeline.SHUFFLES_GO))
+        if len(seen) == 3:
+            raise ValueError("a stage that fails")
+        return docs.repartition(2, "doc_id")
+
+    before = spark.conf.get(corpus_pipeline.SHUFFLES_GO)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage)])
+    n = spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert corpus_pipeline.run(spark, folder).count() == n
+    assert seen == ["true", "true"] and spark.conf.get(corpus_pipeline.SHUFFLES_GO) == before
+    with pytest.raises(ValueError, match="a stage that fails"):
+        corpus_pipeline.run(spark, folder)
+    assert spark.conf.get(corpus_pipeline.SHUFFLES_GO) == before
