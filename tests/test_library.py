@@ -462,3 +462,13 @@ def test_similar_amounts_sweep(spark):
         temporal.sweep(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool))
         seconds.append(time.process_time() - t)
     assert seconds[1] < 10 * seconds[0], seconds
+
+
+def test_files_are_cut_into_cells_once(spark, tmp_path):
+    """Rows, rejects and files without a header come from tables written once, not from the exports again; stray cells read as before."""
+    (tmp_path / "a.csv").write_text('x;y\nBuchungsdatum;Betrag (€);Verwendungszweck;Betrag (€)\n01.02.2000;"5,00";"a ""b"" c";"7,00"\n;;\n"";" ";\n03.02.2000;viel;"open\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("no;header\n", encoding="utf-8")
+    good, bad = files.bank_rows(files.read_files(spark, str(tmp_path)))
+    assert not [f for df in (good, bad) for f in df.inputFiles() if f.endswith(".csv")]
+    assert [(r["source_row"], r["memo"], r["cents"]) for r in good.collect()] == [(1, 'a "b" c', 700)]
+    assert sorted((r["source_file"][-5:], r["reason"]) for r in bad.collect()) == [("a.csv", "bad or missing amount"), ("b.csv", "no header")]
