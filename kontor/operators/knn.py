@@ -16,6 +16,8 @@ from kontor.scratch import scratch_table
 MOST_CELLS, CELL_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048, 16384, 4096
 #: Of the driver's sample: rows for each pivot. Of a query's first cells: rows for each neighbour that is sought.
 SAMPLE_ROWS, FIRST_ROWS = 8, 4
+#: Numbers of a matrix that a task makes at a time, whatever the number of cells and the size of a batch.
+ENTRIES = 1 << 20
 #: What rounding may take from a bound, in distance.
 SLACK = 1e-5
 
@@ -34,6 +36,12 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
+def slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of which a matrix of ``width`` numbers a row has at most :data:`ENTRIES`."""
+    step = max(1, ENTRIES // width)
+    return (batch.slice(at, step) for at in range(0, len(batch), step))
+
+
 def spread_out(sample: np.ndarray, n: int) -> np.ndarray:
     """``n`` rows of the sample: half of them each as far from those before as can be, so that no group of vectors is without a pivot, the others as they come."""
     chosen, away = [0], distances(sample, sample[:1])[:, 0]
@@ -55,6 +63,11 @@ class Cells:
     block: np.ndarray
     parts: np.ndarray
 
+    @property
+    def width(self) -> int:
+        """Numbers that a query may need: a few for each cell, and its own vector for each block."""
+        return 2 * len(self.rows) + 66 * int(self.parts.sum())
+
     @staticmethod
     def of(pivots: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, block_rows: int) -> Cells:
         """Large cells have blocks of their own, small ones share one."""
@@ -79,7 +92,8 @@ class Cells:
         d = distances(x, self.pivots)
         at = np.argmin(d, axis=1)
         own = np.take_along_axis(d, at[:, None], axis=1)
-        between = distances(self.pivots, self.pivots)[at]
+        between = distances(self.pivots[at], self.pivots)
+        between[np.arange(len(at)), at] = 0.0
         plane = (d * d - own * own) / np.where(between > 0, 2 * between, 1.0)
         bound = np.maximum(np.maximum(d - self.high, self.low - d), np.where(between > 0, plane, 0.0))
         return (bound - SLACK <= reach[:, None]) & (self.rows > 0)
@@ -90,20 +104,23 @@ def top_of_block(a: pa.Table, b: pa.Table, k: int) -> pa.Table:
     out = [[], [], []]
     if len(a) and len(b):
         ids, x, y = b["t"].to_numpy(), unit_matrix(a["q_vector"], train=False), unit_matrix(b["t_vector"], train=True)
-        order = np.argsort(ids, kind="stable")
-        ids, y = ids[order], y[order]
-        cell, group = b["cell"].to_numpy()[order], b["t_apart"].to_numpy()[order]
-        own, mine, cells = a["q"].to_numpy(), a["q_apart"].to_numpy(), a["cells"].to_pylist()
-        for low in range(0, len(a), 256):
-            part = slice(low, low + 256)
-            s = np.round(x[part] @ y.T, 12)
-            asked = np.array([np.isin(cell, c) for c in cells[part]])
-            s[(own[part][:, None] == ids[None, :]) | ~asked | (mine[part][:, None] == group[None, :])] = -np.inf
-            near = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(s, near, axis=1)
-            keep = np.isfinite(top)
-            out[0].append(np.repeat(own[part], near.shape[1]).reshape(near.shape)[keep])
-            out[1].append(ids[near][keep])
+        group, own, mine, cells = b["t_apart"].to_numpy(), a["q"].to_numpy(), a["q_apart"].to_numpy(), a["cells"]
+        known, cell = np.unique(b["cell"].to_numpy(), return_inverse=True)
+        step = max(1, ENTRIES // len(ids))
+        for low in range(0, len(a), step):
+            part = slice(low, low + step)
+            lists = cells.slice(low, step).to_pylist()
+            asks = np.array([np.isin(known, c) for c in lists])
+            s = x[part] @ y.T
+            s[(own[part][:, None] == ids[None, :]) | ~asks[:, cell] | (mine[part][:, None] == group[None, :])] = -np.inf
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+            who, near = np.nonzero((s >= least[:, None] - 2e-12) & np.isfinite(s))  # what rounding may make equal to the last is among them
+            top = np.round(s[who, near], 12)
+            order = np.lexsort((ids[near], -top, who))
+            who, near, top = who[order], near[order], top[order]
+            keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+            out[0].append(own[part][who[keep]])
+            out[1].append(ids[near[keep]])
             out[2].append(top[keep])
     cat = [np.concatenate(o) if o else np.zeros(0) for o in out]
     return pa.table({"id": pa.array(cat[0].astype(np.int64)), "neighbour": pa.array(cat[1].astype(np.int64)), "similarity": pa.array(cat[2].astype(float))})
@@ -141,8 +158,8 @@ def knn_search(
     shared = train.sparkSession.sparkContext.broadcast(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
+        for batch in batches:
+            for b in slices(batch, len(shared.value)):
                 x = unit_matrix(b.column("t_vector"), train=True)
                 d = distances(x, shared.value) if shared.value.shape[0] > 1 else np.zeros((len(b), 1))
                 cell = d.argmin(axis=1)
@@ -167,9 +184,7 @@ def knn_search(
     def send(first: bool):  # noqa: ANN202
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = known.value
-            for b in batches:
-                if not len(b):
-                    continue
+            for b in (part for batch in batches for part in slices(batch, c.width)):
                 x = unit_matrix(b.column("q_vector"), train=False)
                 ask = c.first(x, FIRST_ROWS * k)
                 if not first:
