@@ -40,3 +40,20 @@ def test_pieces_of_a_batch_follow_the_number_of_cells() -> None:
         parts = list(knn.slices(batch, cells))
         assert sum(len(p) for p in parts) == len(batch)
         assert max(len(p) for p in parts) <= max(1, knn.ENTRIES // cells)
+
+
+def test_calibrated_probabilities_shuffle_nothing_of_what_they_score(spark) -> None:  # noqa: ANN001
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from kontor.operators import cascade
+
+    base = spark.range(90).select("id", (F.col("id") % 3).cast("int").alias("category_id"), array_to_vector(F.array((F.col("id") % 3 + F.col("id") / 200.0).cast("double"), F.lit(1.0))).alias("x"))
+    out = cascade.calibrated_probabilities(base, base.select("id", "x"), forest=False, max_iter=3)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 90
+    for r in rows:
+        p = [x["p"] for x in r["ranked"]]
+        assert sorted(p, reverse=True) == p and abs(sum(p) - 1) < 1e-9 and {x["category_id"] for x in r["ranked"]} == {0, 1, 2}
+    assert sum(r["ranked"][0]["category_id"] == r["id"] % 3 for r in rows) > 60
