@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.functions import amounts, dates, iban, text, vectors
@@ -67,9 +68,15 @@ def numbers(spark, d):  # noqa: ANN001, ANN201
 add("b18_secondary_memo", "SELECT 'R' || o_orderkey AS ref, 'Shop ' || (o_orderkey % 10) || CASE WHEN o_orderkey % 2 = 0 THEN ' (a@example.com)' ELSE '' END AS memo FROM orders WHERE o_orderkey % 7 = 0")(
     lambda s, d: t.secondary(s, d).select("ref", text.secondary_memo(F.col("name"), F.col("email")).alias("memo")))
 TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4))"
+def token_overlap(tx: DataFrame, categories: DataFrame) -> DataFrame:
+    """(id, category_id, bonus) of every row with every category: words are taken from a row and from a category once, before they meet."""
+    a = tx.select("id", text.long_tokens(F.concat_ws(" ", "memo", "v", F.lit("reisen strom"))).alias("a"))
+    b = categories.select("category_id", text.long_tokens(F.concat_ws(" ", "name", "description")).alias("b"))
+    return a.crossJoin(F.broadcast(b)).select("id", "category_id", text.overlap_bonus(F.col("a"), F.col("b")).alias("bonus"))  # the category dimension
+
+
 add("b19_b20_token_overlap", f"""SELECT tx.id, cat.category_id, round(least(0.15::DOUBLE, 0.05::DOUBLE * len(list_intersect({TOKENS.format(x="memo || ' ' || vendor || ' reisen strom'")}, {TOKENS.format(x="name || ' ' || description")}))), 6) AS bonus FROM tx, cat""")(
-    lambda s, d: raw(s, d).withColumn("v", text.normalize_counterparty(F.col("payee"))).crossJoin(t.categories(s, d))  # the category dimension
-    .select("id", "category_id", text.overlap_bonus(text.long_tokens(F.concat_ws(" ", "memo", "v", F.lit("reisen strom"))), text.long_tokens(F.concat_ws(" ", "name", "description"))).alias("bonus")))
+    lambda s, d: token_overlap(raw(s, d).withColumn("v", text.normalize_counterparty(F.col("payee"))), t.categories(s, d)))
 
 
 def other_name():  # noqa: ANN201

@@ -57,3 +57,11 @@ def test_calibrated_probabilities_shuffle_nothing_of_what_they_score(spark) -> N
         p = [x["p"] for x in r["ranked"]]
         assert sorted(p, reverse=True) == p and abs(sum(p) - 1) < 1e-9 and {x["category_id"] for x in r["ranked"]} == {0, 1, 2}
     assert sum(r["ranked"][0]["category_id"] == r["id"] % 3 for r in rows) > 60
+
+
+def test_token_overlap_takes_words_before_rows_meet_categories(spark) -> None:  # noqa: ANN001
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["b19_b20_token_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert "regexp_extract_all" not in above and below.count("regexp_extract_all") == 2
