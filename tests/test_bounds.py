@@ -65,3 +65,18 @@ def test_token_overlap_takes_words_before_rows_meet_categories(spark) -> None:
     plan = __spark_entry__.queries()["b19_b20_token_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join", 1)
     assert "regexp_extract_all" not in above and below.count("regexp_extract_all") == 2
+
+
+def test_hash_embedding_reads_each_byte_once(spark) -> None:  # noqa: ANN001
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from kontor.functions.vectors import hash_embedding
+
+    df = spark.range(3).select(F.col("id").cast("string").alias("t"))
+    plan = df.select(hash_embedding(F.col("t"), 70))._jdf.queryExecution().analyzed().toString()
+    assert "sequence(0, 31" in plan and "sequence(0, 69" not in plan
+    for r in df.select("t", hash_embedding(F.col("t"), 70).alias("v")).collect():
+        x = np.resize(np.frombuffer(hashlib.sha256(r["t"].encode()).digest(), np.uint8), 70) - 127.5
+        assert np.allclose(r["v"], x / np.sqrt((x * x).sum()), atol=1e-12)
