@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from kontor.operators import knn
 
@@ -80,3 +81,13 @@ def test_hash_embedding_reads_each_byte_once(spark) -> None:  # noqa: ANN001
     for r in df.select("t", hash_embedding(F.col("t"), 70).alias("v")).collect():
         x = np.resize(np.frombuffer(hashlib.sha256(r["t"].encode()).digest(), np.uint8), 70) - 127.5
         assert np.allclose(r["v"], x / np.sqrt((x * x).sum()), atol=1e-12)
+
+
+def test_ngram_join_lets_shuffle_files_go(spark, monkeypatch) -> None:  # noqa: ANN001
+    from kontor.llm import ngram_join
+
+    name, seen, write = "spark.sql.shuffleDependency.fileCleanup.enabled", [], ngram_join.scratch_table
+    setting = spark.conf.get(name)
+    monkeypatch.setattr(ngram_join, "scratch_table", lambda df, to: seen.append((to, spark.conf.get(name))) or write(df, to))
+    ngram_join.jaccard_components(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string"))
+    assert len(seen) > 5 and {v for _, v in seen} == {"true"} and spark.conf.get(name) == setting
