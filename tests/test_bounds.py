@@ -91,3 +91,19 @@ def test_ngram_join_lets_shuffle_files_go(spark, monkeypatch) -> None:  # noqa:
     monkeypatch.setattr(ngram_join, "scratch_table", lambda df, to: seen.append((to, spark.conf.get(name))) or write(df, to))
     ngram_join.jaccard_components(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string"))
     assert len(seen) > 5 and {v for _, v in seen} == {"true"} and spark.conf.get(name) == setting
+
+
+def test_history_makes_only_what_is_asked(spark, monkeypatch) -> None:  # noqa: ANN001
+    from kontor.operators import temporal
+
+    rows = [(i, f"v{i % 3}", f"DE{i % 2}", f"2020-0{1 + i % 6}-01", -100 - i % 4) for i in range(60)]
+    tx = spark.createDataFrame(rows, "id long, vendor string, iban string, date string, cents long").withColumn("date", F.to_date("date"))
+    every = {r["id"]: r for r in temporal.temporal_features(tx).collect()}
+    made = []
+    for name in ("vendor_history", "similar_amounts", "iban_history"):
+        monkeypatch.setattr(temporal, name, lambda tx, name=name, f=getattr(temporal, name): made.append(name) or f(tx))
+    for features, history in ((temporal.VENDOR_FEATURES, "vendor_history"), (temporal.SIMILAR_FEATURES, "similar_amounts"), (temporal.IBAN_FEATURES, "iban_history")):
+        made.clear()
+        some = temporal.temporal_features(tx, features=features).collect()
+        assert made == [history] and len(some) == 60
+        assert all(r[f] == every[r["id"]][f] for r in some for f in features)
