@@ -72,41 +72,89 @@ def letters(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.size(F.filter(kinds, lambda x: x == k)))
 
 
+#: A word that very many names share is dealt out over as many tasks.
+SALTS = 16
+
+
 def best_name_match(names: DataFrame, known: DataFrame, column: str = "vendor") -> DataFrame:
     """(name, match, score): for each name the most alike of ``known``, ties to the first by alphabet; names that share no word with any are left out.
 
-    Known names are their own best match and never joined; the others meet the known ones through shared words, and only pairs that can be the best are scored. What a
-    pair shares bounds its score from both sides: the shared words are a common subsequence, and no common subsequence has more of any letter than either name. A pair of
-    which the upper bound is below the best lower bound of its name goes before any text is compared.
+    Known names are their own best match and never joined, and a name that contains a known one, or is contained in one, has 100 with the first of these. The others meet the known ones
+    through shared words, and only pairs that can be the best are scored (:func:`candidate_pairs`).
     """
-    a, b = names.select(F.col(column).alias("name")).distinct(), known.select(F.col(column).alias("match")).distinct()
+    a, b = scratch_table(names.select(F.col(column).alias("name")).distinct(), "names-all"), scratch_table(known.select(F.col(column).alias("match")).distinct(), "names-known")
     same = a.join(b, a.name == b.match).select("name", "match", F.lit(100.0).alias("score"))
-    rest = a.join(b, a.name == b.match, "left_anti")
-    best = candidate_pairs(rest, b)
-    scored = best.withColumn("score", F.floor(text.token_set_ratio(F.col("name"), F.col("match"))).cast("double"))
-    best = scored.groupBy("name").agg(F.min_by(F.struct("match", "score"), F.struct(-F.col("score"), "match")).alias("m")).select("name", "m.match", "m.score")
-    return same.unionByName(best)
+    rest = scratch_table(a.join(b, a.name == b.match, "left_anti"), "names")
+    inside = scratch_table(contained(rest, b), "names-contained")
+    best = best_of(candidate_pairs(rest.join(inside, "name", "left_anti"), b))
+    return same.unionByName(inside.withColumn("score", F.lit(100.0))).unionByName(best)
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    scored = pairs.withColumn("score", F.floor(text.token_set_ratio(F.col("name"), F.col("match"))).cast("double"))
+    return scored.groupBy("name").agg(F.min_by(F.struct("match", "score"), F.struct(-F.col("score"), "match")).alias("m")).select("name", "m.match", "m.score")
+
+
+def words_of(df: DataFrame, c: str) -> DataFrame:
+    return df.select(c, F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != "")).alias(f"words_{c}"))
+
+
+def by_word(df: DataFrame, c: str, other: DataFrame, o: str) -> DataFrame:
+    """(c, words, word, k, rarest): a row for each word, with the number of rows of ``other`` that have it (0: none), and whether none of the row's words that ``other`` has is rarer."""
+    counts = other.select(F.explode(f"words_{o}").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+    each = df.withColumn("word", F.explode(f"words_{c}")).join(counts, "word", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    least = each.where("k > 0").groupBy(c).agg(F.min(F.struct("k", "word")).alias("_least"))
+    return each.join(least, c).withColumn("rarest", F.col("word") == F.col("_least.word")).drop("_least")
+
+
+def contained(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, match): the first by alphabet of the known names of which a name has all words, or which have all of its words. Whichever is inside meets the other in its rarest word."""
+    x, y = words_of(names, "name"), words_of(known, "match")
+    sides, met = {"name": x, "match": y}, None
+    for c, o in (("name", "match"), ("match", "name")):
+        small = by_word(sides[c], c, sides[o], o).where("rarest").drop("k", "rarest")
+        pairs = small.join(sides[o].withColumn("word", F.explode(f"words_{o}")), "word").where(F.size(F.array_except(f"words_{c}", f"words_{o}")) == 0).select("name", "match")
+        met = pairs if met is None else met.unionByName(pairs)
+    return met.groupBy("name").agg(F.min("match").alias("match"))
 
 
 def candidate_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
-    """(name, match) of the pairs that share a word and may be a name's best."""
+    """(name, match) of the pairs that share a word and may be a name's best.
+
+    What a pair shares bounds its score from both sides: the shared words are a common subsequence, and no common subsequence has more of any letter than either name. First, a name meets the
+    known ones that have its rarest word; of these pairs, those whose upper bound is below the best lower bound of the name go, and the others are scored. Known names that have
+    other words of it alone must reach that score: they are compared by length and letters, once for all names and all known names that are alike in these.
+    """
 
     def described(df: DataFrame, c: str) -> DataFrame:
-        words = F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
-        joined = F.array_join(words, " ")
-        return df.select(c, words.alias("words"), F.length(joined).alias(f"n_{c}"), F.size(words).alias(f"k_{c}"), letters(joined).alias(f"l_{c}"))
-
-    x, y = described(names, "name"), described(known, "match")
-    met = x.withColumn("word", F.explode("words")).drop("words").join(y.withColumn("word", F.explode("words")).drop("words"), "word")
-    pairs = met.groupBy("name", "match").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("word")).alias("shared"), *[F.first(f"{p}_{c}").alias(f"{p}_{c}") for c in ("name", "match") for p in ("n", "k", "l")])
-    n, m, both = F.col("n_name"), F.col("n_match"), F.col("shared") + F.col("k") - 1  # characters of the shared words, joined
-    inside = (F.col("k") == F.col("k_name")) | (F.col("k") == F.col("k_match"))
-    against_either = F.greatest(2 * both / (both + n), 2 * both / (both + m))  # exactly: the shared words are where either begins
+        joined = F.array_join(f"words_{c}", " ")
+        return words_of(df, c).select(c, f"words_{c}", F.length(joined).alias(f"n_{c}"), letters(joined).alias(f"l_{c}"))
+
+    x, y = scratch_table(described(names, "name"), "names-described"), scratch_table(described(known, "match"), "known-described")
+    words = scratch_table(by_word(x, "name", y, "match").where("k > 0"), "names-words")
+    known_words = y.withColumn("word", F.explode("words_match"))
+    n, m = F.col("n_name"), F.col("n_match")
     common = F.aggregate(F.zip_with("l_name", "l_match", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    # beside the shared words, the blank behind them is common
-    low = F.when(inside, 100.0).otherwise(100.0 * F.greatest(against_either, 2 * (both + 1) / (n + m)))
-    high = F.when(inside, 100.0).otherwise(100.0 * F.greatest(against_either, 2 * common / (n + m)))
-    pairs = pairs.select("name", "match", F.floor(low - 1e-9).alias("low"), F.floor(high + 1e-9).alias("high"))
-    pairs = scratch_table(pairs, "name-pairs")
-    least = pairs.groupBy("name").agg(F.max("low").alias("least"))
-    return pairs.join(least, "name").where(F.col("high") >= F.col("least")).select("name", "match")
+    against_either = lambda both: F.greatest(2 * both / (both + n), 2 * both / (both + m))
+
+    met = words.where("rarest").join(known_words, "word").withColumn("in_both", F.array_intersect("words_name", "words_match"))
+    k = F.size("in_both")
+    both = F.length(F.array_join("in_both", " "))
+    inside = (k == F.size("words_name")) | (k == F.size("words_match"))
+    # exactly: the shared words are where either begins; beside them, the blank behind them is common
+    low = F.when(inside, 100.0).otherwise(100.0 * F.greatest(against_either(both), 2 * (both + 1) / (n + m)))
+    high = F.when(inside, 100.0).otherwise(100.0 * F.greatest(against_either(both), 2 * common / (n + m)))
+    pairs = scratch_table(met.select("name", "match", F.floor(low - 1e-9).alias("low"), F.floor(high + 1e-9).alias("high")), "name-pairs")
+    pairs = pairs.join(pairs.groupBy("name").agg(F.max("low").alias("least")), "name").where(F.col("high") >= F.col("least")).select("name", "match")
+
+    # known names without the rarest word: at most all other words are shared
+    reach = words.where("not rarest").groupBy("name").agg((F.sum(F.length("word")) + F.count(F.lit(1)) - 1).alias("most"))
+    other = words.where("not rarest").join(reach, "name").join(best_of(pairs).select("name", F.col("score").alias("least")), "name")
+    other = scratch_table(other.select("name", "word", "n_name", "l_name", "most", "least"), "names-other")
+    kinds = other.select("word", "n_name", "l_name", "most", "least").distinct().withColumn("salt", F.pmod(F.xxhash64("n_name", "l_name", "most", "least"), F.lit(SALTS)))
+    known_kinds = known_words.select("word", "n_match", "l_match").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    either, enough = against_either(F.least("most", "n_name", "n_match")), lambda high: F.floor(100.0 * high + 1e-9) >= F.col("least")
+    alike = kinds.join(known_kinds, ["word", "salt"]).where(enough(F.greatest(either, 2 * F.least(n, m) / (n + m)))).where(enough(F.greatest(either, 2 * common / (n + m))))
+    alike = scratch_table(alike.drop("salt"), "names-alike")
+    more = other.join(alike, ["word", "n_name", "l_name", "most", "least"]).join(known_words.select("word", "n_match", "l_match", "match"), ["word", "n_match", "l_match"]).select("name", "match")
+    return pairs.unionByName(more).distinct()

@@ -73,6 +73,26 @@ def test_best_name_match_scores_few(spark):
     assert pairs < 0.5 * len(asked) * len(known), pairs
 
 
+def test_best_name_match_of_contained_and_crowded_names(spark):
+    """Brute force's answer where known names share frequent words, contain each other, or differ in their digits' order alone; names that share one frequent word are not paired with all that have it."""
+    from kontor.operators.matching import best_name_match, candidate_pairs, contained
+
+    known = [f"hotel sued v{i}" for i in range(100, 400)] + ["hotel", "v100 hotel nord", "am eck"]
+    names = [f"hotel süd v{i}{x}" for i in range(100, 400, 3) for x in ("", " gmbh & co")] + ["hotel  v120", "hotel sued", "eck am v7", "v999 hotel nord west", "süd v999 sued", "sued nord"]
+    frame = lambda rows, c="vendor": spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    out = best_name_match(frame(names), frame(known)).collect()
+    got = {r["name"]: (r["match"], r["score"]) for r in out}
+    want = {}
+    for n in names:
+        scores = [(-int(set_ratio(n, k) + 1e-9), k) for k in known if set(n.split()) & set(k.split())]
+        want[n] = (min(scores)[1], float(-min(scores)[0]))
+    assert got == want and len(out) == len(names)
+    few = [k for k in known if k != "hotel"]
+    assert contained(frame(names, "name"), frame(few, "match")).count() == 3
+    asked = [n for n in names if n.startswith("hotel süd")]
+    assert candidate_pairs(frame(asked, "name"), frame(few, "match")).count() < 5 * len(asked)
+
+
 @pytest.mark.parametrize(("amounts", "n"), [([999, 500, 1234], 60), ([5], 120), ([5], 700)])
 def test_matching_against_plain(spark, amounts, n):
     """Candidates one by one, in order of date and id; also with one amount for all rows, and with many candidates and records a day."""
