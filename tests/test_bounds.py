@@ -107,3 +107,26 @@ def test_history_makes_only_what_is_asked(spark, monkeypatch) -> None:  # noqa:
         some = temporal.temporal_features(tx, features=features).collect()
         assert made == [history] and len(some) == 60
         assert all(r[f] == every[r["id"]][f] for r in some for f in features)
+
+
+def test_log_numbers_are_told_apart_in_pieces(spark, monkeypatch) -> None:  # noqa: ANN001
+    from kontor.operators import jobs
+
+    monkeypatch.setattr(jobs, "NUMBERS_PER_TASK", 100)
+    log = spark.range(1000).select((F.col("id") % 600).alias("label_id"))
+    out = jobs.log_numbers(log)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(label_id" in plan and ", 11)" in plan and plan.count("hashpartitioning") == 1  # told apart only where they were dealt to
+    assert tuple(out.first()) == (1000, 600, 599)
+
+
+def test_appended_labels_are_numbered_over_ranges(spark, monkeypatch) -> None:  # noqa: ANN001
+    from kontor.operators import jobs
+
+    monkeypatch.setattr(jobs, "NUMBERS_PER_TASK", 100)
+    log = spark.range(5).select((F.col("id") + 1).alias("label_id"), F.col("id").alias("expense_id"), F.lit(1).alias("category_id"), F.lit("user").alias("source"))
+    new = spark.range(1000).select((F.col("id") * 37 % 1000).alias("expense_id"), F.lit(2).alias("category_id"), F.lit("user").alias("source"))
+    out = jobs.append_labels(log, new)
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()  # which would sort what of several ranges meets in a task
+    got = {r["expense_id"]: r["label_id"] for r in out.where("category_id = 2").collect()}
+    assert got == {i: 6 + i for i in range(1000)} and out.count() == 1005
