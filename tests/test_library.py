@@ -484,6 +484,18 @@ def test_similar_amounts_sweep(spark):
     assert seconds[1] < 10 * seconds[0], seconds
 
 
+def test_records_of_asked_columns(spark):
+    from kontor.sources import files
+
+    content = "Buchungsdatum;Betrag;Verwendungszweck;IBAN;Extra;Extra\n01.02.2020;1,00;x;DE1;a;b\n02.02.2020;2,00;y\n"
+    df = spark.createDataFrame([("f", content)], "file string, content string")
+    every, some = files.records(df, files.BANK).orderBy("row").collect(), files.records(df, files.BANK, columns=("iban", "extra", "status")).orderBy("row").collect()
+    assert [r["record"] for r in some] == [{"iban": "DE1", "extra": "b"}, {"iban": "", "extra": ""}]
+    assert [{k: v for k, v in r["record"].items() if k in ("iban", "extra")} for r in every] == [r["record"] for r in some]
+    good, bad = files.bank_rows(df)
+    assert [(r["cents"], r["iban"], r["memo"]) for r in good.orderBy("source_row").collect()] == [(100, "DE1", "x"), (200, "", "y")] and bad.count() == 0
+
+
 def test_files_are_cut_into_cells_once(spark, tmp_path):
     """Rows, rejects and files without a header come from tables written once, not from the exports again; stray cells read as before."""
     from kontor.sources import files
