@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.operators import labels as lb
-from kontor.operators.knn import nearest_category
+from kontor.operators.knn import nearest_category, slices
 from kontor.scratch import scratch_table
 
 
@@ -66,6 +66,11 @@ def batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("id").to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
 
 
+def in_order(spark: SparkSession, ids: list[int]) -> DataFrame:
+    """(id, pos) of rows that the driver holds; from Arrow, as a list would go through Python workers beside the executors' own."""
+    return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "pos": pa.array(range(1, len(ids) + 1), pa.int32())}))
+
+
 def farthest_first(rows: DataFrame, n: int) -> DataFrame:
     """(id, pos): ``n`` rows (id, vector), first the farthest from the centre, then always the farthest from all chosen; ties to the smaller id.
 
@@ -77,17 +82,16 @@ def farthest_first(rows: DataFrame, n: int) -> DataFrame:
     rows = scratch_table(rows.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null"), "farthest")
     width = rows.select(F.max(F.size("vector"))).first()[0]
     if not width or n < 1:
-        return spark.createDataFrame([], "id long, pos int")
+        return in_order(spark, [])
     centre = np.array(rows.agg(*[F.avg(F.col("vector")[i]) for i in range(width)]).first(), float)
     schema = "id long, vector array<double>"
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for b in batches:
-            if len(b):
-                t = pa.Table.from_batches([*held, b]).combine_chunks()
-                ids, x = batch_arrays(t.to_batches()[0])
-                held = t.take(pa.array(greedy(ids, x, n, centre))).combine_chunks().to_batches()
+        for b in (part for batch in batches for part in slices(batch, width)):
+            t = pa.Table.from_batches([*held, b]).combine_chunks()
+            ids, x = batch_arrays(t.to_batches()[0])
+            held = t.take(pa.array(greedy(ids, x, n, centre))).combine_chunks().to_batches()
         yield from held
 
     parts = rows.rdd.getNumPartitions()
@@ -103,9 +107,7 @@ def farthest_first(rows: DataFrame, n: int) -> DataFrame:
         def farthest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             walk, taken = shared.value
             best: dict[int, tuple[float, int, np.ndarray]] = {}
-            for b in batches:
-                if not len(b):
-                    continue
+            for b in (part for batch in batches for part in slices(batch, width)):
                 ids, x = batch_arrays(b)
                 away = squares(x, centre)
                 for step in range(len(walk)):
@@ -122,7 +124,7 @@ def farthest_first(rows: DataFrame, n: int) -> DataFrame:
         seen = rows.mapInArrow(farthest, "step long, away double, id long, vector array<double>")
         true = {r["step"]: r["b"] for r in seen.groupBy("step").agg(F.max_by(F.struct("id", "vector"), F.struct("away", -F.col("id"))).alias("b")).collect()}
         if all(true[s]["id"] == i for s, i in enumerate(walk)):
-            return spark.createDataFrame([(i, p + 1) for p, i in enumerate(walk)], "id long, pos int")
+            return in_order(spark, walk)
         found |= {b["id"]: np.array(b["vector"]) for b in true.values()}
 
 
@@ -130,10 +132,13 @@ def select_diverse(rows: DataFrame, train: DataFrame, train_labels: DataFrame, u
     """Farthest-first over ``rows``; with ``undercovered`` categories given, first over rows whose nearest labelled row is in one of them."""
     if undercovered is None:
         return farthest_first(rows, n)
-    near = nearest_category(rows, train, train_labels).join(undercovered.select("category_id"), "category_id", "left_semi").select("id")
-    preferred = rows.join(near, "id", "left_semi")
-    first = farthest_first(preferred, n)
-    return in_turn(first, farthest_first(rows.join(near, "id", "left_anti"), n), n=n).select("id", (F.col("source") * n + F.col("pos")).alias("pos"))
+    few = scratch_table(undercovered.select("category_id"), "undercovered")
+    preferred, others = rows.limit(0), rows
+    if not few.isEmpty():  # else no row is near one of them; the search runs once, for both walks
+        rows, train = (scratch_table(v.select("id", "vector"), "diverse") for v in (rows, train))
+        near = scratch_table(nearest_category(rows, train, train_labels).join(few, "category_id", "left_semi").select("id"), "preferred")
+        preferred, others = rows.join(near, "id", "left_semi"), rows.join(near, "id", "left_anti")
+    return in_turn(farthest_first(preferred, n), farthest_first(others, n), n=n).select("id", (F.col("source") * n + F.col("pos")).alias("pos"))
 
 
 def pick_candidates(strategy: str, n: int, *, tx: DataFrame, labels: DataFrame, predictions: DataFrame, rows: DataFrame, train: DataFrame, train_labels: DataFrame, undercovered: DataFrame | None = None) -> DataFrame:

@@ -130,3 +130,38 @@ def test_appended_labels_are_numbered_over_ranges(spark, monkeypatch) -> None:
     assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()  # which would sort what of several ranges meets in a task
     got = {r["expense_id"]: r["label_id"] for r in out.where("category_id = 2").collect()}
     assert got == {i: 6 + i for i in range(1000)} and out.count() == 1005
+
+
+def test_diverse_rows_are_searched_once_and_only_for_undercovered_categories(spark, monkeypatch) -> None:  # noqa: ANN001
+    from kontor.operators import active
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(200, 3)), rng.normal(size=(40, 3))
+    frame = lambda v, at: spark.createDataFrame([(at + i, r.tolist()) for i, r in enumerate(v)], "id long, vector array<double>")
+    rows, train = frame(x, 0), frame(y, 1000)
+    truth = spark.createDataFrame([(1000 + i, i % 4) for i in range(40)], "id long, category_id int")
+    searched, search = spark.sparkContext.accumulator(0), active.nearest_category
+
+    def count(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            searched.add(len(b))
+            yield b
+
+    monkeypatch.setattr(active, "nearest_category", lambda *a: search(*a).mapInArrow(count, "id long, category_id int"))
+    few = lambda *c: spark.createDataFrame([(i, 0) for i in c], "category_id int, n_labels long")
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    near = (unit(x) @ unit(y).T).argmax(axis=1) % 4
+
+    def walk(of: np.ndarray) -> list[int]:
+        return [int(of[i]) for i in active.greedy(of, x[of], 6, x[of].mean(axis=0))]
+
+    def got(few) -> list[tuple[int, int]]:  # noqa: ANN001
+        out = active.select_diverse(rows, train, truth, few, 6)
+        assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()  # no Python worker for rows that the driver holds
+        return sorted((r["pos"], r["id"]) for r in out.collect())
+
+    assert got(few(2)) == list(enumerate(walk(np.flatnonzero(near == 2)), 1))
+    assert searched.value == 200  # was 400: once for each walk
+    assert got(few()) == list(enumerate(walk(np.arange(200)), 7))
+    assert searched.value == 200  # was 800
+    assert got(few(9)) == list(enumerate(walk(np.arange(200)), 7))
