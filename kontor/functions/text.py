@@ -146,7 +146,7 @@ def premise(text: Column, industry: Column, summary: Column, most: int = 200) ->
     cut = F.substring(whole, 1, most)
     last = F.length(cut) - F.locate(" ", F.reverse(cut))  # characters before the last space
     cut = F.when(cut.contains(" ") & (last > most * 0.6), F.substring(cut, F.lit(1), last)).otherwise(cut)
-    short = F.when(F.length(whole) > most, F.concat(F.regexp_replace(cut, r"[ ,.;:]+$", ""), F.lit("…"))).otherwise(whole)
+    short = F.when(F.length(whole) > most, F.concat(F.regexp_replace(cut, r"[ ,.;:]+\z", ""), F.lit("…"))).otherwise(whole)
     first = F.when(base == "", None).when(base.endswith("."), base).otherwise(F.concat(base, F.lit(".")))
     return F.trim(F.concat_ws(" ", first, F.when(ind != "", F.concat(F.lit("Branche: "), ind, F.lit("."))), F.when(short != "", short)))
 

@@ -401,6 +401,15 @@ def test_stage_store(spark):
     assert (one["accuracy"], one["coverage"]) == (want["accuracy"], want["coverage"])
 
 
+def test_premise_cuts_at_the_very_end(spark):
+    """Marks before a line break at the cut stay: only those at its very end go."""
+    from kontor.functions import text
+
+    rows = [("x" * 30 + " " + "w" * 27 + ".\n" + "y" * 9,), ("x" * 50 + " word.,; more" + "y" * 9,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.premise(F.lit("a"), F.lit(""), F.col("t"), 60)).collect()]
+    assert got == ["a. " + rows[0][0][:60] + "…", "a. " + "x" * 50 + " word…"]
+
+
 def test_vendor_context(spark):
     """The industry of a row's vendor decides between two categories, unless it is switched off; both industry and summary reach the scorer."""
     from kontor.operators.cascade import CascadeConfig, predict
