@@ -83,13 +83,19 @@ def best_name_match(names: DataFrame, known: DataFrame, column: str = "vendor")
     through shared words, and only pairs that can be the best are scored (:func:`candidate_pairs`).
     """
     a, b = scratch_table(names.select(F.col(column).alias("name")).distinct(), "names-all"), scratch_table(known.select(F.col(column).alias("match")).distinct(), "names-known")
-    same = a.join(b, a.name == b.match).select("name", "match", F.lit(100.0).alias("score"))
-    rest = scratch_table(a.join(b, a.name == b.match, "left_anti"), "names")
+    same = a.join(shuffled(b), a.name == b.match).select("name", "match", F.lit(100.0).alias("score"))
+    rest = scratch_table(a.join(shuffled(b), a.name == b.match, "left_anti"), "names")
     inside = scratch_table(contained(rest, b), "names-contained")
-    best = best_of(candidate_pairs(rest.join(inside, "name", "left_anti"), b))
+    asked = rest.join(shuffled(inside), "name", "left_anti")
+    best = best_of(candidate_pairs(asked, b))
     return same.unionByName(inside.withColumn("score", F.lit(100.0))).unionByName(best)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Joined by a shuffle: tables of names are small as files, and many times that in the driver's memory."""
+    return df.hint("merge")
+
+
 def best_of(pairs: DataFrame) -> DataFrame:
     scored = pairs.withColumn("score", F.floor(text.token_set_ratio(F.col("name"), F.col("match"))).cast("double"))
     return scored.groupBy("name").agg(F.min_by(F.struct("match", "score"), F.struct(-F.col("score"), "match")).alias("m")).select("name", "m.match", "m.score")
@@ -102,9 +108,9 @@ def words_of(df: DataFrame, c: str) -> DataFrame:
 def by_word(df: DataFrame, c: str, other: DataFrame, o: str) -> DataFrame:
     """(c, words, word, k, rarest): a row for each word, with the number of rows of ``other`` that have it (0: none), and whether none of the row's words that ``other`` has is rarer."""
     counts = other.select(F.explode(f"words_{o}").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
-    each = df.withColumn("word", F.explode(f"words_{c}")).join(counts, "word", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    each = df.withColumn("word", F.explode(f"words_{c}")).join(shuffled(counts), "word", "left").withColumn("k", F.coalesce("k", F.lit(0)))
     least = each.where("k > 0").groupBy(c).agg(F.min(F.struct("k", "word")).alias("_least"))
-    return each.join(least, c).withColumn("rarest", F.col("word") == F.col("_least.word")).drop("_least")
+    return each.join(shuffled(least), c).withColumn("rarest", F.col("word") == F.col("_least.word")).drop("_least")
 
 
 def contained(names: DataFrame, known: DataFrame) -> DataFrame:
@@ -113,7 +119,7 @@ def contained(names: DataFrame, known: DataFrame) -> DataFrame:
     sides, met = {"name": x, "match": y}, None
     for c, o in (("name", "match"), ("match", "name")):
         small = by_word(sides[c], c, sides[o], o).where("rarest").drop("k", "rarest")
-        pairs = small.join(sides[o].withColumn("word", F.explode(f"words_{o}")), "word").where(F.size(F.array_except(f"words_{c}", f"words_{o}")) == 0).select("name", "match")
+        pairs = small.join(shuffled(sides[o].withColumn("word", F.explode(f"words_{o}"))), "word").where(F.size(F.array_except(f"words_{c}", f"words_{o}")) == 0).select("name", "match")
         met = pairs if met is None else met.unionByName(pairs)
     return met.groupBy("name").agg(F.min("match").alias("match"))
 
@@ -137,7 +143,7 @@ def candidate_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     common = F.aggregate(F.zip_with("l_name", "l_match", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
     against_either = lambda both: F.greatest(2 * both / (both + n), 2 * both / (both + m))
 
-    met = words.where("rarest").join(known_words, "word").withColumn("in_both", F.array_intersect("words_name", "words_match"))
+    met = words.where("rarest").join(shuffled(known_words), "word").withColumn("in_both", F.array_intersect("words_name", "words_match"))
     k = F.size("in_both")
     both = F.length(F.array_join("in_both", " "))
     inside = (k == F.size("words_name")) | (k == F.size("words_match"))
@@ -145,16 +151,16 @@ def candidate_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     low = F.when(inside, 100.0).otherwise(100.0 * F.greatest(against_either(both), 2 * (both + 1) / (n + m)))
     high = F.when(inside, 100.0).otherwise(100.0 * F.greatest(against_either(both), 2 * common / (n + m)))
     pairs = scratch_table(met.select("name", "match", F.floor(low - 1e-9).alias("low"), F.floor(high + 1e-9).alias("high")), "name-pairs")
-    pairs = pairs.join(pairs.groupBy("name").agg(F.max("low").alias("least")), "name").where(F.col("high") >= F.col("least")).select("name", "match")
+    pairs = pairs.join(shuffled(pairs.groupBy("name").agg(F.max("low").alias("least"))), "name").where(F.col("high") >= F.col("least")).select("name", "match")
 
     # known names without the rarest word: at most all other words are shared
     reach = words.where("not rarest").groupBy("name").agg((F.sum(F.length("word")) + F.count(F.lit(1)) - 1).alias("most"))
-    other = words.where("not rarest").join(reach, "name").join(best_of(pairs).select("name", F.col("score").alias("least")), "name")
+    other = words.where("not rarest").join(shuffled(reach), "name").join(shuffled(best_of(pairs).select("name", F.col("score").alias("least"))), "name")
     other = scratch_table(other.select("name", "word", "n_name", "l_name", "most", "least"), "names-other")
     kinds = other.select("word", "n_name", "l_name", "most", "least").distinct().withColumn("salt", F.pmod(F.xxhash64("n_name", "l_name", "most", "least"), F.lit(SALTS)))
     known_kinds = known_words.select("word", "n_match", "l_match").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     either, enough = against_either(F.least("most", "n_name", "n_match")), lambda high: F.floor(100.0 * high + 1e-9) >= F.col("least")
-    alike = kinds.join(known_kinds, ["word", "salt"]).where(enough(F.greatest(either, 2 * F.least(n, m) / (n + m)))).where(enough(F.greatest(either, 2 * common / (n + m))))
+    alike = kinds.join(shuffled(known_kinds), ["word", "salt"]).where(enough(F.greatest(either, 2 * F.least(n, m) / (n + m)))).where(enough(F.greatest(either, 2 * common / (n + m))))
     alike = scratch_table(alike.drop("salt"), "names-alike")
-    more = other.join(alike, ["word", "n_name", "l_name", "most", "least"]).join(known_words.select("word", "n_match", "l_match", "match"), ["word", "n_match", "l_match"]).select("name", "match")
+    more = other.join(shuffled(alike), ["word", "n_name", "l_name", "most", "least"]).join(shuffled(known_words.select("word", "n_match", "l_match", "match")), ["word", "n_match", "l_match"]).select("name", "match")
     return pairs.unionByName(more).distinct()

@@ -93,6 +93,16 @@ def test_best_name_match_of_contained_and_crowded_names(spark):
     assert candidate_pairs(frame(asked, "name"), frame(few, "match")).count() < 5 * len(asked)
 
 
+def test_best_name_match_broadcasts_no_names(spark):
+    """Tables of names are small as files, and many times that in the driver's memory."""
+    from kontor.operators.matching import candidate_pairs, contained
+
+    table = lambda c: spark.range(300).select(F.concat(F.lit("markt v"), F.col("id") % 200, F.lit(f" {c}")).alias(c))
+    for out in (contained(table("name"), table("match")), candidate_pairs(table("name"), table("match"))):
+        out.count()
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("amounts", "n"), [([999, 500, 1234], 60), ([5], 120), ([5], 700)])
 def test_matching_against_plain(spark, amounts, n):
     """Candidates one by one, in order of date and id; also with one amount for all rows, and with many candidates and records a day."""
