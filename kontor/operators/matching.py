@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions import text
+from kontor.operators import likeness
 from kontor.scratch import scratch_table
 
 
@@ -76,11 +77,11 @@ def letters(c: Column) -> Column:
 SALTS = 16
 
 
-def best_name_match(names: DataFrame, known: DataFrame, column: str = "vendor") -> DataFrame:
-    """(name, match, score): for each name the most alike of ``known``, ties to the first by alphabet; names that share no word with any are left out.
+def best_name_match(names: DataFrame, known: DataFrame, column: str = "vendor", *, shared_word: bool = True) -> DataFrame:
+    """(name, match, score): for each name the most alike of ``known``, ties to the first by alphabet. ``shared_word``: only known names that share a word with it count, and a name that shares none with any is left out.
 
     Known names are their own best match and never joined, and a name that contains a known one, or is contained in one, has 100 with the first of these. The others meet the known ones
-    through shared words, and only pairs that can be the best are scored (:func:`candidate_pairs`).
+    through shared words, and only pairs that can be the best are scored (:func:`candidate_pairs`); then, unless a shared word is asked for, all known names that share none (:func:`likeness.against_all`).
     """
     a, b = scratch_table(names.select(F.col(column).alias("name")).distinct(), "names-all"), scratch_table(known.select(F.col(column).alias("match")).distinct(), "names-known")
     same = a.join(shuffled(b), a.name == b.match).select("name", "match", F.lit(100.0).alias("score"))
@@ -88,6 +89,8 @@ def best_name_match(names: DataFrame, known: DataFrame, column: str = "vendor")
     inside = scratch_table(contained(rest, b), "names-contained")
     asked = rest.join(shuffled(inside), "name", "left_anti")
     best = best_of(candidate_pairs(asked, b))
+    if not shared_word:
+        best = likeness.against_all(asked.join(shuffled(best), "name", "left"), b)
     return same.unionByName(inside.withColumn("score", F.lit(100.0))).unionByName(best)
 
 

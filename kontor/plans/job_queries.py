@@ -100,11 +100,11 @@ add("d10_match_report", GREEDY + "SELECT count(*) FILTER (outcome = 'matched') A
 
 @add("d11_b32_best_name_match", None)
 def _(spark, d):  # noqa: ANN001, ANN202
-    """All vendors and, as exports spell them, all payees, against the vendors with a user label."""
+    """All vendors and, as exports spell them, all payees, against the vendors with a user label, whether or not they share a word."""
     party = text.counterparty_of(F.col("payee"), F.lit(""))
     tx = scratch_table(t.raw_transactions(spark, d).select("id", text.normalize_counterparty(party).alias("vendor"), F.lower("payee").alias("payee")), "name-facts")
     names = tx.where("vendor <> ''").select("vendor").union(tx.where("payee <> ''").select("payee"))
-    return matching.best_name_match(names, lb.labelled_vendors(tx, t.labels(spark, d)))
+    return matching.best_name_match(names, lb.labelled_vendors(tx, t.labels(spark, d)), shared_word=False)
 
 
 add("d9_vendors_to_look_up", "SELECT DISTINCT vendor FROM tx WHERE vendor <> '' AND regexp_extract(vendor, 'v([0-9]+)$', 1)::BIGINT % 3 <> 0")(lambda s, d: jobs.vendors_to_look_up(t.transactions(s, d), t.vendor_cache(s, d)))

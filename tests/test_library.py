@@ -103,6 +103,38 @@ def test_best_name_match_broadcasts_no_names(spark):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_best_name_match_without_a_shared_word(spark):
+    """Brute force over all known names: also those that share no word with a name count, and where they are as alike, the first by alphabet."""
+    from kontor.operators.matching import best_name_match
+
+    rng = random.Random(4)
+    known = [f"{s} v{i}" for s in ("baeckerei", "mueller", "netflix") for i in (*range(1, 40), *range(100, 200, 7), 1010, 1100)] + ["langername" * 8 + " x", "hotel"]
+    names = [f"bäckerei v{i}{x}" for i in (11, 110, 120, 333, 1234) for x in ("", " gmbh & co. kg 1234567")] + ["unheard", "muellerv12", "langername" * 7 + "langename y", "v1010 netflix", "zz", "langername" * 15]
+    names += ["".join(rng.choices("abeiklmnortuv 0123", k=rng.randint(1, 90))).strip() or "q" for _ in range(30)]
+    frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "vendor string")
+    out = best_name_match(frame(names), frame(known), shared_word=False).collect()
+    want = {n: min((-int(set_ratio(n, k) + 1e-9), k) for k in known) for n in names}
+    assert len(out) == len(want)
+    assert {r["name"]: (-int(r["score"]), r["match"]) for r in out} == want
+    assert sum(not set(n.split()) & set(k.split()) for n, (_, k) in want.items()) > 5
+
+
+def test_most_alike_against_plain():
+    """Words of all lengths, few and many at once, with and without a match before; a beginning is left out only where nothing below it can be as good."""
+    from kontor.operators import likeness as near
+
+    rng = random.Random(5)
+    for trial in range(20):
+        letters, most = rng.choice(["ab", "abcdefgh", "aäö1"]), rng.choice([5, 30, 140])
+        word = lambda: "".join(rng.choices(letters, k=rng.randint(1, most)))  # noqa: B023, E731
+        known, texts = sorted({word() for _ in range(rng.choice([1, 40, 200]))}), sorted({word() for _ in range(20)})
+        best = np.array([rng.choice([-1, rng.randint(0, 100)]) for _ in texts])
+        holder = np.array([0 if b < 0 else rng.randint(0, 2 * len(known)) for b in best])
+        want = [min(([(-b, h)] if b >= 0 else []) + [(-int(likeness(x, k) + 1e-9), 2 * i + 1) for i, k in enumerate(known) if x != k] or [(1, 0)]) for x, b, h in zip(texts, best, holder, strict=True)]
+        near.most_alike(texts, best, holder, known, 2 * np.arange(len(known)) + 1)
+        assert [(-b, h) for b, h in zip(best, holder, strict=True)] == want, trial
+
+
 @pytest.mark.parametrize(("amounts", "n"), [([999, 500, 1234], 60), ([5], 120), ([5], 700)])
 def test_matching_against_plain(spark, amounts, n):
     """Candidates one by one, in order of date and id; also with one amount for all rows, and with many candidates and records a day."""
