@@ -165,3 +165,49 @@ def test_diverse_rows_are_searched_once_and_only_for_undercovered_categories(spa
     assert got(few()) == list(enumerate(walk(np.arange(200)), 7))
     assert searched.value == 200  # was 800
     assert got(few(9)) == list(enumerate(walk(np.arange(200)), 7))
+
+
+def test_vectors_of_digests_are_hash_embeddings(spark) -> None:  # noqa: ANN001
+    from kontor.functions.vectors import hash_embedding, vectors_of_digests
+
+    df = spark.range(50).select(F.concat(F.lit("täxt "), "id").alias("t"))
+    rows = df.select(F.unhex(F.sha2("t", 256)).alias("d"), *[hash_embedding(F.col("t"), n).alias(f"v{n}") for n in (20, 64)]).collect()
+    for n in (20, 64):
+        assert (vectors_of_digests(pa.array([bytes(r["d"]) for r in rows]), n) == np.array([r[f"v{n}"] for r in rows])).all()
+
+
+def test_likeness_to_categories_makes_no_vectors_in_expressions(spark) -> None:  # noqa: ANN001
+    from kontor.functions.vectors import hash_embedding
+    from kontor.operators import cascade
+
+    texts = spark.range(400).select("id", F.concat(F.lit("markt v"), F.col("id") % 90).alias("combined"), F.when(F.col("id") % 3 == 0, "laden essen").otherwise("").alias("industry"), F.lit("").alias("summary"))
+    categories = spark.createDataFrame([(i, f"art {i}", w) for i, w in enumerate(["laden markt", "essen", "", "reise", "laden essen markt kauf"])], "category_id int, name string, description string")
+    given = cascade.similarity_rows(texts, cascade.CascadeConfig())
+    assert given.columns == ["id", "combined", "industry"]
+    said = [{tuple(r) for r in cascade.similarity_stage(rows, categories, least=0.0, margin=0.0).collect()} for rows in (given, given.withColumn("vector", hash_embedding(F.col("combined"))))]
+    assert len(said[0]) > 100 and said[0] == said[1]
+
+
+def test_calibration_adds_up_equal_probabilities_in_the_tasks(spark, monkeypatch) -> None:  # noqa: ANN001
+    from kontor.operators import cascade
+
+    rows = spark.range(3000).select((F.col("id") % 3 * 4).cast("int").alias("category_id"), F.array(*[((F.col("id") * k) % 97 / 96.0).cast("double") for k in (7, 11, 13)]).alias("p"))
+    plain = rows.toPandas()
+    for most in (1 << 19, 10):
+        monkeypatch.setattr(cascade, "CURVE_POINTS", most)
+        got = cascade.calibration_curves(rows, [0, 4, 8])
+        for j, c in enumerate((0, 4, 8)):
+            p, hit = np.round(np.stack(plain["p"])[:, j], 6), (plain["category_id"] == c).to_numpy()
+            points = np.unique(p)
+            x, y = cascade.isotonic(points, np.array([hit[p == v].sum() for v in points], float), np.array([(p == v).sum() for v in points], float))
+            assert np.allclose(got[c][0], x, atol=1e-12) and np.allclose(got[c][1], y)
+
+
+def test_cascade_queries_make_the_transactions_once(spark, monkeypatch) -> None:  # noqa: ANN001
+    from kontor.operators import cascade
+    from kontor.plans import job_queries
+
+    seen = []
+    monkeypatch.setattr(cascade, "stage_store", lambda folds, tx, *a, **kw: seen.append(tx) or tx)
+    job_queries.store(spark, "/root/testdata/sf0.001", 2)
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
